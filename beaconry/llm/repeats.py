@@ -1,8 +1,10 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Each task hashes all windows of its texts and sends them, packed by hash bucket, to the task that counts that bucket.
-A window whose hash also starts in a document with a smaller id is repeated; a document's repeated windows come back
-as word positions and are merged into maximal removal intervals over its words.
+Each task hashes all windows of its texts and sends them, packed, to the task that counts their bucket. A window's
+bucket follows the least hash of the short runs of words in it, so neighbouring windows mostly share one and a repeated
+passage comes back as a few runs. Windows that a task itself sees under a smaller id are settled there (so a passage
+that many documents share is sent once a chunk). A document's repeated windows come back as runs of word positions and
+are merged into maximal removal intervals over its words.
 
 Edge cases: a null or empty text has no words; a text shorter than the window loses nothing; rows with a null id keep
 every word and never cause a removal; rows that share an id are judged separately and never remove each other's words.
@@ -11,7 +13,6 @@ Equal hashes stand for equal windows (64 bits: about n * n / 2 ** 65 chance coll
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,76 +20,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.shared import SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, pack_sorted, rolling, shuffle_buckets, unpack_ints, unpack_sorted
+from beaconry.llm.shared import SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, pack_longs, rolling, shuffle_buckets, unpack_ints, unpack_longs
 
 _SENT = "bucket int, ids binary, keys binary, hashes binary, rows binary, places binary"
-_FOUND = "id long, row_key long, places binary"
+_FOUND = "id long, row_key long, runs binary"
+#: Words of the runs whose least hash places a window.
+_ANCHOR = 8
 
 
-def _row_keys(words: Words) -> np.ndarray:
-    """A hash of each row's word sequence: tells rows with one id apart."""
-    sums = np.zeros(len(words) + 1, np.uint64)
-    h = words.hashes()
-    place = np.arange(len(h)) - np.repeat(words.first[:-1], words.counts)
-    np.cumsum(mix64(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), out=sums[1:])
-    return mix64(sums[words.first[1:]] - sums[words.first[:-1]] + words.counts.astype(np.uint64))
+def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """Minima of every n consecutive elements."""
+    width, m = 1, x
+    while 2 * width <= n:
+        m = np.minimum(m[:-width], m[width:])
+        width *= 2
+    rest = n - width
+    return np.minimum(m[:-rest], m[rest:]) if rest else m
+
+
+def _runs(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive places of one row, as row, first place and length; the input is ordered by row and place."""
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)])
+    return row[new], place[new], np.diff(np.r_[new, len(row)])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    anchor = min(_ANCHOR, size)
     for batch in batches:
         for part in chunks(batch, "text"):
-            words = Words(part.column(1), SPLIT_ON_SPACE, lower=False)
-            h = rolling(words.hashes(), size)
+            words = Words(part.column(2), SPLIT_ON_SPACE, lower=False)
+            base = words.hashes()
+            h = rolling(base, size)
             row = words.row_of_word()
-            ids = part.column(0)
-            known = np.asarray(ids.is_valid())
-            at = np.arange(len(h))
-            at = at[(row[at] == row[at + size - 1]) & known[row[at]]] if len(h) else at
+            known = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero((row[: len(h)] == row[size - 1 :]) & known[row[: len(h)]]) if len(h) else np.zeros(0, int)
             if not len(at):
                 continue
+            bucket = (mix64(_sliding_min(rolling(base, anchor), size - anchor + 1))[at] % np.uint64(buckets)).astype(np.int32)
             h, row = h[at], row[at]
             place = at - words.first[row]
-            # High bits choose the bucket, so each bucket's windows are one sorted run.
+            doc = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            key = part.column(1).to_numpy(zero_copy_only=False)
             by = np.argsort(h)
-            h, row, place = h[by], row[by], place[by]
-            cuts = np.searchsorted(h, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64))
-            doc = np.where(known, ids.fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
-            keys = _row_keys(words)
+            begin = np.flatnonzero(np.r_[True, h[by[1:]] != h[by[:-1]]])
+            least = np.repeat(np.minimum.reduceat(doc[row[by]], begin), np.diff(np.r_[begin, len(h)]))
+            settled = np.zeros(len(h), bool)
+            settled[by] = doc[row[by]] > least
             out: list[tuple] = []
-            for b, (x, y) in enumerate(zip(np.r_[0, cuts], np.r_[cuts, len(h)], strict=True)):
-                if x < y:
-                    used, local = np.unique(row[x:y], return_inverse=True)
-                    out.append((b, doc[used].tobytes(), keys[used].tobytes(), pack_sorted(h[x:y]), pack_ints(local), pack_ints(place[x:y])))
+            send = np.flatnonzero(~settled)
+            send = send[np.argsort(bucket[send], kind="stable")]
+            edges = np.flatnonzero(np.r_[True, bucket[send[1:]] != bucket[send[:-1]], True]) if len(send) else [0]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                take = send[x:y]
+                r, first, n = _runs(row[take], place[take])
+                used, local = np.unique(r, return_inverse=True)
+                out.append((int(bucket[take[0]]), pack_longs(doc[used]), pack_longs(key[used]), h[take].tobytes(), pack_ints(local), pack_ints(np.stack([first, n]).ravel())))
+            if settled.any():
+                r, first, n = _runs(row[settled], place[settled])
+                used, local = np.unique(r, return_inverse=True)
+                out.append((int(bucket[settled][0]), pack_longs(doc[used]), pack_longs(key[used]), b"", pack_ints(local), pack_ints(np.stack([first, n]).ravel())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], names=["bucket", "ids", "keys", "hashes", "rows", "places"])
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    hs, docs, keys, places = [], [], [], []
+    """The repeated windows of a bucket: those that start under a larger id than their hash's least."""
+    hs, docs, keys, places, done = [], [], [], [], []
     for r in table.to_pylist():
         local = unpack_ints(r["rows"])
-        hs.append(unpack_sorted(r["hashes"]))
-        docs.append(np.frombuffer(r["ids"], np.int64)[local])
-        keys.append(np.frombuffer(r["keys"], np.uint64)[local])
-        places.append(unpack_ints(r["places"]))
-    h, doc, key, place = (np.concatenate(x) for x in (hs, docs, keys, places))
-    by = np.argsort(h)
-    h, doc, key, place = h[by], doc[by], key[by], place[by]
-    begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    least = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.r_[begin, len(h)]))
-    hit = doc > least
-    doc, key, place = doc[hit], key[hit], place[hit]
-    by = np.lexsort((place, key, doc))
-    doc, key, place = doc[by], key[by], place[by]
-    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.zeros(0, int)
-    ends = np.r_[cut[1:], len(doc)] if len(cut) else cut
-    return pa.table({"id": pa.array(doc[cut], pa.int64()), "row_key": pa.array(key[cut].view(np.int64), pa.int64()), "places": pa.array([place[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
-
-
-def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            keys = _row_keys(Words(part.column(1), SPLIT_ON_SPACE, lower=False)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), part.column(1)], names=["id", "row_key", "text"])
+        doc, key = unpack_longs(r["ids"])[local], unpack_longs(r["keys"])[local]
+        first, n = unpack_ints(r["places"]).astype(np.int64).reshape(2, -1)
+        if not r["hashes"]:
+            done.append((doc, key, first, n))
+            continue
+        hs.append(np.frombuffer(r["hashes"], np.uint64))
+        docs.append(np.repeat(doc, n))
+        keys.append(np.repeat(key, n))
+        places.append(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
+    if hs:
+        h, doc, key, place = (np.concatenate(x) for x in (hs, docs, keys, places))
+        by = np.argsort(h)
+        begin = np.flatnonzero(np.r_[True, h[by[1:]] != h[by[:-1]]])
+        least = np.repeat(np.minimum.reduceat(doc[by], begin), np.diff(np.r_[begin, len(h)]))
+        hit = np.zeros(len(h), bool)
+        hit[by] = doc[by] > least
+        if hit.any():
+            # Sent windows are in the order of their texts, so runs of hits are runs of places.
+            new = np.flatnonzero(np.r_[True, (doc[hit][1:] != doc[hit][:-1]) | (key[hit][1:] != key[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)])
+            done.append((doc[hit][new], key[hit][new], place[hit][new], np.diff(np.r_[new, hit.sum()])))
+    if not done:
+        return pa.table({"id": pa.array([], pa.int64()), "row_key": pa.array([], pa.int64()), "runs": pa.array([], pa.binary())})
+    doc, key, first, n = (np.concatenate(x) for x in zip(*done, strict=True))
+    by = np.lexsort((first, key, doc))
+    doc, key, runs = doc[by], key[by], np.stack([first[by], n[by]], 1).astype(np.uint32)
+    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+    return pa.table({"id": pa.array(doc[cut], pa.int64()), "row_key": pa.array(key[cut], pa.int64()), "runs": pa.array([runs[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(doc)], strict=True)], pa.binary())})
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -101,9 +126,9 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
                 a, n = int(words.first[i]), int(words.counts[i])
                 gone = np.zeros(n + 1, np.int64)
                 if found:
-                    p = np.unique(np.frombuffer(b"".join(found), np.uint32).astype(np.int64))
-                    gone[p] += 1
-                    np.subtract.at(gone, p + size, 1)
+                    runs = np.frombuffer(b"".join(found), np.uint32).astype(np.int64).reshape(-1, 2)
+                    np.add.at(gone, runs[:, 0], 1)
+                    np.subtract.at(gone, runs.sum(axis=1) + size - 1, 1)
                 out = np.cumsum(gone)[:n] > 0
                 edges = np.flatnonzero(np.diff(np.r_[False, out, False]))
                 spans.append(edges.tolist())
@@ -121,13 +146,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed_spans lists start, end (exclusive) word positions of the maximal intervals; kept has the other words' UTF-8
     bytes joined by one space. One row per input row.
     """
-    spark = docs.sparkSession
-    buckets = shuffle_buckets(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    buckets = shuffle_buckets(docs.sparkSession, 2)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("row_key"), "text")
     sent = texts.mapInArrow(lambda it: _windows(it, window, buckets), _SENT)
-    found = sent.groupBy("bucket").applyInArrow(_repeated, _FOUND).groupBy("id", "row_key").agg(F.collect_list("places").alias("places"))
-    keyed = texts.mapInArrow(_keys_of, "id long, row_key long, text string")
-    joined = keyed.join(found, ["id", "row_key"], "left").select("id", "text", "places")
+    found = sent.groupBy("bucket").applyInArrow(_repeated, _FOUND).groupBy("id", "row_key").agg(F.collect_list("runs").alias("runs"))
+    joined = texts.join(found, ["id", "row_key"], "left").select("id", "text", "runs")
     return joined.mapInArrow(lambda it: _cut(it, window), "id long, n_words long, n_removed long, removed_spans array<long>, kept binary")
 
 

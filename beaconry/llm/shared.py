@@ -107,7 +107,7 @@ class Words:
     def __init__(self, text: pa.Array, word_bytes: np.ndarray, lower: bool) -> None:
         raw, self.offsets = text_bytes(text)
         self.raw = LOWER[raw] if lower else raw
-        inside = word_bytes[raw]
+        inside = word_bytes[self.raw]
         before = np.zeros(len(raw) + 1, dtype=bool)
         before[1:] = inside
         cuts = self.offsets[:-1]
@@ -152,25 +152,23 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix64((sums[k:] - sums[:-k]) * powers(_INVERSE, len(h))[:n])
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """A sorted unsigned array as compressed byte planes of its differences."""
+def pack_longs(values: np.ndarray) -> bytes:
+    """64-bit numbers as compressed byte planes."""
     import zstandard
 
     if not len(values):
         return b""
-    d = np.empty(len(values), np.uint64)
-    d[0] = values[0]
-    np.subtract(values[1:], values[:-1], out=d[1:])
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+    v = np.ascontiguousarray(values, dtype=np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
+def unpack_longs(blob: bytes) -> np.ndarray:
     import zstandard
 
     if not blob:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
 def pack_ints(values: np.ndarray) -> bytes:
