@@ -1,13 +1,19 @@
-"""The queries of this subpackage."""
+"""The queries of this subpackage and, where SQL can express them, their oracles."""
 
 from __future__ import annotations
 
-from beaconry.llm import repeats
+from beaconry.llm import bpe, decontaminate, repeats, token_counts, topk
 
 
 def queries() -> dict:
-    return {"op5_substring_dedup": repeats.op5_substring_dedup}
+    return {
+        "op3_suffix_decontamination": decontaminate.op3_suffix_decontamination,
+        "op5_substring_dedup": repeats.op5_substring_dedup,
+        "op8_bpe_codec": bpe.op8_bpe_codec,
+        "op9_maxscore_topk": topk.op9_maxscore_topk,
+        "op10_token_counts": token_counts.op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op5_substring_dedup": repeats.ORACLE}
+    return {"op3_suffix_decontamination": decontaminate.ORACLE, "op5_substring_dedup": repeats.ORACLE, "op9_maxscore_topk": topk.ORACLE}
