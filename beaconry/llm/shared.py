@@ -188,3 +188,19 @@ def unpack_ints(blob: bytes) -> np.ndarray:
         return np.zeros(0, np.uint32)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """A sorted unsigned array as the compressed byte planes of its differences."""
+    return pack_longs(np.diff(values, prepend=np.uint64(0)).view(np.int64)) if len(values) else b""
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack_longs(blob).view(np.uint64), dtype=np.uint64)
+
+
+def slices(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the non-empty equal ranges of the hash space."""
+    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+    cuts = np.searchsorted(sorted_hashes, edges)
+    return [(b, int(x), int(y)) for b, (x, y) in enumerate(zip(np.r_[0, cuts], np.r_[cuts, len(sorted_hashes)], strict=True)) if x < y]
