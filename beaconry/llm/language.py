@@ -211,7 +211,7 @@ class LanguageIdentifier:
         self.models: dict[str, Model] = {}
         self.limits: dict[str, tuple[float, float, float]] = {}
         if sizes:
-            share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(float(fit_rows + calibration_rows) / n))])[F.col("lang")]
+            share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, float(fit_rows + calibration_rows) / n)))])[F.col("lang")]
             place = (F.xxhash64("id", F.lit("language")) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
             part = fit_rows / (fit_rows + calibration_rows)
             sample = rows.withColumn("place", place / share).where("place < 1")
