@@ -11,7 +11,8 @@ size that report only links between groups. No pair is skipped that could join t
 spelled out. Groups come from label propagation over written tables.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null and word-less texts have no shingles and link with
-nothing; rows that repeat are one node; a null id takes no part in the smallest id of its group.
+nothing; rows that repeat are one node; a null id links like any other but takes no part in the smallest id of its group
+(null where a group has no other).
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from beaconry.llm.shared import SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, rolling, shuffle_buckets, stage, unpack_ints
 
-#: Nodes of a verification block, parts of a group, and groups beyond the needed number (so that empty subsets can go).
-BLOCK_NODES, PARTS, SPARE = 256, 3, 1
+#: Shingles of a verification block on average, parts of a group, and groups beyond the needed number (so that empty subsets can go).
+BLOCK_SHINGLES, PARTS, SPARE = 1 << 20, 3, 1
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -167,11 +168,27 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"signature": pa.array(sig.view(np.int64), pa.int64()), "node": pa.array([n.tobytes() for n in node], pa.binary())})
 
 
-def _blobs(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
+_BITS, _BIT_ROWS = 1 << 26, 1 << 15
+
+
+def _bitmap(rows: DataFrame) -> bytes:
+    """A bit for each (id, row_key): at most 8 MB, however many rows there are."""
+    place = F.pmod(F.xxhash64("id", "row_key"), F.lit(_BITS))
+    parts = rows.select(F.floor(place / _BIT_ROWS).alias("part"), (place % _BIT_ROWS).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray(_BITS // 8)
+    for r in parts.toLocalIterator():
+        out[r.part * _BIT_ROWS // 8 : (r.part + 1) * _BIT_ROWS // 8] = r.bits
+    return bytes(out)
+
+
+def _blobs(batches: Iterator[pa.RecordBatch], spec: Spec, bits) -> Iterator[pa.RecordBatch]:
+    table = np.frombuffer(bits.value, np.uint8)
     for batch in batches:
+        place = batch.column(3).to_numpy(zero_copy_only=False)
+        batch = batch.filter(pa.array((table[place >> 3] >> (place & 7)) & 1 > 0))
         for part in chunks(batch, "text"):
-            s = Sets(part.column(1), spec)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.all[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary())], names=["node", "shingles"])
+            s = Sets(part.column(2), spec)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.all[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary())], names=["id", "row_key", "shingles"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
@@ -238,21 +255,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if percent <= 67:
         raise ValueError("size bands need a similarity above 2/3")
     spec, spark = Spec(words, percent), docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("row_key"), "text")
+    none = F.lit(-(2**63))  # stands for a null id
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("row_key"), "text")
     rows = stage(texts.mapInArrow(lambda it: _nodes(it, spec), "id long, row_key long, n_shingles long, node binary"), "nodes")
-    nodes = stage(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.min_by("row_key", "id").alias("row_key")), "node_ids")
+    nodes = stage(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("id") != none, F.col("id"))).alias("least"), F.max("id").alias("id"), F.max_by("row_key", "id").alias("row_key"), F.first("n_shingles").alias("size")), "node_ids")
     buckets = shuffle_buckets(spark, 2)
     sent = texts.mapInArrow(lambda it: _send(it, spec, buckets), "bucket int, nodes binary, counts binary, signatures binary")
     members = stage(sent.groupBy("bucket").applyInArrow(_shared, "signature long, node binary"), "members")
 
-    # Shingles of the nodes that share a signature.
-    active = stage(members.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "active")
-    wanted = stage(active.join(nodes, "node").select("node", F.col("least").alias("id"), "row_key"), "wanted")
-    held = texts.join(wanted, ["id", "row_key"]).select("node", "text").mapInArrow(lambda it: _blobs(it, spec), "node binary, shingles binary")
-    sets = stage(held.dropDuplicates(["node"]), "sets")
+    # Shingles of the nodes that share a signature; rows whose bit is not set are none of theirs and stay where they are.
+    active = stage(members.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).join(nodes, "node").select("node", "degree", "id", "row_key", "size"), "active")
+    bits = spark.sparkContext.broadcast(_bitmap(active))
+    held = texts.withColumn("place", F.pmod(F.xxhash64("id", "row_key"), F.lit(_BITS))).mapInArrow(lambda it: _blobs(it, spec, bits), "id long, row_key long, shingles binary")
+    sets = stage(active.select("id", "row_key", "node").join(held, ["id", "row_key"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
 
     # Every node against the node of its signature that shares the most signatures.
-    pivots = stage(members.join(active, "node").groupBy("signature").agg(F.max(F.struct("degree", "node")).alias("p")).select("signature", F.col("p.node").alias("pivot")), "pivots")
+    pivots = stage(members.join(active.select("node", "degree"), "node").groupBy("signature").agg(F.max(F.struct("degree", "node")).alias("p")).select("signature", F.col("p.node").alias("pivot")), "pivots")
     paired = members.join(pivots, "signature").where("node <> pivot").select("node", "pivot").distinct()
     pairs = paired.join(sets.select(F.col("node"), F.col("shingles").alias("s1")), "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("s2")), "pivot")
     near = pairs.select("node", "pivot", "s1", "s2").where(f"100 * least(octet_length(s1), octet_length(s2)) >= {percent} * greatest(octet_length(s1), octet_length(s2))")
@@ -260,13 +278,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = components(links)
 
     # Where that leaves several groups in a signature: the nodes outside its pivot's group against all of it, in blocks.
-    labelled = members.join(first, "node", "left").select("signature", "node", F.coalesce("comp", "node").alias("comp"))
-    labelled = stage(labelled, "labelled")
-    centre = pivots.join(first.withColumnRenamed("node", "pivot"), "pivot", "left").select("signature", F.coalesce("comp", "pivot").alias("centre"))
-    sizes = labelled.join(stage(centre, "centres"), "signature").withColumn("outer", F.col("comp") != F.col("centre"))
-    split = stage(sizes.groupBy("signature").agg(F.count_if("outer").alias("n_outer"), F.count_if(~F.col("outer")).alias("n_inner"), F.first("centre").alias("centre")).where("n_outer > 0"), "split")
-    rest = labelled.join(split, "signature").withColumn("outer", F.col("comp") != F.col("centre"))
-    blocks = lambda n: F.ceil(n / BLOCK_NODES).cast("int")
+    centres = stage(pivots.join(first.withColumnRenamed("node", "pivot"), "pivot", "left").select("signature", "pivot", F.coalesce("comp", "pivot").alias("centre")), "centres")
+    placed = members.join(centres, "signature").where("node <> pivot").join(first, "node", "left")
+    placed = placed.join(active.select("node", "size"), "node").select("signature", "node", "centre", "size", F.coalesce("comp", "node").alias("comp"))
+    placed = stage(placed.withColumn("outer", F.col("comp") != F.col("centre")), "placed")
+    total = lambda c, outer: F.sum(F.when(F.col("outer") == outer, F.col(c)).otherwise(0))
+    split = placed.groupBy("signature", "centre").agg(total("size", True).alias("outer_size"), total("size", False).alias("inner_size"), F.count_if("outer").alias("n_outer"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+    # The pivot is done; signatures with the same nodes need one look.
+    split = stage(split.where("n_outer > 0 AND n > 1").groupBy("who", "n", "n_outer", "centre", "outer_size", "inner_size").agg(F.min("signature").alias("signature")), "split")
+    rest = placed.drop("centre").join(split.select("signature", "outer_size", "inner_size"), "signature")
+    rest = rest.withColumn("n_outer", F.col("outer_size")).withColumn("n_inner", F.col("inner_size"))
+    blocks = lambda n: F.ceil(n / BLOCK_SHINGLES).cast("int")
     own = F.pmod(F.xxhash64("node", "signature"), F.when(F.col("outer"), blocks(F.col("n_outer"))).otherwise(blocks(F.col("n_inner")))).cast("int")
     rest = rest.withColumn("own", own)
     outer_blocks, inner_blocks = F.sequence(F.lit(0), blocks(F.col("n_outer")) - 1), F.when(F.col("n_inner") > 0, F.sequence(F.lit(0), blocks(F.col("n_inner")) - 1)).otherwise(F.array().cast("array<int>"))
@@ -284,7 +306,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = stage(named.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
     by_node = stage(nodes.join(groups.join(least, "comp").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "by_node")
     linked = rows.where("node IS NOT NULL").join(by_node, "node").select("id", "row_key", "n_shingles", "component_id")
-    return linked.unionByName(rows.where("node IS NULL").select("id", "row_key", "n_shingles", F.col("id").alias("component_id")))
+    every = linked.unionByName(rows.where("node IS NULL").select("id", "row_key", "n_shingles", F.nullif(F.col("id"), none).alias("component_id")))
+    return every.withColumn("id", F.nullif(F.col("id"), none))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -105,7 +105,7 @@ def test_jaccard_groups(spark):
         rows[k] = " ".join(t)
     for k in range(200, 230):
         rows[k] = " ".join(f"s{r.randint(0, 3)}" for _ in range(r.randint(1, 12)))
-    df = spark.createDataFrame([*rows.items(), (100, rows[100]), (None, rows[101])], "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame([*rows.items(), (100, rows[100]), (None, rows[101]), (None, rows[102] + " extra")], "doc_id long, text string").repartition(3)
 
     def shingles(t, n):
         w = words(lower(t or ""))
@@ -125,12 +125,17 @@ def test_jaccard_groups(spark):
                 if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= p * len(sets[a] | sets[b]):
                     x, y = root(a), root(b)
                     comp[max(x, y)] = min(x, y)
-        old, jaccard.BLOCK_NODES = jaccard.BLOCK_NODES, 8
+        old, jaccard.BLOCK_SHINGLES = jaccard.BLOCK_SHINGLES, 1500
         got = jaccard.jaccard_groups(df, words=n, percent=p).collect()
-        jaccard.BLOCK_NODES = old
+        jaccard.BLOCK_SHINGLES = old
         assert len(got) == df.count()
+        loose = [r_ for r_ in got if r_.id is None]
+        near = [root(k) for k in rows if sets[k] and 100 * len(sets[k] & shingles(rows[102] + " extra", n)) >= p * len(sets[k] | shingles(rows[102] + " extra", n))]
+        assert sorted(r_.component_id for r_ in loose) == sorted([root(101), min(near)])
         for r_ in got:
-            k = 101 if r_.id is None else r_.id
+            k = r_.id
+            if k is None:
+                continue
             assert (r_.n_shingles, r_.component_id) == (len(sets[k]), root(k)), (n, k)
         kept = jaccard.keep_one(df, words=n, percent=p)
         ids = [x.doc_id for x in kept.where("doc_id IS NOT NULL").collect()]
