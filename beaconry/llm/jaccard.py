@@ -19,6 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
+from math import comb, exp, factorial
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,25 @@ from pyspark.sql import functions as F
 
 from beaconry.llm.shared import SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, rolling, shuffle_buckets, stage, unpack_ints
 
-#: Shingles of a verification block on average, parts of a group, and groups beyond the needed number (so that empty subsets can go).
-BLOCK_SHINGLES, PARTS, SPARE = 1 << 20, 3, 1
+#: Shingles of a verification block on average, and cells of a node's count sketch.
+BLOCK_SHINGLES, SKETCH = 1 << 20, 256
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: Shingles that a subset should hold on average, so that few different sets share one.
+MIN_SUBSET = 6.0
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """groups of `parts` parts of the shingle domain; signatures are the subsets of all parts but `kept` of a group."""
+
+    groups: int
+    parts: int
+    kept: int
+    spare: int
+
+
 @dataclass(frozen=True)
 class Spec:
     words: int = 3
@@ -48,6 +65,31 @@ class Spec:
         """The most shingles by which linked sets of at most this size differ."""
         return 2 * size * (100 - self.percent) // (100 + self.percent)
 
+    @cache  # noqa: B019
+    def scheme(self, low: int, high: int) -> Scheme:
+        """How a band of sizes low to high is partitioned: the fewest signatures whose subsets hold MIN_SUBSET shingles.
+
+        With k differences at most, and `spare` groups more than k // (kept + 1) + 1, more than `spare` groups have at
+        most `kept` differences, so more than `spare` groups agree on a subset of the other parts. Sets with at most
+        `spare` groups that have an empty subset can leave those out; `spare` is such that hardly any has more.
+        """
+        k = int(self.differences(np.array(high)))
+        best = None
+        for kept in (1, 2, 3):
+            for parts in range(kept + 2, kept + 5):
+                for spare in range(13):
+                    groups = k // (kept + 1) + 1 + spare
+                    number = groups * comb(parts, kept)
+                    held = low * (parts - kept) / (groups * parts)
+                    empty = number * exp(-held)
+                    tail = 1 - sum(exp(-empty) * empty**i / factorial(i) for i in range(spare + 1))
+                    if number > max(60, high * 0.6):
+                        break
+                    rank = (tail > 1e-3, held < MIN_SUBSET, number if held >= MIN_SUBSET else -held)
+                    if best is None or rank < best[0]:
+                        best = (rank, Scheme(groups, parts, kept, spare))
+        return best[1] if best else Scheme(k // 2 + 2, 3, 1, 1)
+
     def linked(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * both >= self.percent * (a + b - both)
 
@@ -92,29 +134,39 @@ def _signatures(s: Sets, rows: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.n
     row, band, most = row[live], band[live], most[live]
     if not len(row):
         return np.zeros(0, np.uint64), row
-    groups = most // 2 + 1 + SPARE
-    cells = np.r_[0, np.cumsum(groups * PARTS)]
-    size = s.sizes[row]
-    take = np.repeat(s.first[row] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-    u = s.all[take]
-    seed = mix64(band.astype(np.uint64) + _C1)
-    cell = ((mix64(u ^ np.repeat(seed, size)) >> np.uint64(32)) * np.repeat((groups * PARTS).astype(np.uint64), size) >> np.uint64(32)).astype(np.int64) + np.repeat(cells[:-1], size)
-    content = np.zeros(cells[-1], np.uint64)
+    hashes, owners = [], []
+    for j in np.unique(band).tolist():
+        mine = row[band == j]
+        h, o = _band_signatures(s, mine, j, spec.scheme(int(bounds[j] * spec.percent // 100), int(bounds[j + 1] - 1)))
+        hashes.append(h)
+        owners.append(mine[o])
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def _band_signatures(s: Sets, rows: np.ndarray, band: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place in rows) of one band's signatures."""
+    size = s.sizes[rows]
+    cells = scheme.groups * scheme.parts
+    u = s.all[np.repeat(s.first[rows] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+    seed = mix64(np.array([band], np.uint64) + _C1)[0]
+    cell = ((mix64(u ^ seed) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64) + np.repeat(np.arange(len(rows)) * cells, size)
+    content = np.zeros(len(rows) * cells, np.uint64)
     np.add.at(content, cell, mix64(u + _C2))
-    filled = np.bincount(cell, minlength=cells[-1])
-    content, filled = content.reshape(-1, PARTS), filled.reshape(-1, PARTS)
-    owner = np.repeat(np.arange(len(row)), groups)
-    group = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(groups)[:-1]], groups)
+    shape = (len(rows), scheme.groups, scheme.parts)
+    filled = np.bincount(cell, minlength=len(content)).reshape(shape) > 0
+    content = content.reshape(shape)
     hashes, empty = [], []
-    for gone in range(PARTS):
-        kept = [p for p in range(PARTS) if p != gone]
-        tag = mix64(seed[owner] + (group * PARTS + gone).astype(np.uint64))
-        hashes.append(mix64(content[:, kept[0]] * _C1 + content[:, kept[1]] * _C2 + tag))
-        empty.append(filled[:, kept].sum(axis=1) == 0)
-    # At most SPARE groups with an empty subset: another group must agree on a filled one.
-    bad = np.bincount(owner, weights=np.any(empty, axis=0), minlength=len(row)) > SPARE
-    keep = [~e | bad[owner] for e in empty]
-    return np.concatenate([h[k] for h, k in zip(hashes, keep, strict=True)]), row[np.concatenate([owner[k] for k in keep])]
+    for number, used in enumerate(combinations(range(scheme.parts), scheme.parts - scheme.kept)):
+        h = np.broadcast_to(mix64(seed + (np.arange(scheme.groups) * 64 + number).astype(np.uint64)), shape[:2]).copy()
+        for p in used:
+            h = mix64(h * _C1 + content[:, :, p])
+        hashes.append(h)
+        empty.append(~filled[:, :, list(used)].any(axis=2))
+    # At most `spare` groups with an empty subset: another group must agree on a filled one.
+    many = np.any(empty, axis=0).sum(axis=1) > scheme.spare
+    keep = [~e | many[:, None] for e in empty]
+    at = np.broadcast_to(np.arange(len(rows))[:, None], shape[:2])
+    return np.concatenate([h[k] for h, k in zip(hashes, keep, strict=True)]), np.concatenate([at[k] for k in keep])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
@@ -181,6 +233,13 @@ def _bitmap(rows: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _sketches(s: Sets) -> list[bytes]:
+    """How many of a set's shingles fall into each cell, as bytes: two sets differ in no fewer than their sketches do."""
+    cell = (s.all >> np.uint64(56)).astype(np.int64) + np.repeat(np.arange(len(s.sizes)) * SKETCH, s.sizes)
+    counts = np.minimum(np.bincount(cell, minlength=len(s.sizes) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
+    return [c.tobytes() for c in counts]
+
+
 def _blobs(batches: Iterator[pa.RecordBatch], spec: Spec, bits) -> Iterator[pa.RecordBatch]:
     table = np.frombuffer(bits.value, np.uint8)
     for batch in batches:
@@ -188,7 +247,7 @@ def _blobs(batches: Iterator[pa.RecordBatch], spec: Spec, bits) -> Iterator[pa.R
         batch = batch.filter(pa.array((table[place >> 3] >> (place & 7)) & 1 > 0))
         for part in chunks(batch, "text"):
             s = Sets(part.column(2), spec)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.all[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary())], names=["id", "row_key", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.all[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary()), pa.array(_sketches(s), pa.binary())], names=["id", "row_key", "shingles", "sketch"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
@@ -203,6 +262,20 @@ def _verify(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
 
 
+def _survivors(table: pa.Table, spec: Spec) -> pa.Table:
+    """(signature, node) of a pair of blocks that have a partner of another group which their sketches do not rule out."""
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    size = table["size"].to_numpy()
+    group = np.unique(np.array([x.hex() for x in table["comp"].to_pylist()]), return_inverse=True)[1]
+    live = np.zeros(len(size), bool)
+    for i in np.flatnonzero(np.array(table["outer"].to_pylist(), bool)).tolist():
+        able = np.flatnonzero((group != group[i]) & (100 * np.minimum(size, size[i]) >= spec.percent * np.maximum(size, size[i])))
+        near = able[(np.abs(sketch[able] - sketch[i]).sum(axis=1, dtype=np.int64) * (100 + spec.percent) <= (size[able] + size[i]) * (100 - spec.percent))]
+        live[near] = True
+        live[i] |= len(near) > 0
+    return table.select(["signature", "node"]).filter(pa.array(live))
+
+
 def _block_links(table: pa.Table, spec: Spec) -> pa.Table:
     """Links between groups in one pair of blocks, one for each two groups that it joins."""
     rows = table.to_pydict()
@@ -266,8 +339,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Shingles of the nodes that share a signature; rows whose bit is not set are none of theirs and stay where they are.
     active = stage(members.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).join(nodes, "node").select("node", "degree", "id", "row_key", "size"), "active")
     bits = spark.sparkContext.broadcast(_bitmap(active))
-    held = texts.withColumn("place", F.pmod(F.xxhash64("id", "row_key"), F.lit(_BITS))).mapInArrow(lambda it: _blobs(it, spec, bits), "id long, row_key long, shingles binary")
-    sets = stage(active.select("id", "row_key", "node").join(held, ["id", "row_key"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    held = texts.withColumn("place", F.pmod(F.xxhash64("id", "row_key"), F.lit(_BITS))).mapInArrow(lambda it: _blobs(it, spec, bits), "id long, row_key long, shingles binary, sketch binary")
+    sets = stage(active.select("id", "row_key", "node").join(held, ["id", "row_key"]).dropDuplicates(["node"]).select("node", "shingles", "sketch"), "sets")
 
     # Every node against the node of its signature that shares the most signatures.
     pivots = stage(members.join(active.select("node", "degree"), "node").groupBy("signature").agg(F.max(F.struct("degree", "node")).alias("p")).select("signature", F.col("p.node").alias("pivot")), "pivots")
@@ -298,8 +371,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with_inner = F.transform(inner_blocks, lambda j: F.struct(F.col("own").alias("o"), F.lit(1).alias("k"), j.alias("n")))
     as_inner = F.transform(outer_blocks, lambda j: F.struct(j.alias("o"), F.lit(1).alias("k"), F.col("own").alias("n")))
     places = F.when(F.col("outer"), F.concat(with_outer, below, with_inner)).otherwise(as_inner)
-    dealt = rest.select("signature", "node", "comp", "outer", F.explode(places).alias("p")).join(sets, "node")
-    more = dealt.select("signature", "p.o", "p.k", "p.n", "node", "comp", "outer", "shingles").groupBy("signature", "o", "k", "n").applyInArrow(lambda t: _block_links(t, spec), "a binary, b binary")
+    block = ["signature", "o", "k", "n"]
+    dealt = lambda rows, column: rows.select("signature", "node", "comp", "outer", "size", F.explode(places).alias("p")).join(sets.select("node", column), "node").select("signature", "p.o", "p.k", "p.n", "node", "comp", "outer", "size", column)
+    alive = dealt(rest, "sketch").groupBy(*block).applyInArrow(lambda t: _survivors(t, spec), "signature long, node binary").distinct()
+    rest = rest.join(stage(alive, "alive"), ["signature", "node"])
+    more = dealt(rest, "shingles").groupBy(*block).applyInArrow(lambda t: _block_links(t, spec), "a binary, b binary")
     groups = components(links.unionByName(stage(more, "more_links")))
 
     named = groups.join(nodes, "node")
