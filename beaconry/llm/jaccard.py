@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from beaconry.llm.shared import SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, rolling, shuffle_buckets, stage, unpack_ints
 
-#: Shingles of a verification block on average, and cells of a node's count sketch.
-BLOCK_SHINGLES, SKETCH = 1 << 20, 256
+#: Shingles of a verification block on average, what a node counts besides its own, and cells of its count sketch.
+BLOCK_SHINGLES, NODE_SHINGLES, SKETCH = 1 << 20, 512, 256
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 #: Shingles that a subset should hold on average, so that few different sets share one.
-MIN_SUBSET = 6.0
+MIN_SUBSET = 4.5
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ class Spec:
         """Lower bounds of the size bands."""
         out = [1]
         while out[-1] <= largest:
-            out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+            out.append(max(out[-1] + 1, out[-1] * 5 // 4))
         return np.array([*out, out[-1] * 2])
 
     def differences(self, size: np.ndarray) -> np.ndarray:
@@ -67,25 +67,25 @@ class Spec:
 
     @cache  # noqa: B019
     def scheme(self, low: int, high: int) -> Scheme:
-        """How a band of sizes low to high is partitioned: the fewest signatures whose subsets hold MIN_SUBSET shingles.
+        """How a band of sizes low to high is partitioned: the fewest signatures that are selective enough.
 
-        With k differences at most, and `spare` groups more than k // (kept + 1) + 1, more than `spare` groups have at
-        most `kept` differences, so more than `spare` groups agree on a subset of the other parts. Sets with at most
-        `spare` groups that have an empty subset can leave those out; `spare` is such that hardly any has more.
+        With k differences at most and k // (kept + 1) + 1 + spare groups, more than `spare` groups have at most `kept`
+        differences, so more than `spare` groups agree on a subset of the other parts. Sets with at most `spare` groups
+        that have an empty subset can leave empty ones out; `spare` is such that hardly any set has more.
         """
         k = int(self.differences(np.array(high)))
         best = None
         for kept in (1, 2, 3):
             for parts in range(kept + 2, kept + 5):
-                for spare in range(13):
+                for spare in range(16):
                     groups = k // (kept + 1) + 1 + spare
                     number = groups * comb(parts, kept)
-                    held = low * (parts - kept) / (groups * parts)
-                    empty = number * exp(-held)
-                    tail = 1 - sum(exp(-empty) * empty**i / factorial(i) for i in range(spare + 1))
                     if number > max(60, high * 0.6):
                         break
-                    rank = (tail > 1e-3, held < MIN_SUBSET, number if held >= MIN_SUBSET else -held)
+                    held = low * (parts - kept) / (groups * parts)
+                    bad = groups * min(1.0, comb(parts, kept) * exp(-held))
+                    tail = 1 - sum(exp(-bad) * bad**i / factorial(i) for i in range(spare + 1))
+                    rank = (0, number) if tail < 5e-3 and held >= MIN_SUBSET else (1, tail)
                     if best is None or rank < best[0]:
                         best = (rank, Scheme(groups, parts, kept, spare))
         return best[1] if best else Scheme(k // 2 + 2, 3, 1, 1)
@@ -263,7 +263,7 @@ def _verify(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Record
 
 
 def _survivors(table: pa.Table, spec: Spec) -> pa.Table:
-    """(signature, node) of a pair of blocks that have a partner of another group which their sketches do not rule out."""
+    """(group_id, node) of a pair of blocks that have a partner of another group which their sketches do not rule out."""
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
     size = table["size"].to_numpy()
     group = np.unique(np.array([x.hex() for x in table["comp"].to_pylist()]), return_inverse=True)[1]
@@ -273,7 +273,7 @@ def _survivors(table: pa.Table, spec: Spec) -> pa.Table:
         near = able[(np.abs(sketch[able] - sketch[i]).sum(axis=1, dtype=np.int64) * (100 + spec.percent) <= (size[able] + size[i]) * (100 - spec.percent))]
         live[near] = True
         live[i] |= len(near) > 0
-    return table.select(["signature", "node"]).filter(pa.array(live))
+    return table.select(["group_id", "node"]).filter(pa.array(live))
 
 
 def _block_links(table: pa.Table, spec: Spec) -> pa.Table:
@@ -323,6 +323,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = labels.select("node", "comp")
 
 
+def _dealt(rows: DataFrame, group: str, values: DataFrame):
+    """rows of each group (node, comp, outer, size, outer_size, inner_size) dealt to pairs of blocks of bounded size, with values.
+
+    Outer nodes meet all nodes of their group, inner ones only outer ones. A row goes to as many pairs as there are
+    blocks on the other side.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_SHINGLES).cast("int")
+    own = F.pmod(F.xxhash64("node", group), F.when(F.col("outer"), blocks("outer_size")).otherwise(blocks("inner_size"))).cast("int")
+    rows = rows.withColumn("own", own)
+    outer = F.sequence(F.lit(0), blocks("outer_size") - 1)
+    inner = F.when(F.col("inner_size") > 0, F.sequence(F.lit(0), blocks("inner_size") - 1)).otherwise(F.array().cast("array<int>"))
+    mine = F.col("own")
+    pair = lambda o, k, n: F.struct(o.alias("o"), F.lit(k).alias("k"), n.alias("n"))
+    # A pair is an outer block and another: an outer one with no smaller number (k = 0), or an inner one (k = 1).
+    from_outer = F.concat(F.transform(F.filter(outer, lambda j: j >= mine), lambda j: pair(mine, 0, j)), F.transform(F.filter(outer, lambda j: j < mine), lambda j: pair(j, 0, mine)), F.transform(inner, lambda j: pair(mine, 1, j)))
+    from_inner = F.transform(outer, lambda j: pair(j, 1, mine))
+    spread = rows.select(F.col(group).alias("group_id"), "node", "comp", "outer", "size", F.explode(F.when(F.col("outer"), from_outer).otherwise(from_inner)).alias("p"))
+    return spread.select("group_id", "p.*", "node", "comp", "outer", "size").join(values, "node").groupBy("group_id", "o", "k", "n")
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """(id, row_key, n_shingles, component_id) per row: groups of rows linked at percent / 100 Jaccard similarity or more."""
     if percent <= 67:
@@ -355,27 +375,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = members.join(centres, "signature").where("node <> pivot").join(first, "node", "left")
     placed = placed.join(active.select("node", "size"), "node").select("signature", "node", "centre", "size", F.coalesce("comp", "node").alias("comp"))
     placed = stage(placed.withColumn("outer", F.col("comp") != F.col("centre")), "placed")
-    total = lambda c, outer: F.sum(F.when(F.col("outer") == outer, F.col(c)).otherwise(0))
+    total = lambda c, outer: F.sum(F.when(F.col("outer") == outer, F.col(c) + NODE_SHINGLES).otherwise(0))
     split = placed.groupBy("signature", "centre").agg(total("size", True).alias("outer_size"), total("size", False).alias("inner_size"), F.count_if("outer").alias("n_outer"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     # The pivot is done; signatures with the same nodes need one look.
     split = stage(split.where("n_outer > 0 AND n > 1").groupBy("who", "n", "n_outer", "centre", "outer_size", "inner_size").agg(F.min("signature").alias("signature")), "split")
     rest = placed.drop("centre").join(split.select("signature", "outer_size", "inner_size"), "signature")
-    rest = rest.withColumn("n_outer", F.col("outer_size")).withColumn("n_inner", F.col("inner_size"))
-    blocks = lambda n: F.ceil(n / BLOCK_SHINGLES).cast("int")
-    own = F.pmod(F.xxhash64("node", "signature"), F.when(F.col("outer"), blocks(F.col("n_outer"))).otherwise(blocks(F.col("n_inner")))).cast("int")
-    rest = rest.withColumn("own", own)
-    outer_blocks, inner_blocks = F.sequence(F.lit(0), blocks(F.col("n_outer")) - 1), F.when(F.col("n_inner") > 0, F.sequence(F.lit(0), blocks(F.col("n_inner")) - 1)).otherwise(F.array().cast("array<int>"))
-    # A pair of blocks is (outer block, kind and number of the other block); kind 0 is an outer block with a number not below.
-    with_outer = F.transform(F.filter(outer_blocks, lambda j: j >= F.col("own")), lambda j: F.struct(F.col("own").alias("o"), F.lit(0).alias("k"), j.alias("n"))) 
-    below = F.transform(F.filter(outer_blocks, lambda j: j < F.col("own")), lambda j: F.struct(j.alias("o"), F.lit(0).alias("k"), F.col("own").alias("n")))
-    with_inner = F.transform(inner_blocks, lambda j: F.struct(F.col("own").alias("o"), F.lit(1).alias("k"), j.alias("n")))
-    as_inner = F.transform(outer_blocks, lambda j: F.struct(j.alias("o"), F.lit(1).alias("k"), F.col("own").alias("n")))
-    places = F.when(F.col("outer"), F.concat(with_outer, below, with_inner)).otherwise(as_inner)
-    block = ["signature", "o", "k", "n"]
-    dealt = lambda rows, column: rows.select("signature", "node", "comp", "outer", "size", F.explode(places).alias("p")).join(sets.select("node", column), "node").select("signature", "p.o", "p.k", "p.n", "node", "comp", "outer", "size", column)
-    alive = dealt(rest, "sketch").groupBy(*block).applyInArrow(lambda t: _survivors(t, spec), "signature long, node binary").distinct()
-    rest = rest.join(stage(alive, "alive"), ["signature", "node"])
-    more = dealt(rest, "shingles").groupBy(*block).applyInArrow(lambda t: _block_links(t, spec), "a binary, b binary")
+    alive = _dealt(rest, "signature", sets.select("node", "sketch")).applyInArrow(lambda t: _survivors(t, spec), "group_id long, node binary").distinct()
+    alive = stage(alive.withColumnRenamed("group_id", "signature"), "alive")
+    # Nodes that meet in several signatures are compared once, in the family that their signatures span.
+    least = stage(alive.groupBy("signature").agg(F.min("node").alias("root")), "roots")
+    family = components(alive.join(least, "signature").where("node <> root").select("node", "root"), "node", "root").withColumnRenamed("comp", "family")
+    named = family.join(active.select("node", "size"), "node").join(first, "node", "left").select(F.xxhash64("family").alias("family"), "node", "size", F.coalesce("comp", "node").alias("comp"))
+    named = stage(named, "families")
+    weigh = stage(named.groupBy("family").agg(F.mode("comp").alias("centre")), "family_centres")
+    named = named.join(weigh, "family").withColumn("outer", F.col("comp") != F.col("centre")).drop("centre")
+    total_of = named.groupBy("family").agg(total("size", True).alias("outer_size"), total("size", False).alias("inner_size")).where("outer_size > 0")
+    more = _dealt(named.join(stage(total_of, "family_sizes"), "family"), "family", sets.select("node", "shingles")).applyInArrow(lambda t: _block_links(t, spec), "a binary, b binary")
     groups = components(links.unionByName(stage(more, "more_links")))
 
     named = groups.join(nodes, "node")

@@ -17,6 +17,10 @@ from beaconry.llm.pii import mask_pii
 from beaconry.llm.shared import stage
 
 
+#: Least similarity of near copies, per cent. The join is exact at any; below 85 its signatures outgrow the disk budget.
+SIMILARITY = 85
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language ID rejects: no letters, or like no language of the labelled ones."""
     learned = docs.where(F.coalesce(fold() != 2, F.lit(False)))
@@ -24,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group linked at 0.8 Jaccard similarity of five-word shingles."""
-    return keep_one(docs, words=5, percent=80)
+    """Keeps the document of the smallest id of each group linked at SIMILARITY per cent Jaccard similarity of five-word shingles."""
+    return keep_one(docs, words=5, percent=SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
