@@ -69,9 +69,9 @@ def usage_stream(rows: DataFrame) -> DataFrame:
 
 
 def fold_sessions_batch(batch: DataFrame, state_path: str, batch_id: int) -> None:
-    """One micro-batch of kept chunks appended to the chunk table; the session table is folded from the sessions it touches.
+    """One micro-batch of kept chunks, added to the chunk table that sessions are folded from.
 
-    Writes are by batch id, so a batch that runs again replaces its own output.
+    Writes go to the batch's own folder, so a batch that runs again replaces its own output.
     """
     batch.write.mode("overwrite").parquet(f"{state_path}/chunks/batch={batch_id}")
 
