@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.shared import chunks
+from beaconry.llm.shared import SMALL_CHUNK, chunks
 
 #: Characters after which a text is cut at the next safe place.
 SEGMENT_CHARS = 1 << 16
@@ -80,7 +80,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], rank_file: str, pattern:
     enc = encoding(rank_file, pattern)
     decimal = [str(i) for i in range(enc.n_vocab)]
     for batch in batches:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", SMALL_CHUNK):
             made: dict[str, list] = {n: [] for n in outputs}
             counts = []
             for text in part.column(part.schema.get_field_index("text")):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beaconry.llm.shared import ALNUM_OR_HIGH, Words, chunks
+from beaconry.llm.shared import ALNUM_OR_HIGH, SMALL_CHUNK, Words, chunks
 
 #: Text bytes of the benchmark that one broadcast block holds.
 BLOCK_BYTES = 16 << 20
@@ -216,7 +216,7 @@ def _joined(spans: list[int]) -> list[int]:
 def _search_block(batches: Iterator[pa.RecordBatch], block, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     b: Block = block.value
     for batch in batches:
-        for part in chunks(batch, text):
+        for part in chunks(batch, text, SMALL_CHUNK):
             words = Words(part.column(part.schema.get_field_index(text)), ALNUM_OR_HIGH, lower=True)
             new = _matches(b, words)
             old = zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names[1:]), strict=True)

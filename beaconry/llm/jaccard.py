@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.shared import SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, rolling, shuffle_buckets, stage, unpack_ints
+from beaconry.llm.shared import SMALL_CHUNK, SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, rolling, shuffle_buckets, stage, unpack_ints
 
 #: Shingles of a verification block on average, what a node counts besides its own, and cells of its count sketch.
 BLOCK_SHINGLES, NODE_SHINGLES, SKETCH = 1 << 20, 512, 256
@@ -171,7 +171,7 @@ def _band_signatures(s: Sets, rows: np.ndarray, band: int, scheme: Scheme) -> tu
 
 def _nodes(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", SMALL_CHUNK):
             s = Sets(part.column(2), spec)
             nodes = [s.node(i) if n else None for i, n in enumerate(s.sizes.tolist())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes, pa.int64()), pa.array(nodes, pa.binary())], names=["id", "row_key", "n_shingles", "node"])
@@ -179,7 +179,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordB
 
 def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", SMALL_CHUNK):
             s = Sets(part.column(2), spec)
             full = np.flatnonzero(s.sizes)
             if not len(full):
@@ -245,7 +245,7 @@ def _blobs(batches: Iterator[pa.RecordBatch], spec: Spec, bits) -> Iterator[pa.R
     for batch in batches:
         place = batch.column(3).to_numpy(zero_copy_only=False)
         batch = batch.filter(pa.array((table[place >> 3] >> (place & 7)) & 1 > 0))
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", SMALL_CHUNK):
             s = Sets(part.column(2), spec)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.all[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary()), pa.array(_sketches(s), pa.binary())], names=["id", "row_key", "shingles", "sketch"])
 

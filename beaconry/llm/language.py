@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.shared import chunks, mix64, text_bytes
+from beaconry.llm.shared import SMALL_CHUNK, chunks, mix64, text_bytes
 
 #: Rows a language's model is fitted on, on average (the documented bound of the sample), and rows to calibrate it.
 FIT_ROWS, CALIBRATION_ROWS = 600, 300
@@ -180,7 +180,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _score_batches(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(models.value)
     for batch in batches:
-        for part in chunks(batch, "text", 2 << 20):
+        for part in chunks(batch, "text", SMALL_CHUNK // 2):
             h, n, letters = scorer.entropies(part.column(part.schema.get_field_index("text")))
             judged = (letters > 0) & bool(scorer.names)
             best = h.argmin(axis=1) if scorer.names else np.zeros(len(n), int)

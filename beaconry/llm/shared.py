@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one kernel call holds at a time; a longer single text is a chunk of its own.
 CHUNK_BYTES = 6 << 20
+#: The same for kernels that hold many arrays of a chunk and gain nothing from large ones.
+SMALL_CHUNK = 2 << 20
 
 # The word classes of the operators' contracts, as byte ranges.
 WHITESPACE_BYTES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
