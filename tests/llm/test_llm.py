@@ -348,3 +348,24 @@ def test_pipeline(spark):
         held[name] = docs.count()
     assert held["language"] >= 0.97 * before.sparkSession.read.parquet(f"{sf}/documents.parquet").where("text RLIKE '[a-z]'").count()
     assert held["personal_data"] == held["decontamination"] == len(rows)
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    texts = {}
+    for k, (n, edits) in enumerate([(48, 1), (49, 1), (55, 1), (65, 1), (66, 1), (93, 2), (94, 2), (110, 2), (127, 2), (128, 2), (400, 9), (400, 11), (400, 14)]):
+        t = [f"w{k}x{r.randint(0, 10**6)}" for _ in range(n)]
+        texts[2 * k] = " ".join(t)
+        for at in range(edits):
+            t[(at + 1) * n // (edits + 1)] += "z"
+        texts[2 * k + 1] = " ".join(t)
+    texts |= {100: None, 101: "", 102: "one"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    grams = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in texts.items() for w in [words(lower(t or ""))]}
+    linked = {i for i in range(1, 26, 2) if 100 * len(grams[i] & grams[i - 1]) >= 80 * len(grams[i] | grams[i - 1])}
+    between = {i for i in linked if 100 * len(grams[i] & grams[i - 1]) < 85 * len(grams[i] | grams[i - 1])}
+    assert len(between) >= 6 and len(linked) < 13
+    kept = [x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(kept) == sorted(set(texts) - linked)
