@@ -17,41 +17,194 @@ def order_events(events: DataFrame) -> DataFrame:
     return events.withColumn("event_ts", ts).withColumn("place", F.row_number().over(by))
 
 
-# Required members of a replay event's data, by type and by source of incremental events.
-TYPE_FIELDS = {0: [], 1: [], 2: ["node", "initialOffset"], 4: ["href", "width", "height"], 5: ["tag", "payload"], 6: ["plugin", "payload"], 7: ["asset"]}
+# Checks of a variant (null where a member is absent) against the reference's types; each is true, false or null.
+def _get(v: Column, name: str, t: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{name}", t)
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _text(v: Column) -> Column:
+    return _kind(v) == "STRING"
+
+
+def _flag(v: Column) -> Column:
+    return _kind(v) == "BOOLEAN"
+
+
+def _number(v: Column) -> Column:
+    return _kind(v).isin("BIGINT", "DOUBLE", "FLOAT") | _kind(v).startswith("DECIMAL")
+
+
+def _int(v: Column) -> Column:
+    return _kind(v) == "BIGINT"
+
+
+def _within(low: int, top: int):
+    return lambda v: _int(v) & F.try_variant_get(v, "$", "bigint").between(low, top)
+
+
+_unsigned = _within(0, 2**63 - 1)
+
+
+def _list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+
+
+def _any(v: Column) -> Column:
+    return v.isNotNull()
+
+
+def _equals(text: str):
+    return lambda v: _text(v) & (F.try_variant_get(v, "$", "string") == text)
+
+
+def _each(check):
+    return lambda v: F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(check(x), F.lit(False)))
+
+
+def _values(check):
+    return lambda v: F.forall(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: F.coalesce(check(x), F.lit(False)))
+
+
+def _nullable(check):
+    """Has to be there, but may be null."""
+    return lambda v: (_kind(v) == "VOID") | check(v)
+
+
+def _optional(check):
+    return lambda v: v.isNull() | (_kind(v) == "VOID") | check(v)
+
+
+def _members(**checks):
+    """An object whose members pass their checks."""
+
+    def check(v: Column) -> Column:
+        out = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+        for name, f in checks.items():
+            out = out & F.coalesce(f(_get(v, name)), F.lit(False))
+        return out
+
+    return check
+
+
+def _either(*checks):
+    def check(v: Column) -> Column:
+        out = F.lit(False)
+        for f in checks:
+            out = out | F.coalesce(f(v), F.lit(False))
+        return out
+
+    return check
+
+
+def _filled(v: Column) -> Column:
+    return v.isNotNull() & (_kind(v) != "VOID")
+
+
+def _canvas(v: Column) -> Column:
+    known = {"base64": _text, "data": _list, "src": _text, "args": _list, "index": _unsigned}
+    right = _members(rr_type=lambda x: _text(x) & (F.try_variant_get(x, "$", "string") != ""), type=_optional(_text), **{k: _optional(f) for k, f in known.items()})(v)
+    held = F.lit(False)
+    for k in known:
+        held = held | F.coalesce(_filled(_get(v, k)), F.lit(False))
+    return right & held
+
+
+_false = lambda v: _flag(v) & ~F.try_variant_get(v, "$", "boolean")
+_true = lambda v: _flag(v) & F.try_variant_get(v, "$", "boolean")
+_null = lambda v: _kind(v) == "VOID"
+_pair = lambda v: _each(_text)(v) & (F.size(F.try_variant_get(v, "$", "array<variant>")) == 2)
+_style = _values(_either(_text, _pair, _false))
+_index = _either(_unsigned, _each(_unsigned))
+_rule = _members(rule=_text, index=_optional(_index))
+_position = _members(x=_number, y=_number, id=_int, timeOffset=_number)
+_command = _members(property=_text, args=_list, setter=_optional(_flag))
+
+# Members of a replay event's data, by type and by source of incremental events.
+TYPE_FIELDS = {
+    0: {}, 1: {}, 2: {"node": _any, "initialOffset": _members(top=_number, left=_number)}, 4: {"href": _text, "width": _number, "height": _number}, 5: {"tag": _text, "payload": _any}, 6: {"plugin": _text, "payload": _any},
+    7: {"url": _text},
+}
 SOURCE_FIELDS = {
-    0: ["texts", "attributes", "removes", "adds"], 1: ["positions"], 2: ["type", "id"], 3: ["id", "x", "y"], 4: ["width", "height"], 5: ["id", "text", "isChecked"], 6: ["positions"], 7: ["type", "id"],
-    8: [], 9: ["id", "type"], 10: ["family", "fontSource", "buffer"], 12: ["positions"], 13: ["index"], 14: ["ranges"], 15: ["id", "styleIds"], 16: [],
+    0: {"texts": _each(_members(id=_int, value=_nullable(_text))), "attributes": _each(_members(id=_int, attributes=_values(_either(_text, _style, _null)))), "removes": _each(_members(parentId=_int, id=_int, isShadow=_optional(_flag))), "adds": _each(_members(parentId=_int, previousId=_optional(_int), nextId=_nullable(_int), node=_any))},
+    1: {"positions": _each(_position)}, 2: {"type": _within(0, 10), "id": _int}, 3: {"id": _int, "x": _number, "y": _number}, 4: {"width": _number, "height": _number}, 5: {"id": _int, "text": _text, "isChecked": _flag}, 6: {"positions": _each(_position)},
+    7: {"type": _within(0, 4), "id": _int}, 8: {}, 9: {"id": _int, "type": _within(0, 2)}, 10: {"family": _text, "fontSource": _text, "buffer": _flag}, 12: {"positions": _each(_position)}, 13: {"index": _each(_unsigned)},
+    14: {"ranges": _each(_members(start=_int, startOffset=_unsigned, end=_int, endOffset=_unsigned))}, 15: {"id": _int, "styleIds": _each(_int)}, 16: {},
 }
-# Members that have to be arrays, and ranges of whole numbers by source.
+# Members that may be absent or null, by source.
+OPTIONAL_FIELDS = {
+    0: {"isAttachIframe": _flag}, 2: {"x": _number, "y": _number, "pointerType": _within(0, 2)}, 5: {"userTriggered": _flag}, 7: {"currentTime": _number, "volume": _number, "muted": _flag, "loop": _flag, "playbackRate": _number},
+    8: {"id": _int, "styleId": _int, "removes": _each(_members(index=_index)), "adds": _each(_rule), "replace": _text, "replaceSync": _text}, 9: {"commands": _each(_command), "property": _text, "args": _list, "setter": _flag},
+    13: {"id": _int, "styleId": _int, "set": _members(property=_text, value=_nullable(_text), priority=_optional(_text)), "remove": _members(property=_text)}, 15: {"styles": _each(_members(styleId=_int, rules=_each(_rule)))}, 16: {"define": _members(name=_text)},
+}
+# Members that have to be arrays, and levels of a DOM tree that are walked.
 ARRAYS = {"texts", "attributes", "removes", "adds", "positions", "index", "ranges", "styleIds"}
-RANGES = {2: ("type", 10), 7: ("type", 4), 9: ("type", 2)}
+LEVELS = 32
+_META = {"id": _int, "rootId": _optional(_int), "isShadowHost": _optional(_flag), "isShadow": _optional(_flag)}
+NODES = [
+    _members(**_META, childNodes=_list, compatMode=_optional(_text)),
+    _members(**_META, name=_text, publicId=_text, systemId=_text),
+    _members(**_META, tagName=_text, attributes=_values(_either(_text, _number, _true, _null)), childNodes=_list, isSvg=_optional(_flag), needBlock=_optional(_flag), isCustom=_optional(_flag)),
+    _members(**_META, textContent=_text, isStyle=_optional(_flag)),
+    _members(**_META, textContent=_equals("")),
+    _members(**_META, textContent=_text),
+]
+_ASSET = _either(_members(rr_type=_equals("CssText"), cssTexts=_each(_text)), _canvas)
+
+
+def tree_fault(roots: Column, name: str) -> Column:
+    """Null, or what is wrong with the DOM trees of an array of variants: level by level, LEVELS of them."""
+    type_of = lambda n: F.when(_int(_get(n, "type")), _get(n, "type", "bigint"))
+
+    def right(n: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(False))
+        for k, f in enumerate(NODES):
+            out = out.when(type_of(n) == k, f(n))
+        return F.coalesce(out, F.lit(False))
+
+    none = F.array().cast("array<variant>")
+    below = lambda n: F.when(type_of(n).isin(0, 2), F.coalesce(_get(n, "childNodes", "array<variant>"), none)).otherwise(none)
+    start = F.struct(F.coalesce(roots, none).alias("nodes"), F.lit(True).alias("right"))
+    step = lambda s, _: F.struct(F.flatten(F.transform(s["nodes"], below)).alias("nodes"), (s["right"] & F.forall(s["nodes"], right)).alias("right"))
+    judge = lambda s: F.when(~s["right"], f"bad {name}").when(F.size(s["nodes"]) > 0, "too_deep")
+    return F.reduce(F.sequence(F.lit(1), F.lit(LEVELS)), start, step, judge)
 
 
 def event_fault(kind: Column, ts: Column, delay: Column, data: Column) -> Column:
     """Null, or what is wrong with an event: kind a number, ts and delay doubles, data a variant."""
-    get = lambda p, t: F.try_variant_get(data, f"$.{p}", t)
-    there = lambda f: get(f, "array<variant>").isNotNull() if f in ARRAYS else get(f, "variant").isNotNull()
+    there = lambda f: _get(data, f, "array<variant>" if f in ARRAYS else "variant").isNotNull()
 
-    def missing(fields: list[str]) -> Column:
-        out = F.lit(None).cast("string")
-        for f in reversed(fields):
-            out = F.when(~there(f), f"missing {f}").otherwise(out)
-        return out
+    def wrong(fields: dict, optional: dict) -> Column:
+        """The first member that is missing, else the first that is not as it should be."""
+        faults = [F.when(~there(f), f"missing {f}") for f in fields]
+        faults += [F.when(~F.coalesce(check(_get(data, f)), F.lit(False)), f"bad {f}") for f, check in fields.items()]
+        faults += [F.when(~F.coalesce(_optional(check)(_get(data, f)), F.lit(False)), f"bad {f}") for f, check in optional.items()]
+        return F.coalesce(*faults, F.lit(None).cast("string"))
 
-    source = get("source", "int")
+    source = F.when(_int(_get(data, "source")), _get(data, "source", "bigint"))
     by_source = F.when(source.isNull() | ~source.isin(list(SOURCE_FIELDS)), "unknown source")
     for s, fields in SOURCE_FIELDS.items():
-        fault = missing(fields)
-        if s in RANGES:
-            name, top = RANGES[s]
-            fault = F.coalesce(fault, F.when(~F.coalesce(get(name, "int").between(0, top), F.lit(False)), f"bad {name}"))
+        fault = wrong(fields, OPTIONAL_FIELDS.get(s, {}))
+        if s == 0:
+            fault = F.coalesce(fault, tree_fault(F.transform(_get(data, "adds", "array<variant>"), lambda a: _get(a, "node")), "adds"))
         if s == 9:
-            fault = F.coalesce(fault, F.when(~(there("commands") | (there("property") & there("args"))), "missing commands"))
+            has = {f: F.coalesce(_filled(_get(data, f)), F.lit(False)) for f in ("commands", "property", "args")}
+            fault = F.coalesce(fault, F.when(~has["commands"] & ~(has["property"] & has["args"]), "missing commands").when(has["property"] != has["args"], "bad commands"))
         by_source = by_source.when(source == s, fault)
     by_kind = F.when(kind == 3, by_source)
     for k, fields in TYPE_FIELDS.items():
-        by_kind = by_kind.when(kind == k, missing(fields))
+        fault = wrong(fields, {})
+        if k == 2:
+            fault = F.coalesce(fault, tree_fault(F.array(_get(data, "node")), "node"))
+        if k == 7:
+            failed, loaded = _members(status=_optional(_within(0, 2**16 - 1)), message=_text), _optional(_number)(_get(data, "timestamp"))
+            good = lambda f, check: F.coalesce(check(_get(data, f)), F.lit(False))
+            lost = F.when(there("failed"), F.when(~good("failed", failed), "bad failed")).when(~there("payload"), "missing payload").when(~good("payload", _ASSET), "bad payload").when(~F.coalesce(loaded, F.lit(False)), "bad timestamp member")
+            fault = F.coalesce(fault, lost)
+        by_kind = by_kind.when(kind == k, fault)
     return (
         F.when(ts.isNull() | F.isnan(ts) | (ts < 0) | (ts == float("inf")), "bad timestamp")
         .when(F.isnan(delay) | (F.abs(delay) == float("inf")), "bad delay")

@@ -144,3 +144,30 @@ def test_replay_faults(spark):
 def test_context(spark):
     assert one(spark, web.merge_context(F.lit("{}"), F.lit('{"a":1}'))) == '{"a":1}'
     assert one(spark, web.merge_context(F.lit("1"), F.lit('{"a":1}'))) == '{"a":1,"request":1}'
+
+
+def _tree(levels):
+    node = '{"type":3,"id":1,"textContent":"x"}'
+    for _ in range(levels - 1):
+        node = f'{{"type":2,"id":1,"tagName":"p","attributes":{{"a":"b","n":1.5,"t":true,"z":null}},"childNodes":[{node}]}}'
+    return node
+
+
+def test_replay_members(spark):
+    snap = lambda node, offset='{"top":0,"left":1.5}': f'{{"node":{node},"initialOffset":{offset}}}'
+    adds = lambda node: f'{{"source":0,"texts":[{{"id":1,"value":null}}],"attributes":[{{"id":1,"attributes":{{"a":null,"style":{{"x":"1","y":["1","important"],"z":false}}}}}}],"removes":[{{"parentId":1,"id":2}}],"adds":[{{"parentId":1,"nextId":null,"node":{node}}}]}}'
+    cases = [
+        (2, snap(_tree(3)), None), (2, snap(_tree(3), "{}"), "bad initialOffset"), (2, snap("{}"), "bad node"), (2, snap(_tree(32)), None), (2, snap(_tree(33)), "too_deep"), (2, snap(_tree(9).replace('"x"', "5")), "bad node"),
+        (2, snap('{"type":0,"id":1,"childNodes":[{"type":1,"id":2,"name":"html","publicId":"","systemId":""},{"type":4,"id":3,"textContent":""},{"type":5,"id":4,"textContent":"c"}]}'), None),
+        (2, snap('{"type":0,"id":1,"childNodes":[{"type":4,"id":3,"textContent":"x"}]}'), "bad node"), (2, snap('{"type":0,"id":1,"childNodes":[null]}'), "bad node"), (2, snap('{"type":6,"id":1}'), "bad node"), (2, snap(_tree(2).replace("true", "false")), "bad node"),
+        (3, adds(_tree(2)), None), (3, adds("{}"), "bad adds"), (3, adds(_tree(33)), "too_deep"), (3, adds(_tree(2)).replace('"nextId":null,', ""), "bad adds"), (3, adds(_tree(2)).replace('"value":null', '"valu":1'), "bad texts"), (3, adds(_tree(2)).replace('"z":false', '"z":true'), "bad attributes"), (3, adds(_tree(2)).replace('"parentId":1,"id":2', '"id":2'), "bad removes"),
+        (3, '{"source":1,"positions":[{"x":1,"y":2.5,"id":3,"timeOffset":-5}]}', None), (3, '{"source":6,"positions":[{"x":1,"y":2}]}', "bad positions"), (3, '{"source":12,"positions":[{"x":"1","y":2,"id":3,"timeOffset":0}]}', "bad positions"), (3, '{"source":"1","positions":[]}', "unknown source"),
+        (3, '{"source":2,"type":10,"id":1,"pointerType":2}', None), (3, '{"source":2,"type":10,"id":1,"pointerType":3}', "bad pointerType"), (3, '{"source":2,"type":"1","id":1}', "bad type"), (3, '{"source":2,"type":1,"id":1,"pointerType":null}', None), (3, '{"source":3,"id":1.5,"x":1,"y":1}', "bad id"), (3, '{"source":4,"width":"1","height":1}', "bad width"),
+        (3, '{"source":5,"id":1,"text":"","isChecked":"no"}', "bad isChecked"), (3, '{"source":7,"type":4,"id":1,"muted":1}', "bad muted"), (3, '{"source":8,"adds":[{"rule":"a{}","index":[0,1]}],"removes":[{"index":3}]}', None), (3, '{"source":8,"removes":[{}]}', "bad removes"), (3, '{"source":9,"id":1,"type":0,"commands":[{"property":"p"}]}', "bad commands"),
+        (3, '{"source":9,"id":1,"type":0,"commands":[],"property":"p"}', "bad commands"), (3, '{"source":10,"family":"f","fontSource":"s","buffer":0}', "bad buffer"), (3, '{"source":13,"index":[-1]}', "bad index"), (3, '{"source":13,"index":[0],"set":{"property":"p","value":null}}', None), (3, '{"source":14,"ranges":[{"start":1,"startOffset":0,"end":2}]}', "bad ranges"),
+        (3, '{"source":15,"id":1,"styleIds":[1],"styles":[{"styleId":1,"rules":[{"rule":"r"}]}]}', None), (3, '{"source":15,"id":1,"styleIds":["1"]}', "bad styleIds"), (3, '{"source":16,"define":{}}', "bad define"), (4, '{"href":1,"width":1,"height":1}', "bad href"), (5, '{"tag":"t","payload":null}', None), (6, '{"plugin":1,"payload":1}', "bad plugin"),
+        (7, '{"asset":1}', "missing url"), (7, '{"url":"u","payload":{"rr_type":"CssText","cssTexts":["a"]}}', None), (7, '{"url":"u","payload":{"rr_type":"Blob","data":[]}}', None), (7, '{"url":"u","payload":{"rr_type":"Blob"}}', "bad payload"), (7, '{"url":"u","failed":{"status":404,"message":"m"}}', None), (7, '{"url":"u","failed":{"status":70000,"message":"m"}}', "bad failed"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, kind int, text string, want string")
+    got = df.select("text", "want", replay.event_fault(F.col("kind"), F.lit(1.0), F.lit(None).cast("double"), F.try_parse_json("text")).alias("got")).collect()
+    assert [(r.text[:80], r.got) for r in got] == [(r.text[:80], r.want) for r in got]
