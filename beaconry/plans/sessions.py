@@ -169,7 +169,9 @@ def q_generation(spark, sf_dir):
  SELECT se.project_id, se.session_id, coalesce(er.m >= first_ms, false) AS has_errors, coalesce(vi.m >= first_ms AND se.project_id = 'p1', false) AS has_poor_vitals FROM se LEFT JOIN er ON er.project_id = se.project_id AND er.session_id = se.session_id LEFT JOIN vi ON vi.session_id = se.session_id""")
 def q_flag_sessions(spark, sf_dir):
     errors = load(spark, sf_dir, "fx_errors").select(F.concat(F.lit("p"), (F.col("raw_user") % 3).cast("string")).alias("project_id"), "session_id", F.lit(None).cast("string").alias("window_id"), "received_ms")
-    poor = load(spark, sf_dir, "fx_vitals").where(fn.poor_vital(F.col("metric"), F.col("value")) & (F.col("metric") == "CLS") & (F.col("request_id") % 50 == 0))
+    rows = load(spark, sf_dir, "fx_vitals")
+    rejected = rows.where(~fn.valid_vital(F.col("metric"), F.col("value"))).select("request_id")  # a request goes whole
+    poor = rows.where(fn.poor_vital(F.col("metric"), F.col("value"))).join(rejected, "request_id", "left_anti")
     poor = poor.select(F.lit("p1").alias("project_id"), "session_id", F.lit(None).cast("string").alias("window_id"), "received_ms")
     out = vitals.flag_sessions(vitals.flag_sessions(sessions(spark, sf_dir), errors, "has_errors"), poor, "has_poor_vitals")
     return out.select("project_id", "session_id", "has_errors", "has_poor_vitals")

@@ -171,3 +171,20 @@ def test_replay_members(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, kind int, text string, want string")
     got = df.select("text", "want", replay.event_fault(F.col("kind"), F.lit(1.0), F.lit(None).cast("double"), F.try_parse_json("text")).alias("got")).collect()
     assert [(r.text[:80], r.got) for r in got] == [(r.text[:80], r.want) for r in got]
+
+
+def test_flag_sessions_any_vital(spark):
+    from beaconry.plans import sessions
+    from beaconry.sources.fixtures import load
+
+    sf, least = "/root/testdata/sf0.01", {"LCP": 4000, "FCP": 3000, "INP": 500, "CLS": 0.25, "TTFB": 1800, "FID": 300}
+    rows = load(spark, sf, "fx_vitals").select("request_id", "session_id", "metric", "value", "received_ms").collect()
+    gone = {r.request_id for r in rows if r.metric not in least}
+    last = {}
+    for r in rows:
+        if r.request_id not in gone and r.value >= least[r.metric]:
+            last[r.session_id] = max(last.get(r.session_id, 0), r.received_ms)
+    first = {(r.project_id, r.session_id): r.first_ms for r in sessions.sessions(spark, sf).collect()}
+    got = {(r.project_id, r.session_id): r.has_poor_vitals for r in sessions.q_flag_sessions(spark, sf).collect()}
+    assert got == {(p, k): p == "p1" and last.get(k, -1) >= at for (p, k), at in first.items()}
+    assert sum(got.values()) == 33
