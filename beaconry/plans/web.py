@@ -349,10 +349,10 @@ def q_quarantine(spark, sf_dir):
  SELECT request_id, received_ms FROM q, n WHERE received_ms >= now - 1000000 AND request_id % 26 <> 0 ORDER BY received_ms, request_id LIMIT 50""")
 def q_quarantine_replay(spark, sf_dir):
     web_rows = load(spark, sf_dir, "fx_web")
-    held = web_rows.where("request_id % 13 = 0").select("request_id", F.timestamp_millis("received_ms").alias("created_at"), "received_ms")
+    held = q_quarantine(spark, sf_dir).select("request_id", F.timestamp_millis("received_ms").alias("created_at"), "received_ms")
     done = web_rows.where("request_id % 26 = 0").select("request_id")
     now = web_rows.agg(F.max("received_ms").alias("m")).select(F.timestamp_millis("m").alias("now"))
-    return src.quarantine_replay(held, done, now, limit=50, keep_seconds=1000).select("request_id", "received_ms")
+    return src.quarantine_replay(held, done, now, limit=50).select("request_id", "received_ms")
 
 
 @query("SELECT project_id, session_id, chunk, generation || '/' || session_id || '/' || window_id || '/' || cast(coalesce(first_ts, 0) AS string) || '-' || CASE WHEN batch_id IS NOT NULL THEN sha256(batch_id) ELSE sha256(encode(window_id) || unhex(printf('%016x', sequence))) END || '.json.zst' AS object_key FROM @fx_chunks@ WHERE sequence >= 0")

@@ -125,7 +125,7 @@ FROM @fx_replay_events@ GROUP BY project_id, session_id, chunk""",
     "fx_filters": """
 SELECT request_id, 'p' || cast(raw_user % 3 AS string) AS project_id, session_id, session_id AS window_id, received_ms, CASE WHEN request_id % 3 = 0 THEN NULL ELSE 'B' || cast(ua_idx AS string) END AS browser,
        CASE WHEN request_id % 4 = 0 THEN NULL ELSE 'C' || cast(request_id % 5 AS string) END AS country, CASE WHEN request_id % 5 = 0 THEN NULL ELSE 'O' || cast(request_id % 2 AS string) END AS os, url
-FROM @fx_web@ WHERE request_id % 10 = 3""",
+FROM @fx_web@""",
 }
 _NAME = re.compile(r"@(\w+)@")
 

@@ -188,3 +188,33 @@ def test_flag_sessions_any_vital(spark):
     got = {(r.project_id, r.session_id): r.has_poor_vitals for r in sessions.q_flag_sessions(spark, sf).collect()}
     assert got == {(p, k): p == "p1" and last.get(k, -1) >= at for (p, k), at in first.items()}
     assert sum(got.values()) == 33
+
+
+def test_filters_of_all_events(spark):
+    from beaconry.plans import sessions
+    from beaconry.sources.fixtures import load
+
+    sf = "/root/testdata/sf0.001"
+    events = load(spark, sf, "fx_web").where("session_id IS NOT NULL").selectExpr("request_id", "received_ms", "'p' || cast(raw_user % 3 AS string) AS project_id", "session_id", "ua_idx").collect()
+    by = {}
+    for r in sorted(events, key=lambda r: r.received_ms):
+        by.setdefault((r.project_id, r.session_id), []).append((r.received_ms, None if r.request_id % 3 == 0 else f"B{r.ua_idx}"))
+    at = {(r.project_id, r.session_id, r.chunk): r.received_ms for r in sessions.kept_chunks(spark, sf).collect()}
+    got = {(r.project_id, r.session_id, r.chunk): r.browser for r in sessions.q_asof_filter(spark, sf).collect()}
+    assert got == {(p, k, c): [b for t, b in by[p, k] if t <= ms][-1] for (p, k, c), ms in at.items()}
+    first = {(r.project_id, r.session_id): r.first_ms for r in sessions.sessions(spark, sf).collect()}
+    counts = {(r.project_id, r.session_id): r.filter_events for r in sessions.q_filter_events(spark, sf).collect()}
+    assert counts == {k: sum(t >= ms for t, _ in by[k]) for k, ms in first.items()}
+
+
+def test_quarantine_replay_of_dead_letters(spark):
+    from beaconry.plans import web as plans
+    from beaconry.sources import requests as src
+
+    sf = "/root/testdata/sf0.001"
+    dead = sorted((r.received_ms, r.request_id) for r in plans.q_quarantine(spark, sf).collect())
+    want = [i for _, i in dead if i % 26][:50]
+    assert want and sorted(r.request_id for r in plans.q_quarantine_replay(spark, sf).collect()) == sorted(want)
+    held = spark.createDataFrame([(1, 0), (2, 13_600_000), (3, 13_599_999), (4, 90_000_000)], "request_id long, received_ms long").withColumn("created_at", F.timestamp_millis("received_ms"))
+    now = spark.createDataFrame([(100_000_000,)], "m long").select(F.timestamp_millis("m").alias("now"))
+    assert [r.request_id for r in src.quarantine_replay(held, held.limit(0), now).collect()] == [2, 4]
