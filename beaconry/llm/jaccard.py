@@ -127,8 +127,9 @@ def _signatures(s: Sets, rows: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), rows
     bounds = spec.bounds(int(s.sizes.max()) * 2)
     own = np.searchsorted(bounds, s.sizes[rows], side="right") - 1
-    up = s.sizes[rows] * 100 // spec.percent >= bounds[own + 1]
-    row, band = np.r_[rows, rows[up]], np.r_[own, own[up] + 1]
+    # A set is in its own band and in each above that a linked set can have.
+    above = np.searchsorted(bounds, s.sizes[rows] * 100 // spec.percent, side="right") - own
+    row, band = np.repeat(rows, above), np.repeat(own, above) + np.arange(above.sum()) - np.repeat(np.cumsum(above) - above, above)
     most = spec.differences(bounds[band + 1] - 1)
     live = most > 0  # bands without room for a difference hold equal sets only
     row, band, most = row[live], band[live], most[live]

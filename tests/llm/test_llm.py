@@ -369,3 +369,11 @@ def test_pipeline_near_copies(spark):
     assert len(between) >= 6 and len(linked) < 13
     kept = [x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
     assert sorted(kept) == sorted(set(texts) - linked)
+
+
+def test_jaccard_bands_below_80(spark):
+    sizes = [(8, 11), (10, 14), (11, 15), (12, 17), (14, 20), (30, 42), (30, 43)]
+    texts = {2 * k + at: " ".join(f"v{k}x{i}" for i in range(n)) for k, pair in enumerate(sizes) for at, n in enumerate(pair)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {r.id: r.component_id for r in jaccard.jaccard_groups(df, words=1, percent=70).collect()}
+    assert got == {2 * k + at: 2 * k + (at if 100 * a < 70 * b else 0) for k, (a, b) in enumerate(sizes) for at in (0, 1)}
