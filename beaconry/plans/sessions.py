@@ -31,16 +31,22 @@ def q_replay_order(spark, sf_dir):
     return replay.order_events(load(spark, sf_dir, "fx_replay_events")).select("event_id", "event_ts", "place")
 
 
-# An event's data: complete for the source, except that every eleventh lacks a member.
-_DATA = """CASE WHEN type = 2 THEN CASE WHEN event_id % 11 = 0 THEN '{"node":{}}' ELSE '{"node":{},"initialOffset":{}}' END
- WHEN type = 4 THEN CASE WHEN event_id % 11 = 0 THEN '{"href":"x","width":1}' ELSE '{"href":"x","width":1,"height":2}' END
- WHEN type = 5 THEN CASE WHEN event_id % 11 = 0 THEN '{"tag":"t"}' ELSE '{"tag":"t","payload":{"href":"/a/?x"}}' END WHEN type = 6 THEN '{"plugin":"p","payload":1}' WHEN type = 7 THEN CASE WHEN event_id % 11 = 0 THEN '{}' ELSE '{"asset":1}' END
- WHEN type = 3 THEN '{"source":' || cast(source AS string) || CASE WHEN event_id % 11 = 0 THEN '' ELSE ',"texts":[],"attributes":[],"removes":[],"adds":[],"positions":[],"type":' || cast(event_id % 6 AS string) || ',"id":1,"x":1,"y":2,"width":1,"height":1,"text":"t","isChecked":false,"family":"f","fontSource":"s","buffer":false,"index":[],"ranges":[],"styleIds":[],"commands":[]' END || '}'
- WHEN event_id % 11 = 0 THEN NULL ELSE '{}' END"""
+# An event's data: complete for the type and source, except that every eleventh lacks a member, and that some of the
+# others have a member of a wrong shape.
+_NODE = '{"type":0,"id":1,"childNodes":[{"type":2,"id":2,"tagName":"p","attributes":{"a":"b"},"childNodes":[{"type":3,"id":3,"textContent":"x"}]}]}'
+_DATA = """CASE WHEN type = 2 THEN '{"node":' || CASE WHEN event_id % 5 = 0 THEN '{}' ELSE '@node' END || CASE WHEN event_id % 11 = 0 THEN '}' WHEN event_id % 7 = 0 THEN ',"initialOffset":{"top":0}}' ELSE ',"initialOffset":{"top":0,"left":1.5}}' END
+ WHEN type = 4 THEN CASE WHEN event_id % 11 = 0 THEN '{"href":"x","width":1}' WHEN event_id % 7 = 0 THEN '{"href":"x","width":"1","height":2}' ELSE '{"href":"x","width":1,"height":2}' END
+ WHEN type = 5 THEN CASE WHEN event_id % 11 = 0 THEN '{"tag":"t"}' ELSE '{"tag":"t","payload":{"href":"/a/?x"}}' END WHEN type = 6 THEN '{"plugin":"p","payload":1}'
+ WHEN type = 7 THEN CASE WHEN event_id % 11 = 0 THEN '{"asset":1}' WHEN event_id % 7 = 0 THEN '{"url":"u","failed":{"status":70000,"message":"m"}}' ELSE '{"url":"u","payload":{"rr_type":"CssText","cssTexts":["a"]}}' END
+ WHEN type = 3 THEN '{"source":' || cast(source AS string) || CASE WHEN event_id % 11 = 0 THEN '' ELSE ',"texts":[],"attributes":[],"removes":[],"adds":[],"positions":[{"x":1,"y":2.5,"id":3' || CASE WHEN event_id % 13 = 0 THEN '' ELSE ',"timeOffset":-5' END || '}],"pointerType":' || cast(event_id % 4 AS string)
+  || ',"type":' || cast(event_id % 6 AS string) || ',"id":1,"x":1,"y":2,"width":1,"height":1,"text":"t","isChecked":false,"family":"f","fontSource":"s","buffer":false,"index":[],"ranges":[],"styleIds":[],"commands":[]' END || '}'
+ WHEN event_id % 11 = 0 THEN NULL ELSE '{}' END""".replace("@node", _NODE)
 _FAULT = """CASE WHEN ts IS NULL THEN 'bad timestamp' WHEN type IN (0, 1) AND event_id % 11 = 0 THEN 'missing data' WHEN type IN (0, 1) THEN NULL
- WHEN type = 2 THEN CASE WHEN event_id % 11 = 0 THEN 'missing initialOffset' END WHEN type = 4 THEN CASE WHEN event_id % 11 = 0 THEN 'missing height' END WHEN type = 5 THEN CASE WHEN event_id % 11 = 0 THEN 'missing payload' END
- WHEN type = 6 THEN NULL WHEN type = 7 THEN CASE WHEN event_id % 11 = 0 THEN 'missing asset' END WHEN source = 11 THEN 'unknown source'
+ WHEN type = 2 THEN CASE WHEN event_id % 11 = 0 THEN 'missing initialOffset' WHEN event_id % 7 = 0 THEN 'bad initialOffset' WHEN event_id % 5 = 0 THEN 'bad node' END
+ WHEN type = 4 THEN CASE WHEN event_id % 11 = 0 THEN 'missing height' WHEN event_id % 7 = 0 THEN 'bad width' END WHEN type = 5 THEN CASE WHEN event_id % 11 = 0 THEN 'missing payload' END
+ WHEN type = 6 THEN NULL WHEN type = 7 THEN CASE WHEN event_id % 11 = 0 THEN 'missing url' WHEN event_id % 7 = 0 THEN 'bad failed' END WHEN source = 11 THEN 'unknown source'
  WHEN event_id % 11 = 0 THEN CASE source WHEN 0 THEN 'missing texts' WHEN 1 THEN 'missing positions' WHEN 2 THEN 'missing type' WHEN 3 THEN 'missing id' WHEN 4 THEN 'missing width' WHEN 5 THEN 'missing id' WHEN 6 THEN 'missing positions' WHEN 7 THEN 'missing type' WHEN 9 THEN 'missing id' WHEN 10 THEN 'missing family' WHEN 12 THEN 'missing positions' WHEN 13 THEN 'missing index' WHEN 14 THEN 'missing ranges' WHEN 15 THEN 'missing id' END
+ WHEN source IN (1, 6, 12) AND event_id % 13 = 0 THEN 'bad positions' WHEN source = 2 AND event_id % 4 = 3 THEN 'bad pointerType'
  WHEN source = 7 AND event_id % 6 > 4 THEN 'bad type' WHEN source = 9 AND event_id % 6 > 2 THEN 'bad type' END"""
 
 
@@ -145,11 +151,13 @@ def q_sessions(spark, sf_dir):
     return sessions(spark, sf_dir).withColumn("n_routes", F.size("routes").cast("long")).drop("routes")
 
 
-@query(f"""WITH RECURSIVE {_SESSIONS}, e AS (SELECT project_id, session_id, min(f.received_ms) AS m FROM se JOIN @fx_filters@ f USING (project_id, session_id) WHERE f.received_ms >= first_ms AND f.request_id % 3 = 0 GROUP BY 1, 2)
+@query(f"""WITH RECURSIVE {_SESSIONS}, fin AS (SELECT project_id, session_id, chunk, max(received_ms) AS received_ms FROM (SELECT *, {_FAULT} AS fault FROM @fx_replay_events@) WHERE chunk % 3 = 0 GROUP BY 1, 2, 3 HAVING count(*) FILTER (fault IS NULL) = 0),
+ e AS (SELECT project_id, session_id, min(f.received_ms) AS m FROM se JOIN fin f USING (project_id, session_id) WHERE f.received_ms >= first_ms GROUP BY 1, 2)
  SELECT se.project_id, se.session_id, is_complete OR m IS NOT NULL AS is_complete, least(finalized_ms, m) AS finalized_ms FROM se LEFT JOIN e ON e.project_id = se.project_id AND e.session_id = se.session_id""")
 def q_finalize(spark, sf_dir):
-    finals = load(spark, sf_dir, "fx_filters").where("request_id % 3 = 0").select("project_id", "session_id", "window_id", "received_ms")
-    return replay.finalize(sessions(spark, sf_dir), finals).select("project_id", "session_id", "is_complete", "finalized_ms")
+    empty = replay.drop_invalid(with_faults(spark, sf_dir).withColumn("is_final", F.col("chunk") % 3 == 0)).where("outcome = 'completes'")
+    finals = load(spark, sf_dir, "fx_chunks").join(empty.select(*replay.CHUNK), replay.CHUNK, "left_semi")
+    return replay.finalize(sessions(spark, sf_dir), finals.select("project_id", "session_id", "window_id", "received_ms")).select("project_id", "session_id", "is_complete", "finalized_ms")
 
 
 @query(f"""WITH RECURSIVE {_SESSIONS}, e AS (SELECT project_id, session_id, arg_max(f.browser, request_id) FILTER (f.browser IS NOT NULL) AS b, arg_max(f.country, request_id) FILTER (f.country IS NOT NULL) AS c, count(*) AS n FROM se JOIN @fx_filters@ f USING (project_id, session_id) WHERE f.received_ms >= first_ms GROUP BY 1, 2)
@@ -165,7 +173,9 @@ def q_generation(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_SESSIONS}, er AS (SELECT 'p' || cast(raw_user % 3 AS string) AS project_id, session_id, max(received_ms) AS m FROM @fx_errors@ GROUP BY 1, 2),
- vi AS (SELECT session_id, max(received_ms) AS m FROM @fx_vitals@ WHERE metric = 'CLS' AND value >= 0.25 AND request_id % 50 = 0 GROUP BY 1)
+ vi AS (SELECT session_id, max(received_ms) AS m FROM @fx_vitals@
+  WHERE value >= CASE metric WHEN 'LCP' THEN 4000 WHEN 'FCP' THEN 3000 WHEN 'INP' THEN 500 WHEN 'CLS' THEN 0.25 WHEN 'TTFB' THEN 1800 WHEN 'FID' THEN 300 END
+   AND request_id NOT IN (SELECT request_id FROM @fx_vitals@ WHERE metric = 'CUSTOM' OR value < 0 OR value > CASE WHEN metric = 'CLS' THEN 100 ELSE 86400000 END) GROUP BY 1)
  SELECT se.project_id, se.session_id, coalesce(er.m >= first_ms, false) AS has_errors, coalesce(vi.m >= first_ms AND se.project_id = 'p1', false) AS has_poor_vitals FROM se LEFT JOIN er ON er.project_id = se.project_id AND er.session_id = se.session_id LEFT JOIN vi ON vi.session_id = se.session_id""")
 def q_flag_sessions(spark, sf_dir):
     errors = load(spark, sf_dir, "fx_errors").select(F.concat(F.lit("p"), (F.col("raw_user") % 3).cast("string")).alias("project_id"), "session_id", F.lit(None).cast("string").alias("window_id"), "received_ms")

@@ -345,8 +345,8 @@ def q_quarantine(spark, sf_dir):
     return bad.select("request_id", "datasource", "last_error", F.unix_millis("created_at").alias("received_ms"))
 
 
-@query("""WITH q AS (SELECT request_id, received_ms FROM @fx_web@ WHERE request_id % 13 = 0), n AS (SELECT max(received_ms) AS now FROM @fx_web@)
- SELECT request_id, received_ms FROM q, n WHERE received_ms >= now - 1000000 AND request_id % 26 <> 0 ORDER BY received_ms, request_id LIMIT 50""")
+@query("""WITH q AS (SELECT request_id, received_ms FROM @fx_web@ WHERE request_id % 97 = 0 OR token = 'tok_none'), n AS (SELECT max(received_ms) AS now FROM @fx_web@)
+ SELECT request_id, received_ms FROM q, n WHERE received_ms >= now - 86400000 AND request_id % 26 <> 0 ORDER BY received_ms, request_id LIMIT 50""")
 def q_quarantine_replay(spark, sf_dir):
     web_rows = load(spark, sf_dir, "fx_web")
     held = q_quarantine(spark, sf_dir).select("request_id", F.timestamp_millis("received_ms").alias("created_at"), "received_ms")
