@@ -192,6 +192,42 @@ def test_topk(spark):
             assert got.pop(q) == [(-s, i) for s, i in best]
     assert not got
     assert topk.maxscore_topk(df.limit(0), df.limit(0)).count() == 0
+    assert topk.maxscore_topk(df, df.limit(0)).count() == 0
+
+
+def test_topk_blocks(spark, monkeypatch):
+    """Many blocks and shards, clustered vectors, ties, ragged and huge components, other columns of clashing names."""
+    import numpy as np
+
+    monkeypatch.setattr(topk, "ROW_BLOCK", 4 * 12 * 700)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4 * 12 * 40)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
+    r = random.Random(12)
+    centres = [[r.choice([-1, 0, 0, 0, 1]) for _ in range(12)] for _ in range(9)]
+    rows = [(i, [float(c + r.choice([0, 0, 0.02])) for c in centres[i % 9]][: r.choice([12, 12, 12, 7])]) for i in range(2000)]
+    rows += [(3000, [1e200] * 3), (3020, [1e30, -1e30, 5.0]), (3040, [1e308 * 1.7]), (3041, [])]
+    df = spark.createDataFrame([(i, v, i, i) for i, v in rows], "vec_id long, embedding array<double>, block int, score long").repartition(4)
+    vectors = {i: [math.floor(64 * x) for x in v] for i, v in rows if i != 3040}
+    got = {}
+    for x in topk.maxscore_topk(df, df.where("vec_id % 20 = 0"), k=7, seed_rows=100).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    for q in [i for i in vectors if i % 20 == 0]:
+        best = sorted((-clip(sum(a * b for a, b in zip(vectors[q], w, strict=False))), i) for i, w in vectors.items() if i != q)[:7]
+        assert got.pop(q) == [(-s, i) for s, i in best], q
+    assert not got
+    # Shards whose bounds stay below all thresholds are skipped, and columns without essential terms are not multiplied.
+    g = np.random.default_rng(3)
+    centre = np.zeros((8, 16))
+    centre[np.arange(8), np.arange(8) * 2] = 60
+    v = np.floor(centre[g.integers(0, 8, 4000)] + g.integers(-3, 4, (4000, 16)))
+    ids, seeds = np.arange(4000), np.floor(centre + 0.0)
+    best = topk.Best(np.full(200, np.iinfo(np.int64).min), 10)
+    topk.search(best, ids[:200], v[:200], ids, v, seeds, shard_rows=100, query_rows=25)
+    assert best.skipped > 0.5 * best.shards and best.multiplied < 0.5 * best.terms
+    for i in range(200):
+        want = sorted((-int(v[i] @ v[j]), j) for j in range(4000) if j != i)[:10]
+        assert [(-s, j) for s, j in zip(best.score[i].tolist(), best.id[i].tolist(), strict=True)] == want
 
 
 def luhn(d):
