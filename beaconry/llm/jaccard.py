@@ -106,7 +106,7 @@ class Sets:
             if n >= spec.words:
                 parts.append(np.unique(grams[first : first + n - spec.words + 1]))
             elif n:
-                parts.append(mix64(rolling(h[first : first + n], n) + _C2 * np.uint64(n)))
+                parts.append(mix64(rolling(h[first : first + n], n) + _C2 * np.array([n], np.uint64)))
             else:
                 parts.append(np.zeros(0, np.uint64))
         self.sizes = np.array([len(p) for p in parts], np.int64)
@@ -175,10 +175,11 @@ def _nodes(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordB
         for part in chunks(batch, "text", SMALL_CHUNK):
             s = Sets(part.column(2), spec)
             nodes = [s.node(i) if n else None for i, n in enumerate(s.sizes.tolist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes, pa.int64()), pa.array(nodes, pa.binary())], names=["id", "row_key", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(_sketches(s), pa.binary())], names=["id", "row_key", "n_shingles", "node", "sketch"])
 
 
 def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Signatures by bucket. Within a bucket four bytes stand for one: two that fall together only make more candidates."""
     for batch in batches:
         for part in chunks(batch, "text", SMALL_CHUNK):
             s = Sets(part.column(2), spec)
@@ -196,7 +197,7 @@ def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterat
             out = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 used, n = np.unique(row[a:b], return_counts=True)
-                out.append((int(bucket[a]), b"".join(s.node(i) for i in used.tolist()), pack_ints(n), sig[a:b].tobytes()))
+                out.append((int(bucket[a]), b"".join(s.node(i) for i in used.tolist()), pack_ints(n), sig[a:b].astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "nodes", "counts", "signatures"])
 
 
@@ -204,7 +205,7 @@ def _shared(table: pa.Table) -> pa.Table:
     """(signature, node) of the bucket's signatures that at least two different nodes have."""
     sigs, nodes = [], []
     for r in table.to_pylist():
-        sigs.append(np.frombuffer(r["signatures"], np.uint64))
+        sigs.append(np.frombuffer(r["signatures"], np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 32))
         nodes.append(np.repeat(np.frombuffer(r["nodes"], np.uint64).reshape(-1, 2), unpack_ints(r["counts"]), axis=0))
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
     by = np.argsort(sig)
@@ -248,7 +249,18 @@ def _blobs(batches: Iterator[pa.RecordBatch], spec: Spec, bits) -> Iterator[pa.R
         batch = batch.filter(pa.array((table[place >> 3] >> (place & 7)) & 1 > 0))
         for part in chunks(batch, "text", SMALL_CHUNK):
             s = Sets(part.column(2), spec)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.all[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary()), pa.array(_sketches(s), pa.binary())], names=["id", "row_key", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.all[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary())], names=["id", "row_key", "shingles"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sizes and sketches do not rule a link out."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (2, 3))
+        x, y = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+        apart = np.abs(one - two).sum(axis=1, dtype=np.int64)
+        keep = (apart * (100 + spec.percent) <= (x + y) * (100 - spec.percent)) & (100 * np.minimum(x, y) >= spec.percent * np.maximum(x, y))
+        out = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["node", "pivot"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
@@ -263,50 +275,83 @@ def _verify(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
 
 
-def _survivors(table: pa.Table, spec: Spec) -> pa.Table:
-    """(group_id, node) of a pair of blocks that have a partner of another group which their sketches do not rule out."""
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-    size = table["size"].to_numpy()
-    group = np.unique(np.array([x.hex() for x in table["comp"].to_pylist()]), return_inverse=True)[1]
-    live = np.zeros(len(size), bool)
-    for i in np.flatnonzero(np.array(table["outer"].to_pylist(), bool)).tolist():
-        able = np.flatnonzero((group != group[i]) & (100 * np.minimum(size, size[i]) >= spec.percent * np.maximum(size, size[i])))
-        near = able[(np.abs(sketch[able] - sketch[i]).sum(axis=1, dtype=np.int64) * (100 + spec.percent) <= (size[able] + size[i]) * (100 - spec.percent))]
-        live[near] = True
-        live[i] |= len(near) > 0
-    return table.select(["group_id", "node"]).filter(pa.array(live))
-
-
-def _block_links(table: pa.Table, spec: Spec) -> pa.Table:
-    """Links between groups in one pair of blocks, one for each two groups that it joins."""
-    rows = table.to_pydict()
-    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-    sizes = np.array([len(x) for x in sets])
-    side = np.array(rows["outer"], bool)
-    group = np.unique(np.array([x.hex() for x in rows["comp"]]), return_inverse=True)[1]
-    parent = list(range(int(group.max()) + 1))
-
-    def root(g: int) -> int:
-        while parent[g] != g:
-            parent[g] = parent[parent[g]]
-            g = parent[g]
-        return g
-
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    by = np.argsort(values, kind="stable")
-    values, owner = values[by], owner[by]
-    out = []
-    for i in np.flatnonzero(side).tolist():
-        lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
-        n = hi - lo
-        both = np.bincount(owner[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())], minlength=len(sets))
-        for j in np.flatnonzero(spec.linked(both, sizes[i], sizes) & (group != group[i])).tolist():
-            x, y = root(int(group[i])), root(int(group[j]))
-            if x != y:
-                parent[x] = y
-                out.append((rows["node"][i], rows["node"][j]))
-    return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Whole pairs of blocks (equal in the first four columns) of a partition that is sorted by them, and where each ends."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
+        new = np.flatnonzero(np.r_[last is not None and bool((keys[0] != last).any()), (keys[1:] != keys[:-1]).any(axis=1)])
+        last = keys[-1]
+        if not len(new):
+            held.append(batch)
+            continue
+        # Up to the last begin all pairs are whole; the rest waits.
+        before = sum(b.num_rows for b in held)
+        done = [*held, batch.slice(0, int(new[-1]))]
+        yield pa.Table.from_batches([b for b in done if b.num_rows], batch.schema), [int(x) + before for x in new]
+        held = [batch.slice(int(new[-1]))]
+    if held:
+        yield pa.Table.from_batches(held), [sum(b.num_rows for b in held)]
+
+
+def _fixed(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _survivors(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
+    """(signature, node): nodes of a pair of blocks with a partner of another group which their sketches do not rule out."""
+    for table, ends in _groups(batches):
+        size, outer = table["size"].to_numpy(), table["outer"].to_numpy()
+        sketch = _fixed(table["value"], np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        comp = np.unique(_fixed(table["comp"], "S16"), return_inverse=True)[1]
+        live = np.zeros(len(size), bool)
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            n, c, s = size[a:b], comp[a:b], sketch[a:b]
+            for i in np.flatnonzero(outer[a:b]).tolist():
+                able = np.flatnonzero((c != c[i]) & (100 * np.minimum(n, n[i]) >= spec.percent * np.maximum(n, n[i])))
+                if len(able):
+                    near = able[np.abs(s[able] - s[i]).sum(axis=1, dtype=np.int64) * (100 + spec.percent) <= (n[able] + n[i]) * (100 - spec.percent)]
+                    live[a + near] = True
+                    live[a + i] |= len(near) > 0
+        if live.any():
+            out = table.select(["group_id", "node"]).filter(pa.array(live)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], names=["signature", "node"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
+    """Links between groups in each pair of blocks, one for each two groups that it joins."""
+    for table in (whole.slice(a, b - a) for whole, ends in _groups(batches) for a, b in zip([0, *ends[:-1]], ends, strict=True)):
+        rows = table.select(["node", "outer", "value"]).to_pydict()
+        sets = [np.frombuffer(x, np.uint64) for x in rows["value"]]
+        sizes = np.array([len(x) for x in sets])
+        group = np.unique(_fixed(table["comp"], "S16"), return_inverse=True)[1]
+        parent = list(range(int(group.max()) + 1))
+
+        def root(g: int, parent=parent) -> int:
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
+        values = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        by = np.argsort(values, kind="stable")
+        values, owner = values[by], owner[by]
+        out = []
+        for i in np.flatnonzero(rows["outer"]).tolist():
+            lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            n = hi - lo
+            both = np.bincount(owner[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())], minlength=len(sets))
+            for j in np.flatnonzero(spec.linked(both, sizes[i], sizes) & (group != group[i])).tolist():
+                x, y = root(int(group[i])), root(int(group[j]))
+                if x != y:
+                    parent[x] = y
+                    out.append((rows["node"][i], rows["node"][j]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -324,7 +369,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = labels.select("node", "comp")
 
 
-def _dealt(rows: DataFrame, group: str, values: DataFrame):
+def _dealt(rows: DataFrame, group: str, values: DataFrame) -> DataFrame:
     """rows of each group (node, comp, outer, size, outer_size, inner_size) dealt to pairs of blocks of bounded size, with values.
 
     Outer nodes meet all nodes of their group, inner ones only outer ones. A row goes to as many pairs as there are
@@ -341,7 +386,9 @@ def _dealt(rows: DataFrame, group: str, values: DataFrame):
     from_outer = F.concat(F.transform(F.filter(outer, lambda j: j >= mine), lambda j: pair(mine, 0, j)), F.transform(F.filter(outer, lambda j: j < mine), lambda j: pair(j, 0, mine)), F.transform(inner, lambda j: pair(mine, 1, j)))
     from_inner = F.transform(outer, lambda j: pair(j, 1, mine))
     spread = rows.select(F.col(group).alias("group_id"), "node", "comp", "outer", "size", F.explode(F.when(F.col("outer"), from_outer).otherwise(from_inner)).alias("p"))
-    return spread.select("group_id", "p.*", "node", "comp", "outer", "size").join(values, "node").groupBy("group_id", "o", "k", "n")
+    pairs = ["group_id", "o", "k", "n"]
+    dealt = spread.select("group_id", "p.*", "node", "comp", "outer", "size").join(values.toDF("node", "value"), "node")
+    return dealt.select(*pairs, "node", "comp", "outer", "size", "value").repartition(*pairs).sortWithinPartitions(*pairs)
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
@@ -351,24 +398,30 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spec, spark = Spec(words, percent), docs.sparkSession
     none = F.lit(-(2**63))  # stands for a null id
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("row_key"), "text")
-    rows = stage(texts.mapInArrow(lambda it: _nodes(it, spec), "id long, row_key long, n_shingles long, node binary"), "nodes")
-    nodes = stage(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("id") != none, F.col("id"))).alias("least"), F.max("id").alias("id"), F.max_by("row_key", "id").alias("row_key"), F.first("n_shingles").alias("size")), "node_ids")
+    rows = stage(texts.mapInArrow(lambda it: _nodes(it, spec), "id long, row_key long, n_shingles long, node binary, sketch binary"), "nodes")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("id") != none, F.col("id"))).alias("least"), F.max("id").alias("id"), F.max_by("row_key", "id").alias("row_key"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = stage(nodes, "node_ids")
     buckets = shuffle_buckets(spark, 2)
     sent = texts.mapInArrow(lambda it: _send(it, spec, buckets), "bucket int, nodes binary, counts binary, signatures binary")
     members = stage(sent.groupBy("bucket").applyInArrow(_shared, "signature long, node binary"), "members")
+    active = stage(members.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).join(nodes, "node").select("node", "degree", "id", "row_key", "size", "sketch"), "active")
 
-    # Shingles of the nodes that share a signature; rows whose bit is not set are none of theirs and stay where they are.
-    active = stage(members.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).join(nodes, "node").select("node", "degree", "id", "row_key", "size"), "active")
-    bits = spark.sparkContext.broadcast(_bitmap(active))
-    held = texts.withColumn("place", F.pmod(F.xxhash64("id", "row_key"), F.lit(_BITS))).mapInArrow(lambda it: _blobs(it, spec, bits), "id long, row_key long, shingles binary, sketch binary")
-    sets = stage(active.select("id", "row_key", "node").join(held, ["id", "row_key"]).dropDuplicates(["node"]).select("node", "shingles", "sketch"), "sets")
+    def fetch(wanted: DataFrame, name: str) -> DataFrame:
+        """(node, shingles) of the wanted nodes; rows whose bit is not set are none of theirs and stay where they are."""
+        few = active.select("id", "row_key", "node").join(wanted, "node", "left_semi")
+        bits = spark.sparkContext.broadcast(_bitmap(few))
+        held = texts.withColumn("place", F.pmod(F.xxhash64("id", "row_key"), F.lit(_BITS))).mapInArrow(lambda it: _blobs(it, spec, bits), "id long, row_key long, shingles binary")
+        return stage(few.join(held, ["id", "row_key"]).dropDuplicates(["node"]).select("node", "shingles"), name)
 
-    # Every node against the node of its signature that shares the most signatures.
+    # Every node against the node of its signature that shares the most signatures, by sketches and then by shingles.
     pivots = stage(members.join(active.select("node", "degree"), "node").groupBy("signature").agg(F.max(F.struct("degree", "node")).alias("p")).select("signature", F.col("p.node").alias("pivot")), "pivots")
     paired = members.join(pivots, "signature").where("node <> pivot").select("node", "pivot").distinct()
-    pairs = paired.join(sets.select(F.col("node"), F.col("shingles").alias("s1")), "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("s2")), "pivot")
-    near = pairs.select("node", "pivot", "s1", "s2").where(f"100 * least(octet_length(s1), octet_length(s2)) >= {percent} * greatest(octet_length(s1), octet_length(s2))")
-    links = stage(near.mapInArrow(lambda it: _verify(it, spec), "a binary, b binary"), "links")
+    sized = active.select("node", "sketch", "size")
+    pairs = paired.join(sized.toDF("node", "s1", "n1"), "node").join(sized.toDF("pivot", "s2", "n2"), "pivot").select("node", "pivot", "s1", "s2", "n1", "n2")
+    near = stage(pairs.mapInArrow(lambda it: _possible(it, spec), "node binary, pivot binary"), "near")
+    sets = fetch(near.select(F.explode(F.array("node", "pivot")).alias("node")).distinct(), "pivot_sets")
+    held = near.join(sets.toDF("node", "s1"), "node").join(sets.toDF("pivot", "s2"), "pivot").select("node", "pivot", "s1", "s2")
+    links = stage(held.mapInArrow(lambda it: _verify(it, spec), "a binary, b binary"), "links")
     first = components(links)
 
     # Where that leaves several groups in a signature: the nodes outside its pivot's group against all of it, in blocks.
@@ -381,8 +434,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # The pivot is done; signatures with the same nodes need one look.
     split = stage(split.where("n_outer > 0 AND n > 1").groupBy("who", "n", "n_outer", "centre", "outer_size", "inner_size").agg(F.min("signature").alias("signature")), "split")
     rest = placed.drop("centre").join(split.select("signature", "outer_size", "inner_size"), "signature")
-    alive = _dealt(rest, "signature", sets.select("node", "sketch")).applyInArrow(lambda t: _survivors(t, spec), "group_id long, node binary").distinct()
-    alive = stage(alive.withColumnRenamed("group_id", "signature"), "alive")
+    alive = _dealt(rest, "signature", sized.select("node", "sketch")).mapInArrow(lambda it: _survivors(it, spec), "signature long, node binary").distinct()
+    alive = stage(alive, "alive")
     # Nodes that meet in several signatures are compared once, in the family that their signatures span.
     least = stage(alive.groupBy("signature").agg(F.min("node").alias("root")), "roots")
     family = components(alive.join(least, "signature").where("node <> root").select("node", "root"), "node", "root").withColumnRenamed("comp", "family")
@@ -391,7 +444,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     weigh = stage(named.groupBy("family").agg(F.mode("comp").alias("centre")), "family_centres")
     named = named.join(weigh, "family").withColumn("outer", F.col("comp") != F.col("centre")).drop("centre")
     total_of = named.groupBy("family").agg(total("size", True).alias("outer_size"), total("size", False).alias("inner_size")).where("outer_size > 0")
-    more = _dealt(named.join(stage(total_of, "family_sizes"), "family"), "family", sets.select("node", "shingles")).applyInArrow(lambda t: _block_links(t, spec), "a binary, b binary")
+    named = stage(named.join(total_of, "family"), "dealt")
+    more = _dealt(named, "family", fetch(named.select("node").distinct(), "family_sets")).mapInArrow(lambda it: _block_links(it, spec), "a binary, b binary")
     groups = components(links.unionByName(stage(more, "more_links")))
 
     named = groups.join(nodes, "node")
