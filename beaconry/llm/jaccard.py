@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from beaconry.llm.shared import SMALL_CHUNK, SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, rolling, shuffle_buckets, stage, unpack_ints
 
+#: Rounds in which nodes that share too few signatures for any link are left out.
+STRONG_ROUNDS = 2
 #: Shingles of a verification block on average, what a node counts besides its own, and cells of its count sketch.
 BLOCK_SHINGLES, NODE_SHINGLES, SKETCH = 1 << 20, 512, 256
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -121,10 +123,11 @@ class Sets:
         return mix64(self._raw[i]).tobytes()
 
 
-def _signatures(s: Sets, rows: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the given rows, as (hash, row)."""
+def _signatures(s: Sets, rows: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of the given rows, as (hash, row), and how many of them each row shares with any set it links to."""
+    needs = np.full(len(s.sizes), 255)
     if not len(rows):
-        return np.zeros(0, np.uint64), rows
+        return np.zeros(0, np.uint64), rows, needs
     bounds = spec.bounds(int(s.sizes.max()) * 2)
     own = np.searchsorted(bounds, s.sizes[rows], side="right") - 1
     # A set is in its own band and in each above that a linked set can have.
@@ -134,18 +137,22 @@ def _signatures(s: Sets, rows: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.n
     live = most > 0  # bands without room for a difference hold equal sets only
     row, band, most = row[live], band[live], most[live]
     if not len(row):
-        return np.zeros(0, np.uint64), row
+        return np.zeros(0, np.uint64), row, needs
     hashes, owners = [], []
     for j in np.unique(band).tolist():
         mine = row[band == j]
-        h, o = _band_signatures(s, mine, j, spec.scheme(int(bounds[j] * spec.percent // 100), int(bounds[j + 1] - 1)))
+        h, o, least = _band_signatures(s, mine, j, spec.scheme(int(bounds[j] * spec.percent // 100), int(bounds[j + 1] - 1)))
         hashes.append(h)
         owners.append(mine[o])
-    return np.concatenate(hashes), np.concatenate(owners)
+        needs[mine] = np.minimum(needs[mine], least)
+    return np.concatenate(hashes), np.concatenate(owners), needs
 
 
-def _band_signatures(s: Sets, rows: np.ndarray, band: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place in rows) of one band's signatures."""
+def _band_signatures(s: Sets, rows: np.ndarray, band: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place in rows) of one band's signatures, and how many of them linked sets of the band share at least.
+
+    At least 1 + spare groups agree on a subset; those whose subset is empty in a set are empty in both.
+    """
     size = s.sizes[rows]
     cells = scheme.groups * scheme.parts
     u = s.all[np.repeat(s.first[rows] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
@@ -164,10 +171,12 @@ def _band_signatures(s: Sets, rows: np.ndarray, band: int, scheme: Scheme) -> tu
         hashes.append(h)
         empty.append(~filled[:, :, list(used)].any(axis=2))
     # At most `spare` groups with an empty subset: another group must agree on a filled one.
-    many = np.any(empty, axis=0).sum(axis=1) > scheme.spare
+    bad = np.any(empty, axis=0).sum(axis=1)
+    many = bad > scheme.spare
+    least = 1 + scheme.spare - np.where(many, 0, bad)
     keep = [~e | many[:, None] for e in empty]
     at = np.broadcast_to(np.arange(len(rows))[:, None], shape[:2])
-    return np.concatenate([h[k] for h, k in zip(hashes, keep, strict=True)]), np.concatenate([at[k] for k in keep])
+    return np.concatenate([h[k] for h, k in zip(hashes, keep, strict=True)]), np.concatenate([at[k] for k in keep]), least
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
@@ -187,7 +196,7 @@ def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterat
             if not len(full):
                 continue
             _, once = np.unique(mix64(s._raw[full, 0]), return_index=True)
-            sig, row = _signatures(s, np.sort(full[once]), spec)
+            sig, row, needs = _signatures(s, np.sort(full[once]), spec)
             if not len(sig):
                 continue
             bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
@@ -197,29 +206,39 @@ def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterat
             out = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 used, n = np.unique(row[a:b], return_counts=True)
-                out.append((int(bucket[a]), b"".join(s.node(i) for i in used.tolist()), pack_ints(n), sig[a:b].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "nodes", "counts", "signatures"])
+                out.append((int(bucket[a]), b"".join(s.node(i) for i in used.tolist()), pack_ints(n), needs[used].astype(np.uint8).tobytes(), sig[a:b].astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["bucket", "nodes", "counts", "needs", "signatures"])
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """(signature, node) of the bucket's signatures that at least two different nodes have."""
-    sigs, nodes = [], []
+    """(signature, node, need) of the bucket's signatures that at least two different nodes have."""
+    sigs, nodes, needs = [], [], []
     for r in table.to_pylist():
         sigs.append(np.frombuffer(r["signatures"], np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 32))
-        nodes.append(np.repeat(np.frombuffer(r["nodes"], np.uint64).reshape(-1, 2), unpack_ints(r["counts"]), axis=0))
-    sig, node = np.concatenate(sigs), np.concatenate(nodes)
+        n = unpack_ints(r["counts"])
+        nodes.append(np.repeat(np.frombuffer(r["nodes"], np.uint64).reshape(-1, 2), n, axis=0))
+        needs.append(np.repeat(np.frombuffer(r["needs"], np.uint8), n))
+    sig, node, need = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(needs)
     by = np.argsort(sig)
     same = sig[by[1:]] == sig[by[:-1]]
     by = by[np.r_[same, False] | np.r_[False, same]]
     by = by[np.lexsort((node[by, 1], node[by, 0], sig[by]))]
-    sig, node = sig[by], node[by]
+    sig, node, need = sig[by], node[by], need[by]
     if len(sig):
         new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]).any(axis=1)]
-        sig, node = sig[new], node[new]
+        sig, node, need = sig[new], node[new], need[new]
         same = sig[1:] == sig[:-1]
         more = np.r_[same, False] | np.r_[False, same]
-        sig, node = sig[more], node[more]
-    return pa.table({"signature": pa.array(sig.view(np.int64), pa.int64()), "node": pa.array([n.tobytes() for n in node], pa.binary())})
+        sig, node, need = sig[more], node[more], need[more]
+    return pa.table({"signature": pa.array(sig.view(np.int64), pa.int64()), "node": pa.array([n.tobytes() for n in node], pa.binary()), "need": pa.array(need.astype(np.int16), pa.int16())})
+
+
+def _strong(members: DataFrame) -> DataFrame:
+    """members without the nodes that share fewer signatures than linked ones do, and without signatures of one node."""
+    able = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("node")
+    kept = members.join(able, "node", "left_semi")
+    shared = kept.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
+    return kept.join(shared, "signature", "left_semi")
 
 
 _BITS, _BIT_ROWS = 1 << 26, 1 << 15
@@ -402,9 +421,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("id") != none, F.col("id"))).alias("least"), F.max("id").alias("id"), F.max_by("row_key", "id").alias("row_key"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     nodes = stage(nodes, "node_ids")
     buckets = shuffle_buckets(spark, 2)
-    sent = texts.mapInArrow(lambda it: _send(it, spec, buckets), "bucket int, nodes binary, counts binary, signatures binary")
-    members = stage(sent.groupBy("bucket").applyInArrow(_shared, "signature long, node binary"), "members")
-    active = stage(members.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).join(nodes, "node").select("node", "degree", "id", "row_key", "size", "sketch"), "active")
+    sent = texts.mapInArrow(lambda it: _send(it, spec, buckets), "bucket int, nodes binary, counts binary, needs binary, signatures binary")
+    members = stage(sent.groupBy("bucket").applyInArrow(_shared, "signature long, node binary, need short"), "shared")
+    for _ in range(STRONG_ROUNDS):
+        members = stage(_strong(members), "members")
+    degrees = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min("need").alias("need"))
+    active = stage(degrees.join(nodes, "node").select("node", "degree", "need", "id", "row_key", "size", "sketch"), "active")
 
     def fetch(wanted: DataFrame, name: str) -> DataFrame:
         """(node, shingles) of the wanted nodes; rows whose bit is not set are none of theirs and stay where they are."""
@@ -413,11 +435,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         held = texts.withColumn("place", F.pmod(F.xxhash64("id", "row_key"), F.lit(_BITS))).mapInArrow(lambda it: _blobs(it, spec, bits), "id long, row_key long, shingles binary")
         return stage(few.join(held, ["id", "row_key"]).dropDuplicates(["node"]).select("node", "shingles"), name)
 
-    # Every node against the node of its signature that shares the most signatures, by sketches and then by shingles.
+    # Every node against the node of its signature that shares the most signatures, by sketches and then by shingles. Linked
+    # nodes that share too few signatures with each other as pivot and node meet in a signature of a third node's, below.
     pivots = stage(members.join(active.select("node", "degree"), "node").groupBy("signature").agg(F.max(F.struct("degree", "node")).alias("p")).select("signature", F.col("p.node").alias("pivot")), "pivots")
-    paired = members.join(pivots, "signature").where("node <> pivot").select("node", "pivot").distinct()
+    paired = members.join(pivots, "signature").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("node", "pivot", "n")
     sized = active.select("node", "sketch", "size")
-    pairs = paired.join(sized.toDF("node", "s1", "n1"), "node").join(sized.toDF("pivot", "s2", "n2"), "pivot").select("node", "pivot", "s1", "s2", "n1", "n2")
+    other = active.select(F.col("node").alias("pivot"), F.col("sketch").alias("s2"), F.col("size").alias("n2"), F.col("need").alias("need2"))
+    pairs = paired.join(other, "pivot").where("n >= need2").join(sized.toDF("node", "s1", "n1"), "node").select("node", "pivot", "s1", "s2", "n1", "n2")
     near = stage(pairs.mapInArrow(lambda it: _possible(it, spec), "node binary, pivot binary"), "near")
     sets = fetch(near.select(F.explode(F.array("node", "pivot")).alias("node")).distinct(), "pivot_sets")
     held = near.join(sets.toDF("node", "s1"), "node").join(sets.toDF("pivot", "s2"), "pivot").select("node", "pivot", "s1", "s2")
