@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_katz_backoff": katz.ORACLE,
         "op3_suffix_decontamination": decontaminate.ORACLE,
         "op4_warc_revisits": warc.ORACLE,
         "op5_substring_dedup": repeats.ORACLE,

@@ -296,7 +296,10 @@ def test_warc(spark, tmp_path):
     assert got == sorted(want, key=str)
 
 
-def test_katz(spark, docs):
+def test_katz(spark, docs, tmp_path):
+    g = random.Random(21)  # words of many frequencies
+    zipf = [(600 + i, " ".join(f"z{min(int(g.paretovariate(0.8)), 10**7)}" for _ in range(300)), "x") for i in range(30)]
+    docs = docs.unionByName(spark.createDataFrame(zipf, docs.schema))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     train = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10 != 0]
     toks = lambda t: [lower(w) for w in words(t)] + ["</s>"]
@@ -307,19 +310,24 @@ def test_katz(spark, docs):
         bi.update(zip(["<s>"] + x, x))
     n, v = sum(uni.values()), len(uni)
 
-    def stats(c):
-        return [sum(x == r for x in c.values()) for r in range(1, katz.LARGE + 2)] + [len(c), sum(c.values())]
-
-    import numpy as np
-
-    one, two = katz.Discounts(stats(uni)), katz.Discounts(stats(bi))
-    d = lambda model, c: float(model.of(np.array([float(c)]))[0])
-    p1 = lambda w: d(one, uni[w]) / n if uni[w] else one.unseen
-    assert abs(sum(map(p1, uni)) + one.unseen - 1) < 1e-9
+    def good_turing(c):  # a line through the logarithms of the counts of counts, each spread over its gap
+        hist = sorted(Counter(c.values()).items())
+        r = [x for x, _ in hist]
+        z = [2 * m / ((r[i + 1] if i + 1 < len(r) else 2 * x - ([0, *r][i])) - [0, *r][i]) for i, (x, m) in enumerate(hist)]
+        xs, ys = [math.log(x) for x in r], [math.log(y) for y in z]
+        mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+        slope = sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True)) / sum((x - mx) ** 2 for x in xs)
+        assert slope < -1.05
+        return lambda k: (k + 1) * math.exp(slope * (math.log(k + 1) - math.log(k)))  # (r + 1) S(r + 1) / S(r)
+
+    star1, star2 = good_turing(uni), good_turing(bi)
+    assert all(0 < star(k) < k for star in (star1, star2) for k in (1, 2, 3, 10, 1000))
+    unseen = 1 - sum(star1(k) for k in uni.values()) / n
+    p1 = lambda w: star1(uni[w]) / n if uni[w] else unseen
     ch = Counter(uni) + Counter({"<s>": uni["</s>"]})
     follow = {}
     for (h, w), c in bi.items():
-        follow.setdefault(h, {})[w] = d(two, c) / ch[h]
+        follow.setdefault(h, {})[w] = star2(c) / ch[h]
 
     def p2(h, w):
         f = follow.get(h, {})
@@ -328,7 +336,9 @@ def test_katz(spark, docs):
     for h in list(follow)[:20]:
         assert abs(sum(p2(h, w) for w in uni) + p2(h, "never seen") - 1) < 1e-9
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
-    got = {(r.id, r.n_tokens): r for r in katz.score_documents(docs, fold != 0).collect()}
+    clashing = docs.withColumns({"train": F.lit(1), "batch": F.lit("x"), "hashes": F.lit("y"), "score": F.lit("z")})
+    model, scored = katz.learn_and_score(clashing, fold != 0)
+    got = {(r.id, r.n_tokens): r for r in scored.collect()}
     for i, t in rows:
         x = toks(t)
         r = got[i, len(x)]
@@ -336,6 +346,24 @@ def test_katz(spark, docs):
         assert abs(r.base_score - sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)) < 1e-6
         assert abs(r.score - sum(math.log10(p2(h, w)) for h, w in zip(["<s>"] + x, x))) < 1e-6, i
     assert katz.score_documents(docs.limit(0), fold != 0).count() == 0
+    # Other texts, scored by the stored tables.
+    model.save(str(tmp_path / "lm"))
+    again = katz.KatzModel.load(spark, str(tmp_path / "lm"))
+    other = [(1, TEXTS[3] + " unheard of"), (2, None), (3, prose(200, 41)), (4, "nothing known here"), (5, "one")]
+    for r in again.score(spark.createDataFrame(other, "doc_id long, text string")).collect():
+        x = toks(dict(other)[r.id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(uni[w] > 0 for w in x), n)
+        assert abs(r.score - sum(math.log10(p2(h, w)) for h, w in zip(["<s>"] + x, x))) < 1e-6, r.id
+    nothing = katz.learn_and_score(docs, F.lit(False))[1]
+    assert nothing.where("score <> 0 OR n_known <> 0 OR train_tokens <> 0").count() == 0
+
+
+def test_katz_discounts(spark):
+    """The slope that the tables' own counts show is steep enough for Good-Turing: no discount is a default."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, _ = katz.learn_and_score(docs, F.lit(True))
+    for d in (model.one, model.two):
+        assert d.slope < katz.MAX_SLOPE and d.slope != katz.NO_SLOPE and 0 < d.unseen < 1
 
 
 def test_language(spark):
