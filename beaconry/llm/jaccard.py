@@ -212,17 +212,25 @@ def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterat
 
 def _shared(table: pa.Table) -> pa.Table:
     """(signature, node, need) of the bucket's signatures that at least two different nodes have."""
-    sigs, nodes, needs = [], [], []
-    for r in table.to_pylist():
-        sigs.append(np.frombuffer(r["signatures"], np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 32))
-        n = unpack_ints(r["counts"])
-        nodes.append(np.repeat(np.frombuffer(r["nodes"], np.uint64).reshape(-1, 2), n, axis=0))
-        needs.append(np.repeat(np.frombuffer(r["needs"], np.uint8), n))
-    sig, node, need = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(needs)
+    sigs, owners, nodes, needs, at = [], [], [], [], 0
+    for i in range(table.num_rows):
+        r = {c: table[c][i].as_py() for c in ("nodes", "counts", "needs", "signatures")}
+        sigs.append(np.frombuffer(r["signatures"], np.uint32))
+        nodes.append(np.frombuffer(r["nodes"], np.uint64).reshape(-1, 2))
+        needs.append(np.frombuffer(r["needs"], np.uint8))
+        owners.append(np.repeat(np.arange(at, at + len(nodes[-1]), dtype=np.int32), unpack_ints(r["counts"])))
+        at += len(nodes[-1])
+    bucket = table["bucket"][0].as_py() if table.num_rows else 0
+    sig = np.concatenate(sigs)
+    del sigs
     by = np.argsort(sig)
-    same = sig[by[1:]] == sig[by[:-1]]
-    by = by[np.r_[same, False] | np.r_[False, same]]
-    by = by[np.lexsort((node[by, 1], node[by, 0], sig[by]))]
+    sig = sig[by]
+    same = sig[1:] == sig[:-1]
+    more = np.r_[same, False] | np.r_[False, same]
+    sig, owner = sig[more], np.concatenate(owners)[by[more]]
+    del by, owners, same, more
+    node, need = np.concatenate(nodes)[owner], np.concatenate(needs)[owner]
+    by = np.lexsort((node[:, 1], node[:, 0], sig))
     sig, node, need = sig[by], node[by], need[by]
     if len(sig):
         new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]).any(axis=1)]
@@ -230,7 +238,9 @@ def _shared(table: pa.Table) -> pa.Table:
         same = sig[1:] == sig[:-1]
         more = np.r_[same, False] | np.r_[False, same]
         sig, node, need = sig[more], node[more], need[more]
-    return pa.table({"signature": pa.array(sig.view(np.int64), pa.int64()), "node": pa.array([n.tobytes() for n in node], pa.binary()), "need": pa.array(need.astype(np.int16), pa.int16())})
+    node = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(node), [None, pa.py_buffer(np.ascontiguousarray(node))]).cast(pa.binary())
+    whole = sig.astype(np.int64) | np.int64(bucket << 32)
+    return pa.table({"signature": pa.array(whole, pa.int64()), "node": node, "need": pa.array(need.astype(np.int16), pa.int16())})
 
 
 def _strong(members: DataFrame) -> DataFrame:
@@ -420,7 +430,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stage(texts.mapInArrow(lambda it: _nodes(it, spec), "id long, row_key long, n_shingles long, node binary, sketch binary"), "nodes")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("id") != none, F.col("id"))).alias("least"), F.max("id").alias("id"), F.max_by("row_key", "id").alias("row_key"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     nodes = stage(nodes, "node_ids")
-    buckets = shuffle_buckets(spark, 2)
+    buckets = shuffle_buckets(spark)
     sent = texts.mapInArrow(lambda it: _send(it, spec, buckets), "bucket int, nodes binary, counts binary, needs binary, signatures binary")
     members = stage(sent.groupBy("bucket").applyInArrow(_shared, "signature long, node binary, need short"), "shared")
     for _ in range(STRONG_ROUNDS):
