@@ -29,7 +29,8 @@ def cookieless_id(ip: Column, user_agent: Column, project: Column, ms: Column) -
 
 
 def exact_hash(kind: Column, message: Column, stack: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", kind, message, stack), 256)
+    """SHA-256 of the three texts; a missing one is empty."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in (kind, message, stack)]), 256)
 
 
 def trimmed(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.functions import scalars as fn
+from beaconry.operators.web import merge_context
 from beaconry.operators.stacks import LANGUAGE_ALIASES, LANGUAGES, parse_stacks, stack_dictionary
 
 # The domain and tags of the fingerprint's byte layout.
@@ -39,16 +40,54 @@ class Policy:
     exclusions: tuple[tuple[str, str, str], ...] = ()
 
 
+def policy_column(p: Policy) -> Column:
+    """A policy as a struct, as policies() has one a project."""
+    rules = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("how", "field", "text"), r, strict=True)]) for r in p.exclusions]).cast(_RULES)
+    flags = [F.lit(n in p.fields).alias(n) for n in ("function", "module", "file")]
+    return F.struct(F.lit(p.segments).alias("segments"), F.lit(p.include_kind).alias("include_kind"), F.lit(p.raw_bytes).cast("int").alias("raw_bytes"), F.lit(p.max_frames).alias("max_frames"), *flags, F.lit(p.include_runtime).alias("include_runtime"), F.lit(p.deduplicate).alias("deduplicate"), rules.alias("exclusions"))
+
+
+_RULES = "array<struct<how:string,field:string,text:string>>"
+# Names of the settings table's choices.
+_SEGMENTS = {"terminal_cause_frames": "terminal", "root": "root", "root_and_terminal_cause": "root_and_cause", "error_kind_only": "kind_only"}
+
+
+def policies(settings: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """(project_id, mode, policy) from the settings rows and the exclusion rows (in order of position) of each project."""
+    rules = exclusions.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "matcher", "field", "pattern"))), lambda r: F.struct(r["matcher"].alias("how"), r["field"].alias("field"), r["pattern"].alias("text"))).alias("rules"))
+    segments = F.create_map(*[F.lit(x) for kv in _SEGMENTS.items() for x in kv])[F.col("segment_selection")]
+    raw = F.when(F.col("raw_stack_policy") == "bounded", F.when(F.col("raw_stack_max_bytes") > 0, F.col("raw_stack_max_bytes")).otherwise(1 << 20)).cast("int")
+    policy = F.struct(
+        segments.alias("segments"), F.col("include_error_kind").alias("include_kind"), raw.alias("raw_bytes"), F.greatest("max_frames", F.lit(0)).alias("max_frames"), F.col("include_function").alias("function"), F.col("include_module").alias("module"), F.col("include_file").alias("file"),
+        (F.col("runtime_frame_policy") == "include").alias("include_runtime"), (F.col("adjacent_frame_policy") == "deduplicate").alias("deduplicate"), F.coalesce("rules", F.array().cast(_RULES)).alias("exclusions"),
+    )
+    return settings.join(rules, "project_id", "left").select("project_id", "mode", policy.alias("policy"))
+
+
 def build_occurrences(errors: DataFrame) -> DataFrame:
-    """Occurrence rows: release is the item's build, else the request's; count is at least 1; unknown languages go."""
+    """Occurrence rows: release is the item's build, else the request's; count is at least 1; unknown languages go.
+
+    A stack given as lines is joined; texts that are missing are empty, and so are columns that errors does not have. The
+    context is the request's, merged with the item's.
+    """
     lang = F.lower(F.coalesce("language", F.lit("java")))
     named = F.coalesce(F.create_map(*[F.lit(x) for kv in LANGUAGE_ALIASES.items() for x in kv])[lang], lang)
-    return errors.withColumns({
-        "language": named, "release": F.coalesce("item_build", "request_build", F.lit("")), "handled": F.coalesce("handled", F.lit(False)), "environment": F.lit("prod"),
+    text = lambda *names: F.coalesce(*[F.col(n) for n in names if n in errors.columns], F.lit(""))
+    if dict(errors.dtypes).get("stack", "").startswith("array"):
+        errors = errors.withColumn("stack", F.array_join("stack", "\n"))
+    out = errors.withColumns({"stack": text("stack"), "message": text("message"), "context": merge_context(text_or(errors, "request_context"), F.col("item_context")) if "item_context" in errors.columns else text_or(errors, "request_context")})
+    return out.withColumns({
+        "language": named, "release": text("item_build", "request_build"), "handled": F.coalesce("handled", F.lit(False)), "environment": F.lit("prod"),
         "count": F.when(F.coalesce("n", F.lit(1)) < 0, 1).otherwise(F.coalesce("n", F.lit(1))).cast("long"), "exact_hash": fn.exact_hash(F.col("kind"), F.col("message"), F.col("stack")),
+        "error_type": F.col("kind"), "error_message": F.col("message"), "stacktrace": F.col("stack"), "mapped_stacktrace": F.lit(None).cast("string"), "mapping_used": F.lit(None).cast("string"),
+        "identifier": text("identifier"), "session_id": text("item_session", "session_id"), "window_id": text("window_id"), "sdk_name": text("sdk_name"), "sdk_version": text("sdk_version"),
     }).where(F.col("language").isin(list(LANGUAGES)))
 
 
+def text_or(df: DataFrame, name: str, default: str = "{}") -> Column:
+    return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
+
+
 def normalize_function(language: Column, f: Column) -> Column:
     t = F.nullif(fn.trimmed(f), F.lit(""))
     java = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\$\$Lambda\$[0-9a-fA-FxX/]*", r"\$\$Lambda"), r"\$Proxy[0-9]+", r"\$Proxy"), r"\$[0-9]+", r"\$anon")
@@ -76,21 +115,19 @@ def normalize_frames(language: Column, frames: Column) -> Column:
     return F.zip_with(marked, flags, lambda m, r: F.struct(m["function"].alias("function"), m["module"].alias("module"), m["file"].alias("file"), r.alias("runtime")))
 
 
-def _outside(how: str, field: str, text: str):
-    tests = {"exact": lambda x: x == text, "prefix": lambda x: x.startswith(text), "suffix": lambda x: x.endswith(text), "contains": lambda x: x.contains(text)}
-    return lambda f: ~F.coalesce(tests[how](f[field]), F.lit(False))
+def _excluded(f: Column, rule: Column) -> Column:
+    value = F.when(rule["field"] == "function", f["function"]).when(rule["field"] == "module", f["module"]).otherwise(f["file"])
+    text, how = rule["text"], rule["how"]
+    return F.coalesce(F.when(how == "exact", value == text).when(how == "prefix", F.startswith(value, text)).when(how == "suffix", F.endswith(value, text)).when(how == "contains", F.contains(value, text)), F.lit(False))
 
 
-def selected_frames(policy: Policy) -> Column:
-    """The frames of column `normal` that count: runtime, exclusions, empty identities, adjacent repeats, then the limit."""
+def selected_frames(policy: Column) -> Column:
+    """The frames of column `normal` that count: runtime, exclusions, empty identities (then adjacent repeats and the limit)."""
     c = F.col("normal")
-    if not policy.include_runtime:
-        c = F.when(F.exists(c, lambda f: ~f["runtime"]), F.filter(c, lambda f: ~f["runtime"])).otherwise(c)
-    for rule in policy.exclusions:
-        c = F.filter(c, _outside(*rule))
-    pick = lambda f, n: (f[n] if n in policy.fields else F.lit(None).cast("string")).alias(n)
-    c = F.filter(F.transform(c, lambda f: F.struct(*[pick(f, n) for n in ("function", "module", "file")])), lambda f: F.coalesce(f["function"], f["module"], f["file"]).isNotNull())
-    return c
+    c = F.when(~policy["include_runtime"] & F.exists(c, lambda f: ~f["runtime"]), F.filter(c, lambda f: ~f["runtime"])).otherwise(c)
+    c = F.filter(c, lambda f: ~F.exists(policy["exclusions"], lambda rule: _excluded(f, rule)))
+    picked = F.transform(c, lambda f: F.struct(*[F.when(policy[n], f[n]).alias(n) for n in ("function", "module", "file")]))
+    return F.filter(picked, lambda f: F.coalesce(f["function"], f["module"], f["file"]).isNotNull())
 
 
 def _field(b: Column) -> Column:
@@ -116,54 +153,50 @@ def _segment(relation: Column, kind: Column, frames: Column | None) -> Column:
 def fingerprints(stacks: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Parsed stacks (stack_id, language, kind, stack, status, segments) with group_hash and outcome.
 
-    One row a stack and reported kind: its chosen segment's frames, else a bounded part of the raw stack, else the kind.
+    One row a stack and reported kind: its chosen segments' frames, else a bounded part of the raw stack, else the kind.
+    A column `policy` (see policies) has each row's own policy.
     """
+    own = F.col("policy")
     cause = F.array_max(F.transform(F.filter("segments", lambda s: s["relation"].isin(1, 2)), lambda s: F.struct((-s["depth"]).alias("d"), s["seg"].alias("seg"), s.alias("s"))))["s"]
-    root = F.get("segments", F.lit(0))
-    df = stacks.withColumns({"parsed": (F.col("status") == "ok") & F.col("segments").isNotNull(), "sdk_kind": fn.blank_to_null(F.col("kind")), "cause": cause, "root": root})
-    terminal = policy.segments == "terminal"
-    df = df.withColumn("chosen", F.coalesce("cause", "root") if terminal else F.col("root"))
-
-    def kept(df: DataFrame, source: str, name: str) -> DataFrame:
-        out = df.withColumn("frames", F.coalesce(F.col(source)["frames"], F.array().cast("array<struct<function:string,module:string,file:string>>")))
-        out = out.withColumn("normal", normalize_frames(F.col("language"), F.col("frames"))).withColumn(name, selected_frames(policy) if policy.fields and policy.segments != "kind_only" else F.lit(None))
-        if policy.deduplicate and policy.fields and policy.segments != "kind_only":
-            out = out.withColumn(name, F.expr(f"filter({name}, (f, i) -> i = 0 OR NOT (f <=> {name}[i - 1]))"))
-        return out.withColumn(name, F.slice(name, 1, policy.max_frames)).drop("frames", "normal") if policy.segments != "kind_only" and policy.fields else out.drop("frames", "normal")
-
-    df = kept(df, "chosen", "used")
+    df = stacks if "policy" in stacks.columns else stacks.withColumn("policy", policy_column(policy))
+    df = df.withColumns({"parsed": (F.col("status") == "ok") & F.col("segments").isNotNull(), "sdk_kind": fn.blank_to_null(F.col("kind")), "cause": cause, "root": F.get("segments", F.lit(0))})
+    terminal, both = own["segments"] == "terminal", own["segments"] == "root_and_cause"
+    kind_only = (own["segments"] == "kind_only") | ~(own["function"] | own["module"] | own["file"])
+    df = df.withColumn("chosen", F.when(terminal, F.coalesce("cause", "root")).otherwise(F.col("root")))
+
+    def kept(df: DataFrame, source: Column, name: str) -> DataFrame:
+        none = F.array().cast("array<struct<function:string,module:string,file:string>>")
+        out = df.withColumn("frames", F.coalesce(F.when(~kind_only, source["frames"]), none)).withColumn("normal", normalize_frames(F.col("language"), F.col("frames")))
+        out = out.withColumn(name, selected_frames(own))
+        out = out.withColumn(name, F.expr(f"filter({name}, (f, i) -> NOT policy.deduplicate OR i = 0 OR NOT (f <=> {name}[i - 1]))"))
+        return out.withColumn(name, F.slice(name, F.lit(1), own["max_frames"])).drop("frames", "normal")
+
+    df = kept(kept(df, F.col("chosen"), "used"), F.when(both, F.col("cause")), "cause_used")
     lower = lambda c: F.when(F.col("language") == "php", F.lower(fn.blank_to_null(c))).otherwise(fn.blank_to_null(c))
-    known = F.when(F.size(F.col("chosen")["frames"]) == 0, F.coalesce(F.col("chosen")["kind"], "sdk_kind")) if terminal else F.coalesce("sdk_kind", F.col("root")["kind"])
-    kind = lower(known) if policy.include_kind else F.lit(None).cast("string")
+    told = lambda c: F.when(own["include_kind"], lower(c))
+    known = F.when(terminal, F.when(F.size(F.col("chosen")["frames"]) == 0, F.coalesce(F.col("chosen")["kind"], "sdk_kind"))).otherwise(F.coalesce("sdk_kind", F.col("root")["kind"]))
     tag = F.create_map(*[F.lit(x) for k, v in LANGUAGES.items() for x in (k, f"{v:02x}")])[F.col("language")]
     head = lambda k: F.concat(_field(F.encode(F.lit(DOMAIN), "UTF-8")), F.unhex(tag), _opt(k))
-    empty_root = _segment(F.lit(0), F.lit(None).cast("string"), None)
-    frames = F.col("used") if policy.fields and policy.segments != "kind_only" else None
-    count = F.size("used") if frames is not None else F.lit(0)
-    body = empty_root if policy.segments == "kind_only" else _segment(F.lit(0) if terminal else F.col("root")["relation"], F.lit(None).cast("string"), frames)
-    if policy.segments == "root_and_cause":
-        df = kept(df.withColumn("first_used", F.col("used")), "cause", "cause_used")
-        extra = _segment(F.col("cause")["relation"], lower(F.col("cause")["kind"]) if policy.include_kind else F.lit(None).cast("string"), F.col("cause_used") if frames is not None else None)
-        body = F.when(F.col("cause").isNotNull(), F.concat(body, extra)).otherwise(body)
-        count = count + F.when(F.col("cause").isNotNull(), F.size("cause_used")).otherwise(0) if frames is not None else count
-    sdk = lower(F.col("sdk_kind")) if policy.include_kind else F.lit(None).cast("string")
-    raw = F.encode("stack", "UTF-8")
-    if policy.raw_bytes is None:
-        raw_part = empty_root
-    else:
-        half = policy.raw_bytes // 2
-        size = F.octet_length(raw)
-        # Cuts move outward from the middle of a character: continuation bytes start with the bits 10.
-        back = lambda at: at - F.expr("0") - _over(raw, at, -1)
-        ends = F.concat(_field(F.substring(raw, 1, back(F.lit(half)))), _field(F.substring(raw, size - (policy.raw_bytes - half) + _over(raw, size - (policy.raw_bytes - half), 1) + 1, policy.raw_bytes)))
-        raw_part = F.concat(_tag(RAW), _field(F.unhex(F.lpad(F.hex(size.cast("long")), 16, "0"))), F.when(size <= policy.raw_bytes, _field(raw)).otherwise(ends))
-    content = F.when(F.col("parsed"), F.concat(head(kind), body)).when(F.col("status") == "empty", F.concat(head(sdk), empty_root)).otherwise(F.concat(head(sdk), raw_part))
+    nothing = F.lit(None).cast("string")
+    empty_root = _segment(F.lit(0), nothing, None)
+    body = _segment(F.when(terminal | (own["segments"] == "kind_only"), 0).otherwise(F.col("root")["relation"]), nothing, F.col("used"))
+    with_cause = both & F.col("cause").isNotNull()
+    body = F.when(with_cause, F.concat(body, _segment(F.col("cause")["relation"], told(F.col("cause")["kind"]), F.col("cause_used")))).otherwise(body)
+    count = F.size("used") + F.when(with_cause, F.size("cause_used")).otherwise(0)
+    raw, size, most = F.encode("stack", "UTF-8"), F.octet_length(F.encode("stack", "UTF-8")), own["raw_bytes"]
+    half = F.expr("cast(policy.raw_bytes div 2 as int)")
+    # Cuts move outward from the middle of a character: continuation bytes start with the bits 10.
+    tail = size - (most - half)
+    ends = F.concat(_field(F.substring(raw, F.lit(1), half - _over(raw, half, -1))), _field(F.substring(raw, tail + _over(raw, tail, 1) + 1, most)))
+    raw_part = F.when(most.isNull(), empty_root).otherwise(F.concat(_tag(RAW), _field(F.unhex(F.lpad(F.hex(size.cast("long")), 16, "0"))), F.when(size <= most, _field(raw)).otherwise(ends)))
+    sdk = head(told(F.col("sdk_kind")))
+    content = F.when(F.col("parsed"), F.concat(head(told(known)), body)).when(F.col("status") == "empty", F.concat(sdk, empty_root)).otherwise(F.concat(sdk, raw_part))
     why = F.when(F.col("status") == "ok", "unrecognized").otherwise(F.col("status"))
     warned = F.when(F.exists("segments", lambda s: F.coalesce(s["warned"], F.lit(False))), ",warned").otherwise("")
-    policy_only = policy.segments == "kind_only" or not policy.fields
-    outcome = F.when(F.col("parsed") & (count > 0), F.concat(F.lit("frames:"), count.cast("string"), warned)).when(F.col("parsed"), F.lit("kind_only:policy" if policy_only else "kind_only:no_usable_frames")).when(F.col("status") == "empty", "kind_only:empty").otherwise(F.concat(F.lit("raw_fallback:" if policy.raw_bytes is not None else "kind_only:"), why))
+    outcome = F.when(F.col("parsed") & (count > 0), F.concat(F.lit("frames:"), count.cast("string"), warned)).when(F.col("parsed"), F.when(kind_only, "kind_only:policy").otherwise("kind_only:no_usable_frames"))
+    outcome = outcome.when(F.col("status") == "empty", "kind_only:empty").otherwise(F.concat(F.when(most.isNotNull(), "raw_fallback:").otherwise("kind_only:"), why))
     hashed = F.concat(F.lit("eg1_"), F.sha2(F.concat(content, _tag(END)), 256))
-    return df.withColumn("group_hash", hashed).withColumn("outcome", outcome).select("stack_id", "language", "kind", "group_hash", "outcome")
+    return df.withColumn("group_hash", hashed).withColumn("outcome", outcome)
 
 
 def _over(raw: Column, at: Column, way: int) -> Column:
@@ -173,12 +206,22 @@ def _over(raw: Column, at: Column, way: int) -> Column:
     return F.when(~inside(at), 0).when(~inside(at + way), 1).when(~inside(at + 2 * way), 2).otherwise(3)
 
 
-def group_errors(errors: DataFrame, policy: Policy = Policy(), languages: tuple[str, ...] = tuple(LANGUAGES)) -> DataFrame:
-    """Occurrences with group_hash and outcome; each distinct stack is parsed once. languages: those that occur."""
-    parsed = parse_stacks(stack_dictionary(errors), languages)
-    pairs = errors.select("language", "kind", "stack").distinct().join(parsed, ["language", "stack"])
-    hashed = fingerprints(pairs, policy).select("stack_id", "kind", "group_hash", "outcome").join(parsed.select("stack_id", "language", "stack"), "stack_id")
-    return errors.join(hashed.drop("stack_id"), ["language", "kind", "stack"], "left")
+def group_errors(errors: DataFrame, policy: Policy = Policy(), languages: tuple[str, ...] = tuple(LANGUAGES), policies: DataFrame | None = None) -> DataFrame:
+    """Occurrences with group_hash and outcome; each distinct stack is parsed once. languages: those that occur.
+
+    policies has the policies of projects; policy holds for the others. A project in mode `legacy` keeps the older hash for
+    the languages that have one.
+    """
+    errors = errors.withColumns({"stack": F.coalesce("stack", F.lit("")), "kind": F.coalesce("kind", F.lit(""))})
+    keys = ["language", "kind", "stack"] + (["project_id"] if policies is not None else [])
+    pairs = errors.select(*keys).distinct().join(parse_stacks(stack_dictionary(errors), languages), ["language", "stack"])
+    if policies is not None:
+        pairs = pairs.join(policies.select("project_id", "mode", F.col("policy").alias("own")), "project_id", "left").withColumn("policy", F.coalesce("own", policy_column(policy))).drop("own")
+    hashed = fingerprints(pairs, policy)
+    if policies is not None:
+        old = (F.col("mode") == "legacy") & F.col("legacy_hash").isNotNull()
+        hashed = legacy_group_hash(hashed).withColumns({"group_hash": F.when(old, F.col("legacy_hash")).otherwise(F.col("group_hash")), "outcome": F.when(old, "legacy").otherwise(F.col("outcome"))})
+    return errors.join(hashed.select(*keys, "group_hash", "outcome"), keys, "left")
 
 
 # Replacements of the older group hash, in order, and how many lines of each language it reads.

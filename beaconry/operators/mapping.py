@@ -106,7 +106,7 @@ def enrich_occurrences(grouped: DataFrame, mapped: DataFrame, regroup) -> DataFr
 
     grouped has stack_id, release, kind, message, stack, group_hash, exact_hash; regroup groups errors anew.
     """
-    joined = grouped.join(mapped.withColumnRenamed("build", "release"), ["stack_id", "release"], "left")
+    joined = grouped.drop("mapped_stacktrace", "mapping_used").join(mapped.withColumnRenamed("build", "release"), ["stack_id", "release"], "left")
     plain = joined.where("mapped_stacktrace IS NULL")
     fresh = joined.where("mapped_stacktrace IS NOT NULL").drop("group_hash", "outcome").withColumn("raw_stack", F.col("stack")).withColumn("stack", F.col("mapped_stacktrace"))
     fresh = regroup(fresh).withColumn("exact_hash", fn.exact_hash(F.col("kind"), F.col("message"), F.col("mapped_stacktrace"))).withColumn("stack", F.col("raw_stack")).drop("raw_stack")

@@ -23,7 +23,11 @@ FRAME = "struct<function:string,module:string,file:string>"
 
 
 def stack_dictionary(errors: DataFrame) -> DataFrame:
-    """Distinct (language, stack) with stack_id and parse status; the first limit that a stack breaks names it."""
+    """Distinct (language, stack) with stack_id and parse status; the first limit that a stack breaks names it.
+
+    A missing stack is an empty one.
+    """
+    errors = errors.withColumn("stack", F.coalesce("stack", F.lit("")))
     lines = F.split("stack", "\n")
     status = (
         F.when(F.octet_length("stack") > MAX_BYTES, "input_too_large")

@@ -122,7 +122,7 @@ def q_frames_norm(spark, sf_dir):
     parsed = stacks.parse_stacks(stacks.stack_dictionary(errors))
     cause = F.array_max(F.transform(F.filter("segments", lambda s: s["relation"].isin(1, 2)), lambda s: F.struct((-s["depth"]).alias("d"), s["seg"].alias("seg"), s.alias("s"))))["s"]
     df = parsed.withColumn("frames", F.coalesce(cause, F.get("segments", F.lit(0)))["frames"]).withColumn("normal", grouping.normalize_frames(F.col("language"), F.col("frames")))
-    used = df.select("language", "stack", F.posexplode(grouping.selected_frames(grouping.Policy())).alias("frame", "f"))
+    used = df.select("language", "stack", F.posexplode(grouping.selected_frames(grouping.policy_column(grouping.Policy()))).alias("frame", "f"))
     digits = errors.select("language", "stack", (F.col("raw_user") % 10).alias("n")).distinct()
     return used.join(digits, ["language", "stack"]).select("language", "n", "frame", "f.function", "f.module", "f.file").distinct()
 
@@ -146,6 +146,56 @@ def q_error_groups(spark, sf_dir):
     return usage.error_groups(grouped(spark, sf_dir))
 
 
+# Bytes of a fingerprint: its head with the kind, and a segment.
+def _kind_bytes(kind: str) -> str:
+    return f"unhex('01') || unhex(printf('%016x', octet_length(encode({kind})))) || encode({kind})"
+
+
+_KIND = "CASE WHEN language = 'php' THEN lower(kind) ELSE kind END"
+_HEAD = "unhex(printf('%016x', 29)) || encode('error-grouping/fingerprint/v1') || unhex(CASE language " + " ".join(f"WHEN '{k}' THEN '{v:02x}'" for k, v in stacks.LANGUAGES.items()) + " END)"
+_KIND_ONLY = f"'eg1_' || sha256({_HEAD} || {_kind_bytes(_KIND)} || unhex('1000002fff'))"
+_RAW = f"'eg1_' || sha256({_HEAD} || {_kind_bytes(_KIND)} || unhex('40') || unhex('0000000000000008') || unhex(printf('%016x', octet_length(encode(stack)))) || unhex(printf('%016x', octet_length(encode(stack)))) || encode(stack) || unhex('ff'))"
+
+
+@query(f"""SELECT request_id, coalesce(message, '') AS error_message, coalesce(stack, '') AS stacktrace, sha256(kind || chr(31) || coalesce(message, '') || chr(31) || coalesce(stack, '')) AS exact_hash,
+ CASE WHEN trim(coalesce(stack, '')) = '' THEN {_KIND_ONLY} WHEN stack = 'not a stack' THEN {_RAW} ELSE {_hash_sql()} END AS group_hash,
+ CASE WHEN trim(coalesce(stack, '')) = '' THEN 'kind_only:empty' WHEN stack = 'not a stack' THEN 'raw_fallback:unrecognized' ELSE 'frames:' || CASE language WHEN 'java' THEN '2' WHEN 'javascript' THEN '3' WHEN 'python' THEN '1' WHEN 'php' THEN '3' ELSE '2' END END AS outcome,
+ coalesce(session_id, '') AS session_id, '' AS sdk_name FROM @fx_error_gaps@""")
+def q_error_gaps(spark, sf_dir):
+    out = grouping.group_errors(grouping.build_occurrences(load(spark, sf_dir, "fx_error_gaps")))
+    return out.select("request_id", "error_message", "stacktrace", "exact_hash", "group_hash", "outcome", "session_id", "sdk_name")
+
+
+# Functions of each language's root and terminal cause, normalised by hand, and the cause's kind.
+_BOTH = {
+    "java": (["com.shop.CartN.total", "com.shop.Main$anon.run"], ["com.shop.DiskN.read", "com.shop.Main$anon.run"], "java.io.IOException"),
+    "python": (["totalN", "main"], ["read"], "OSError"),
+}
+
+
+def _functions(names: list[str]) -> str:
+    return " || ".join(f"unhex('20') || {_bytes(f)} || unhex('0000')" for f in names)
+
+
+def _both_sql() -> str:
+    parts = []
+    for language in _USED:
+        root, cause, kind = _BOTH.get(language, ([f for f, _, _ in _USED[language]], None, None))
+        more = f" || unhex('1001') || {_bytes(kind)} || {_functions(cause)} || unhex('2f')" if cause else ""
+        parts.append(f"WHEN '{language}' THEN 'eg1_' || sha256({_HEAD} || {_kind_bytes(_KIND)} || unhex('100000') || {_functions(root)} || unhex('2f'){more} || unhex('ff'))")
+    return "CASE language " + " ".join(parts) + " END"
+
+
+def _first_sql() -> str:
+    return "CASE language " + " ".join(f"WHEN '{k}' THEN 'eg1_' || sha256({_HEAD} || unhex('00') || unhex('100000') || unhex('20') || {_bytes(v[0][0])} || {_bytes(v[0][1])} || {_bytes(v[0][2])} || unhex('2fff'))" for k, v in _USED.items()) + " END"
+
+
+@query(f"""SELECT request_id, CASE right(project_id, 1) WHEN '0' THEN {_KIND_ONLY} WHEN '1' THEN {_first_sql()} WHEN '2' THEN {_both_sql()} WHEN '3' THEN CASE WHEN language = 'rust' THEN 'eg1_' || sha256({_HEAD} || unhex('00') || unhex('100000') || unhex('20') || {_bytes("shop::cart::totalN")} || {_bytes(None)} || {_bytes("src/cart.rs")} || unhex('2fff')) ELSE {_hash_sql()} END ELSE {_hash_sql()} END AS group_hash FROM @fx_errors@""")
+def q_project_grouping(spark, sf_dir):
+    chosen = grouping.policies(load(spark, sf_dir, "fx_grouping"), load(spark, sf_dir, "fx_exclusions"))
+    return grouping.group_errors(occurrences(spark, sf_dir), policies=chosen).select("request_id", "group_hash")
+
+
 _D = "cast(raw_user % 10 AS string)"
 
 

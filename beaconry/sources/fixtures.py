@@ -85,6 +85,16 @@ SELECT event_id AS request_id, 1704067200000 + event_id * 200 AS received_ms, '0
        cast(event_id % 5 AS int) - 1 AS n, CASE WHEN event_id % 3 = 0 THEN 'b' || cast(event_id % 6 AS string) END AS item_build, 'r' || cast(user_id % 4 AS string) AS request_build,
        CASE WHEN event_id % 4 = 0 THEN true END AS handled, 's' || cast(user_id AS string) AS session_id, user_id AS raw_user
 FROM @events@ WHERE event_type = 'error'""",
+    "fx_error_gaps": """
+SELECT request_id, project_id, language, kind, CASE WHEN request_id % 3 = 0 THEN NULL ELSE message END AS message, CASE request_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'not a stack' ELSE stack END AS stack, n, item_build, request_build,
+       handled, CASE WHEN request_id % 7 = 0 THEN NULL ELSE session_id END AS session_id, raw_user FROM @fx_errors@""",
+    "fx_grouping": """
+SELECT project_id, 'modern' AS mode, CASE right(project_id, 1) WHEN '0' THEN 'error_kind_only' WHEN '2' THEN 'root_and_terminal_cause' ELSE 'terminal_cause_frames' END AS segment_selection, true AS include_error_kind, 'bounded' AS raw_stack_policy, 1048576 AS raw_stack_max_bytes,
+       CASE right(project_id, 1) WHEN '1' THEN 1 ELSE 8 END AS max_frames, true AS include_function, right(project_id, 1) <> '2' AS include_module, right(project_id, 1) <> '2' AS include_file, 'exclude_when_application_frame_exists' AS runtime_frame_policy, 'deduplicate' AS adjacent_frame_policy
+FROM (SELECT DISTINCT project_id FROM @fx_errors@) WHERE right(project_id, 1) <> '4'""",
+    "fx_exclusions": """
+SELECT project_id, 1 AS position, 'function' AS field, 'prefix' AS matcher, 'shop::main' AS pattern FROM (SELECT DISTINCT project_id FROM @fx_errors@) WHERE right(project_id, 1) = '3'
+UNION ALL SELECT project_id, 2, 'module', 'exact', 'nowhere' FROM (SELECT DISTINCT project_id FROM @fx_errors@) WHERE right(project_id, 1) = '3'""",
     "fx_vitals": """
 SELECT l_orderkey AS request_id, 1704067200000 + l_orderkey * 50 AS received_ms, cast(l_linenumber AS int) AS pos,
        """ + _pick("cast(l_linenumber AS int) - 1", ["LCP", "FCP", "INP", "CLS", "TTFB", "FID", "CUSTOM"]) + """ AS metric,
