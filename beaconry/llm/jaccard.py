@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from beaconry.llm.shared import SMALL_CHUNK, SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, rolling, shuffle_buckets, stage, unpack_ints
 
+#: Text bytes of a chunk: every text byte becomes several of signatures.
+CHUNK = SMALL_CHUNK // 2
 #: Rounds in which nodes that share too few signatures for any link are left out.
 STRONG_ROUNDS = 2
 #: Shingles of a verification block on average, what a node counts besides its own, and cells of its count sketch.
@@ -92,7 +94,8 @@ class Spec:
                         best = (rank, Scheme(groups, parts, kept, spare))
         return best[1] if best else Scheme(k // 2 + 2, 3, 1, 1)
 
-    def linked(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def linked(self, both, a, b):
+        """Whether sets of a and b shingles with `both` in common are similar enough; arrays or columns."""
         return 100 * both >= self.percent * (a + b - both)
 
 
@@ -181,7 +184,7 @@ def _band_signatures(s: Sets, rows: np.ndarray, band: int, scheme: Scheme) -> tu
 
 def _nodes(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch, "text", SMALL_CHUNK):
+        for part in chunks(batch, "text", CHUNK):
             s = Sets(part.column(2), spec)
             nodes = [s.node(i) if n else None for i, n in enumerate(s.sizes.tolist())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(_sketches(s), pa.binary())], names=["id", "row_key", "n_shingles", "node", "sketch"])
@@ -190,7 +193,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordB
 def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterator[pa.RecordBatch]:
     """Signatures by bucket. Within a bucket four bytes stand for one: two that fall together only make more candidates."""
     for batch in batches:
-        for part in chunks(batch, "text", SMALL_CHUNK):
+        for part in chunks(batch, "text", CHUNK):
             s = Sets(part.column(2), spec)
             full = np.flatnonzero(s.sizes)
             if not len(full):
@@ -276,9 +279,10 @@ def _blobs(batches: Iterator[pa.RecordBatch], spec: Spec, bits) -> Iterator[pa.R
     for batch in batches:
         place = batch.column(3).to_numpy(zero_copy_only=False)
         batch = batch.filter(pa.array((table[place >> 3] >> (place & 7)) & 1 > 0))
-        for part in chunks(batch, "text", SMALL_CHUNK):
+        for part in chunks(batch, "text", CHUNK):
             s = Sets(part.column(2), spec)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.all[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary())], names=["id", "row_key", "shingles"])
+            shingles = pa.ListArray.from_arrays(pa.array(s.first, pa.int32()), pa.array(s.all.view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), shingles], names=["id", "row_key", "shingles"])
 
 
 def _possible(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
@@ -292,18 +296,6 @@ def _possible(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["node", "pivot"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            short, long = (a, b) if len(a) <= len(b) else (b, a)
-            at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-            keep.append(bool(spec.linked(int((long[at] == short).sum()), len(a), len(b))))
-        out = batch.filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
     """Whole pairs of blocks (equal in the first four columns) of a partition that is sorted by them, and where each ends."""
     held: list[pa.RecordBatch] = []
@@ -353,9 +345,10 @@ def _survivors(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Rec
 def _block_links(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
     """Links between groups in each pair of blocks, one for each two groups that it joins."""
     for table in (whole.slice(a, b - a) for whole, ends in _groups(batches) for a, b in zip([0, *ends[:-1]], ends, strict=True)):
-        rows = table.select(["node", "outer", "value"]).to_pydict()
-        sets = [np.frombuffer(x, np.uint64) for x in rows["value"]]
-        sizes = np.array([len(x) for x in sets])
+        rows = table.select(["node", "outer"]).to_pydict()
+        lists = table["value"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        sets = np.split(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(sizes)[:-1])
         group = np.unique(_fixed(table["comp"], "S16"), return_inverse=True)[1]
         parent = list(range(int(group.max()) + 1))
 
@@ -430,7 +423,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stage(texts.mapInArrow(lambda it: _nodes(it, spec), "id long, row_key long, n_shingles long, node binary, sketch binary"), "nodes")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("id") != none, F.col("id"))).alias("least"), F.max("id").alias("id"), F.max_by("row_key", "id").alias("row_key"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     nodes = stage(nodes, "node_ids")
-    buckets = shuffle_buckets(spark)
+    buckets = shuffle_buckets(spark, 8)
     sent = texts.mapInArrow(lambda it: _send(it, spec, buckets), "bucket int, nodes binary, counts binary, needs binary, signatures binary")
     members = stage(sent.groupBy("bucket").applyInArrow(_shared, "signature long, node binary, need short"), "shared")
     for _ in range(STRONG_ROUNDS):
@@ -442,7 +435,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """(node, shingles) of the wanted nodes; rows whose bit is not set are none of theirs and stay where they are."""
         few = active.select("id", "row_key", "node").join(wanted, "node", "left_semi")
         bits = spark.sparkContext.broadcast(_bitmap(few))
-        held = texts.withColumn("place", F.pmod(F.xxhash64("id", "row_key"), F.lit(_BITS))).mapInArrow(lambda it: _blobs(it, spec, bits), "id long, row_key long, shingles binary")
+        held = texts.withColumn("place", F.pmod(F.xxhash64("id", "row_key"), F.lit(_BITS))).mapInArrow(lambda it: _blobs(it, spec, bits), "id long, row_key long, shingles array<long>")
         return stage(few.join(held, ["id", "row_key"]).dropDuplicates(["node"]).select("node", "shingles"), name)
 
     # Every node against the node of its signature that shares the most signatures, by sketches and then by shingles. Linked
@@ -454,8 +447,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = paired.join(other, "pivot").where("n >= need2").join(sized.toDF("node", "s1", "n1"), "node").select("node", "pivot", "s1", "s2", "n1", "n2")
     near = stage(pairs.mapInArrow(lambda it: _possible(it, spec), "node binary, pivot binary"), "near")
     sets = fetch(near.select(F.explode(F.array("node", "pivot")).alias("node")).distinct(), "pivot_sets")
-    held = near.join(sets.toDF("node", "s1"), "node").join(sets.toDF("pivot", "s2"), "pivot").select("node", "pivot", "s1", "s2")
-    links = stage(held.mapInArrow(lambda it: _verify(it, spec), "a binary, b binary"), "links")
+    held = near.join(sets.toDF("node", "s1"), "node").join(sets.toDF("pivot", "s2"), "pivot").withColumn("both", F.size(F.array_intersect("s1", "s2")))
+    links = stage(held.where(spec.linked(F.col("both"), F.size("s1"), F.size("s2"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links")
     first = components(links)
 
     # Where that leaves several groups in a signature: the nodes outside its pivot's group against all of it, in blocks.

@@ -38,12 +38,19 @@ _WORD_BASE = np.uint64(0xD1342543DE82EF95)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one for local runs where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints"
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, the warehouse of a local session.
+
+    Tables that operators stage there stay until whoever runs the jobs removes them: Spark does not know of them.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
     return where.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, bucket: tuple[int, str] | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/beaconry/{uuid.uuid4().hex}/{name}"
