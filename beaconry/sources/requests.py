@@ -22,8 +22,13 @@ _JSON = {"properties", "errors", "context", "data", "vitals", "metadata", "event
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, or one for local runs where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints").rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, the warehouse of a local session."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    return where.rstrip("/")
 
 
 def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
