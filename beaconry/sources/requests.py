@@ -74,13 +74,16 @@ def replay_key() -> Column:
     return F.concat(F.concat_ws("/", "generation", "session_id", "window_id", F.coalesce("first_ts", F.lit(0)).cast("string")), F.lit("-"), ident, F.lit(".json.zst"))
 
 
-def write_tables(batch: DataFrame, path: str, tables: dict[str, list[str]]) -> None:
-    """One micro-batch (column `datasource`) to a gzip JSON table each, with times in milliseconds."""
+def write_tables(batch: DataFrame, path: str, tables: dict[str, list[str]], batch_id: int = 0) -> None:
+    """One micro-batch (column `datasource`) to a gzip JSON table each, with times in milliseconds.
+
+    A batch writes to folders of its own, so that one that runs again replaces its rows.
+    """
     batch.persist()
     try:
         for name, columns in tables.items():
             out = batch.where(F.col("datasource") == name).withColumn("created_at", F.unix_millis("created_at"))
-            out.select(*columns).write.mode("append").option("compression", "gzip").json(f"{path}/{name}")
+            out.select(*columns).write.mode("overwrite").option("compression", "gzip").json(f"{path}/{name}/batch={batch_id}")
     finally:
         batch.unpersist()
 

@@ -59,8 +59,15 @@ def debounce_stream(events: DataFrame, window_ms: int = 5000) -> DataFrame:
 
 
 def first_billing_stream(chunks: DataFrame) -> DataFrame:
-    """Each session's first stored chunk of a stream, once."""
-    return chunks.withWatermark("received_at", WATERMARK).dropDuplicatesWithinWatermark(["project_id", "session_id"])
+    """Each session's first stored chunk of a stream, once: the mark that a session was billed is keyed state that stays."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["received_at", "chunk"])
+        if not state.exists:
+            state.update((True,))
+            yield rows.head(1)[["project_id", "session_id", "chunk", "received_at"]]
+
+    return chunks.groupBy("project_id", "session_id").applyInPandasWithState(fold, "project_id string, session_id string, chunk long, received_at timestamp", "billed boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def usage_stream(rows: DataFrame) -> DataFrame:
@@ -82,8 +89,12 @@ def run_to_end(df: DataFrame, path: str, mode: str = "append") -> None:
     q.awaitTermination()
 
 
-def _source(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _source(spark: SparkSession, df: DataFrame, name: str, batches: int = 1) -> tuple[DataFrame, str]:
+    """df as a stream of so many micro-batches, ranges of received_at, and the job's folder."""
     path = f"{shared_dir(spark)}/beaconry/{uuid.uuid4().hex}/{name}"
+    if batches > 1:
+        df.repartitionByRange(batches, "received_at").write.parquet(f"{path}/in")
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
     df.write.parquet(f"{path}/in")
     return spark.readStream.schema(df.schema).parquet(f"{path}/in"), path
 
@@ -109,7 +120,7 @@ def q_stream_usage(spark, sf_dir):
 @query(f"WITH RECURSIVE {sessions._KEPT} SELECT project_id, session_id, 1 AS n FROM kc GROUP BY 1, 2")
 def q_stream_first_billing(spark, sf_dir):
     rows = sessions.kept_chunks(spark, sf_dir).select("project_id", "session_id", "chunk", F.timestamp_millis("received_ms").alias("received_at"))
-    stream, path = _source(spark, rows, "billing")
+    stream, path = _source(spark, rows, "billing", batches=4)
     run_to_end(first_billing_stream(stream), path)
     return spark.read.parquet(f"{path}/out").groupBy("project_id", "session_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
@@ -131,7 +142,7 @@ def q_write_tables(spark, sf_dir):
     rows = load(spark, sf_dir, "fx_web").select(name.alias("datasource"), "request_id", F.timestamp_millis("received_ms").alias("created_at"))
     stream, path = _source(spark, rows, "tables")
     tables = {t: ["request_id", "created_at"] for t in ("web_events", "mods_events", "error_tracking_v3")}
-    write = lambda batch, _: write_tables(batch, f"{path}/tables", tables)
+    write = lambda batch, n: write_tables(batch, f"{path}/tables", tables, n)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    parts = [spark.read.schema("request_id long, created_at long").json(f"{path}/tables/{t}").withColumn("datasource", F.lit(t)) for t in tables]
+    parts = [spark.read.schema("request_id long, created_at long").json(f"{path}/tables/{t}/batch=*").withColumn("datasource", F.lit(t)) for t in tables]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

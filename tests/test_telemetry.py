@@ -218,3 +218,20 @@ def test_quarantine_replay_of_dead_letters(spark):
     held = spark.createDataFrame([(1, 0), (2, 13_600_000), (3, 13_599_999), (4, 90_000_000)], "request_id long, received_ms long").withColumn("created_at", F.timestamp_millis("received_ms"))
     now = spark.createDataFrame([(100_000_000,)], "m long").select(F.timestamp_millis("m").alias("now"))
     assert [r.request_id for r in src.quarantine_replay(held, held.limit(0), now).collect()] == [2, 4]
+
+
+def test_sinks_and_billing(spark, tmp_path):
+    """A batch that is written again replaces its rows; a session that returns days later is not billed again."""
+    from beaconry.sources.requests import write_tables
+    from beaconry.streaming import jobs
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "datasource string, request_id long").withColumn("created_at", F.timestamp_millis("request_id"))
+    for batch in (rows, rows, rows.where("request_id = 1")):
+        write_tables(batch, str(tmp_path / "t"), {"a": ["request_id", "created_at"], "b": ["request_id", "created_at"]}, 7)
+    write_tables(rows, str(tmp_path / "t"), {"a": ["request_id", "created_at"]}, 8)
+    assert sorted(r.request_id for r in spark.read.json(str(tmp_path / "t/a")).collect()) == [1, 1, 3]
+    day = 86_400_000
+    chunks = spark.createDataFrame([("p", "s", i, i * 2 * day) for i in range(6)] + [("p", "t", 9, 9 * day), ("p", "t", 8, 8 * day)], "project_id string, session_id string, chunk long, ms long")
+    stream, path = jobs._source(spark, chunks.select("project_id", "session_id", "chunk", F.timestamp_millis("ms").alias("received_at")), "billing", batches=4)
+    jobs.run_to_end(jobs.first_billing_stream(stream), path)
+    assert sorted(r.session_id for r in spark.read.parquet(f"{path}/out").collect()) == ["s", "t"]
