@@ -16,12 +16,9 @@ def explode_vitals(requests: DataFrame) -> DataFrame:
 
 
 def vital_dims(rows: DataFrame) -> DataFrame:
-    """device and browser: metadata, else the user agent's, else Unknown; an empty version is null."""
-    return rows.withColumns({
-        "browser": F.coalesce("m_browser", "ua_browser", F.lit("Unknown")),
-        "device": F.coalesce("m_device", F.lit("Unknown")),
-        "version": F.nullif(F.col("m_version"), F.lit("")),
-    })
+    """device, os and browser: metadata, else the user agent's, else Unknown. Versions are the user agent's; empty ones are null."""
+    named = {n: F.coalesce(f"m_{n}", f"ua_{n}", F.lit("Unknown")) for n in ("device", "os", "browser")}
+    return rows.withColumns(named | {v: F.nullif(F.col(f"ua_{v}"), F.lit("")) for v in ("os_version", "browser_version")})
 
 
 def flag_sessions(sessions: DataFrame, signals: DataFrame, flag: str) -> DataFrame:

@@ -124,9 +124,9 @@ def q_vitals(spark, sf_dir):
     return vitals.explode_vitals(vital_requests(spark, sf_dir)).select("request_id", "pos", "metric", "attributes")
 
 
-@query("SELECT request_id, pos, coalesce(m_browser, ua_browser, 'Unknown') AS browser, coalesce(m_device, 'Unknown') AS device, nullif(m_version, '') AS version FROM @fx_vitals@")
+@query("""SELECT request_id, pos, coalesce(m_browser, ua_browser, 'Unknown') AS browser, coalesce(m_device, ua_device, 'Unknown') AS device, coalesce(m_os, ua_os, 'Unknown') AS os, nullif(ua_browser_version, '') AS browser_version, nullif(ua_os_version, '') AS os_version FROM @fx_vitals@""")
 def q_vital_dims(spark, sf_dir):
-    return vitals.vital_dims(load(spark, sf_dir, "fx_vitals")).select("request_id", "pos", "browser", "device", "version")
+    return vitals.vital_dims(load(spark, sf_dir, "fx_vitals")).select("request_id", "pos", "browser", "device", "os", "browser_version", "os_version")
 
 
 _POOR = "coalesce(value >= CASE metric WHEN 'LCP' THEN 4000 WHEN 'FCP' THEN 3000 WHEN 'INP' THEN 500 WHEN 'CLS' THEN 0.25 WHEN 'TTFB' THEN 1800 WHEN 'FID' THEN 300 END, false)"

@@ -99,8 +99,9 @@ UNION ALL SELECT project_id, 2, 'module', 'exact', 'nowhere' FROM (SELECT DISTIN
 SELECT l_orderkey AS request_id, 1704067200000 + l_orderkey * 50 AS received_ms, cast(l_linenumber AS int) AS pos,
        """ + _pick("cast(l_linenumber AS int) - 1", ["LCP", "FCP", "INP", "CLS", "TTFB", "FID", "CUSTOM"]) + """ AS metric,
        CASE WHEN l_linenumber = 4 THEN l_discount * 5 ELSE l_extendedprice / 20 END AS value, 's' || cast(l_orderkey % 100 AS string) AS session_id,
-       CASE WHEN l_orderkey % 3 = 0 THEN 'Chrome' END AS m_browser, CASE l_orderkey % 4 WHEN 0 THEN 'Desktop' WHEN 1 THEN '' END AS m_device, CASE WHEN l_orderkey % 5 = 0 THEN '' WHEN l_orderkey % 5 = 1 THEN '14.2' END AS m_version,
-       CASE WHEN l_orderkey % 7 < 5 THEN 'Firefox' WHEN l_orderkey % 7 = 5 THEN '' END AS ua_browser, CASE WHEN l_linenumber % 2 = 0 THEN '{"a":1}' END AS attributes
+       CASE WHEN l_orderkey % 3 = 0 THEN 'Chrome' END AS m_browser, CASE l_orderkey % 4 WHEN 0 THEN 'Desktop' WHEN 1 THEN '' END AS m_device, CASE WHEN l_orderkey % 5 = 0 THEN 'Linux' END AS m_os,
+       CASE WHEN l_orderkey % 7 < 5 THEN 'Firefox' WHEN l_orderkey % 7 = 5 THEN '' END AS ua_browser, CASE WHEN l_orderkey % 7 < 5 THEN 'Mobile' WHEN l_orderkey % 7 = 5 THEN '' END AS ua_device, CASE WHEN l_orderkey % 7 < 4 THEN 'Android' END AS ua_os,
+       CASE WHEN l_orderkey % 11 < 5 THEN '14.2' WHEN l_orderkey % 11 < 8 THEN '' END AS ua_browser_version, CASE WHEN l_orderkey % 13 < 6 THEN '13' WHEN l_orderkey % 13 < 9 THEN '' END AS ua_os_version, CASE WHEN l_linenumber % 2 = 0 THEN '{"a":1}' END AS attributes
 FROM @lineitem@""",
     "fx_patches": """
 SELECT o_orderkey AS request_id, '00000000-0000-4000-8000-' || lpad(cast(o_custkey % 7 AS string), 12, '0') AS project_id, o_orderkey AS seq,
