@@ -73,9 +73,10 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def gram_counts(texts: list[str]) -> Counter:
-    points, _, _ = characters(pa.array(texts, pa.string()))
+    """The n-grams that end at a character of a text; none spans two texts."""
+    points, ends, _ = characters(pa.array(texts, pa.string()))
     t = points.astype("<u4").tobytes().decode("utf-32-le")
-    return Counter(t[i : i + ORDER] for i in range(len(t) - ORDER + 1))
+    return Counter(t[i : i + ORDER] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) for i in range(a, b - ORDER + 1))
 
 
 class Model:

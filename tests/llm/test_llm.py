@@ -393,6 +393,41 @@ def test_language(spark):
     assert none.where("lang_pred <> 'und' OR score <> 0").count() == 0
 
 
+def test_kneser_ney():
+    """A model's probabilities against interpolated Kneser-Ney by its definition; after any context they sum to one."""
+    import numpy as np
+
+    r = random.Random(33)
+    texts = [" ".join(r.choice(["the", "house", "water", "eau", "été", "of", "thing"]) for _ in range(r.randint(1, 12))) for _ in range(30)]
+    four = Counter()
+    for t in texts:  # runs of letters after three spaces; what is no letter is a space
+        padded = "   " + "".join(c if c.isalpha() else " " for c in t.lower())
+        four.update(padded[i : i + 4] for i in range(len(padded) - 3))
+    model = language.Model(dict(language.gram_counts(texts)))
+    levels = {4: dict(four)}
+    for k in (3, 2, 1):  # continuation counts
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    alphabet = sorted(levels[1])
+
+    def p(h, w):
+        if h is None:
+            return 1 / (len(alphabet) + 1)
+        level = levels[len(h) + 1]
+        once, twice = sum(c == 1 for c in level.values()), sum(c == 2 for c in level.values())
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        follow = {g[-1]: c for g, c in level.items() if g[:-1] == h}
+        lower = p(h[1:] if h else None, w)
+        total = sum(follow.values())
+        return lower if not total else max(follow.get(w, d) - d, 0) / total + d * len(follow) / total * lower
+
+    for h in ("the", " ho", "zzz", "eau", "   ", "té "):
+        ws = [*alphabet, "\u4e00"]
+        cols = [np.full(len(ws), ord(c), np.uint32) for c in h] + [np.array([ord(c) for c in ws], np.uint32)]
+        got = np.exp(model.log_probability(cols))
+        assert np.allclose(got, [p(h, w) for w in ws], rtol=0, atol=1e-9)
+        assert abs(got.sum() - 1) < 1e-9
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
