@@ -32,8 +32,6 @@ from beaconry.llm.shared import SMALL_CHUNK, SPLIT_ON_SPACE, Words, chunks, mix6
 
 #: Text bytes of a chunk: every text byte becomes several of signatures.
 CHUNK = SMALL_CHUNK // 2
-#: Rounds in which nodes that share too few signatures for any link are left out.
-STRONG_ROUNDS = 2
 #: Shingles of a verification block on average, what a node counts besides its own, and cells of its count sketch.
 BLOCK_SHINGLES, NODE_SHINGLES, SKETCH = 1 << 20, 512, 256
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -125,6 +123,10 @@ class Sets:
     def node(self, i: int) -> bytes:
         return mix64(self._raw[i]).tobytes()
 
+    def refs(self) -> np.ndarray:
+        """The first half of each node's key."""
+        return mix64(self._raw[:, 0])
+
 
 def _signatures(s: Sets, rows: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All signatures of the given rows, as (hash, row), and how many of them each row shares with any set it links to."""
@@ -187,18 +189,22 @@ def _nodes(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordB
         for part in chunks(batch, "text", CHUNK):
             s = Sets(part.column(2), spec)
             nodes = [s.node(i) if n else None for i, n in enumerate(s.sizes.tolist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(_sketches(s), pa.binary())], names=["id", "row_key", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(s.refs().view(np.int64), pa.int64()), pa.array(_sketches(s), pa.binary())], names=["id", "row_key", "n_shingles", "node", "ref", "sketch"])
 
 
 def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Signatures by bucket. Within a bucket four bytes stand for one: two that fall together only make more candidates."""
+    """Signatures by bucket. Within a bucket four bytes stand for one: two that fall together only make more candidates.
+
+    Half of a node's key, its ref, is sent; only nodes of one signature are told apart by it.
+    """
     for batch in batches:
         for part in chunks(batch, "text", CHUNK):
             s = Sets(part.column(2), spec)
             full = np.flatnonzero(s.sizes)
             if not len(full):
                 continue
-            _, once = np.unique(mix64(s._raw[full, 0]), return_index=True)
+            refs = s.refs()
+            _, once = np.unique(refs[full], return_index=True)
             sig, row, needs = _signatures(s, np.sort(full[once]), spec)
             if not len(sig):
                 continue
@@ -209,21 +215,23 @@ def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterat
             out = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 used, n = np.unique(row[a:b], return_counts=True)
-                out.append((int(bucket[a]), b"".join(s.node(i) for i in used.tolist()), pack_ints(n), needs[used].astype(np.uint8).tobytes(), sig[a:b].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["bucket", "nodes", "counts", "needs", "signatures"])
+                out.append((int(bucket[a]), refs[used].tobytes(), pack_ints(n), needs[used].astype(np.uint8).tobytes(), sig[a:b].astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["bucket", "refs", "counts", "needs", "signatures"])
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """(signature, node, need) of the bucket's signatures that at least two different nodes have."""
-    sigs, owners, nodes, needs, at = [], [], [], [], 0
+    """The bucket's signatures that at least two different nodes have, those of the same nodes as one.
+
+    (signature, ref, need, n): a hash of the nodes stands for n signatures.
+    """
+    sigs, owners, refs, needs, at = [], [], [], [], 0
     for i in range(table.num_rows):
-        r = {c: table[c][i].as_py() for c in ("nodes", "counts", "needs", "signatures")}
+        r = {c: table[c][i].as_py() for c in ("refs", "counts", "needs", "signatures")}
         sigs.append(np.frombuffer(r["signatures"], np.uint32))
-        nodes.append(np.frombuffer(r["nodes"], np.uint64).reshape(-1, 2))
+        refs.append(np.frombuffer(r["refs"], np.uint64))
         needs.append(np.frombuffer(r["needs"], np.uint8))
-        owners.append(np.repeat(np.arange(at, at + len(nodes[-1]), dtype=np.int32), unpack_ints(r["counts"])))
-        at += len(nodes[-1])
-    bucket = table["bucket"][0].as_py() if table.num_rows else 0
+        owners.append(np.repeat(np.arange(at, at + len(refs[-1]), dtype=np.int32), unpack_ints(r["counts"])))
+        at += len(refs[-1])
     sig = np.concatenate(sigs)
     del sigs
     by = np.argsort(sig)
@@ -232,25 +240,32 @@ def _shared(table: pa.Table) -> pa.Table:
     more = np.r_[same, False] | np.r_[False, same]
     sig, owner = sig[more], np.concatenate(owners)[by[more]]
     del by, owners, same, more
-    node, need = np.concatenate(nodes)[owner], np.concatenate(needs)[owner]
-    by = np.lexsort((node[:, 1], node[:, 0], sig))
-    sig, node, need = sig[by], node[by], need[by]
+    ref, need = np.concatenate(refs)[owner], np.concatenate(needs)[owner]
+    by = np.lexsort((ref, sig))
+    sig, ref, need = sig[by], ref[by], need[by]
+    n = np.zeros(0, np.int64)
     if len(sig):
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]).any(axis=1)]
-        sig, node, need = sig[new], node[new], need[new]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (ref[1:] != ref[:-1])]
+        sig, ref, need = sig[new], ref[new], need[new]
         same = sig[1:] == sig[:-1]
         more = np.r_[same, False] | np.r_[False, same]
-        sig, node, need = sig[more], node[more], need[more]
-    node = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(node), [None, pa.py_buffer(np.ascontiguousarray(node))]).cast(pa.binary())
-    whole = sig.astype(np.int64) | np.int64(bucket << 32)
-    return pa.table({"signature": pa.array(whole, pa.int64()), "node": node, "need": pa.array(need.astype(np.int16), pa.int16())})
+        sig, ref, need = sig[more], ref[more], need[more]
+    if len(sig):
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        who = np.repeat(mix64(np.add.reduceat(mix64(ref ^ _C1), first)), np.diff(np.r_[first, len(sig)]))
+        by = np.lexsort((ref, who))
+        who, ref, need = who[by], ref[by], need[by]
+        first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (ref[1:] != ref[:-1])])
+        n = np.diff(np.r_[first, len(who)])
+        sig, ref, need = who[first], ref[first], need[first]
+    return pa.table({"signature": pa.array(sig.astype(np.uint64).view(np.int64), pa.int64()), "ref": pa.array(ref.view(np.int64), pa.int64()), "need": pa.array(need.astype(np.int16), pa.int16()), "n": pa.array(n, pa.int64())})
 
 
 def _strong(members: DataFrame) -> DataFrame:
     """members without the nodes that share fewer signatures than linked ones do, and without signatures of one node."""
-    able = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("node")
-    kept = members.join(able, "node", "left_semi")
-    shared = kept.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
+    able = members.groupBy("ref").agg(F.sum("n").alias("all"), F.min("need").alias("need")).where("all >= need").select("ref")
+    kept = members.join(able, "ref", "left_semi")
+    shared = kept.groupBy("signature").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("signature")
     return kept.join(shared, "signature", "left_semi")
 
 
@@ -420,15 +435,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spec, spark = Spec(words, percent), docs.sparkSession
     none = F.lit(-(2**63))  # stands for a null id
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("row_key"), "text")
-    rows = stage(texts.mapInArrow(lambda it: _nodes(it, spec), "id long, row_key long, n_shingles long, node binary, sketch binary"), "nodes")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("id") != none, F.col("id"))).alias("least"), F.max("id").alias("id"), F.max_by("row_key", "id").alias("row_key"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    rows = stage(texts.mapInArrow(lambda it: _nodes(it, spec), "id long, row_key long, n_shingles long, node binary, ref long, sketch binary"), "nodes")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("id") != none, F.col("id"))).alias("least"), F.max("id").alias("id"), F.max_by("row_key", "id").alias("row_key"), F.first("n_shingles").alias("size"), F.first("ref").alias("ref"), F.first("sketch").alias("sketch"))
     nodes = stage(nodes, "node_ids")
     buckets = shuffle_buckets(spark, 8)
-    sent = texts.mapInArrow(lambda it: _send(it, spec, buckets), "bucket int, nodes binary, counts binary, needs binary, signatures binary")
-    members = stage(sent.groupBy("bucket").applyInArrow(_shared, "signature long, node binary, need short"), "shared")
-    for _ in range(STRONG_ROUNDS):
-        members = stage(_strong(members), "members")
-    degrees = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min("need").alias("need"))
+    sent = texts.mapInArrow(lambda it: _send(it, spec, buckets), "bucket int, refs binary, counts binary, needs binary, signatures binary")
+    shared = sent.groupBy("bucket").applyInArrow(_shared, "signature long, ref long, need short, n long")
+    shared = stage(shared.groupBy("signature", "ref").agg(F.min("need").alias("need"), F.sum("n").alias("n")), "shared")
+    members = stage(_strong(shared).join(nodes.select("ref", "node"), "ref").select("signature", "node", "need", "n"), "members")
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"), F.min("need").alias("need"))
     active = stage(degrees.join(nodes, "node").select("node", "degree", "need", "id", "row_key", "size", "sketch"), "active")
 
     def fetch(wanted: DataFrame, name: str) -> DataFrame:
@@ -441,7 +456,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Every node against the node of its signature that shares the most signatures, by sketches and then by shingles. Linked
     # nodes that share too few signatures with each other as pivot and node meet in a signature of a third node's, below.
     pivots = stage(members.join(active.select("node", "degree"), "node").groupBy("signature").agg(F.max(F.struct("degree", "node")).alias("p")).select("signature", F.col("p.node").alias("pivot")), "pivots")
-    paired = members.join(pivots, "signature").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("node", "pivot", "n")
+    paired = members.join(pivots, "signature").where("node <> pivot").groupBy("node", "pivot").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("node", "pivot", "n")
     sized = active.select("node", "sketch", "size")
     other = active.select(F.col("node").alias("pivot"), F.col("sketch").alias("s2"), F.col("size").alias("n2"), F.col("need").alias("need2"))
     pairs = paired.join(other, "pivot").where("n >= need2").join(sized.toDF("node", "s1", "n1"), "node").select("node", "pivot", "s1", "s2", "n1", "n2")
