@@ -97,6 +97,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], rank_file: str, pattern:
             rest = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n != "text"]
             arrays = [c for _, c in rest] + [pa.array(counts, pa.int64())] + [pa.array(v, _TYPES[n][1]) for n, v in made.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in rest] + ["n_tokens", *outputs])
+        pa.default_memory_pool().release_unused()
 
 
 _TYPES = {"token_ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}

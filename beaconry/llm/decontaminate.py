@@ -228,6 +228,7 @@ def _search_block(batches: Iterator[pa.RecordBatch], block, text: str, names: li
             made = [pa.array(words.counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(best, _MATCH)]
             rest = [c for c, n in zip(part.columns, part.schema.names, strict=True) if n not in names]
             yield pa.RecordBatch.from_arrays(rest + made, names=[n for n in part.schema.names if n not in names] + names)
+        pa.default_memory_pool().release_unused()
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:

@@ -190,6 +190,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordB
             s = Sets(part.column(2), spec)
             nodes = [s.node(i) if n else None for i, n in enumerate(s.sizes.tolist())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(s.refs().view(np.int64), pa.int64()), pa.array(_sketches(s), pa.binary())], names=["id", "row_key", "n_shingles", "node", "ref", "sketch"])
+        pa.default_memory_pool().release_unused()
 
 
 def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -217,6 +218,7 @@ def _send(batches: Iterator[pa.RecordBatch], spec: Spec, buckets: int) -> Iterat
                 used, n = np.unique(row[a:b], return_counts=True)
                 out.append((int(bucket[a]), refs[used].tobytes(), pack_ints(n), needs[used].astype(np.uint8).tobytes(), sig[a:b].astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["bucket", "refs", "counts", "needs", "signatures"])
+        pa.default_memory_pool().release_unused()
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -298,6 +300,7 @@ def _blobs(batches: Iterator[pa.RecordBatch], spec: Spec, bits) -> Iterator[pa.R
             s = Sets(part.column(2), spec)
             shingles = pa.ListArray.from_arrays(pa.array(s.first, pa.int32()), pa.array(s.all.view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), shingles], names=["id", "row_key", "shingles"])
+        pa.default_memory_pool().release_unused()
 
 
 def _possible(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:

@@ -178,10 +178,12 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.int64()], strict=True)], names=["lang", "gram", "n"])
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
+def _score_batches(batches: Iterator[pa.RecordBatch], models, place: int) -> Iterator[pa.RecordBatch]:
+    """batches: struct doc, of which the field at `place` is the text."""
     scorer = Scorer(models.value)
     for batch in batches:
-        for part in chunks(batch, "text", SMALL_CHUNK // 2):
+        texts = batch.column(0).field(place).cast(pa.string())
+        for part in chunks(pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc", "text"]), "text", SMALL_CHUNK // 8):
             h, n, letters = scorer.entropies(part.column(part.schema.get_field_index("text")))
             judged = (letters > 0) & bool(scorer.names)
             best = h.argmin(axis=1) if scorer.names else np.zeros(len(n), int)
@@ -191,11 +193,13 @@ def _score_batches(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.Rec
             score = np.where(judged, 1 / weight.sum(axis=1), 0.0)
             names = [scorer.names[b] if j else UNKNOWN for b, j in zip(best.tolist(), judged.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.float64()), pa.array(np.maximum(n, 0), pa.int64())], names=["doc", "lang_pred", "score", "cross_entropy", "n_chars_scored"])
+        pa.default_memory_pool().release_unused()
 
 
 def _scored(docs: DataFrame, models, text_col: str) -> DataFrame:
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return packed.mapInArrow(lambda it: _score_batches(it, models), f"doc {packed.schema['doc'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, n_chars_scored bigint")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))
+    place = docs.columns.index(text_col)
+    return packed.mapInArrow(lambda it: _score_batches(it, models, place), f"doc {packed.schema['doc'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, n_chars_scored bigint")
 
 
 def fold(id_col: str = "doc_id", folds: int = 4) -> Column:
