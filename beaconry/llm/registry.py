@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconry.llm import bpe, decontaminate, jaccard, katz, language, pii, repeats, token_counts, topk, warc
+from beaconry.llm import bpe, decontaminate, fim, jaccard, katz, language, negatives, pii, quality, repeats, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_bpe_codec": bpe.op8_bpe_codec,
         "op9_maxscore_topk": topk.op9_maxscore_topk,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_rns_hard_negatives": negatives.op11_rns_hard_negatives,
+        "op12_attention_mil": quality.op12_attention_mil,
+        "op13_skip_list_fim": fim.op13_skip_list_fim,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict:
         "op5_substring_dedup": repeats.ORACLE,
         "op7_partenum_jaccard": jaccard.ORACLE,
         "op9_maxscore_topk": topk.ORACLE,
+        "op11_rns_hard_negatives": negatives.ORACLE,
+        "op13_skip_list_fim": fim.ORACLE,
     }
