@@ -199,76 +199,103 @@ def q_project_grouping(spark, sf_dir):
 _D = "cast(raw_user % 10 AS string)"
 
 
-@query(f"""SELECT request_id, CASE language
- WHEN 'java' THEN sha256('java.lang.illegalstateexception' || chr(10) || 'at com.shop.cart' || {_D} || '.total(cart.java)' || chr(10) || 'at app//com.shop.main$<num>.run(main.java)' || chr(10) || 'caused by: java.io.ioexception: io <num>' || chr(10) || 'at com.shop.disk' || {_D} || '.read(disk.java)')
- WHEN 'php' THEN sha256('runtimeexception' || chr(10) || 'php fatal error: uncaught runtimeexception: bad <num> in /a.php:<num>' || chr(10) || 'stack trace:' || chr(10) || '# <php-frame> cart.php: shop' || chr(92) || 'cart->total' || {_D} || '(<args>)' || chr(10) || '#<num> [internal function]: shop' || chr(92) || 'run->call()' || chr(10) || '#<num> {{main}}') END AS legacy_hash
- FROM @fx_errors@ WHERE language IN ('java', 'php')""")
+# What the older hash reads of each template, worked out by hand: the kind, then a line each.
+_LEGACY = {
+    "java": ["java.lang.illegalstateexception", "at com.shop.cartN.total(cart.java)", "at app//com.shop.main$<num>.run(main.java)", "caused by: java.io.ioexception: io <num>", "at com.shop.diskN.read(disk.java)"],
+    "javascript": ["typeerror", "typeerror: bad <num>", "at async loadN app-<num>.js)", "at new worker workers)", "at run (main.<hash>.js)", "save@save.js"],
+    "php": ["runtimeexception", "php fatal error: uncaught runtimeexception: bad <num> in /a.php:<num>", "stack trace:", "# <php-frame> cart.php: shop\\cart->totalN(<args>)", "#<num> [internal function]: shop\\run->call()", "#<num> {main}"],
+    "rust": ["panic", "bad", "shop::cart::totalN", "at src/cart.rs", "shop::main", "at src/main.rs"],
+}
+
+
+@query("SELECT request_id, CASE language " + " ".join(f"WHEN '{k}' THEN sha256(replace('" + "' || chr(10) || '".join(v) + f"', 'N', {_D}))" for k, v in _LEGACY.items()) + " END AS legacy_hash FROM @fx_errors@")
 def q_legacy_group(spark, sf_dir):
-    return grouping.legacy_group_hash(load(spark, sf_dir, "fx_errors").where("language IN ('java', 'php')")).select("request_id", "legacy_hash")
+    return grouping.legacy_group_hash(load(spark, sf_dir, "fx_errors")).select("request_id", "legacy_hash")
+
+
+# Builds have the same names in all projects; one project does not know one of them, and one has mappings of its own.
+_BUILDS = ["b0", "r1", "r2"]
+_KNOWN = f"({_REL} IN ('b0', 'r1', 'r2') AND NOT ({_REL} = 'r1' AND right(project_id, 1) = '3'))"
 
 
 def builds(spark, sf_dir):
-    return occurrences(spark, sf_dir).where("release IN ('b0', 'r1', 'r2')").select("project_id", "release").distinct()
+    known = F.col("release").isin(_BUILDS) & ~((F.col("release") == "r1") & (F.right("project_id", F.lit(1)) == "3"))
+    return occurrences(spark, sf_dir).where(known).select("project_id", "release").distinct()
 
 
-@query(f"SELECT request_id, {_REL} AS release FROM @fx_errors@ WHERE language IN ('java', 'javascript') AND {_REL} IN ('b0', 'r1', 'r2')")
+@query(f"SELECT request_id, {_REL} AS release FROM @fx_errors@ WHERE language IN ('java', 'javascript') AND {_KNOWN}")
 def q_known_builds(spark, sf_dir):
     return mapping.known_builds(occurrences(spark, sf_dir), builds(spark, sf_dir)).select("request_id", "release")
 
 
+def _each_build(keys):
+    """keys with each project and build, and the name that the project's mappings begin with."""
+    projects = F.explode(F.array(*[F.lit(f"00000000-0000-4000-8000-{i:012d}") for i in range(5)]))
+    out = keys.withColumn("project_id", projects).withColumn("build", F.explode(F.array(*map(F.lit, _BUILDS))))
+    return out.withColumn("alt", F.right("project_id", F.lit(1)) == "1")
+
+
 def mapping_lines(spark, sf_dir):
     """Mapping text of each build: one class a nation key below ten; the second method of each holds for later lines."""
-    keys = load(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k"))
-    text = F.concat(F.lit("real.Cart -> com.shop.Cart"), "k", F.lit(':\n# {"fileName":"RealCart.java","id":"sourceFile"}\n    int count -> a\n    1:5000:void early(int):7:9 -> total\n    5001:99999:void late() -> total\nreal.Disk -> com.shop.Disk'), "k", F.lit(":\n    void read() -> read\nreal.Oops -> java.io.IOException:"))
-    return keys.crossJoin(spark.createDataFrame([("b0",), ("r1",), ("r2",)], "build string")).select("build", F.posexplode(F.split(text, "\n")).alias("i", "text"), "k").select("build", (F.col("k") * 100 + F.col("i")).alias("line_no"), "text")
+    keys = _each_build(load(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k")))
+    real = F.when(F.col("alt"), "alt").otherwise("real")
+    text = F.concat(real, F.lit(".Cart -> com.shop.Cart"), "k", F.lit(':\n# {"fileName":"RealCart.java","id":"sourceFile"}\n    int count -> a\n    1:5000:void early(int):7:9 -> total\n    5001:99999:void late() -> total\n'), real, F.lit(".Disk -> com.shop.Disk"), "k", F.lit(":\n    void read() -> read\n"), real, F.lit(".Oops -> java.io.IOException:"))
+    return keys.select("project_id", "build", F.posexplode(F.split(text, "\n")).alias("i", "text"), "k").select("project_id", "build", (F.col("k") * 100 + F.col("i")).alias("line_no"), "text")
 
 
-def java_stacks(spark, sf_dir):
-    able = mapping.known_builds(occurrences(spark, sf_dir), builds(spark, sf_dir)).where("language = 'java'")
-    return able.select(F.sha2(F.concat_ws("\x1f", "language", "stack"), 256).alias("stack_id"), F.col("release").alias("build"), "stack").distinct()
+def mappable_stacks(spark, sf_dir, language):
+    able = mapping.known_builds(occurrences(spark, sf_dir), builds(spark, sf_dir)).where(F.col("language") == language)
+    return able.select(F.sha2(F.concat_ws("\x1f", "language", "stack"), 256).alias("stack_id"), "project_id", F.col("release").alias("build"), "stack").distinct()
 
 
-_MAPPED_JAVA = f"""'java.lang.IllegalStateException: bad ' || cast(request_id AS string) || chr(10) || '    at real.Cart.' || CASE WHEN request_id = 0 THEN 'early' WHEN request_id <= 5000 THEN 'early' ELSE 'late' END || '(RealCart.java:' || cast(request_id AS string) || ')' || chr(10) || '    at java.util.ArrayList.forEach(ArrayList.java:1511)' || chr(10) || '    at app//com.shop.Main$1.run(Main.java:10)' || chr(10)
- || 'Caused by: real.Oops: io ' || cast(request_id AS string) || chr(10) || '    at real.Disk.read(Unknown Source:' || cast(request_id AS string) || ')' || chr(10) || '    ... 2 more'"""
+_REAL = "CASE right(project_id, 1) WHEN '1' THEN 'alt' ELSE 'real' END"
+_MAPPED_JAVA = f"""'java.lang.IllegalStateException: bad ' || cast(request_id AS string) || chr(10) || '    at ' || {_REAL} || '.Cart.' || CASE WHEN request_id = 0 THEN 'early' WHEN request_id <= 5000 THEN 'early' ELSE 'late' END || '(RealCart.java:' || cast(request_id AS string) || ')' || chr(10) || '    at java.util.ArrayList.forEach(ArrayList.java:1511)' || chr(10) || '    at app//com.shop.Main$1.run(Main.java:10)' || chr(10)
+ || 'Caused by: ' || {_REAL} || '.Oops: io ' || cast(request_id AS string) || chr(10) || '    at ' || {_REAL} || '.Disk.read(Unknown Source:' || cast(request_id AS string) || ')' || chr(10) || '    ... 2 more'"""
 
 
-@query(f"SELECT DISTINCT {_ID} AS stack_id, {_REL} AS build, {_MAPPED_JAVA} AS mapped_stacktrace, 'r8:' || {_REL} AS mapping_used FROM @fx_errors@ WHERE language = 'java' AND {_REL} IN ('b0', 'r1', 'r2')")
+@query(f"SELECT DISTINCT {_ID} AS stack_id, project_id, {_REL} AS build, {_MAPPED_JAVA} AS mapped_stacktrace, 'r8:' || {_REL} AS mapping_used FROM @fx_errors@ WHERE language = 'java' AND {_KNOWN}")
 def q_retrace(spark, sf_dir):
-    return mapping.retrace(java_stacks(spark, sf_dir), *mapping.mapping_tables(mapping_lines(spark, sf_dir)))
+    return mapping.retrace(mappable_stacks(spark, sf_dir, "java"), *mapping.mapping_tables(mapping_lines(spark, sf_dir)))
 
 
 def js_tokens(spark, sf_dir):
     """Decoded positions: a named token at column 0 and an unnamed one at column 6 of every fourth line of each script."""
-    n = load(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k"))
-    lines = load(spark, sf_dir, "events").where("event_id % 4 = 0").select((F.col("event_id") - 1).cast("int").alias("line"))
-    base = n.crossJoin(F.broadcast(spark.createDataFrame([("b0",), ("r1",), ("r2",)], "build string"))).withColumn("file", F.concat(F.lit("app-"), "k", F.lit(".js")))
-    base = lines.crossJoin(F.broadcast(base)).where("line % 10 = k OR line % 5 = 3")
-    at = lambda c, name: base.select("build", "file", "line", F.lit(c).alias("col"), F.concat(F.lit("src/"), "file", F.lit(".ts")).alias("source"), (F.col("line") + 10).alias("src_line"), F.lit(c + 1).alias("src_col"), F.lit(name).cast("string").alias("name"))
+    lines = load(spark, sf_dir, "events").where("event_id % 4 = 0").select((F.col("event_id") - 1).cast("int").alias("line")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    base = _each_build(lines.where("line % 10 = k OR line % 5 = 3")).withColumn("file", F.concat(F.lit("app-"), "k", F.lit(".js")))
+    source = F.concat(F.when(F.col("alt"), "alt/").otherwise("src/"), "file", F.lit(".ts")).alias("source")
+    at = lambda c, name: base.select("project_id", "build", "file", "line", F.lit(c).alias("col"), source, (F.col("line") + 10).alias("src_line"), F.lit(c + 1).alias("src_col"), F.lit(name).cast("string").alias("name"))
     return at(0, "early").unionByName(at(6, None))
 
 
-def js_stacks(spark, sf_dir):
-    able = mapping.known_builds(occurrences(spark, sf_dir), builds(spark, sf_dir)).where("language = 'javascript'")
-    return able.select(F.sha2(F.concat_ws("\x1f", "language", "stack"), 256).alias("stack_id"), F.col("release").alias("build"), "stack").distinct()
+_MAPS_JS = "request_id % 4 = 0 AND ((request_id - 1) % 10 = raw_user % 10 OR (request_id - 1) % 5 = 3)"
+_MAPPED_JS = f"replace(stack, '/release/src/app-' || {_D} || '.js:' || cast(request_id AS string) || ':7', CASE right(project_id, 1) WHEN '1' THEN 'alt' ELSE 'src' END || '/app-' || {_D} || '.js.ts:' || cast(request_id + 10 AS string) || ':8')"
 
 
-@query(f"""WITH e AS (SELECT DISTINCT {_ID} AS stack_id, {_REL} AS build, stack, request_id, {_D} AS d, raw_user % 10 AS k FROM @fx_errors@ WHERE language = 'javascript' AND {_REL} IN ('b0', 'r1', 'r2'))
- SELECT stack_id, build, replace(stack, '/release/src/app-' || d || '.js:' || cast(request_id AS string) || ':7', 'src/app-' || d || '.js.ts:' || cast(request_id + 10 AS string) || ':8') AS mapped_stacktrace, 'javascript:' || build AS mapping_used
- FROM e WHERE request_id % 4 = 0 AND ((request_id - 1) % 10 = k OR (request_id - 1) % 5 = 3)""")
+@query(f"""SELECT DISTINCT {_ID} AS stack_id, project_id, {_REL} AS build, {_MAPPED_JS} AS mapped_stacktrace, 'javascript:' || {_REL} AS mapping_used FROM @fx_errors@ WHERE language = 'javascript' AND {_KNOWN} AND {_MAPS_JS}""")
 def q_map_js(spark, sf_dir):
-    return mapping.map_js_frames(js_stacks(spark, sf_dir), js_tokens(spark, sf_dir))
+    return mapping.map_js_frames(mappable_stacks(spark, sf_dir, "javascript"), js_tokens(spark, sf_dir))
+
 
+def _mapped_hash(language: str, frames: list[tuple]) -> str:
+    body = " || ".join(f"unhex('20') || {_bytes(f)} || {_bytes(m)} || {_bytes(x)}" for f, m, x in frames)
+    return f"'eg1_' || sha256(unhex(printf('%016x', 29)) || encode('error-grouping/fingerprint/v1') || unhex('{stacks.LANGUAGES[language]:02x}') || unhex('00') || unhex('10') || unhex('00') || unhex('00') || {body} || unhex('2f') || unhex('ff'))"
 
-def _retraced_hash() -> str:
-    head = "unhex(printf('%016x', 29)) || encode('error-grouping/fingerprint/v1') || unhex('01') || unhex('00') || unhex('10') || unhex('00') || unhex('00')"
-    body = " || ".join(f"unhex('20') || {_bytes(f)} || {_bytes(m)} || {_bytes(x)}" for f, m, x in [("real.Disk.read", None, "Unknown Source"), ("com.shop.Main$anon.run", None, "Main.java")])
-    return f"'eg1_' || sha256({head} || {body} || unhex('2f') || unhex('ff'))"
+
+# The frames of the mapped templates that count, by hand: of the project with mappings of its own, and of the others.
+_MAPPED_FRAMES = {
+    ("java", True): [("alt.Disk.read", None, "Unknown Source"), ("com.shop.Main$anon.run", None, "Main.java")],
+    ("java", False): [("real.Disk.read", None, "Unknown Source"), ("com.shop.Main$anon.run", None, "Main.java")],
+    ("javascript", True): [("loadN", None, "app-N.js.ts"), ("run", None, "main.<hash>.js"), ("save", None, "src/save.js")],
+    ("javascript", False): [("loadN", None, "src/app-N.js.ts"), ("run", None, "main.<hash>.js"), ("save", None, "src/save.js")],
+}
+_MAPPED_HASH = "CASE " + " ".join(f"WHEN language = '{k}' AND (right(project_id, 1) = '1') = {alt} THEN {_mapped_hash(k, f)}" for (k, alt), f in _MAPPED_FRAMES.items()) + " END"
 
 
-@query(f"""WITH e AS (SELECT *, {_REL} IN ('b0', 'r1', 'r2') AS m, {_MAPPED_JAVA} AS t, {_REL} AS rel FROM @fx_errors@ WHERE language = 'java')
- SELECT request_id, CASE WHEN m THEN {_retraced_hash()} ELSE {_hash_sql()} END AS group_hash, CASE WHEN m THEN sha256(kind || chr(31) || message || chr(31) || t) ELSE sha256(kind || chr(31) || message || chr(31) || stack) END AS exact_hash, CASE WHEN m THEN t END AS mapped_stacktrace, CASE WHEN m THEN 'r8:' || rel END AS mapping_used FROM e""")
+@query(f"""WITH e AS (SELECT *, {_KNOWN} AND (language = 'java' OR {_MAPS_JS}) AS m, CASE language WHEN 'java' THEN {_MAPPED_JAVA} ELSE {_MAPPED_JS} END AS t, {_REL} AS rel FROM @fx_errors@ WHERE language IN ('java', 'javascript'))
+ SELECT request_id, CASE WHEN m THEN {_MAPPED_HASH} ELSE {_hash_sql()} END AS group_hash, sha256(kind || chr(31) || message || chr(31) || CASE WHEN m THEN t ELSE stack END) AS exact_hash, CASE WHEN m THEN t END AS mapped_stacktrace, CASE WHEN m THEN CASE language WHEN 'java' THEN 'r8:' ELSE 'javascript:' END || rel END AS mapping_used FROM e""")
 def q_enriched_errors(spark, sf_dir):
-    group = lambda df: grouping.group_errors(df, languages=("java",))
-    java = group(occurrences(spark, sf_dir).where("language = 'java'")).withColumn("stack_id", F.sha2(F.concat_ws("\x1f", "language", "stack"), 256))
-    mapped = mapping.retrace(java_stacks(spark, sf_dir), *mapping.mapping_tables(mapping_lines(spark, sf_dir)))
-    return mapping.enrich_occurrences(java, mapped, group).select("request_id", "group_hash", "exact_hash", "mapped_stacktrace", "mapping_used")
+    able = ("java", "javascript")
+    group = lambda df: grouping.group_errors(df, languages=able)
+    rows = group(occurrences(spark, sf_dir).where(F.col("language").isin(*able))).withColumn("stack_id", F.sha2(F.concat_ws("\x1f", "language", "stack"), 256))
+    mapped = q_retrace(spark, sf_dir).unionByName(q_map_js(spark, sf_dir))
+    return mapping.enrich_occurrences(rows, mapped, group).select("request_id", "group_hash", "exact_hash", "mapped_stacktrace", "mapping_used")

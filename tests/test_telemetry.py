@@ -85,12 +85,49 @@ def test_mutated_stacks_never_fail(spark):
 
 def test_retrace_golden(spark):
     text = 'core.file.FileIO -> a.a.a:\n# {"fileName":"FileIO.java","id":"sourceFile"}\n    92:92:core.file.FileIO reload() -> c\ncom.example.Service -> a:\n    10:20:void first() -> b\n    30:40:void second() -> b'
-    lines = spark.createDataFrame([("1", i, t) for i, t in enumerate(text.split("\n"))], "build string, line_no long, text string")
-    df = spark.createDataFrame([("x", "1", "java.lang.RuntimeException: oops\n\tat a.a.a.c(SourceFile:92)\n\tat a.b(SourceFile:35)\n\tat a.b(Unknown Source)"), ("y", "1", "\tat z.z(Q:1)")], "stack_id string, build string, stack string")
+    lines = spark.createDataFrame([("p", "1", i, t) for i, t in enumerate(text.split("\n"))], "project_id string, build string, line_no long, text string")
+    df = spark.createDataFrame([("x", "p", "1", "java.lang.RuntimeException: oops\n\tat a.a.a.c(SourceFile:92)\n\tat a.b(SourceFile:35)\n\tat a.b(Unknown Source)"), ("y", "p", "1", "\tat z.z(Q:1)")], "stack_id string, project_id string, build string, stack string")
     got = mapping.retrace(df, *mapping.mapping_tables(lines)).collect()
     assert [(r.stack_id, r.mapped_stacktrace, r.mapping_used) for r in got] == [("x", "java.lang.RuntimeException: oops\n\tat core.file.FileIO.reload(FileIO.java:92)\n\tat com.example.Service.second(Unknown Source:35)\n\tat com.example.Service.first(Unknown Source)", "r8:1")]
 
 
+def test_mappings_stay_in_their_project(spark):
+    """Two projects with one build name, one release and the same stack: each gets its own mapping, a third gets none."""
+    stack = "a.E: m\n\tat a.a.c(S:5)"
+    lines = spark.createDataFrame([(p, "1", i, t) for p in "pq" for i, t in enumerate([f"{p}.Real -> a.a:", f"    1:9:void {p}1() -> c"])], "project_id string, build string, line_no long, text string")
+    rows = spark.createDataFrame([(i, p, "java", "E", "m", stack, "1") for i, p in enumerate("pqr")], "i int, project_id string, language string, kind string, message string, stack string, release string")
+    grouped = grouping.group_errors(rows, languages=("java",)).withColumn("exact_hash", F.lit("x")).withColumn("stack_id", F.sha2("stack", 256))
+    known = spark.createDataFrame([("p", "1"), ("q", "1")], "project_id string, release string")
+    able = mapping.known_builds(grouped, known).select("stack_id", "project_id", F.col("release").alias("build"), "stack").distinct()
+    mapped = mapping.retrace(able, *mapping.mapping_tables(lines))
+    got = mapping.enrich_occurrences(grouped, mapped, lambda df: grouping.group_errors(df, languages=("java",))).orderBy("i").collect()
+    assert [r.mapped_stacktrace for r in got] == ["a.E: m\n\tat p.Real.p1(Unknown Source:5)", "a.E: m\n\tat q.Real.q1(Unknown Source:5)", None]
+    assert len({r.group_hash for r in got}) == 3 and got[2].exact_hash == "x"
+    tokens = spark.createDataFrame([(p, "1", "f.js", 0, 0, f"{p}.ts", 4, 0, None) for p in "pq"], "project_id string, build string, file string, line int, col int, source string, src_line int, src_col int, name string")
+    js = spark.createDataFrame([("s", p, "1", "at f (/f.js:1:3)") for p in "pqr"], "stack_id string, project_id string, build string, stack string")
+    assert sorted((r.project_id, r.mapped_stacktrace) for r in mapping.map_js_frames(js, tokens).collect()) == [("p", "at f (p.ts:5:1)"), ("q", "at f (q.ts:5:1)")]
+
+
+def test_methods_of_lines(spark):
+    """A class of 10,000 ranges, and overlapping, nested, empty and missing ones, against the first match in file order."""
+    import random
+
+    r = random.Random(4)
+    many = [("m", k, 10 * k, 10 * k + 8, f"m{k}") for k in range(10_000)]
+    odd = [("o", k, a, a + r.randint(-2, 300), f"o{k}") for k, a in enumerate(r.randint(0, 1000) for _ in range(200))] + [("o", 500, None, None, "o500"), ("n", 1, None, None, "n1"), ("n", 2, 0, (1 << 32) - 1, "n2")]
+    rows = [("p", "1", "c", *x) for x in many + odd]
+    methods = spark.createDataFrame(rows, "project_id string, build string, class string, method string, line_no int, lo bigint, hi bigint, original_method string")
+    ask = [("m", n) for n in (-1, 0, 8, 9, 55_555, 99_998, 99_999, 4_000_000)] + [("o", n) for n in range(-1, 1400)] + [("n", -1), ("n", 0), ("n", (1 << 32) - 1), ("none", 4)]
+    asked = spark.createDataFrame([("p", "1", "c", *x) for x in ask], "project_id string, build string, class string, method string, number bigint")
+    got = {(x.method, x.number): x.original_method for x in mapping.methods_of_lines(asked, methods).collect()}
+
+    def first(method, n):
+        own = [x for x in many + odd if x[0] == method]
+        return next((x[4] for x in own if x[2] is not None and x[2] <= n <= x[3]), own[0][4])
+
+    assert got == {(m, n): first(m, n) for m, n in ask if m != "none"}
+
+
 @pytest.mark.parametrize(("hosts", "host", "ok"), [([], None, True), (["*"], None, False), (["*"], "x.y", True), (["A.com"], "a.com", True), (["*.a.com"], "a.com", True), (["*.a.com"], "b.a.com", True), (["*.a.com"], "ba.com", False), (["b.com"], "a.com", False)])
 def test_hostname(spark, hosts, host, ok):
     patterns = F.array(*map(F.lit, hosts)) if hosts else F.array().cast("array<string>")
