@@ -1,4 +1,4 @@
-"""Web and server events: properties, visitors, persons, user agents and rows."""
+"""Web and server events: properties, visitors, persons and rows."""
 
 from __future__ import annotations
 
@@ -59,40 +59,6 @@ def resolve_person(events: DataFrame, aliases: DataFrame, persons: DataFrame) ->
     return found.withColumns({"person_id": F.when(F.col("external_id").isNotNull(), F.col("alias_person")).otherwise(F.col("distinct_id")), "is_identified": F.col("external_id").isNotNull()})
 
 
-# A short rule table; section, order, pattern, family template, version template, bot.
-UA_RULES = [
-    ("browser", 0, r"(Googlebot)/([0-9]+)\.([0-9]+)", "$1", True), ("browser", 1, r"(Edg)/([0-9]+)\.([0-9]+)", "Edge", False), ("browser", 2, r"(Firefox)/([0-9]+)\.([0-9]+)", "$1", False),
-    ("browser", 3, r"(Chrome)/([0-9]+)\.([0-9]+)", "$1", False), ("browser", 4, r"(Version)/([0-9]+)\.([0-9]+).*Safari", "Safari", False), ("os", 0, r"(Windows NT) ([0-9]+)\.([0-9]+)", "Windows", False),
-    ("os", 1, r"(iPhone OS) ([0-9]+)_([0-9]+)", "iOS", False), ("os", 2, r"(Mac OS X) ([0-9]+)_([0-9]+)", "$1", False), ("os", 3, r"(Android) ([0-9]+)", "$1", False), ("os", 4, r"(Linux)", "$1", False),
-    ("device", 0, r"(Googlebot)", "Spider", True), ("device", 1, r"(iPhone)", "iPhone", False), ("device", 2, r"; (Pixel [0-9]+)\)", "$1", False), ("device", 3, r"(SM-[A-Z0-9]+)", "Samsung $1", False),
-]
-
-
-def rule_table(spark) -> DataFrame:
-    return spark.createDataFrame(UA_RULES, "section string, rule_idx int, pattern string, family string, bot boolean")
-
-
-def ua_dictionary(requests: DataFrame, column: str = "user_agent") -> DataFrame:
-    """Each user agent once, so that rules run on distinct strings only."""
-    return requests.select(F.col(column).alias("user_agent")).where("user_agent IS NOT NULL").distinct()
-
-
-def match_rules(agents: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per user agent: family and version of each section by its first matching rule, and whether it is a bot.
-
-    Rules are the small side and Spark broadcasts them; each pair is one regex test, and only first matches are kept.
-    """
-    hits = agents.join(rules, F.expr("user_agent RLIKE pattern"))
-    best = hits.groupBy("user_agent", "section").agg(F.min_by(F.struct("pattern", "family", "bot"), "rule_idx").alias("r"))
-    group = lambda i: F.expr(f"CASE WHEN regexp_count(r.pattern, '[(]') >= {i} THEN regexp_extract(user_agent, r.pattern, {i}) ELSE '' END")
-    named = best.select("user_agent", "section", F.replace(F.col("r.family"), F.lit("$1"), group(1)).alias("family"), F.concat_ws(".", F.nullif(group(2), F.lit("")), F.nullif(group(3), F.lit(""))).alias("version"), "r.bot")
-    pick = lambda s, c: F.coalesce(F.max(F.when(F.col("section") == s, F.col(c))), F.lit(""))
-    wide = named.groupBy("user_agent").agg(pick("browser", "family").alias("browser"), pick("browser", "version").alias("browser_version"), pick("os", "family").alias("os"), pick("os", "version").alias("os_version"), pick("device", "family").alias("device_family"), F.bool_or("bot").alias("bot"))
-    out = agents.join(wide, "user_agent", "left").fillna("", ["browser", "browser_version", "os", "os_version", "device_family"])
-    bot = F.coalesce("bot", F.lit(False))
-    return out.withColumn("bot", bot).withColumn("device", F.when(bot, "Bot").otherwise(fn.classify_device(F.col("user_agent"))))
-
-
 def mods_v2(rows: DataFrame) -> DataFrame:
     """Server rows of the first version in the second's form: renamed game version, native JSON."""
     return rows.withColumnRenamed("minecraft_version", "game_version").withColumn("custom", F.parse_json("custom"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import scalars as fn
 from beaconry.operators import admission as adm
+from beaconry.operators import agents as ua
 from beaconry.operators import dedupe, usage, web
 from beaconry.sources import requests as src
 from beaconry.sources.fixtures import load, oracle
@@ -223,7 +224,7 @@ def q_resolve_person(spark, sf_dir):
 
 
 def agents(spark, sf_dir) -> DataFrame:
-    return web.match_rules(web.ua_dictionary(load(spark, sf_dir, "fx_web")), web.rule_table(spark))
+    return ua.match_rules(ua.ua_dictionary(load(spark, sf_dir, "fx_web")), ua.rule_table(spark))
 
 
 # What the short rule table says of each user agent of the fixtures, by index: browser, version, os, os version, device, bot.
@@ -232,7 +233,7 @@ _UA_EXPECTED = "(VALUES (0, 'Chrome', '124.0', 'Windows', '10.0', 'Desktop', fal
 
 @query("SELECT DISTINCT user_agent FROM @fx_web@")
 def q_ua_dict(spark, sf_dir):
-    return web.ua_dictionary(load(spark, sf_dir, "fx_web"))
+    return ua.ua_dictionary(load(spark, sf_dir, "fx_web"))
 
 
 @query(f"SELECT DISTINCT user_agent, browser, browser_version, os, os_version, bot FROM @fx_web@ JOIN {_UA_EXPECTED} ON i = ua_idx")
@@ -240,6 +241,28 @@ def q_ua_rules(spark, sf_dir):
     return agents(spark, sf_dir).select("user_agent", "browser", "browser_version", "os", "os_version", "bot")
 
 
+def product_rules(n: int = 1200) -> list[tuple]:
+    """A rule a product, of six shapes, for browsers; the last one, behind them all, names any product."""
+    shapes = [
+        ("(Prod{0})/([0-9]+)\\.([0-9]+)", None, None, None), ("Prod{0}(?:Beta|)/([0-9]+)\\.(\\d+)", "Product {0}", "$1", "$2"), ("\\(Prod{0}[(](\\d+)[)]\\)", "Paren {0}", "$1", None),
+        ("(?:Other|(Prod{0}))-(\\d+)?(?:\\.(\\d+)|)", None, None, None), ("(?<name>Prod{0}) on (\\w+)", "$1 for $1", "7", "$2"), ("(?i)(prod{0}) v(\\d+)(?:[(](\\d+)[)])?", " ", " ", "x$3"),
+    ]
+    rules = [("browser", k, *(x and x.format(f"{k:04d}") for x in shapes[k % 6]), False) for k in range(n)]
+    return [*rules, ("browser", n, "Prod(\\d+)", "Any $1", "$1-$1x", None, False), ("os", 0, "Sys[ (]([A-Z]+)(?: |[)])", "$1 OS", None, None, False), ("device", 1, "Prod\\d+7\\b", "Spider", None, None, True), ("device", 0, "Prod00\\d+", "Old", None, None, False)]
+
+
+_PRODUCT = "'Prod' || lpad(cast(k AS string), 4, '0')"
+
+
+# What the six shapes and the last rule say of each string, worked out by hand; m and s are the numbers in the string.
+@query(f"""SELECT DISTINCT user_agent, CASE WHEN k >= 1200 THEN 'Any ' || lpad(cast(k AS string), 4, '0') ELSE CASE k % 6 WHEN 0 THEN {_PRODUCT} WHEN 1 THEN 'Product ' || lpad(cast(k AS string), 4, '0') WHEN 2 THEN 'Paren ' || lpad(cast(k AS string), 4, '0') WHEN 3 THEN {_PRODUCT} WHEN 4 THEN {_PRODUCT} || ' for ' || {_PRODUCT} ELSE ' ' END END AS browser,
+ CASE WHEN k >= 1200 THEN lpad(cast(k AS string), 4, '0') || '-' ELSE CASE k % 6 WHEN 0 THEN m || '.' || s WHEN 1 THEN m || '.' || s WHEN 2 THEN m WHEN 3 THEN CASE WHEN s = '3' THEN '' ELSE m || '.' || s END WHEN 4 THEN '7.os' || s ELSE CASE WHEN s = '3' THEN m || '.x' ELSE m || '.x' || s END END END AS browser_version,
+ 'AB OS' AS os, CASE WHEN k < 100 OR k < 1200 AND (k % 6 = 5 OR k % 6 = 1 AND s < '3') THEN false ELSE k % 10 = 7 END AS bot FROM @fx_agents@""")
+def q_ua_rule_engine(spark, sf_dir):
+    rules = spark.createDataFrame(product_rules(), ua.RULE_SCHEMA)
+    return ua.match_rules(ua.ua_dictionary(load(spark, sf_dir, "fx_agents")), rules).select("user_agent", "browser", "browser_version", "os", "bot")
+
+
 @query(f"SELECT request_id, device FROM @fx_web@ JOIN {_UA_EXPECTED} ON i = ua_idx")
 def q_device(spark, sf_dir):
     return load(spark, sf_dir, "fx_web").select("request_id", fn.classify_device(F.col("user_agent")).alias("device"))

@@ -79,6 +79,12 @@ SELECT event_id AS request_id, 1704067200000 + event_id * 200 AS received_ms, CA
        CASE WHEN event_id % 4 = 0 THEN '10.1.0.' || cast(event_id % 9 AS string) END AS h_cf, CASE WHEN event_id % 4 = 1 THEN ' 10.2.0.1 , 10.9.9.9' END AS h_xff,
        CASE WHEN event_id % 8 = 2 THEN '10.3.0.1' END AS h_real, CASE WHEN event_id % 8 = 6 THEN 'for="[10.4.0.1]:80";proto=http' WHEN event_id % 8 = 3 THEN 'proto=http;For=10.5.0.1:99' END AS h_fwd
 FROM @events@""",
+    "fx_agents": """
+WITH p AS (SELECT p_partkey % 1300 AS k, cast(p_size AS string) AS m, cast(p_partkey % 5 AS string) AS s FROM @part@),
+n AS (SELECT *, 'Prod' || lpad(cast(k AS string), 4, '0') AS name FROM p)
+SELECT k, m, s, 'Mozilla/5.0 (Sys(AB) like) ' || CASE k % 6 WHEN 0 THEN name || '/' || m || '.' || s WHEN 1 THEN name || CASE WHEN s < '3' THEN 'Beta/' ELSE '/' END || m || '.' || s WHEN 2 THEN '(' || name || '(' || m || '))'
+       WHEN 3 THEN name || '-' || CASE WHEN s = '3' THEN '' ELSE m END || '.' || s WHEN 4 THEN name || ' on os' || s ELSE upper(name) || ' v' || m || CASE WHEN s = '3' THEN '' ELSE '(' || s || ')' END END
+       || CASE WHEN k >= 1200 THEN ' ' || name ELSE '' END AS user_agent FROM n""",
     "fx_errors": f"""
 SELECT event_id AS request_id, 1704067200000 + event_id * 200 AS received_ms, '00000000-0000-4000-8000-' || lpad(cast(user_id % 5 AS string), 12, '0') AS project_id,
        {_pick("event_id % 7", _LANGUAGES)} AS language, {_pick("event_id % 7", _KINDS)} AS kind, 'bad ' || cast(event_id AS string) AS message, {_pick("event_id % 7", _STACKS)} AS stack,

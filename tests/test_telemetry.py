@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconry.functions import scalars as fn
-from beaconry.operators import admission, dedupe, grouping, mapping, metrics, replay, stacks, web
+from beaconry.operators import admission, agents, dedupe, grouping, mapping, metrics, replay, stacks, web
 from beaconry.operators.grouping import Policy
 
 
@@ -141,6 +141,48 @@ def test_ip_verdict(spark):
     assert one(spark, admission.ip_verdict(F.lit("1"), some(), some())) is None
 
 
+def test_required_literals():
+    """Every match of a pattern holds one of the texts."""
+    for pattern, want in [
+        (r"(Edg)/([0-9]+)", ["edg/"]), (r"(?:ab|CDE)xyz(q)?", ["xyz"]), (r"(abc|defg)", ["abc", "defg"]), (r"\(Foo[(]bar", ["(foo(bar"]), (r"a.*", ["a"]), (r"(?i)(Opera) v", ["opera v"]), (r"(?:x|)", [""]), (r"(?:Mobile)+ S", ["mobile"]), ("([", [""]), ("", [""]),
+        (r"(?<name>abcd)\d", ["abcd"]), (r"(?x) a b c", [""]), (r"(?:longer|b)(?:abc|abd)", ["ab"]),
+    ]:
+        got = agents.required_literals(pattern)
+        assert got == want, (pattern, got)
+
+
+def test_user_agent_rules(spark):
+    """Groups that are not groups, first matches of each section, templates, and strings without a rule."""
+    rules = [
+        ("browser", 5, r"(?:Mozilla|X)/.*\((\w+)\)", None, None, None, False), ("browser", 1, r"(Foo|Foolish)/(?:v|)([0-9]+)?(?:\.([0-9]+))?", "$1 by $1 $2", None, None, False), ("browser", 0, r"Foo/9[)]", "Nine", None, None, False),
+        ("os", 0, r"(\(W)(in)", "${2}dows $1", "$2", "", False), ("os", 1, "Lin", "Linux", None, None, False), ("device", 1, "Foo", "Spider", None, None, True), ("device", 0, "Lin", "PC", None, None, False), ("device", 2, r"([", "bad", None, None, True),
+    ]
+    texts = ["Mozilla/5 (Lin) Foo/v3.4", "Mozilla/5 (abc)", "Foolish/.7", "Foo/9) (Win", "nothing", "", "FOO/1"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, texts[0]]], "user_agent string")
+    got = {r.user_agent: (r.browser, r.browser_version, r.os, r.os_version, r.bot) for r in agents.match_rules(agents.ua_dictionary(df), spark.createDataFrame(rules[:-1], agents.RULE_SCHEMA)).collect()}
+    assert got == {
+        texts[0]: ("Foo by Foo $2", "3.4", "Linux", "", False), texts[1]: ("abc", "", "", "", False), texts[2]: ("Foolish by Foolish $2", "", "", "", False), texts[3]: ("Nine", "", "indows (W", "in", True),
+        texts[4]: ("", "", "", "", False), texts[5]: ("", "", "", "", False), texts[6]: ("", "", "", "", False),
+    }
+
+
+def test_user_agent_rules_by_brute_force(spark):
+    """1,200 rules against each of their strings: the index loses no match, and the plan has no nested loop."""
+    import re
+
+    from beaconry.plans.web import product_rules
+    from beaconry.sources.fixtures import load
+
+    rules = product_rules()
+    strings = agents.ua_dictionary(load(spark, "/root/testdata/sf0.001", "fx_agents"))
+    indexed = agents.index_rules(spark.createDataFrame(rules, agents.RULE_SCHEMA))
+    pairs = agents.candidates(strings, indexed).where(F.expr("user_agent RLIKE pattern"))
+    got = {(r.user_agent, r.section, r.rule_idx) for r in pairs.collect()}
+    compiled = [(r[0], r[1], re.compile(r[2].replace("(?<name>", "(?P<name>"))) for r in rules]
+    assert got == {(r.user_agent, section, i) for r in strings.collect() for section, i, p in compiled if p.search(r.user_agent)}
+    assert "NestedLoop" not in pairs._jdf.queryExecution().toString() and "Cartesian" not in pairs._jdf.queryExecution().toString()
+
+
 def test_routes(spark):
     for url, want in [(None, "/"), ("  ", "/"), ("https://a.b/x/y/?q#z", "/x/y"), ("https://a.b", "/"), ("x?y", "/x"), ("/a//#b", "/a"), ("host:80/x", "/80/x")]:
         assert one(spark, fn.normalize_route(F.lit(url).cast("string"))) == want
