@@ -48,7 +48,8 @@ def required_literals(pattern: str) -> list[str]:
     import re._parser as parser
 
     def best(sets: list[list[str]]) -> list[str]:
-        return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=[""])
+        most = max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=[""])
+        return most if all(most) else [""]
 
     def of(items) -> list[list[str]]:
         found, run = [], ""
