@@ -161,7 +161,7 @@ def test_user_agent_rules(spark):
     df = spark.createDataFrame([(t,) for t in [*texts, None, texts[0]]], "user_agent string")
     got = {r.user_agent: (r.browser, r.browser_version, r.os, r.os_version, r.bot) for r in agents.match_rules(agents.ua_dictionary(df), spark.createDataFrame(rules[:-1], agents.RULE_SCHEMA)).collect()}
     assert got == {
-        texts[0]: ("Foo by Foo $2", "3.4", "Linux", "", False), texts[1]: ("abc", "", "", "", False), texts[2]: ("Foolish by Foolish $2", "", "", "", False), texts[3]: ("Nine", "", "indows (W", "in", True),
+        texts[0]: ("Foo by Foo $2", "3.4", "Linux", "", False), texts[1]: ("abc", "", "", "", False), texts[2]: ("Foolish by Foolish $2", "", "", "", True), texts[3]: ("Nine", "", "indows (W", "in", True),
         texts[4]: ("", "", "", "", False), texts[5]: ("", "", "", "", False), texts[6]: ("", "", "", "", False),
     }
 
