@@ -34,18 +34,38 @@ def fold_persons(patches: DataFrame, fields: dict[str, str | None]) -> DataFrame
     return df.groupBy("project_id", "external_id").agg(*[fold_field(n, c or f"_clear_{n}").alias(n) for n, c in fields.items()], F.count(F.lit(1)).alias("patches"))
 
 
+def trait_writes(patches: DataFrame) -> DataFrame:
+    """(project_id, external_id, trait, w): each trait's last write; part 1 is a removal, which comes after its patch's writes."""
+    key = ["project_id", "external_id"]
+    none = F.array().cast("array<struct<part:int,trait:string,value:string>>")
+    sets = F.transform(F.map_entries("traits"), lambda e: F.struct(F.lit(0).alias("part"), e["key"].alias("trait"), e["value"].alias("value")))
+    unsets = F.transform("unset_traits", lambda t: F.struct(F.lit(1).alias("part"), t.alias("trait"), F.lit(None).cast("string").alias("value")))
+    each = patches.select(*key, "seq", F.explode(F.concat(F.coalesce(sets, none), F.coalesce(unsets, none))).alias("o")).select(*key, "seq", "o.*")
+    return each.groupBy(*key, "trait").agg(F.max_by(F.struct("seq", "part", "value"), F.struct("seq", "part")).alias("w"))
+
+
+def trait_replacements(patches: DataFrame) -> DataFrame:
+    """(project_id, external_id, since): when all traits of a person were last replaced."""
+    return patches.groupBy("project_id", "external_id").agg(F.max(F.when(F.col("replace_traits"), F.col("seq"))).alias("since"))
+
+
+def current_traits(writes: DataFrame, replacements: DataFrame) -> DataFrame:
+    """(project_id, external_id, trait, value): last writes that no later replacement has dropped and that are no removals.
+
+    A write that another one of its trait has followed cannot count, so the last ones suffice; this is the merge on read
+    of the two folds' outputs, which may come from a batch or from the change logs of streams.
+    """
+    key = ["project_id", "external_id"]
+    live = writes.join(replacements, key, "left").where("(since IS NULL OR w.seq >= since) AND w.part = 0")
+    return live.select(*key, "trait", F.col("w.value").alias("value"))
+
+
 def fold_traits(patches: DataFrame) -> DataFrame:
-    """(project_id, external_id, trait, value): traits of patches since each person's last replace; removals of a patch come after its writes.
+    """Traits of patches since each person's last replace; removals of a patch come after its writes.
 
     patches carries traits (map), replace_traits and unset_traits (array).
     """
-    key = ["project_id", "external_id"]
-    replaced = patches.groupBy(*key).agg(F.max(F.when(F.col("replace_traits"), F.col("seq"))).alias("since"))
-    live = patches.join(replaced, key).where("since IS NULL OR seq >= since")
-    sets = live.select(*key, "seq", F.lit(0).alias("part"), F.explode("traits").alias("trait", "value"))
-    unsets = live.select(*key, "seq", F.lit(1).alias("part"), F.explode("unset_traits").alias("trait"), F.lit(None).cast("string").alias("value"))
-    last = sets.unionByName(unsets).groupBy(*key, "trait").agg(F.max_by(F.struct("part", "value"), F.struct("seq", "part")).alias("w"))
-    return last.where("w.part = 0").select(*key, "trait", F.col("w.value").alias("value"))
+    return current_traits(trait_writes(patches), trait_replacements(patches))
 
 
 def fold_aliases(patches: DataFrame) -> DataFrame:

@@ -268,16 +268,24 @@ def latest_filter(chunks: DataFrame, filters: DataFrame, fields: list[str]) -> D
 
 
 def fold_sessions(chunks: DataFrame) -> DataFrame:
-    """One row per session and window over kept chunks in arrival order; needs received_ms, chunk, counts, times, entry/exit routes and browser."""
+    """One row per session and window over kept chunks in arrival order.
+
+    chunks has received_ms, chunk, counts, times, routes, entry and exit route, session_start_ms, identifier, browser,
+    country and os. Every column is a mergeable aggregate, so a stream of chunks can be folded by the same plan in update
+    mode, its state being one row a session and window.
+    """
     order = F.struct("received_ms", "chunk")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order))
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
     out = chunks.groupBy("project_id", "session_id", "window_id").agg(
         F.sum("events").alias("event_count"), F.count(F.lit(1)).alias("chunk_count"), F.sum("bytes").alias("total_bytes"), F.bool_or("has_full_snapshot").alias("has_full_snapshot"), F.bool_or("is_final").alias("is_complete"),
-        F.min("first_ts").alias("started_ms"), F.max("last_ts").alias("ended_ms"), first("entry_route").alias("entry_route"), last("exit_route").alias("exit_route"), last("browser").alias("browser"),
-        F.min(F.when(F.col("is_final"), F.col("received_ms"))).alias("finalized_ms"), F.min("received_ms").alias("first_ms"), F.array_sort(F.collect_set("entry_route")).alias("routes"),
+        F.min("first_ts").alias("started_ms"), F.max("last_ts").alias("ended_ms"), F.min("session_start_ms").alias("session_start_ms"), F.min(F.coalesce("first_ts", "session_start_ms")).alias("started_at_ms"), F.max(F.coalesce("last_ts", "first_ts", "session_start_ms")).alias("ended_at_ms"),
+        first("entry_route"), last("exit_route"), last("identifier"), last("browser"), last("country"), last("os"),
+        F.min(F.when(F.col("is_final"), F.col("received_ms"))).alias("finalized_ms"), F.min("received_ms").alias("first_ms"), F.collect_set("routes").alias("route_sets"),
     )
-    return out.withColumn("duration_ms", F.when(F.col("ended_ms") >= F.col("started_ms"), F.col("ended_ms") - F.col("started_ms")))
+    routes = F.array_sort(F.array_distinct(F.flatten("route_sets")))
+    duration = F.when(F.col("ended_ms") >= F.col("started_ms"), F.col("ended_ms") - F.col("started_ms"))
+    return out.withColumns({"duration_ms": duration, "routes": routes, "route_count": F.size(routes)}).drop("route_sets")
 
 
 def finalize(sessions: DataFrame, finals: DataFrame) -> DataFrame:

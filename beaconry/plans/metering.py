@@ -156,19 +156,36 @@ def q_identify(spark, sf_dir):
     return patches(spark, sf_dir).select("request_id", "external_id", "reject_reason", F.get("distinct_ids", F.lit(0)).alias("distinct_id"))
 
 
-@query(f"""WITH {_ID_SQL} SELECT project_id, ext AS external_id, (arg_max({{'v': CASE WHEN NOT clear_email THEN email END}}, seq) FILTER (clear_email OR email IS NOT NULL)).v AS email, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, count(*) AS patches FROM ok GROUP BY 1, 2""")
+_PERSONS_SQL = f"""WITH {_ID_SQL} SELECT project_id, ext AS external_id, (arg_max({{'v': CASE WHEN NOT clear_email THEN email END}}, seq) FILTER (clear_email OR email IS NOT NULL)).v AS email, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, count(*) AS patches FROM ok GROUP BY 1, 2"""
+
+
+def trait_patches(spark, sf_dir):
+    df = accepted(spark, sf_dir).withColumn("traits", F.create_map("trait", F.col("trait_value").cast("string")))
+    return df.withColumn("unset_traits", F.when(F.col("unset_trait").isNotNull(), F.array("unset_trait")).otherwise(F.array().cast("array<string>")))
+
+
+@query(_PERSONS_SQL)
 def q_persons(spark, sf_dir):
     return persons.fold_persons(accepted(spark, sf_dir), {"email": "clear_email", "name": None})
 
 
-@query(f"""WITH {_ID_SQL}, s AS (SELECT project_id, ext, max(seq) FILTER (replace_traits) AS since FROM ok GROUP BY 1, 2), l AS (SELECT ok.* FROM ok JOIN s ON s.project_id = ok.project_id AND s.ext = ok.ext WHERE since IS NULL OR seq >= since),
+_TRAITS_SQL = f"""WITH {_ID_SQL}, s AS (SELECT project_id, ext, max(seq) FILTER (replace_traits) AS since FROM ok GROUP BY 1, 2), l AS (SELECT ok.* FROM ok JOIN s ON s.project_id = ok.project_id AND s.ext = ok.ext WHERE since IS NULL OR seq >= since),
  o AS (SELECT project_id, ext, trait, cast(trait_value AS string) AS v, seq * 2 AS o FROM l UNION ALL SELECT project_id, ext, unset_trait, NULL, seq * 2 + 1 FROM l WHERE unset_trait IS NOT NULL),
- r AS (SELECT *, row_number() OVER (PARTITION BY project_id, ext, trait ORDER BY o DESC) AS rn FROM o) SELECT project_id, ext AS external_id, trait, v AS value FROM r WHERE rn = 1 AND v IS NOT NULL""")
+ r AS (SELECT *, row_number() OVER (PARTITION BY project_id, ext, trait ORDER BY o DESC) AS rn FROM o) SELECT project_id, ext AS external_id, trait, v AS value FROM r WHERE rn = 1 AND v IS NOT NULL"""
+
+
+@query(_TRAITS_SQL)
 def q_traits(spark, sf_dir):
-    df = accepted(spark, sf_dir).withColumn("traits", F.create_map("trait", F.col("trait_value").cast("string")))
-    return persons.fold_traits(df.withColumn("unset_traits", F.when(F.col("unset_trait").isNotNull(), F.array("unset_trait")).otherwise(F.array().cast("array<string>"))))
+    return persons.fold_traits(trait_patches(spark, sf_dir))
+
 
+_ALIASES_SQL = f"WITH {_ID_SQL} SELECT project_id, distinct_id, arg_max(ext, seq) AS external_id FROM ok WHERE distinct_id IS NOT NULL GROUP BY 1, 2"
 
-@query(f"WITH {_ID_SQL} SELECT project_id, distinct_id, arg_max(ext, seq) AS external_id FROM ok WHERE distinct_id IS NOT NULL GROUP BY 1, 2")
+
+@query(_ALIASES_SQL)
 def q_aliases(spark, sf_dir):
     return persons.fold_aliases(accepted(spark, sf_dir))
+
+
+#: The oracles that the streaming forms of the folds share.
+ORACLES_OF = {"persons": _PERSONS_SQL, "traits": _TRAITS_SQL, "aliases": _ALIASES_SQL}

@@ -135,20 +135,30 @@ def q_asof_filter(spark, sf_dir):
     return chunk_filters(spark, sf_dir).select("project_id", "session_id", "chunk", "browser", "country", "os")
 
 
-_SESSIONS = f"""{_KEPT}, {_ASOF}, j AS (SELECT kc.*, af.browser FROM kc JOIN af ON af.project_id = kc.project_id AND af.session_id = kc.session_id AND af.chunk = kc.chunk),
-se AS (SELECT project_id, session_id, window_id, cast(sum(events) AS BIGINT) AS event_count, count(*) AS chunk_count, cast(sum(bytes) AS BIGINT) AS total_bytes, bool_or(has_full_snapshot) AS has_full_snapshot, bool_or(is_final) AS is_complete, min(first_ts) AS started_ms, max(last_ts) AS ended_ms,
- arg_min(entry_url, received_ms) FILTER (entry_url IS NOT NULL) AS entry_route, arg_max(exit_url, received_ms) FILTER (exit_url IS NOT NULL) AS exit_route, arg_max(browser, received_ms) FILTER (browser IS NOT NULL) AS browser,
- min(received_ms) FILTER (is_final) AS finalized_ms, min(received_ms) AS first_ms, count(DISTINCT entry_url) AS n_routes FROM j GROUP BY 1, 2, 3)"""
+_SESSIONS = f"""{_KEPT}, {_ASOF}, {_SPANS}, ck AS (SELECT project_id, session_id, chunk, arg_min(route, span) AS entry_route, arg_max(route, span) AS exit_route FROM spans GROUP BY 1, 2, 3),
+j AS (SELECT kc.*, af.browser, af.country, af.os, ck.entry_route, ck.exit_route FROM kc JOIN af ON af.project_id = kc.project_id AND af.session_id = kc.session_id AND af.chunk = kc.chunk JOIN ck ON ck.project_id = kc.project_id AND ck.session_id = kc.session_id AND ck.chunk = kc.chunk),
+ru AS (SELECT project_id, session_id, string_agg(DISTINCT route, ',' ORDER BY route) AS routes, cast(count(DISTINCT route) AS INTEGER) AS route_count FROM spans JOIN (SELECT project_id, session_id, chunk FROM kc) USING (project_id, session_id, chunk) GROUP BY 1, 2),
+sj AS (SELECT project_id, session_id, window_id, cast(sum(events) AS BIGINT) AS event_count, count(*) AS chunk_count, cast(sum(bytes) AS BIGINT) AS total_bytes, bool_or(has_full_snapshot) AS has_full_snapshot, bool_or(is_final) AS is_complete, min(first_ts) AS started_ms, max(last_ts) AS ended_ms,
+ min(session_start_ms) AS session_start_ms, min(coalesce(first_ts, session_start_ms)) AS started_at_ms, max(coalesce(last_ts, first_ts, session_start_ms)) AS ended_at_ms, arg_min(entry_route, received_ms) AS entry_route, arg_max(exit_route, received_ms) AS exit_route,
+ arg_max(identifier, received_ms) FILTER (identifier IS NOT NULL) AS identifier, arg_max(browser, received_ms) FILTER (browser IS NOT NULL) AS browser, arg_max(country, received_ms) FILTER (country IS NOT NULL) AS country, arg_max(os, received_ms) FILTER (os IS NOT NULL) AS os,
+ min(received_ms) FILTER (is_final) AS finalized_ms, min(received_ms) AS first_ms FROM j GROUP BY 1, 2, 3),
+se AS (SELECT sj.*, ru.routes, ru.route_count, CASE WHEN ended_ms >= started_ms THEN ended_ms - started_ms END AS duration_ms FROM sj JOIN ru ON ru.project_id = sj.project_id AND ru.session_id = sj.session_id)"""
+
+
+def session_chunks(spark, sf_dir):
+    """Kept chunks with their routes and the latest filter attributes at their time."""
+    key = ["project_id", "session_id", "chunk"]
+    chunks = kept_chunks(spark, sf_dir).join(chunk_filters(spark, sf_dir).drop("window_id"), key)
+    return chunks.join(replay.chunk_routes(spans(spark, sf_dir)), key)
 
 
 def sessions(spark, sf_dir):
-    chunks = kept_chunks(spark, sf_dir).join(chunk_filters(spark, sf_dir).select("project_id", "session_id", "window_id", "chunk", "browser"), ["project_id", "session_id", "window_id", "chunk"])
-    return replay.fold_sessions(chunks.withColumnsRenamed({"entry_url": "entry_route", "exit_url": "exit_route"}))
+    return replay.fold_sessions(session_chunks(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_SESSIONS} SELECT *, CASE WHEN ended_ms >= started_ms THEN ended_ms - started_ms END AS duration_ms FROM se")
+@query(f"WITH RECURSIVE {_SESSIONS} SELECT * FROM se")
 def q_sessions(spark, sf_dir):
-    return sessions(spark, sf_dir).withColumn("n_routes", F.size("routes").cast("long")).drop("routes")
+    return sessions(spark, sf_dir).withColumn("routes", F.array_join("routes", ","))
 
 
 @query(f"""WITH RECURSIVE {_SESSIONS}, fin AS (SELECT project_id, session_id, chunk, max(received_ms) AS received_ms FROM (SELECT *, {_FAULT} AS fault FROM @fx_replay_events@) WHERE chunk % 3 = 0 GROUP BY 1, 2, 3 HAVING count(*) FILTER (fault IS NULL) = 0),

@@ -44,6 +44,11 @@ f AS (SELECT visitor, url, i, received_ms AS last, request_id, true AS kept FROM
   UNION ALL SELECT n.visitor, n.url, n.i, CASE WHEN n.received_ms - f.last >= 5000 THEN n.received_ms ELSE f.last END, n.request_id, n.received_ms - f.last >= 5000 FROM f JOIN pg n ON n.visitor = f.visitor AND n.url = f.url AND n.i = f.i + 1)"""
 
 
+# Of the events to debounce some have no URL and some carry errors.
+_PAGES_SQL = "(SELECT visitor, event, received_ms, request_id, CASE WHEN request_id % 13 = 0 THEN '' ELSE url END AS url FROM vis WHERE request_id % 17 <> 0)"
+_PAGED_SQL = _DEBOUNCE_SQL.replace("FROM vis WHERE", f"FROM {_PAGES_SQL} WHERE")
+
+
 def with_visitors(spark, sf_dir: str) -> DataFrame:
     """Web requests of known projects with visitor and cookieless."""
     joined = load(spark, sf_dir, "fx_web").join(load(spark, sf_dir, "fx_projects"), "token")
@@ -164,16 +169,21 @@ def q_exact_hash(spark, sf_dir):
     return load(spark, sf_dir, "fx_errors").select("request_id", fn.exact_hash(F.col("kind"), F.col("message"), F.col("stack")).alias("exact_hash"))
 
 
+def to_debounce(spark, sf_dir) -> DataFrame:
+    rows = with_visitors(spark, sf_dir).where("visitor IS NOT NULL").withColumn("has_errors", F.col("request_id") % 17 == 0)
+    return rows.withColumn("url", F.when(F.col("request_id") % 13 != 0, F.col("url")))
+
+
 def debounced(spark, sf_dir) -> DataFrame:
-    return dedupe.debounce(with_visitors(spark, sf_dir).where("visitor IS NOT NULL").withColumn("has_errors", F.lit(False)))
+    return dedupe.debounce(to_debounce(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_VISITOR_SQL.strip()}, {_DEBOUNCE_SQL.strip()} SELECT vis.request_id, vis.visitor, vis.event, coalesce(kept, true) AS kept FROM vis LEFT JOIN f ON f.request_id = vis.request_id WHERE vis.visitor IS NOT NULL")
+@query(f"WITH RECURSIVE {_VISITOR_SQL.strip()}, {_PAGED_SQL.strip()} SELECT vis.request_id, vis.visitor, vis.event, coalesce(kept, true) AS kept FROM vis LEFT JOIN f ON f.request_id = vis.request_id WHERE vis.visitor IS NOT NULL")
 def q_debounce(spark, sf_dir):
     return debounced(spark, sf_dir).select("request_id", "visitor", "event", "kept")
 
 
-@query(f"""WITH RECURSIVE {_VISITOR_SQL.strip()}, {_DEBOUNCE_SQL.strip()} SELECT project_id, strftime(make_timestamp(vis.received_ms * 1000), '%Y-%m-%d') AS day, count(*) AS suppressed FROM vis JOIN f ON f.request_id = vis.request_id WHERE NOT kept GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {_VISITOR_SQL.strip()}, {_PAGED_SQL.strip()} SELECT project_id, strftime(make_timestamp(vis.received_ms * 1000), '%Y-%m-%d') AS day, count(*) AS suppressed FROM vis JOIN f ON f.request_id = vis.request_id WHERE NOT kept GROUP BY 1, 2""")
 def q_debounce_stats(spark, sf_dir):
     return debounced(spark, sf_dir).where("NOT kept").groupBy("project_id", fn.day_of(F.col("received_ms")).alias("day")).agg(F.count(F.lit(1)).alias("suppressed"))
 

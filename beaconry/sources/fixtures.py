@@ -137,7 +137,8 @@ SELECT project_id, session_id, session_id AS window_id, 'g' || cast(chunk % 2 AS
        CASE WHEN chunk % 5 = 0 THEN chunk - 1 ELSE chunk END AS first_sequence, CASE WHEN chunk % 6 = 0 THEN chunk + 1 ELSE CASE WHEN chunk % 5 = 0 THEN chunk - 1 ELSE chunk END END AS last_sequence,
        CASE WHEN chunk % 3 = 0 THEN NULL WHEN chunk % 7 = 0 THEN 'b' || cast(chunk - 1 AS string) ELSE 'b' || cast(chunk AS string) END AS batch_id, chunk % 9 = 8 AS is_final,
        count(*) AS events, min(cast(floor(ts) AS bigint)) AS first_ts, max(cast(floor(ts) AS bigint)) AS last_ts, max(CASE WHEN type = 2 THEN 1 ELSE 0 END) = 1 AS has_full_snapshot, count(*) * 100 AS bytes,
-       CASE chunk % 4 WHEN 0 THEN 'coalesced:timer' WHEN 1 THEN 'interval' WHEN 2 THEN 'strange' END AS flush_reason, min(href) AS entry_url, max(href) AS exit_url
+       CASE chunk % 4 WHEN 0 THEN 'coalesced:timer' WHEN 1 THEN 'interval' WHEN 2 THEN 'strange' END AS flush_reason, min(href) AS entry_url, max(href) AS exit_url,
+       CASE WHEN chunk % 4 = 1 THEN NULL ELSE session_id || '-' || cast(chunk % 3 AS string) END AS identifier, min(received_ms) - 5000 + chunk % 2 * 9000 AS session_start_ms
 FROM @fx_replay_events@ GROUP BY project_id, session_id, chunk""",
     "fx_filters": """
 SELECT request_id, 'p' || cast(raw_user % 3 AS string) AS project_id, session_id, session_id AS window_id, received_ms, CASE WHEN request_id % 3 = 0 THEN NULL ELSE 'B' || cast(ua_idx AS string) END AS browser,

@@ -6,17 +6,19 @@ the stream over Parquet that Spark derives from the tables, to its end, and retu
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from beaconry.operators import dedupe, replay, usage
-from beaconry.plans import sessions, web
-from beaconry.sources.fixtures import oracle
+from beaconry.operators import dedupe, persons, replay, usage
+from beaconry.plans import metering, sessions, web
+from beaconry.sources.fixtures import load, oracle
 from beaconry.sources.requests import shared_dir, write_tables
 
 QUERIES: dict = {}
@@ -36,26 +38,50 @@ def query(sql: str | None = None):
 
 
 def debounce_stream(events: DataFrame, window_ms: int = 5000) -> DataFrame:
-    """Kept page events of a stream: keyed state holds the time of the last kept one and expires a window later."""
+    """(visitor, request_id, received_ms) of the events of a stream that pass, by the batch fold's rules.
+
+    Keyed state holds the time of the last kept event of a visitor and URL and expires a window later. Events that do not
+    count pass as they come.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["received_ms", "request_id"]) if not state.hasTimedOut else None
-        if rows is None:
+        if state.hasTimedOut:
             state.remove()
             return
-        kept = []
-        for ms, request in zip(rows["received_ms"], rows["request_id"], strict=True):
-            if last is None or ms - last >= window_ms:
-                last = int(ms)
-                kept.append((key[0], int(request), last))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + window_ms, state.getCurrentWatermarkMs() + 1))
-        if kept:
-            yield pd.DataFrame(kept, columns=["visitor", "request_id", "received_ms"])
+        rows = pd.concat(list(batches)).sort_values(["received_ms", "request_id"])
+        kept = rows.iloc[dedupe.walk(rows["received_ms"].to_numpy(), state.get[0] if state.exists else None, window_ms)]
+        if len(kept):
+            state.update((int(kept["received_ms"].iloc[-1]),))
+        if state.exists:
+            state.setTimeoutTimestamp(max(state.get[0] + window_ms, state.getCurrentWatermarkMs() + 1))
+        yield kept[["visitor", "request_id", "received_ms"]]
+
+    counts = dedupe.counts_for_debounce(events.columns)
+    out = "visitor string, request_id long, received_ms long"
+    marked = events.withWatermark("received_at", WATERMARK)
+    pages = marked.where(counts).select("visitor", dedupe.key_url().alias("key_url"), "request_id", "received_ms", "received_at")
+    kept = pages.groupBy("visitor", "key_url").applyInPandasWithState(fold, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.unionByName(marked.where(~counts).select("visitor", "request_id", "received_ms"))
+
+
+def dedupe_chunks_stream(chunks: DataFrame) -> DataFrame:
+    """The kept chunks of a stream of replay chunks, by the batch fold's rules: (key, chunk, received_ms).
+
+    Keyed state is the set of the stream's batch ids and the ranges of sequences that are covered. It stays: a chunk may be
+    sent again at any time.
+    """
 
-    pages = events.where(F.col("event").isin(*dedupe.DEBOUNCED)).withWatermark("received_at", WATERMARK)
-    return pages.groupBy("visitor", "url").applyInPandasWithState(fold, "visitor string, request_id long, received_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = dedupe.ChunkSet(*json.loads(state.get[0])) if state.exists else dedupe.ChunkSet()
+        rows = pd.concat(list(batches)).sort_values(["received_ms", "chunk"])
+        some = lambda x: None if pd.isna(x) else x
+        whole = lambda x: None if pd.isna(x) else int(x)
+        kept = [seen.offer(some(b), whole(s), whole(lo), whole(hi)) for b, s, lo, hi in zip(rows["batch_id"], rows["sequence"], rows["first_sequence"], rows["last_sequence"], strict=True)]
+        state.update((json.dumps([sorted(seen.batches), seen.starts, seen.ends]),))
+        yield rows[kept][[*dedupe.CHUNK_KEY, "chunk", "received_ms"]]
+
+    out = ", ".join(f"{k} string" for k in dedupe.CHUNK_KEY) + ", chunk long, received_ms long"
+    return chunks.groupBy(*dedupe.CHUNK_KEY).applyInPandasWithState(fold, out, "seen string", "append", GroupStateTimeout.NoTimeout)
 
 
 def first_billing_stream(chunks: DataFrame) -> DataFrame:
@@ -75,12 +101,33 @@ def usage_stream(rows: DataFrame) -> DataFrame:
     return usage.usage_by_window(rows.withWatermark("received_at", WATERMARK))
 
 
-def fold_sessions_batch(batch: DataFrame, state_path: str, batch_id: int) -> None:
-    """One micro-batch of kept chunks, added to the chunk table that sessions are folded from.
+def run_updates(df: DataFrame, path: str) -> None:
+    """Runs a stream of keyed aggregates to its end: each micro-batch adds the rows that it changed to a change log.
 
-    Writes go to the batch's own folder, so a batch that runs again replaces its own output.
+    A batch writes to a folder of its own, so that one that runs again replaces its rows. The aggregates are Spark's state
+    and go on from the checkpoint.
     """
-    batch.write.mode("overwrite").parquet(f"{state_path}/chunks/batch={batch_id}")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/log/batch={n}")
+    df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(spark: SparkSession, schema: StructType, path: str, key: list[str]) -> DataFrame:
+    """A change log merged on read: each key's last row."""
+    batch = F.regexp_extract(F.input_file_name(), "/batch=([0-9]+)/", 1).cast("long")
+    rows = spark.read.schema(schema).parquet(f"{path}/log/batch=*").withColumn("_batch", batch)
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in schema.names if c not in key]), "_batch").alias("r")).select(*key, "r.*")
+
+
+SESSION_KEY = ["project_id", "session_id", "window_id"]
+PERSON_KEY = ["project_id", "external_id"]
+
+
+def person_streams(patches: DataFrame, fields: dict[str, str | None]) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The keyed folds of a stream of accepted patches, each with its key: persons, trait writes and replacements, aliases."""
+    return {
+        "persons": (persons.fold_persons(patches, fields), PERSON_KEY), "trait_writes": (persons.trait_writes(patches), [*PERSON_KEY, "trait"]),
+        "trait_replacements": (persons.trait_replacements(patches), PERSON_KEY), "aliases": (persons.fold_aliases(patches), ["project_id", "distinct_id"]),
+    }
 
 
 def run_to_end(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -89,22 +136,39 @@ def run_to_end(df: DataFrame, path: str, mode: str = "append") -> None:
     q.awaitTermination()
 
 
-def _source(spark: SparkSession, df: DataFrame, name: str, batches: int = 1) -> tuple[DataFrame, str]:
-    """df as a stream of so many micro-batches, ranges of received_at, and the job's folder."""
+def feed(spark: SparkSession, df: DataFrame, name: str, run: Callable[[DataFrame, str], None], batches: int = 1) -> str:
+    """Lets run(stream, folder) take df in so many stretches of received_at, one after the other; the job's folder.
+
+    Each stretch arrives after the run before it has ended, so all but the first go on from its checkpoint.
+    """
     path = f"{shared_dir(spark)}/beaconry/{uuid.uuid4().hex}/{name}"
-    if batches > 1:
-        df.repartitionByRange(batches, "received_at").write.parquet(f"{path}/in")
-        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
-    df.write.parquet(f"{path}/in")
-    return spark.readStream.schema(df.schema).parquet(f"{path}/in"), path
+    at = F.unix_millis("received_at")
+    df.write.parquet(f"{path}/all")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/all")
+    span = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    lo, width = span.lo or 0, ((span.hi or 0) - (span.lo or 0)) // batches + 1
+    for k in range(batches):
+        some = rows.where(at.between(lo + k * width, lo + (k + 1) * width - 1)) if batches > 1 else rows
+        some.write.mode("append").parquet(f"{path}/in")
+        run(spark.readStream.schema(df.schema).parquet(f"{path}/in"), path)
+    return path
+
+
+@query(f"WITH RECURSIVE {web._VISITOR_SQL.strip()}, {web._PAGED_SQL.strip()} SELECT vis.request_id, vis.visitor FROM vis LEFT JOIN f ON f.request_id = vis.request_id WHERE vis.visitor IS NOT NULL AND coalesce(kept, true)")
+def q_stream_debounce(spark, sf_dir):
+    rows = web.to_debounce(spark, sf_dir).select("visitor", "url", "event", "has_errors", "request_id", "received_ms", F.timestamp_millis("received_ms").alias("received_at"))
+    path = feed(spark, rows, "debounce", lambda stream, path: run_to_end(debounce_stream(stream), path), batches=4)
+    return spark.read.parquet(f"{path}/out").select("request_id", "visitor")
 
 
-@query(f"WITH RECURSIVE {web._VISITOR_SQL.strip()}, {web._DEBOUNCE_SQL.strip()} SELECT request_id FROM f WHERE kept")
-def q_stream_debounce(spark, sf_dir):
-    rows = web.with_visitors(spark, sf_dir).where("visitor IS NOT NULL").select("visitor", "url", "event", "request_id", "received_ms", F.timestamp_millis("received_ms").alias("received_at"))
-    stream, path = _source(spark, rows, "debounce")
-    run_to_end(debounce_stream(stream), path)
-    return spark.read.parquet(f"{path}/out").select("request_id")
+# Chunks that are sent again a day later are dropped whatever became of the first ones.
+@query(f"WITH RECURSIVE {sessions._FOLD} SELECT project_id, session_id, chunk FROM g WHERE kept")
+def q_stream_dedupe_chunks(spark, sf_dir):
+    chunks = load(spark, sf_dir, "fx_chunks").select(*dedupe.CHUNK_KEY, "chunk", "received_ms", "batch_id", "sequence", "first_sequence", "last_sequence")
+    again = chunks.where("chunk % 4 = 0").withColumn("chunk", F.col("chunk") + 1_000_000).withColumn("received_ms", F.col("received_ms") + 86_400_000)
+    rows = chunks.unionByName(again).withColumn("received_at", F.timestamp_millis("received_ms"))
+    path = feed(spark, rows, "chunks", lambda stream, path: run_to_end(dedupe_chunks_stream(stream), path), batches=4)
+    return spark.read.parquet(f"{path}/out").select("project_id", "session_id", "chunk")
 
 
 @query(f"WITH {web._TAGGED_SQL}, m AS (SELECT max(received_ms) - 86400000 AS w FROM t) SELECT received_ms - received_ms % 5000 AS window_ms, billing_owner, count(*) FILTER (kind IN ('web', 'server')) AS events, count(*) FILTER (kind = 'error') AS error_tracking, count(*) FILTER (kind = 'vital') AS web_vitals FROM t GROUP BY 1, 2")
@@ -112,37 +176,61 @@ def q_stream_usage(spark, sf_dir):
     rows = web.tagged(spark, sf_dir).select("billing_owner", "kind", F.timestamp_millis("received_ms").alias("received_at"))
     # A closing row past the watermark ends every window; it has no owner.
     end = rows.agg((F.max("received_at") + F.expr("INTERVAL 3 DAYS")).alias("received_at")).select(F.lit(None).cast("string").alias("billing_owner"), F.lit("end").alias("kind"), "received_at")
-    stream, path = _source(spark, rows.unionByName(end), "usage")
-    run_to_end(usage_stream(stream), path)
+    path = feed(spark, rows.unionByName(end), "usage", lambda stream, path: run_to_end(usage_stream(stream), path))
     return spark.read.parquet(f"{path}/out").where("billing_owner IS NOT NULL")
 
 
-@query(f"WITH RECURSIVE {sessions._KEPT} SELECT project_id, session_id, 1 AS n FROM kc GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {sessions._KEPT} SELECT project_id, session_id, arg_min(chunk, received_ms) AS chunk, min(received_ms) AS received_ms FROM kc GROUP BY 1, 2")
 def q_stream_first_billing(spark, sf_dir):
     rows = sessions.kept_chunks(spark, sf_dir).select("project_id", "session_id", "chunk", F.timestamp_millis("received_ms").alias("received_at"))
-    stream, path = _source(spark, rows, "billing", batches=4)
-    run_to_end(first_billing_stream(stream), path)
-    return spark.read.parquet(f"{path}/out").groupBy("project_id", "session_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    path = feed(spark, rows, "billing", lambda stream, path: run_to_end(first_billing_stream(stream), path), batches=4)
+    return spark.read.parquet(f"{path}/out").select("project_id", "session_id", "chunk", F.unix_millis("received_at").alias("received_ms"))
 
 
-@query(f"WITH RECURSIVE {sessions._SESSIONS} SELECT project_id, session_id, event_count, chunk_count, started_ms, ended_ms FROM se")
+@query(f"WITH RECURSIVE {sessions._SESSIONS} SELECT * FROM se")
 def q_stream_sessions(spark, sf_dir):
-    chunks = sessions.kept_chunks(spark, sf_dir).withColumnsRenamed({"entry_url": "entry_route", "exit_url": "exit_route"}).withColumn("browser", F.lit(None).cast("string"))
-    stream, path = _source(spark, chunks, "sessions")
-    write = lambda batch, n: fold_sessions_batch(batch, f"{path}/state", n)
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return replay.fold_sessions(spark.read.parquet(f"{path}/state/chunks")).select("project_id", "session_id", "event_count", "chunk_count", "started_ms", "ended_ms")
+    rows = sessions.session_chunks(spark, sf_dir).withColumn("received_at", F.timestamp_millis("received_ms"))
+    path = feed(spark, rows, "sessions", lambda stream, path: run_updates(replay.fold_sessions(stream), path), batches=4)
+    return latest(spark, replay.fold_sessions(rows).schema, path, SESSION_KEY).withColumn("routes", F.array_join("routes", ","))
+
+
+def _person_logs(spark, sf_dir, names: list[str]) -> list[DataFrame]:
+    rows = metering.trait_patches(spark, sf_dir).withColumn("received_at", F.timestamp_millis("seq"))
+    folds = lambda df: person_streams(df, {"email": "clear_email", "name": None})
+
+    def run(stream: DataFrame, path: str) -> None:
+        for name in names:
+            run_updates(folds(stream)[name][0], f"{path}/{name}")
+
+    path = feed(spark, rows, "persons", run, batches=3)
+    return [latest(spark, df.schema, f"{path}/{n}", key) for n, (df, key) in folds(rows).items() if n in names]
+
+
+@query(metering.ORACLES_OF["persons"])
+def q_stream_persons(spark, sf_dir):
+    return _person_logs(spark, sf_dir, ["persons"])[0]
+
+
+@query(metering.ORACLES_OF["traits"])
+def q_stream_traits(spark, sf_dir):
+    return persons.current_traits(*_person_logs(spark, sf_dir, ["trait_writes", "trait_replacements"]))
+
+
+@query(metering.ORACLES_OF["aliases"])
+def q_stream_aliases(spark, sf_dir):
+    return _person_logs(spark, sf_dir, ["aliases"])[0]
 
 
 @query("SELECT CASE WHEN event = 'error' THEN 'error_tracking_v3' WHEN request_id % 11 = 0 THEN 'mods_events' ELSE 'web_events' END AS datasource, request_id, received_ms AS created_at FROM @fx_web@")
 def q_write_tables(spark, sf_dir):
-    from beaconry.sources.fixtures import load
-
     name = F.when(F.col("event") == "error", "error_tracking_v3").when(F.col("request_id") % 11 == 0, "mods_events").otherwise("web_events")
     rows = load(spark, sf_dir, "fx_web").select(name.alias("datasource"), "request_id", F.timestamp_millis("received_ms").alias("created_at"))
-    stream, path = _source(spark, rows, "tables")
     tables = {t: ["request_id", "created_at"] for t in ("web_events", "mods_events", "error_tracking_v3")}
-    write = lambda batch, n: write_tables(batch, f"{path}/tables", tables, n)
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def run(stream: DataFrame, path: str) -> None:
+        write = lambda batch, n: write_tables(batch, f"{path}/tables", tables, n)
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    path = feed(spark, rows.withColumn("received_at", F.col("created_at")), "tables", run, batches=2)
     parts = [spark.read.schema("request_id long, created_at long").json(f"{path}/tables/{t}/batch=*").withColumn("datasource", F.lit(t)) for t in tables]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

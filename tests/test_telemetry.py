@@ -200,6 +200,62 @@ def test_debounce_fold(spark):
     assert sorted(r.request_id for r in dedupe.debounce(df).where("kept").collect()) == [0, 2, 4, 9, 10, 12]
 
 
+def brute_debounce(times, window=5000):
+    last, kept = None, []
+    for ms, i in sorted(times):
+        if last is None or ms - last >= window:
+            last = ms
+            kept.append(i)
+    return kept
+
+
+def test_debounce_of_busy_keys(spark):
+    """Keys without a gap, with ties, and with gaps about a window long, cut into pieces of several lengths."""
+    import random
+
+    r = random.Random(2)
+    by = {"dense": [i * 7 for i in range(9000)], "ties": [r.randint(0, 60) * 1000 for _ in range(800)], "edge": [i * 5000 + r.randint(-1, 1) for i in range(300)], "sparse": [r.randint(0, 10**7) for _ in range(300)], "one": [1234]}
+    rows = [(n, v, ms) for n, (v, ms) in enumerate((v, ms) for v, own in by.items() for ms in own)]
+    df = spark.createDataFrame(rows, "request_id long, visitor string, received_ms long").withColumns({"event": F.lit("pageview"), "url": F.lit(None).cast("string")})
+    want = sorted(i for v in by for i in brute_debounce([(ms, n) for n, x, ms in rows if x == v]))
+    for piece in (5000, 7001, 60_000):
+        assert sorted(x.request_id for x in dedupe.debounce(df, piece_ms=piece).where("kept").collect()) == want
+    assert dedupe.debounce(df.limit(0)).count() == 0
+
+
+def test_debounce_of_a_million_events(spark):
+    """One key, a million events and no gap: no task holds a piece of more than a minute."""
+    df = spark.range(1_000_000).select(F.col("id").alias("request_id"), F.lit("v").alias("visitor"), F.lit("u").alias("url"), F.lit("pageview").alias("event"), (F.col("id") * 3).alias("received_ms"))
+    kept = dedupe.debounce(df).where("kept").selectExpr("request_id * 3 AS ms")
+    step = -(-5000 // 3) * 3
+    assert kept.count() == -(-3_000_000 // step)
+    assert kept.where(f"ms % {step} <> 0").count() == 0
+
+
+def test_chunk_set_by_brute_force():
+    import random
+
+    r = random.Random(8)
+    for _ in range(60):
+        seen, kept = dedupe.ChunkSet(), []
+        for _ in range(80):
+            lo = r.choice([None, *range(12)])
+            c = (r.choice([None, *"abcdefgh"]) if r.random() < 0.3 else None, r.choice([None, *range(14)]), lo, None if r.random() < 0.1 or lo is None else lo + r.randint(-1, 4))
+            dup = any((c[0] is not None and k[0] == c[0]) or (c[1] is not None and k[2] is not None and k[3] is not None and k[2] <= c[1] <= k[3]) for k in kept)
+            assert seen.offer(*c) is not dup
+            if not dup:
+                kept.append(c)
+        assert all(a <= b for a, b in zip(seen.starts, seen.ends, strict=True)) and all(b + 1 < a for b, a in zip(seen.ends, seen.starts[1:], strict=False))
+
+
+def test_long_chunk_stream(spark):
+    """100,000 chunks in one stream, each sent twice, out of order."""
+    n = 100_000
+    rows = spark.range(2 * n).select(F.lit("p").alias("project_id"), F.lit("s").alias("session_id"), F.lit("w").alias("window_id"), F.lit("g").alias("generation"), F.col("id").alias("chunk"), F.col("id").alias("received_ms"), F.concat(F.lit("b"), F.col("id") % n * 7 % n).alias("batch_id"), (F.col("id") * 7 % n).alias("sequence"))
+    out = dedupe.dedupe_chunks(rows.withColumns({"first_sequence": F.col("sequence"), "last_sequence": F.col("sequence")}))
+    assert [tuple(r) for r in out.where("kept").agg(F.count(F.lit(1)), F.max("chunk")).collect()] == [(n, n - 1)]
+
+
 def test_dedupe_chunks_fold(spark):
     rows = [("p", "s", "w", "g", 1, 1, "b1", 1, 1, 1), ("p", "s", "w", "g", 2, 2, "b1", 2, 2, 2), ("p", "s", "w", "g", 3, 3, "b2", 2, 2, 4), ("p", "s", "w", "g", 4, 4, None, 3, 3, 3)]
     df = spark.createDataFrame(rows, "project_id string, session_id string, window_id string, generation string, received_ms long, chunk long, batch_id string, sequence long, first_sequence long, last_sequence long")
@@ -299,6 +355,41 @@ def test_quarantine_replay_of_dead_letters(spark):
     assert [r.request_id for r in src.quarantine_replay(held, held.limit(0), now).collect()] == [2, 4]
 
 
+def test_streams_equal_batches(spark):
+    """Debounced events with missing URLs and errors, in batches that go on from a checkpoint, against the batch fold."""
+    from beaconry.streaming import jobs
+
+    rows = [(i, "v" if i % 3 else "w", None if i % 4 == 0 else "" if i % 4 == 1 else "u", ["pageview", "page_leave", "other"][i % 5 % 3], i * 900, i % 7 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "request_id long, visitor string, url string, event string, received_ms long, has_errors boolean").withColumn("received_at", F.timestamp_millis("received_ms"))
+    path = jobs.feed(spark, df, "debounce", lambda stream, path: jobs.run_to_end(jobs.debounce_stream(stream), path), batches=3)
+    want = sorted(r.request_id for r in dedupe.debounce(df).where("kept").collect())
+    assert sorted(r.request_id for r in spark.read.parquet(f"{path}/out").collect()) == want and 0 < len(want) < 60
+
+
+def test_person_streams(spark):
+    """Replace, unset and clear in three batches, an empty one among them, against the batch folds."""
+    from beaconry.operators import persons
+    from beaconry.streaming import jobs
+
+    rows = [("p", "e", 1, "a@x", False, {"k": "1", "l": "2"}, False, [], ["d1"]), ("p", "e", 2, None, False, {"k": "3"}, False, ["l"], ["d2"]), ("p", "f", 3, "b@x", False, {"k": "9"}, False, [], ["d1"]),
+            ("p", "e", 900, None, True, {"m": "4", "n": "5"}, True, ["n"], []), ("p", "f", 901, None, False, None, False, ["k"], ["d2"]), ("p", "e", 902, "c@x", False, {}, False, [], [])]
+    schema = "project_id string, external_id string, seq long, email string, clear_email boolean, traits map<string,string>, replace_traits boolean, unset_traits array<string>, distinct_ids array<string>"
+    df = spark.createDataFrame(rows, schema).withColumn("received_at", F.timestamp_millis("seq"))
+    folds = lambda x: jobs.person_streams(x, {"email": "clear_email"})
+
+    def run(stream, path):
+        for name, (fold, _) in folds(stream).items():
+            jobs.run_updates(fold, f"{path}/{name}")
+
+    path = jobs.feed(spark, df, "persons", run, batches=3)
+    got = {name: jobs.latest(spark, fold.schema, f"{path}/{name}", key) for name, (fold, key) in folds(df).items()}
+    plain = lambda x: sorted(map(tuple, x.collect()))
+    traits = plain(persons.current_traits(got["trait_writes"], got["trait_replacements"]))
+    assert traits == plain(persons.fold_traits(df)) == [("p", "e", "m", "4")]
+    assert plain(got["persons"]) == plain(persons.fold_persons(df, {"email": "clear_email"})) == [("p", "e", "c@x", 4), ("p", "f", "b@x", 2)]
+    assert plain(got["aliases"]) == [("p", "d1", "f"), ("p", "d2", "f")]
+
+
 def test_sinks_and_billing(spark, tmp_path):
     """A batch that is written again replaces its rows; a session that returns days later is not billed again."""
     from beaconry.sources.requests import write_tables
@@ -311,6 +402,6 @@ def test_sinks_and_billing(spark, tmp_path):
     assert sorted(r.request_id for r in spark.read.json(str(tmp_path / "t/a")).collect()) == [1, 1, 3]
     day = 86_400_000
     chunks = spark.createDataFrame([("p", "s", i, i * 2 * day) for i in range(6)] + [("p", "t", 9, 9 * day), ("p", "t", 8, 8 * day)], "project_id string, session_id string, chunk long, ms long")
-    stream, path = jobs._source(spark, chunks.select("project_id", "session_id", "chunk", F.timestamp_millis("ms").alias("received_at")), "billing", batches=4)
-    jobs.run_to_end(jobs.first_billing_stream(stream), path)
+    rows = chunks.select("project_id", "session_id", "chunk", F.timestamp_millis("ms").alias("received_at"))
+    path = jobs.feed(spark, rows, "billing", lambda stream, path: jobs.run_to_end(jobs.first_billing_stream(stream), path), batches=4)
     assert sorted(r.session_id for r in spark.read.parquet(f"{path}/out").collect()) == ["s", "t"]
