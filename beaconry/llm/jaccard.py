@@ -178,7 +178,8 @@ def _band_signatures(s: Sets, rows: np.ndarray, band: int, scheme: Scheme) -> tu
     # At most `spare` groups with an empty subset: another group must agree on a filled one.
     bad = np.any(empty, axis=0).sum(axis=1)
     many = bad > scheme.spare
-    least = 1 + scheme.spare - np.where(many, 0, bad)
+    # A partner leaves out what it finds empty, so a set that keeps all of its empty subsets may share only one.
+    least = np.where(many, 1, 1 + scheme.spare - bad)
     keep = [~e | many[:, None] for e in empty]
     at = np.broadcast_to(np.arange(len(rows))[:, None], shape[:2])
     return np.concatenate([h[k] for h, k in zip(hashes, keep, strict=True)]), np.concatenate([at[k] for k in keep]), least
