@@ -24,7 +24,25 @@ from beaconry.llm.shared import ALNUM_OR_HIGH, SMALL_CHUNK, Words, chunks
 
 #: Text bytes of the benchmark that one broadcast block holds.
 BLOCK_BYTES = 16 << 20
-_ID_BITS = 21  # benchmark words of a block fit: a block has fewer than 2 ** 21 different words
+#: Bits of a word's number, at least: three words in a key. A block with more different words has fewer in a key.
+_ID_BITS = 21
+
+
+class Keys:
+    """How consecutive words are packed into one number: as many as fit into 63 bits, the first one most significant."""
+
+    def __init__(self, vocabulary: int) -> None:
+        self.bits = max(_ID_BITS, int(vocabulary).bit_length())
+        self.words = 63 // self.bits
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        n = len(ids) + 1
+        a = np.zeros(n + self.words - 1, np.int64)
+        a[: len(ids)] = ids
+        out = np.zeros(n, np.int64)
+        for k in range(self.words):
+            out = (out << self.bits) | a[k : n + k]
+        return out
 
 
 class Block:
@@ -34,6 +52,7 @@ class Block:
         words = Words(pa.array([t for _, t in items], pa.string()), ALNUM_OR_HIGH, lower=True)
         h = words.hashes()
         self.vocabulary = np.unique(h)
+        self.keys = Keys(len(self.vocabulary))
         ids = np.searchsorted(self.vocabulary, h).astype(np.int64) + 1
         seen: dict[bytes, int] = {}
         owners: list[list[tuple[int, int]]] = []
@@ -55,26 +74,18 @@ class Block:
         self.owner_start = np.array([j for x in owners for _, j in x], dtype=np.int64)
 
 
-def _keys(ids: np.ndarray) -> np.ndarray:
-    """Three consecutive words in one number, most significant first."""
-    a = np.zeros(len(ids) + 3, np.int64)
-    a[: len(ids)] = ids
-    n = len(ids) + 1
-    return (a[:n] << (2 * _ID_BITS)) | (a[1 : n + 1] << _ID_BITS) | a[2 : n + 2]
-
-
-def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(ids: np.ndarray, depth: int, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the suffixes that begin with a benchmark word, sorted by their first depth words, and the keys.
 
-    ids has 0 for words outside the benchmark and between documents. Ties are refined three words at a time, only
-    among the suffixes that are still tied.
+    ids has 0 for words outside the benchmark and between documents. Ties are refined a key of words at a time,
+    only among the suffixes that are still tied.
     """
-    key = _keys(ids)
+    key = keys.of(ids)
     order = np.flatnonzero(ids)
     order = order[np.argsort(key[order], kind="stable")]
     group = np.r_[0, np.cumsum(key[order[1:]] != key[order[:-1]])] if len(order) else np.zeros(0, np.int64)
     end = len(key) - 1
-    for step in range(3, depth, 3):
+    for step in range(keys.words, depth, keys.words):
         if len(order) < 2:
             break
         same = group[1:] == group[:-1]
@@ -92,10 +103,10 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, key
 
 
-def _bound(order: np.ndarray, key: np.ndarray, windows: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: bool) -> np.ndarray:
+def _bound(order: np.ndarray, key: np.ndarray, keys: Keys, windows: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: bool) -> np.ndarray:
     """Binary search of each window (a row of word numbers) in the suffix array between lo and hi."""
-    length = windows.shape[1]
-    want = np.stack([_keys(w)[: length : 3] for w in windows])
+    length, per = windows.shape[1], keys.words
+    want = np.stack([keys.of(w)[:length:per] for w in windows])
     lo, hi = lo.copy(), hi.copy()
     end = len(key) - 1
     while True:
@@ -106,8 +117,8 @@ def _bound(order: np.ndarray, key: np.ndarray, windows: np.ndarray, lo: np.ndarr
         pos = order[mid]
         less, open_ = np.zeros(len(live), bool), np.ones(len(live), bool)
         for c in range(want.shape[1]):
-            shift = _ID_BITS * (3 * (c + 1) - length) if 3 * (c + 1) > length else 0
-            a = key[np.minimum(pos + 3 * c, end)] >> shift
+            shift = keys.bits * max(0, per * (c + 1) - length)
+            a = key[np.minimum(pos + per * c, end)] >> shift
             b = want[live, c] >> shift
             less |= open_ & (a < b)
             open_ &= a == b
@@ -130,20 +141,21 @@ def search(block: Block, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarr
     spread = np.arange(len(h)) + shift
     ids[spread] = known
     depth = max(block.windows)
-    order, key = suffix_array(ids, depth)
+    keys = block.keys
+    order, key = suffix_array(ids, depth, keys)
     first = key[order]
     found = []
     for length, (number, windows) in block.windows.items():
-        head = np.zeros((len(windows), 3), np.int64)
-        head[:, : min(3, length)] = windows[:, :3]
-        low = (head[:, 0] << (2 * _ID_BITS)) | (head[:, 1] << _ID_BITS) | head[:, 2]
-        span = (1 << (_ID_BITS * max(0, 3 - length))) - 1
+        low = np.zeros(len(windows), np.int64)
+        for k in range(keys.words):
+            low = (low << keys.bits) | (windows[:, k] if k < length else 0)
+        span = (1 << (keys.bits * max(0, keys.words - length))) - 1
         lo, hi = np.searchsorted(first, low, "left"), np.searchsorted(first, low + span, "right")
-        if length > 3:
+        if length > keys.words:
             live = np.flatnonzero(lo < hi)
             number, windows, lo, hi = number[live], windows[live], lo[live], hi[live]
             if len(live):
-                lo, hi = _bound(order, key, windows, lo, hi, False), _bound(order, key, windows, lo, hi, True)
+                lo, hi = _bound(order, key, keys, windows, lo, hi, False), _bound(order, key, keys, windows, lo, hi, True)
         size = np.maximum(hi - lo, 0)
         if size.sum():
             take = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)

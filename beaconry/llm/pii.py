@@ -2,12 +2,14 @@
 
 Base matches of four kinds are the seeds. Identifier-like strings around the same lexical patterns (the two words
 before; the word before and the word after) form a graph of patterns and instances. Rounds of scoring go both ways: a
-pattern is as good as the instances it extracts, an instance as good as the patterns that extract it. Occurrences of
-instances without a base match become spans when both sides are good enough. Only digests of contexts and candidate
-strings are shuffled, never texts; counts are combined before each shuffle.
+pattern is as good as the instances it extracts, an instance as good as the patterns that extract it. Scores only rise,
+and the rounds end when none changes any more (to a millionth). Occurrences of instances without a base match become
+spans when both sides are good enough. Candidate strings and the words around them are shuffled, never texts; counts are
+combined before each shuffle. The written tables that hold such strings are removed when the spans are found.
 
 Edge cases: null is the empty text, without spans; spans are in code points, end exclusive; an added span that touches
-a base span is dropped; rows that repeat get equal results; an empty table gives an empty result; extra columns stay.
+a base span is dropped; rows that repeat get equal results, rows with a null id too; an empty table gives an empty result;
+extra columns stay.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.shared import stage
+from beaconry.llm.shared import stage, unstage
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -34,8 +36,7 @@ CANDIDATE = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[(\[]at[)\
 CANDIDATE_NEEDS = r"@[A-Za-z0-9-]|[(\[]at[)\]]|[0-9](?:[\x20().-]{0,2}[0-9]){7}|[0-9]\.[0-9]++\.[0-9]++\.[0-9]"
 
 #: A pattern is good from this share of good instances and this many different seeds; an instance from this score.
-ROUNDS, MIN_CONFIDENCE, MIN_SEEDS, MIN_SCORE = 3, 0.8, 3, 0.95
-_CONTEXT = 96
+MIN_CONFIDENCE, MIN_SEEDS, MIN_SCORE = 0.8, 3, 0.95
 
 
 def _found(text: Column, pattern: str, needs: str) -> tuple[Column, Column]:
@@ -81,7 +82,7 @@ def _base_spans() -> Column:
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One pass over the texts, staged: id, row_key, base spans, and candidates with their contexts."""
+    """One pass over the texts, written: id, row_key, base spans, and candidates with the words around them."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
     columns = [F.col("id"), F.xxhash64("t").alias("row_key")]
@@ -90,24 +91,22 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         columns += [m.alias(f"m_{kind}"), n.alias(f"n_{kind}")]
     there = F.col("t").rlike(CANDIDATE_NEEDS)
     columns.append(F.when(there, F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("m_any"))
-    around = F.transform(
-        F.split("t", CANDIDATE, -1),
-        lambda x: F.struct(F.length(x).alias("n"), F.lower(F.substring(x, -_CONTEXT, _CONTEXT)).alias("left"), F.lower(F.substring(x, 1, _CONTEXT)).alias("right")),
-    )
-    columns.append(F.when(there, around).otherwise(F.array().cast("array<struct<n:int,left:string,right:string>>")).alias("around"))
+    # The words at both ends of what lies between candidates: letters only, from whole stretches, in time linear in them.
+    bare = F.transform(F.split("t", CANDIDATE, -1), lambda x: F.struct(F.length(x).alias("n"), F.regexp_replace(F.lower(x), r"[^\p{L}\s]++", "").alias("w")))
+    end = lambda x, pattern: F.regexp_extract(x["w"], pattern, 1)
+    around = F.transform(bare, lambda x: F.struct(x["n"].alias("n"), end(x, r"(?<!\S)(\S++\s++\S++)\s*+$").alias("two"), end(x, r"(?<!\S)(\S++)\s*+$").alias("one"), end(x, r"^\s*+(\S++)").alias("next")))
+    columns.append(F.when(there, around).otherwise(F.array().cast("array<struct<n:int,two:string,one:string,next:string>>")).alias("around"))
     raw = stage(rows.select(*columns), "pii_matches")
     placed = raw.withColumn("n_any", F.expr("transform(around, x -> x.n)")).select("*", *[_starts(f"m_{k}", f"n_{k}").alias(f"s_{k}") for k in (*KINDS, "any")])
     placed = placed.withColumn("base", _base_spans())
-    words = "regexp_replace({0}, '[^\\\\p{{L}}\\\\s]+', '')"
     candidate = f"""transform(m_any, (m, i) -> named_struct(
-        'at', s_any[i], 'till', s_any[i] + length(m), 'instance', lower(m),
-        'two', regexp_extract({words.format('around[i].left')}, '(\\\\S+\\\\s+\\\\S+)\\\\s*$', 1),
-        'one', regexp_extract({words.format('around[i].left')}, '(\\\\S+)\\\\s*$', 1),
-        'next', regexp_extract({words.format('around[i + 1].right')}, '^\\\\s*(\\\\S+)', 1),
+        'at', s_any[i], 'till', s_any[i] + length(m), 'instance', lower(m), 'two', around[i].two, 'one', around[i].one, 'next', around[i + 1].next,
         'digits', length(regexp_replace(m, '[^0-9]', '')),
         'seed', get(transform(filter(base, b -> b.at < s_any[i] + length(m) AND b.till > s_any[i]), b -> b.kind), 0)))"""
     kept = f"filter({candidate}, c -> c.digits >= 8 OR c.seed IS NOT NULL OR c.instance LIKE '%@%' OR c.instance LIKE '%at%')"
-    return placed.select("id", "row_key", "base", F.expr(kept).alias("candidates"))
+    scanned = stage(placed.select("id", "row_key", "base", F.expr(kept).alias("candidates")), "pii_scan")
+    unstage(raw)
+    return scanned
 
 
 def _edges(scanned: DataFrame) -> DataFrame:
@@ -120,33 +119,45 @@ def _edges(scanned: DataFrame) -> DataFrame:
 _FITS = "(kind = 0 AND instance RLIKE '@|[(\\\\[]at[)\\\\]]') OR (kind = 1 AND instance RLIKE '^[0-9]+([.][0-9]+){3,}$') OR (kind = 2 AND digits BETWEEN 12 AND 19) OR (kind = 3 AND digits BETWEEN 8 AND 15)"
 
 
-def bootstrap(scanned: DataFrame) -> DataFrame:
-    """(id, row_key, added): the spans that good patterns add to the base spans of the scanned rows."""
+def bootstrap(scanned: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, row_key, added): the spans that good patterns add to the base spans of the scanned rows; and the tables written."""
     occurrences = _edges(scanned)
     graph = stage(
         occurrences.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"), F.max("digits").alias("digits")), "pii_graph"
     )
-    good = graph.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), "pattern", F.lit(1.0).alias("score"))
-    patterns = scores = None
-    for _ in range(ROUNDS):
+    seeds = graph.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), "pattern", F.lit(1.0).alias("score"))
+    total = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
+    good, before, written = seeds, None, [graph]
+    while True:
         # A pattern's confidence in a kind: the part of what it extracts that is known to be of the kind.
         hits = good.groupBy("pattern", "kind").agg(F.sum("score").alias("hit"), F.count(F.lit(1)).alias("seeds"))
-        total = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
-        rated = hits.join(total, "pattern").withColumn("confidence", F.col("hit") / F.col("all")).where(f"confidence >= {MIN_CONFIDENCE} AND seeds >= {MIN_SEEDS}")
+        rated = hits.join(total, "pattern").withColumn("confidence", F.floor(1e6 * F.col("hit") / F.col("all") + 1e-3) / 1e6).where(f"confidence >= {MIN_CONFIDENCE} AND seeds >= {MIN_SEEDS}")
         patterns = stage(rated.select("pattern", "kind", "confidence"), "pii_patterns")
         linked = graph.where("seed IS NULL").join(patterns, "pattern").where(_FITS)
-        scored = linked.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
+        scored = linked.groupBy("instance", "kind").agg((F.floor(1e6 * (1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))) + 1e-3) / 1e6).alias("score"))
         scores = stage(scored.where(f"score >= {MIN_SCORE}"), "pii_instances")
+        written += [patterns, scores]
+        # The same patterns and scores as a round ago: nothing can change any more.
+        state = [df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)"))).first() for df in (patterns, scores)]
+        if state == before:
+            break
+        before = state
         again = graph.where("seed IS NULL").select("pattern", "instance").join(scores, "instance").select("instance", "kind", "pattern", "score")
-        good = graph.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), "pattern", F.lit(1.0).alias("score")).unionByName(again)
+        good = seeds.unionByName(again)
     new = occurrences.where("seed IS NULL").join(patterns, "pattern").join(scores.select("instance", "kind"), ["instance", "kind"])
-    return new.groupBy("id", "row_key").agg(F.expr("collect_set(named_struct('at', at, 'till', till, 'kind', kind))").cast(f"array<{_SPAN}>").alias("added"))
+    return new.groupBy("id", "row_key").agg(F.expr("collect_set(named_struct('at', at, 'till', till, 'kind', kind))").cast(f"array<{_SPAN}>").alias("added")), written
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row_key, base, added): spans as structs at, till, kind (a place in KINDS); row_key is xxhash64 of the text."""
-    scanned = stage(_scan(docs, id_col, text_col), "pii_scan")
-    return scanned.select("id", "row_key", "base").join(bootstrap(scanned), ["id", "row_key"], "left").withColumn("added", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")))
+    scanned = _scan(docs, id_col, text_col)
+    found, written = bootstrap(scanned)
+    s, f = scanned.alias("s"), found.alias("f")
+    joined = s.join(f, F.expr("s.id <=> f.id AND s.row_key = f.row_key"), "left").select("s.id", "s.row_key", "s.base", F.coalesce("f.added", F.array().cast(f"array<{_SPAN}>")).alias("added"))
+    spans = stage(joined, "pii_spans")
+    for df in [scanned, *written]:
+        unstage(df)
+    return spans
 
 
 def _listed(spans: str) -> Column:

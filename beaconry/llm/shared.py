@@ -58,6 +58,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Removes the folder of a staged table that nothing reads any more, as one that holds personal data."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/beaconry/"
+    name = root.removeprefix("file:").lstrip("/")
+    for f in df.inputFiles()[:1]:
+        folder = f.partition(name)[0] + name + f.partition(name)[2].partition("/")[0]
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """Buckets for packed shuffles; follows spark.sql.shuffle.partitions, which is sized for the data."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

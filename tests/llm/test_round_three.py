@@ -197,3 +197,40 @@ def test_quality_held_out(spark):
     seen = out.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert out.count() == 1000 and len(seen) > 50
     assert sum(r.predicted == r.quality for r in seen) >= 0.93 * len(seen)
+
+
+def test_pii_rounds_go_on_until_nothing_changes(spark):
+    """Default parameters: four stages of contexts, each learned from what the one before has found; a row without an id
+    and one with much punctuation before its number; the written tables of strings are gone afterwards."""
+    import os
+
+    from beaconry.llm import pii
+    from beaconry.llm.shared import shared_dir
+
+    contexts = ["please dial {} now", "kindly ring {} today", "maybe phone {} later", "surely reach {} soon"]
+    found = [[f"+1555{n:07d}" for n in range(1200)]] + [[f"55{k} 0{n:06d}" for n in range(m)] for k, m in enumerate([300, 60, 12, 2], 1)]
+    texts = [contexts[k].format(x) for k in range(4) for x in found[k] + found[k + 1]]
+    texts += ["please dial " + "!" * 100 + " " + found[1][0] + " now"]
+    rows = [*enumerate(texts), (None, contexts[0].format(found[1][1])), (None, contexts[3].format(found[4][1])), (-1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:") + "/beaconry")) if os.path.isdir(shared_dir(spark).removeprefix("file:") + "/beaconry") else set()
+    out = pii.find_pii(docs)
+    got = {(r.id, len(r.base), len(r.added)) for r in out.where("id IS NULL OR size(added) > 0 OR id >= 0").collect()}
+    assert len(got) == len(texts) + 1  # the two rows without an id have equal results
+    assert all(b + a == 1 for _, b, a in got)
+    spans = {r.id: r.added[0] for r in out.where("id = " + str(len(texts) - 1)).collect()}
+    assert texts[-1][spans[len(texts) - 1].at : spans[len(texts) - 1].till] == found[1][0]
+    after = set(os.listdir(shared_dir(spark).removeprefix("file:") + "/beaconry")) - before
+    assert len(after) == 1 and os.listdir(shared_dir(spark).removeprefix("file:") + "/beaconry/" + after.pop()) == ["pii_spans"]
+
+
+@pytest.mark.parametrize("bits", [31, 40])
+def test_contamination_with_many_words(spark, monkeypatch, bits):
+    """A vocabulary of which fewer words fit into a key."""
+    import test_llm
+
+    from beaconry.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "_ID_BITS", bits)
+    rows = [(i, t, "x") for i, t in test_llm.TEXTS.items()] + [(2, test_llm.BASE, "x"), (None, "null id " + test_llm.BASE, "x")]
+    test_llm.test_contamination(spark, spark.createDataFrame(rows, "doc_id long, text string, n_words string").repartition(3))
