@@ -32,8 +32,10 @@ from beaconry.llm.shared import SMALL_CHUNK, SPLIT_ON_SPACE, Words, chunks, mix6
 
 #: Text bytes of a chunk: every text byte becomes several of signatures.
 CHUNK = SMALL_CHUNK // 2
-#: Shingles of a verification block on average, what a node counts besides its own, and cells of its count sketch.
-BLOCK_SHINGLES, NODE_SHINGLES, SKETCH = 1 << 20, 512, 256
+#: Shingles of a verification block on average, and what a node counts besides its own.
+BLOCK_SHINGLES, NODE_SHINGLES = 1 << 20, 512
+#: Bits of a count sketch's number of cells at least, and shingles of a cell at most.
+SKETCH_BITS, CELL_SHINGLES = 8, 8
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -286,10 +288,43 @@ def _bitmap(rows: DataFrame) -> bytes:
 
 
 def _sketches(s: Sets) -> list[bytes]:
-    """How many of a set's shingles fall into each cell, as bytes: two sets differ in no fewer than their sketches do."""
-    cell = (s.all >> np.uint64(56)).astype(np.int64) + np.repeat(np.arange(len(s.sizes)) * SKETCH, s.sizes)
-    counts = np.minimum(np.bincount(cell, minlength=len(s.sizes) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
-    return [c.tobytes() for c in counts]
+    """How many of a set's shingles fall into each cell, as bytes: two sets differ in no fewer than their sketches do.
+
+    A larger set has more cells, always a power of two and cut by the leading bits of the shingles, so that a sketch
+    folds into one of half the cells.
+    """
+    bits = np.maximum(SKETCH_BITS, np.ceil(np.log2(np.maximum(s.sizes, 1) / CELL_SHINGLES)).astype(np.int64))
+    ends = np.cumsum(1 << bits)
+    cell = (s.all >> np.repeat(64 - bits, s.sizes).astype(np.uint64)).astype(np.int64) + np.repeat(ends - (1 << bits), s.sizes)
+    counts = np.minimum(np.bincount(cell, minlength=int(ends[-1]) if len(ends) else 0), 255).astype(np.uint8)
+    return [c.tobytes() for c in np.split(counts, ends[:-1])] if len(ends) else []
+
+
+def _folded(m: np.ndarray, cells: int) -> np.ndarray:
+    return m if m.shape[1] == cells else m.reshape(len(m), cells, -1).sum(axis=2, dtype=m.dtype)
+
+
+class Sketches:
+    """The sketches of a block's nodes by number of cells, each also folded to half of it: linked sizes differ by no more."""
+
+    def __init__(self, values: list[bytes]) -> None:
+        self.values, self.cells = values, np.array([len(v) for v in values])
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for cells in np.unique(self.cells).tolist():
+            own = np.flatnonzero(self.cells == cells)
+            m = np.frombuffer(b"".join([values[i] for i in own]), np.uint8).reshape(-1, cells).astype(np.int16)
+            self.at[cells] = own, m
+        self.halves = {cells // 2: (own, _folded(m, cells // 2)) for cells, (own, m) in self.at.items()}
+
+    def near(self, i: int, able: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The nodes marked in able whose sketches differ from i's in at most as much as most says."""
+        mine = np.frombuffer(self.values[i], np.uint8).astype(np.int16)
+        cells, out = len(mine), []
+        for there, own in ((self.at.get(cells), mine), (self.halves.get(cells), mine), (self.at.get(cells // 2), _folded(mine[None, :], max(cells // 2, 1))[0])):
+            if there is not None and (some := able[there[0]]).any():
+                who = there[0][some]
+                out.append(who[np.abs(there[1][some] - own).sum(axis=1, dtype=np.int64) <= most[who]])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _blobs(batches: Iterator[pa.RecordBatch], spec: Spec, bits) -> Iterator[pa.RecordBatch]:
@@ -307,10 +342,15 @@ def _blobs(batches: Iterator[pa.RecordBatch], spec: Spec, bits) -> Iterator[pa.R
 def _possible(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose sizes and sketches do not rule a link out."""
     for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (2, 3))
         x, y = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-        apart = np.abs(one - two).sum(axis=1, dtype=np.int64)
-        keep = (apart * (100 + spec.percent) <= (x + y) * (100 - spec.percent)) & (100 * np.minimum(x, y) >= spec.percent * np.maximum(x, y))
+        keep = 100 * np.minimum(x, y) >= spec.percent * np.maximum(x, y)
+        cells = np.stack([pa.compute.binary_length(batch.column(i)).to_numpy() for i in (2, 3)], 1)
+        for one, two in np.unique(cells[keep], axis=0).tolist():
+            rows = np.flatnonzero(keep & (cells[:, 0] == one) & (cells[:, 1] == two))
+            step = max(1, (1 << 20) // max(one, two))
+            for some in (rows[k : k + step] for k in range(0, len(rows), step)):
+                a, b = (_folded(np.frombuffer(b"".join(batch.column(i).take(pa.array(some)).to_pylist()), np.uint8).reshape(len(some), -1).astype(np.int16), min(one, two)) for i in (2, 3))
+                keep[some] = np.abs(a - b).sum(axis=1, dtype=np.int64) * (100 + spec.percent) <= (x[some] + y[some]) * (100 - spec.percent)
         out = batch.filter(pa.array(keep, pa.bool_()))
         yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["node", "pivot"])
 
@@ -345,15 +385,15 @@ def _survivors(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Rec
     """(signature, node): nodes of a pair of blocks with a partner of another group which their sketches do not rule out."""
     for table, ends in _groups(batches):
         size, outer = table["size"].to_numpy(), table["outer"].to_numpy()
-        sketch = _fixed(table["value"], np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        values = table["value"].to_pylist()
         comp = np.unique(_fixed(table["comp"], "S16"), return_inverse=True)[1]
         live = np.zeros(len(size), bool)
         for a, b in zip([0, *ends[:-1]], ends, strict=True):
-            n, c, s = size[a:b], comp[a:b], sketch[a:b]
+            n, c, s = size[a:b], comp[a:b], Sketches(values[a:b])
             for i in np.flatnonzero(outer[a:b]).tolist():
-                able = np.flatnonzero((c != c[i]) & (100 * np.minimum(n, n[i]) >= spec.percent * np.maximum(n, n[i])))
-                if len(able):
-                    near = able[np.abs(s[able] - s[i]).sum(axis=1, dtype=np.int64) * (100 + spec.percent) <= (n[able] + n[i]) * (100 - spec.percent)]
+                able = (c != c[i]) & (100 * np.minimum(n, n[i]) >= spec.percent * np.maximum(n, n[i]))
+                if able.any():
+                    near = s.near(i, able, (n + n[i]) * (100 - spec.percent) // (100 + spec.percent))
                     live[a + near] = True
                     live[a + i] |= len(near) > 0
         if live.any():

@@ -234,3 +234,27 @@ def test_contamination_with_many_words(spark, monkeypatch, bits):
     monkeypatch.setattr(decontaminate, "_ID_BITS", bits)
     rows = [(i, t, "x") for i, t in test_llm.TEXTS.items()] + [(2, test_llm.BASE, "x"), (None, "null id " + test_llm.BASE, "x")]
     test_llm.test_contamination(spark, spark.createDataFrame(rows, "doc_id long, text string, n_words string").repartition(3))
+
+
+def test_sketches_of_sets_of_all_sizes():
+    """Sketches never claim more differences than there are, alike or folded, and tell unrelated long sets apart."""
+    from beaconry.llm import jaccard
+
+    r = np.random.RandomState(1)
+
+    class Sets:
+        def __init__(self, sets):
+            self.sizes, self.all = np.array([len(x) for x in sets]), np.concatenate(sets)
+
+    for n in (3, 500, 2040, 2049, 5000, 20_000):
+        base = np.unique(r.randint(0, 1 << 62, n, dtype=np.int64).astype(np.uint64) * np.uint64(4))
+        near = np.unique(np.r_[base[: int(n * 0.93)], r.randint(0, 1 << 62, max(1, n // 12), dtype=np.int64).astype(np.uint64) * np.uint64(4)])
+        far = np.unique(r.randint(0, 1 << 62, n, dtype=np.int64).astype(np.uint64) * np.uint64(4))
+        values = jaccard._sketches(Sets([base, near, far]))
+        sketches, sets = jaccard.Sketches(values), [base, near, far]
+        for i in range(3):
+            apart = np.array([len(np.setxor1d(sets[i], x)) for x in sets])
+            assert set(sketches.near(i, np.ones(3, bool), apart).tolist()) == {0, 1, 2}
+        if n >= 500:
+            size = np.array([len(x) for x in sets])
+            assert set(sketches.near(0, np.ones(3, bool), (size + size[0]) * 20 // 180).tolist()) == {0, 1}
