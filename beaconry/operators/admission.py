@@ -28,15 +28,20 @@ def token_of(body: Column, header: Column) -> Column:
     return F.coalesce(fn.blank_to_null(body), fn.blank_to_null(F.regexp_replace(header, "^Bearer ", "")))
 
 
-def ip_rules(rules: DataFrame) -> DataFrame:
-    return rules.groupBy("token").agg(F.collect_set(F.when(F.col("allowed"), F.col("ip"))).alias("allow_ips"), F.collect_set(F.when(~F.col("allowed"), F.col("ip"))).alias("deny_ips"))
+def attach_ip_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """Requests with ip_allowed and ip_denied (what the rules of their token say of their address) and ip_restricted.
+
+    Addresses are looked up by equality, so a token may have any number of rules.
+    """
+    each = rules.groupBy("token", F.col("ip").alias("client_ip")).agg(F.bool_or("allowed").alias("ip_allowed"), F.bool_or(~F.col("allowed")).alias("ip_denied"))
+    limited = rules.where("allowed").select("token", F.lit(True).alias("ip_restricted")).distinct()
+    out = requests.join(each, ["token", "client_ip"], "left").join(limited, "token", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("ip_allowed", "ip_denied", "ip_restricted")})
 
 
-def ip_verdict(ip: Column, allow: Column, deny: Column) -> Column:
+def ip_verdict() -> Column:
     """Null, or why the address is refused: an exact denial wins; with allow rules one must match."""
-    none = F.array().cast("array<string>")
-    allow, deny = F.coalesce(allow, none), F.coalesce(deny, none)
-    return F.when(F.array_contains(deny, ip), "IP address blocked").when((F.size(allow) > 0) & ~F.array_contains(allow, ip), "IP address not allowed")
+    return F.when(F.col("ip_denied"), "IP address blocked").when(F.col("ip_restricted") & ~F.col("ip_allowed"), "IP address not allowed")
 
 
 def feature_gate(route: Column, errors: Column, vitals: Column, replays: Column) -> tuple[Column, Column, Column]:
@@ -48,11 +53,11 @@ def feature_gate(route: Column, errors: Column, vitals: Column, replays: Column)
 def admission(requests: DataFrame) -> DataFrame:
     """reject_reason per request; the first failing check names it, in each route's order.
 
-    Requests carry authorized, route, hosts, host, client_ip, allow_ips, deny_ips and the feature flags.
+    Requests carry authorized, route, hosts, host, what attach_ip_rules adds, and the feature flags.
     """
     keep, keep_errors, notice = feature_gate(F.col("route"), F.coalesce("error_tracking_enabled", F.lit(True)), F.coalesce("web_vitals_enabled", F.lit(True)), F.coalesce("replays_enabled", F.lit(True)))
     host = F.when(~F.col("route").isin("collect", "error") & ~fn.hostname_allowed(F.col("hosts"), F.col("host")), "Origin not allowed")
-    ip = ip_verdict(F.col("client_ip"), F.col("allow_ips"), F.col("deny_ips"))
+    ip = ip_verdict()
     early = F.col("route").isin("vitals", "replay")
     reason = F.when(~F.col("authorized"), "Unauthorized").otherwise(F.when(early, F.coalesce(host, notice, ip)).otherwise(F.coalesce(host, ip, notice)))
     return requests.withColumn("reject_reason", reason).withColumn("keep_errors", keep_errors)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import scalars as fn
 from beaconry.operators.web import merge_context
-from beaconry.operators.stacks import LANGUAGE_ALIASES, LANGUAGES, parse_stacks, stack_dictionary
+from beaconry.operators.stacks import LANGUAGE_ALIASES, LANGUAGES, MAX_BYTES, MAX_LINE_BYTES, MAX_LINES, default_limits, parse_stacks, stack_dictionary
 
 # The domain and tags of the fingerprint's byte layout.
 DOMAIN = "error-grouping/fingerprint/v1"
@@ -53,7 +53,10 @@ _SEGMENTS = {"terminal_cause_frames": "terminal", "root": "root", "root_and_term
 
 
 def policies(settings: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """(project_id, mode, policy) from the settings rows and the exclusion rows (in order of position) of each project."""
+    """(project_id, mode, policy, limits) from the settings and the exclusion rows (in order of position) of each project.
+
+    limits are the parser's; those that the settings do not have are the usual ones.
+    """
     rules = exclusions.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "matcher", "field", "pattern"))), lambda r: F.struct(r["matcher"].alias("how"), r["field"].alias("field"), r["pattern"].alias("text"))).alias("rules"))
     segments = F.create_map(*[F.lit(x) for kv in _SEGMENTS.items() for x in kv])[F.col("segment_selection")]
     raw = F.when(F.col("raw_stack_policy") == "bounded", F.when(F.col("raw_stack_max_bytes") > 0, F.col("raw_stack_max_bytes")).otherwise(1 << 20)).cast("int")
@@ -61,7 +64,9 @@ def policies(settings: DataFrame, exclusions: DataFrame) -> DataFrame:
         segments.alias("segments"), F.col("include_error_kind").alias("include_kind"), raw.alias("raw_bytes"), F.greatest("max_frames", F.lit(0)).alias("max_frames"), F.col("include_function").alias("function"), F.col("include_module").alias("module"), F.col("include_file").alias("file"),
         (F.col("runtime_frame_policy") == "include").alias("include_runtime"), (F.col("adjacent_frame_policy") == "deduplicate").alias("deduplicate"), F.coalesce("rules", F.array().cast(_RULES)).alias("exclusions"),
     )
-    return settings.join(rules, "project_id", "left").select("project_id", "mode", policy.alias("policy"))
+    limit = lambda name, usual: F.coalesce(F.col(name).cast("int"), F.lit(usual)) if name in settings.columns else F.lit(usual)
+    limits = F.struct(limit("parser_max_input_bytes", MAX_BYTES).alias("bytes"), limit("parser_max_lines", MAX_LINES).alias("lines"), limit("parser_max_line_bytes", MAX_LINE_BYTES).alias("line_bytes"))
+    return settings.join(rules, "project_id", "left").select("project_id", "mode", policy.alias("policy"), limits.alias("limits"))
 
 
 def build_occurrences(errors: DataFrame) -> DataFrame:
@@ -209,19 +214,24 @@ def _over(raw: Column, at: Column, way: int) -> Column:
 def group_errors(errors: DataFrame, policy: Policy = Policy(), languages: tuple[str, ...] = tuple(LANGUAGES), policies: DataFrame | None = None) -> DataFrame:
     """Occurrences with group_hash and outcome; each distinct stack is parsed once. languages: those that occur.
 
-    policies has the policies of projects; policy holds for the others. A project in mode `legacy` keeps the older hash for
-    the languages that have one.
+    policies has the policies and limits of projects; policy and the usual limits hold for the others, and for errors
+    without a project. A project in mode `legacy` keeps the older hash for the languages that have one.
     """
     errors = errors.withColumns({"stack": F.coalesce("stack", F.lit("")), "kind": F.coalesce("kind", F.lit(""))})
-    keys = ["language", "kind", "stack"] + (["project_id"] if policies is not None else [])
-    pairs = errors.select(*keys).distinct().join(parse_stacks(stack_dictionary(errors), languages), ["language", "stack"])
+    keys, place = ["language", "kind", "stack"], ["language", "stack"]
+    if policies is not None:
+        keys, place = [*keys, "project_id"], [*place, "limits"]
+        errors = errors.join(policies.select("project_id", "limits"), "project_id", "left").withColumn("limits", F.coalesce("limits", default_limits()))
+    parsed = parse_stacks(stack_dictionary(errors), languages)
+    pairs = errors.select(*keys, *place[2:]).distinct().join(parsed, place)
     if policies is not None:
         pairs = pairs.join(policies.select("project_id", "mode", F.col("policy").alias("own")), "project_id", "left").withColumn("policy", F.coalesce("own", policy_column(policy))).drop("own")
     hashed = fingerprints(pairs, policy)
     if policies is not None:
         old = (F.col("mode") == "legacy") & F.col("legacy_hash").isNotNull()
         hashed = legacy_group_hash(hashed).withColumns({"group_hash": F.when(old, F.col("legacy_hash")).otherwise(F.col("group_hash")), "outcome": F.when(old, "legacy").otherwise(F.col("outcome"))})
-    return errors.join(hashed.select(*keys, "group_hash", "outcome"), keys, "left")
+    found = hashed.select(*[F.col(k).alias(f"_{k}") for k in keys], "group_hash", "outcome")
+    return errors.join(found, F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys)), "left").drop("limits", *[f"_{k}" for k in keys])
 
 
 # Replacements of the older group hash, in order, and how many lines of each language it reads.

@@ -14,20 +14,9 @@ NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def usable_rules(sources: DataFrame) -> DataFrame:
-    """The rule table (small, user-declared), last rule per key; patterns that do not compile become null.
-
-    Java's and the declared dialect agree on these constructs; a pattern is tried on an empty string when Spark plans
-    the query, so the table is collected once: it is bounded by what users declare by hand.
-    """
+    """The rule table, last rule per key; patterns that do not compile become null, where they stand and row by row."""
     last = sources.groupBy("project_id", "reference_id").agg(F.max_by(F.struct("data_type", "metric_shape", "regex", "allow_negative", "allow_float", "min_value", "max_value"), "ord").alias("r")).select("project_id", "reference_id", "r.*")
-    spark = sources.sparkSession
-    bad = []
-    for row in last.select("regex").where("regex IS NOT NULL").distinct().toLocalIterator():
-        try:
-            spark.range(1).select(F.lit("").rlike(row.regex)).collect()
-        except Exception:  # the pattern does not compile
-            bad.append(row.regex)
-    return last.withColumn("regex", F.when(~F.col("regex").isin(bad), F.col("regex"))) if bad else last
+    return last.withColumn("regex", F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("regex")))
 
 
 def number_of(value: Column) -> Column:

@@ -22,22 +22,29 @@ LANGUAGE_ALIASES = {"js": "javascript", "py": "python", "golang": "go", "rs": "r
 FRAME = "struct<function:string,module:string,file:string>"
 
 
+def default_limits() -> Column:
+    return F.struct(F.lit(MAX_BYTES).alias("bytes"), F.lit(MAX_LINES).alias("lines"), F.lit(MAX_LINE_BYTES).alias("line_bytes"))
+
+
 def stack_dictionary(errors: DataFrame) -> DataFrame:
     """Distinct (language, stack) with stack_id and parse status; the first limit that a stack breaks names it.
 
-    A missing stack is an empty one.
+    A missing stack is an empty one. A column `limits` has each row's own limits; a stack is in the dictionary once for
+    each of those that it comes with.
     """
-    errors = errors.withColumn("stack", F.coalesce("stack", F.lit("")))
-    lines = F.split("stack", "\n")
+    own = "limits" in errors.columns
+    errors = errors.withColumn("stack", F.coalesce("stack", F.lit(""))).withColumn("limits", F.col("limits") if own else default_limits())
+    lines, limits = F.split("stack", "\n"), F.col("limits")
     status = (
-        F.when(F.octet_length("stack") > MAX_BYTES, "input_too_large")
+        F.when(F.octet_length("stack") > limits["bytes"], "input_too_large")
         .when(trimmed(F.col("stack")) == "", "empty")
-        .when(F.size(lines) - F.endswith("stack", F.lit("\n")).cast("int") > MAX_LINES, "too_many_lines")
-        .when(F.exists(lines, lambda x: F.octet_length(x) > MAX_LINE_BYTES), "line_too_long")
+        .when(F.size(lines) - F.endswith("stack", F.lit("\n")).cast("int") > limits["lines"], "too_many_lines")
+        .when(F.exists(lines, lambda x: F.octet_length(x) > limits["line_bytes"]), "line_too_long")
         .otherwise("ok")
     )
-    ident = F.sha2(F.concat_ws("\x1f", "language", "stack"), 256)
-    return errors.select("language", "stack").distinct().select(ident.alias("stack_id"), "language", "stack", status.alias("status"))
+    ident = F.sha2(F.concat_ws("\x1f", "language", "stack", F.when(limits != default_limits(), F.to_json(limits))), 256)
+    keys = ["language", "stack", *(["limits"] if own else [])]
+    return errors.select("language", "stack", "limits").distinct().select(ident.alias("stack_id"), *keys, status.alias("status"))
 
 
 def split_stack(stacks: DataFrame) -> DataFrame:

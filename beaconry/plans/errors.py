@@ -213,6 +213,19 @@ def q_legacy_group(spark, sf_dir):
     return grouping.legacy_group_hash(load(spark, sf_dir, "fx_errors")).select("request_id", "legacy_hash")
 
 
+_LEGACY_HASH = "CASE language " + " ".join(f"WHEN '{k}' THEN sha256(replace('" + "' || chr(10) || '".join(v) + f"', 'N', {_D}))" for k, v in _LEGACY.items()) + f" ELSE {_hash_sql()} END"
+_FRAMES = "'frames:' || CASE language WHEN 'java' THEN '2' WHEN 'javascript' THEN '3' WHEN 'python' THEN '1' WHEN 'php' THEN '3' ELSE '2' END"
+
+
+# By project: the older hash; too many lines; too large; a line too long, and no raw stacks; the usual limits, without a setting.
+@query(f"""SELECT request_id, CASE right(project_id, 1) WHEN '0' THEN {_LEGACY_HASH} WHEN '1' THEN {_RAW} WHEN '2' THEN {_RAW} WHEN '3' THEN {_KIND_ONLY} ELSE {_hash_sql()} END AS group_hash,
+ CASE right(project_id, 1) WHEN '0' THEN CASE WHEN language IN ('java', 'javascript', 'php', 'rust') THEN 'legacy' ELSE {_FRAMES} END WHEN '1' THEN 'raw_fallback:too_many_lines' WHEN '2' THEN 'raw_fallback:input_too_large' WHEN '3' THEN 'kind_only:line_too_long' ELSE {_FRAMES} END AS outcome FROM @fx_errors@""")
+def q_parser_limits(spark, sf_dir):
+    none = load(spark, sf_dir, "fx_exclusions").where("false")
+    chosen = grouping.policies(load(spark, sf_dir, "fx_limits"), none)
+    return grouping.group_errors(occurrences(spark, sf_dir), policies=chosen).select("request_id", "group_hash", "outcome")
+
+
 # Builds have the same names in all projects; one project does not know one of them, and one has mappings of its own.
 _BUILDS = ["b0", "r1", "r2"]
 _KNOWN = f"({_REL} IN ('b0', 'r1', 'r2') AND NOT ({_REL} = 'r1' AND right(project_id, 1) = '3'))"

@@ -116,8 +116,8 @@ _IP_SQL = """CASE WHEN EXISTS (SELECT 1 FROM @fx_ip_rules@ r WHERE r.token = w.t
 
 @query(f"SELECT request_id, {_IP_SQL} AS verdict FROM @fx_web@ w")
 def q_ip_rules(spark, sf_dir):
-    df = load(spark, sf_dir, "fx_web").join(adm.ip_rules(load(spark, sf_dir, "fx_ip_rules")), "token", "left")
-    return df.select("request_id", adm.ip_verdict(F.col("client_ip"), F.col("allow_ips"), F.col("deny_ips")).alias("verdict"))
+    df = adm.attach_ip_rules(load(spark, sf_dir, "fx_web"), load(spark, sf_dir, "fx_ip_rules"))
+    return df.select("request_id", adm.ip_verdict().alias("verdict"))
 
 
 _ROUTE = "CASE request_id % 6 WHEN 0 THEN 'error' WHEN 1 THEN 'vitals' WHEN 2 THEN 'replay' WHEN 3 THEN 'collect' ELSE 'web' END"
@@ -132,7 +132,7 @@ def q_feature_gate(spark, sf_dir):
 
 
 def admitted(spark, sf_dir) -> DataFrame:
-    df = adm.attach_context(load(spark, sf_dir, "fx_web"), load(spark, sf_dir, "fx_projects")).join(adm.ip_rules(load(spark, sf_dir, "fx_ip_rules")), "token", "left")
+    df = adm.attach_ip_rules(adm.attach_context(load(spark, sf_dir, "fx_web"), load(spark, sf_dir, "fx_projects")), load(spark, sf_dir, "fx_ip_rules"))
     hosts = F.filter(F.split(F.expr(_HOSTS), ","), lambda h: h != "")
     return adm.admission(df.withColumns({"route": F.expr(_ROUTE), "hosts": hosts, "host": fn.request_origin(F.col("origin_header"), F.col("referer_header"))}))
 

@@ -97,6 +97,11 @@ SELECT request_id, project_id, language, kind, CASE WHEN request_id % 3 = 0 THEN
     "fx_grouping": """
 SELECT project_id, 'modern' AS mode, CASE right(project_id, 1) WHEN '0' THEN 'error_kind_only' WHEN '2' THEN 'root_and_terminal_cause' ELSE 'terminal_cause_frames' END AS segment_selection, true AS include_error_kind, 'bounded' AS raw_stack_policy, 1048576 AS raw_stack_max_bytes,
        CASE right(project_id, 1) WHEN '1' THEN 1 ELSE 8 END AS max_frames, true AS include_function, right(project_id, 1) <> '2' AS include_module, right(project_id, 1) <> '2' AS include_file, 'exclude_when_application_frame_exists' AS runtime_frame_policy, 'deduplicate' AS adjacent_frame_policy
+FROM (SELECT DISTINCT project_id FROM @fx_errors@) WHERE right(project_id, 1) <> '4'""",
+    "fx_limits": """
+SELECT project_id, CASE right(project_id, 1) WHEN '0' THEN 'legacy' ELSE 'modern' END AS mode, 'terminal_cause_frames' AS segment_selection, true AS include_error_kind, CASE right(project_id, 1) WHEN '3' THEN 'never' ELSE 'bounded' END AS raw_stack_policy, 1048576 AS raw_stack_max_bytes,
+       8 AS max_frames, true AS include_function, true AS include_module, true AS include_file, 'exclude_when_application_frame_exists' AS runtime_frame_policy, 'deduplicate' AS adjacent_frame_policy,
+       CASE right(project_id, 1) WHEN '2' THEN 40 ELSE 1048576 END AS parser_max_input_bytes, CASE right(project_id, 1) WHEN '1' THEN 2 ELSE 16384 END AS parser_max_lines, CASE right(project_id, 1) WHEN '3' THEN 20 ELSE 65536 END AS parser_max_line_bytes
 FROM (SELECT DISTINCT project_id FROM @fx_errors@) WHERE right(project_id, 1) <> '4'""",
     "fx_exclusions": """
 SELECT project_id, 1 AS position, 'function' AS field, 'prefix' AS matcher, 'shop::main' AS pattern FROM (SELECT DISTINCT project_id FROM @fx_errors@) WHERE right(project_id, 1) = '3'

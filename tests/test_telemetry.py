@@ -135,10 +135,31 @@ def test_hostname(spark, hosts, host, ok):
 
 
 def test_ip_verdict(spark):
-    some = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
-    assert one(spark, admission.ip_verdict(F.lit("1"), some("1"), some("1"))) == "IP address blocked"
-    assert one(spark, admission.ip_verdict(F.lit("1"), some("2"), some())) == "IP address not allowed"
-    assert one(spark, admission.ip_verdict(F.lit("1"), some(), some())) is None
+    rules = spark.createDataFrame([("t", "1", True), ("t", "1", False), ("u", "2", True), ("u", "2", True), ("v", "3", False), (None, "1", False)], "token string, ip string, allowed boolean")
+    rows = [(0, "t", "1", "IP address blocked"), (1, "t", "9", "IP address not allowed"), (2, "u", "1", "IP address not allowed"), (3, "u", "2", None), (4, "v", "1", None), (5, "v", "3", "IP address blocked"), (6, "w", "1", None), (7, None, "1", None), (8, "u", None, "IP address not allowed")]
+    df = spark.createDataFrame(rows, "i int, token string, client_ip string, want string")
+    got = admission.attach_ip_rules(df, rules).select("i", "want", admission.ip_verdict().alias("v")).orderBy("i").collect()
+    assert [(r.i, r.v) for r in got] == [(r.i, r.want) for r in got] and len(got) == len(rows)
+
+
+def test_rules_with_bad_patterns(spark):
+    rows = [("p", r, i, "string", "scalar", x) for i, (r, x) in enumerate([("a", "(["), ("b", "[0-9]+"), ("c", None), ("d", ""), ("e", "*"), ("b", "x(?:y)")])]
+    df = spark.createDataFrame(rows, "project_id string, reference_id string, ord int, data_type string, metric_shape string, regex string")
+    df = df.selectExpr("*", "false AS allow_negative", "false AS allow_float", "1D AS min_value", "2D AS max_value")
+    assert {r.reference_id: r.regex for r in metrics.usable_rules(df).collect()} == {"a": None, "b": "x(?:y)", "c": None, "d": "", "e": None}
+
+
+def test_limits_and_null_projects(spark):
+    """One stack under the limits of three projects, and without a project."""
+    stack = "com.x.A: m\n\tat com.x.A.a(A.java:1)\n\tat com.x.A.b(A.java:2)"
+    rows = spark.createDataFrame([(i, p, "java", "E", stack) for i, p in enumerate(["p", "q", "r", None])], "i int, project_id string, language string, kind string, stack string")
+    settings = spark.createDataFrame([("p", 2, 8), ("q", 3, 1)], "project_id string, parser_max_lines int, max_frames int").selectExpr(
+        "*", "'modern' AS mode", "'terminal_cause_frames' AS segment_selection", "true AS include_error_kind", "'bounded' AS raw_stack_policy", "100 AS raw_stack_max_bytes", "true AS include_function", "true AS include_module", "true AS include_file", "'include' AS runtime_frame_policy", "'keep' AS adjacent_frame_policy"
+    )
+    none = spark.createDataFrame([], "project_id string, position int, field string, matcher string, pattern string")
+    got = grouping.group_errors(rows, languages=("java",), policies=grouping.policies(settings, none)).orderBy("i").collect()
+    assert [r.outcome for r in got] == ["raw_fallback:too_many_lines", "frames:1", "frames:2", "frames:2"]
+    assert got[2].group_hash == got[3].group_hash and len({r.group_hash for r in got}) == 3
 
 
 def test_required_literals():
