@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from beaconry.functions import scalars as fn
 from beaconry.operators import dedupe, replay, vitals
 from beaconry.sources.fixtures import load, oracle
+from beaconry.sources.objects import read_chunk_objects, write_chunk_objects
+from beaconry.sources.requests import replay_key, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -195,3 +199,20 @@ def q_flag_sessions(spark, sf_dir):
     poor = poor.select(F.lit("p1").alias("project_id"), "session_id", F.lit(None).cast("string").alias("window_id"), "received_ms")
     out = vitals.flag_sessions(vitals.flag_sessions(sessions(spark, sf_dir), errors, "has_errors"), poor, "has_poor_vitals")
     return out.select("project_id", "session_id", "has_errors", "has_poor_vitals")
+
+
+_KEY_SQL = "generation || '/' || session_id || '/' || window_id || '/' || cast(coalesce(first_ts, 0) AS string) || '-' || CASE WHEN batch_id IS NOT NULL THEN sha256(batch_id) ELSE sha256(encode(window_id) || unhex(printf('%016x', sequence))) END || '.json.zst'"
+
+
+# The kept chunks of each project; the events of an object in their order.
+@query(f"""WITH RECURSIVE {_KEPT}, {_ORD} SELECT kc.project_id || '/' || {_KEY_SQL} AS object_key, count(*) AS events, string_agg(cast(event_id AS string), ',' ORDER BY place) AS ids
+ FROM kc JOIN (SELECT project_id, session_id, chunk, event_id, place FROM ord) o ON o.project_id = kc.project_id AND o.session_id = kc.session_id AND o.chunk = kc.chunk GROUP BY 1""".replace("session_id || '/'", "kc.session_id || '/'"))
+def q_replay_objects(spark, sf_dir):
+    events = replay.order_events(load(spark, sf_dir, "fx_replay_events"))
+    body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", "event_id", "type", "event_ts"))), lambda e: F.struct(e["event_id"].alias("id"), e["type"].alias("type"), e["event_ts"].alias("timestamp"))))
+    bodies = events.groupBy(*replay.CHUNK).agg(body.alias("body"))
+    chunks = kept_chunks(spark, sf_dir).join(bodies, replay.CHUNK).select(F.concat("project_id", F.lit("/"), replay_key()).alias("object_key"), "body")
+    path = f"{shared_dir(spark)}/beaconry/{uuid.uuid4().hex}/replay"
+    write_chunk_objects(chunks, path)
+    ids = F.from_json("body", "array<struct<id:bigint>>")["id"]
+    return read_chunk_objects(spark, path).select("object_key", F.size(ids).cast("long").alias("events"), F.array_join(ids.cast("array<string>"), ",").alias("ids"))

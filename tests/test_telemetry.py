@@ -387,6 +387,23 @@ def test_streams_equal_batches(spark):
     assert sorted(r.request_id for r in spark.read.parquet(f"{path}/out").collect()) == want and 0 < len(want) < 60
 
 
+def test_chunk_objects(spark, tmp_path):
+    """Objects come with their names when the whole job has ended; a failing task leaves none, and a second run replaces them."""
+    from beaconry.sources import objects
+
+    path = str(tmp_path / "o")
+    rows = spark.createDataFrame([(f"g/s{i % 3}/{i}.json.zst", f'[{{"id":{i}}}]') for i in range(40)] + [("g/empty.json.zst", None)], "object_key string, body string").repartition(5)
+    bad = rows.union(spark.createDataFrame([("../out", "[]")], "object_key string, body string"))
+    with pytest.raises(Exception, match="no object key"):
+        objects.write_chunk_objects(bad, path)
+    assert not [f for f in (tmp_path / "o").rglob("*") if f.is_file()] and not (tmp_path / "out").exists()
+    for _ in range(2):
+        objects.write_chunk_objects(rows, path)
+        got = {r.object_key: r.body for r in objects.read_chunk_objects(spark, path).collect()}
+        assert got == {r.object_key: r.body or "[]" for r in rows.collect()}
+    assert not [f for f in (tmp_path / "o").rglob("*") if f.is_file() and not f.name.endswith(".zst")]
+
+
 def test_person_streams(spark):
     """Replace, unset and clear in three batches, an empty one among them, against the batch folds."""
     from beaconry.operators import persons
