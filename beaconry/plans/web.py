@@ -388,6 +388,23 @@ def q_quarantine_replay(spark, sf_dir):
     return src.quarantine_replay(held, done, now, limit=50).select("request_id", "received_ms")
 
 
+# Three rounds of twenty, of which the second fails at first and is run again.
+@query("""WITH q AS (SELECT request_id, received_ms FROM @fx_web@ WHERE request_id % 97 = 0 OR token = 'tok_none'), n AS (SELECT max(received_ms) AS now FROM @fx_web@),
+ o AS (SELECT request_id, received_ms, row_number() OVER (ORDER BY received_ms, request_id) - 1 AS i FROM q, n WHERE received_ms >= now - 86400000) SELECT request_id, received_ms, i // 20 AS batch FROM o WHERE i < 60""")
+def q_dead_letter_rounds(spark, sf_dir):
+    held = q_quarantine(spark, sf_dir).select("request_id", F.timestamp_millis("received_ms").alias("created_at"), "received_ms")
+    now = load(spark, sf_dir, "fx_web").agg(F.max("received_ms").alias("m")).select(F.timestamp_millis("m").alias("now"))
+    path = f"{src.shared_dir(spark)}/beaconry/{uuid.uuid4().hex}/dead_letters"
+    for fails in (False, True, False, False):
+        some = lambda df, fails=fails: df.select("request_id", F.raise_error(F.lit("refused")).cast("long").alias("received_ms") if fails else "received_ms")
+        try:
+            src.replay_dead_letters(held, now, path, some, limit=20)
+        except Exception as e:
+            if not fails or "refused" not in str(e):
+                raise
+    return src.replayed(spark, path, "request_id long, received_ms long")
+
+
 @query("SELECT project_id, session_id, chunk, generation || '/' || session_id || '/' || window_id || '/' || cast(coalesce(first_ts, 0) AS string) || '-' || CASE WHEN batch_id IS NOT NULL THEN sha256(batch_id) ELSE sha256(encode(window_id) || unhex(printf('%016x', sequence))) END || '.json.zst' AS object_key FROM @fx_chunks@ WHERE sequence >= 0")
 def q_replay_key(spark, sf_dir):
     return load(spark, sf_dir, "fx_chunks").where("sequence >= 0").select("project_id", "session_id", "chunk", src.replay_key().alias("object_key"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,42 @@ def quarantine_replay(held: DataFrame, done: DataFrame, now: DataFrame, limit: i
     return live.join(done, "request_id", "left_anti").orderBy("created_at", "request_id").limit(limit)
 
 
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished batches: a folder each, which its writer has marked as whole."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(top)] if store.exists(top) else []
+    whole = [n for n in names if n.startswith("batch=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done/{n}/_SUCCESS"))]
+    return [int(n.partition("=")[2]) for n in whole]
+
+
+def replayed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The output rows of the finished batches under path, with their `batch`."""
+    whole = [f"{path}/out/batch={n}" for n in _manifests(spark, path)]
+    if not whole:
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").option("basePath", f"{path}/out").parquet(*whole)
+
+
+def replay_dead_letters(held: DataFrame, now: DataFrame, path: str, process: Callable[[DataFrame], DataFrame], limit: int = 50, keep_seconds: int = 86_400) -> int:
+    """One round over the dead letters: the oldest ones that no finished batch has, through process, into the batch's output.
+
+    A batch's own folder of output is replaced when it runs again, and its manifest (the ids it has dealt with) is written
+    last. A batch that fails leaves no manifest, so its rows stay; read results with replayed(). Rounds do not run side by
+    side. Returns the batch's number.
+    """
+    spark = held.sparkSession
+    whole = [f"{path}/done/batch={n}" for n in _manifests(spark, path)]
+    done = spark.read.schema("request_id long").parquet(*whole) if whole else spark.createDataFrame([], "request_id long")
+    number = max(_manifests(spark, path), default=-1) + 1
+    chosen = quarantine_replay(held, done, now, limit, keep_seconds)
+    chosen.select("request_id").write.mode("overwrite").parquet(f"{path}/chosen/batch={number}")
+    ids = spark.read.schema("request_id long").parquet(f"{path}/chosen/batch={number}")
+    process(held.join(ids, "request_id", "left_semi")).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    ids.write.mode("overwrite").parquet(f"{path}/done/batch={number}")
+    return number
+
+
 def replay_key() -> Column:
     """The object name of a replay chunk."""
     sequence = F.unhex(F.lpad(F.hex("sequence"), 16, "0"))
