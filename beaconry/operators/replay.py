@@ -253,18 +253,90 @@ def active_generation(rows: DataFrame, generations: DataFrame) -> DataFrame:
     return rows.join(generations.where("state = 'active'").select("project_id", "generation"), ["project_id", "generation"])
 
 
+#: A window's time is cut into pieces of so many milliseconds, so that a busy window is many tasks.
+PIECE_MS = 60_000
+WINDOW_KEY = ["project_id", "session_id", "window_id"]
+#: What a row of a window is; at one time the sides come in this order.
+FILTER, STORED, EMPTY_FINAL = 0, 1, 2
+
+
+def _as_of(rows: DataFrame) -> DataFrame:
+    """Rows (window key, at, side, tie, f, ...) with `latest`, the last f up to them, and `first_ms`, when the window's first chunk came.
+
+    A piece of a window's time begins with a row that carries what the pieces before it left, so no scan of rows goes
+    beyond a piece; the scan that carries sees one row a piece.
+    """
+    piece = [*WINDOW_KEY, "piece"]
+    cut = rows.withColumns({"piece": F.expr(f"at div {PIECE_MS}"), "first_ms": F.when(F.col("side") == STORED, F.col("at"))})
+    order = F.struct("at", "side", "tie")
+    ends = cut.groupBy(*piece).agg(F.max_by("f", F.when(F.col("f").isNotNull(), order)).alias("f"), F.min("first_ms").alias("first_ms"))
+    by = Window.partitionBy(*WINDOW_KEY)
+    before = by.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.select(*piece, F.last("f", ignorenulls=True).over(before).alias("f"), F.min("first_ms").over(by).alias("first_ms"), F.lit(-1).alias("side"))
+    here = Window.partitionBy(*piece)
+    so_far = here.orderBy("at", "side", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A head has no time, and so is first in its piece.
+    scanned = cut.unionByName(heads, allowMissingColumns=True).withColumns({"latest": F.last("f", ignorenulls=True).over(so_far), "first_ms": F.min("first_ms").over(here)})
+    return scanned.where("side >= 0").drop("piece")
+
+
 def latest_filter(chunks: DataFrame, filters: DataFrame, fields: list[str]) -> DataFrame:
     """Chunks with the fields of the latest filter event of their session's window at or before their time (null fields stay filled by it only).
 
-    An as-of join in one shuffle: both sides are sorted by time in each window and the last filter is carried forward.
+    An as-of join without pairs: both sides are sorted by time in pieces of each window and the last filter is carried forward.
     """
-    key = ["project_id", "session_id", "window_id"]
-    tag = F.struct(*fields)
-    both = chunks.select(*key, F.col("received_ms").alias("at"), F.lit(1).alias("side"), "chunk", F.lit(None).cast(filters.select(tag.alias("f")).schema["f"].dataType).alias("f"), F.lit(0).cast("long").alias("tie")).unionByName(
-        filters.select(*key, F.col("received_ms").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("chunk"), tag.alias("f"), F.col("request_id").alias("tie"))
-    )
-    by = Window.partitionBy(*key).orderBy("at", "side", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("latest", F.last("f", ignorenulls=True).over(by)).where("side = 1").select(*key, "chunk", *[F.col(f"latest.{x}").alias(x) for x in fields])
+    f = F.struct(*fields).alias("f")
+    side = lambda n: F.lit(n).alias("side")
+    some = filters.select(*WINDOW_KEY, F.col("received_ms").alias("at"), side(FILTER), F.col("request_id").alias("tie"), f)
+    rows = chunks.select(*WINDOW_KEY, F.col("received_ms").alias("at"), side(STORED), F.lit(0).cast("long").alias("tie"), "chunk").unionByName(some, allowMissingColumns=True)
+    return _as_of(rows).where(F.col("side") == STORED).select(*WINDOW_KEY, "chunk", *[F.col(f"latest.{x}").alias(x) for x in fields])
+
+
+def change_rows(chunks: DataFrame, filters: DataFrame, finals: DataFrame, fields: list[str]) -> DataFrame:
+    """Stored chunks, filter events and empty final chunks as rows of one table: window key, at, side, tie, is_final, fields.
+
+    A field that a side has no column for is null there. Rows without a time change nothing and are left out. The inputs may
+    be streams.
+    """
+
+    def part(df: DataFrame, side: int, tie: Column, is_final: Column) -> DataFrame:
+        own = [(F.col(x) if x in df.columns else F.lit(None)).cast("string").alias(x) for x in fields]
+        at = F.col("received_ms").cast("long").alias("at")
+        return df.select(*WINDOW_KEY, at, F.lit(side).alias("side"), F.coalesce(tie.cast("long"), F.lit(0)).alias("tie"), is_final.alias("is_final"), *own)
+
+    parts = part(filters, FILTER, F.col("request_id"), F.lit(False)), part(chunks, STORED, F.col("chunk"), F.coalesce("is_final", F.lit(False))), part(finals, EMPTY_FINAL, F.lit(0), F.lit(True))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("at IS NOT NULL")
+
+
+def settle_changes(rows: DataFrame, fields: list[str], filled: list[str]) -> DataFrame:
+    """The rows that change a session, with what they set.
+
+    A chunk's null fields among `filled` are those of the latest filter event up to it. Filter events and empty final chunks
+    count from the time of the window's first chunk on. `change_rows` makes the rows; the stream's form is in `streaming`.
+    """
+    f = F.when(F.col("side") == FILTER, F.struct(*filled)) if filled else F.lit(None).cast("struct<_: string>")
+    lacks = lambda x: F.when(F.col("side") == STORED, F.coalesce(x, F.col(f"latest.{x}"))).otherwise(F.col(x))
+    out = _as_of(rows.withColumn("f", f)).where("at >= first_ms").withColumns({x: lacks(x) for x in filled})
+    return out.select(*WINDOW_KEY, "at", "side", "tie", "is_final", *fields)
+
+
+def fold_changes(changes: DataFrame, fields: list[str]) -> DataFrame:
+    """Per window what its changes leave, in order of time: each field's last non-null value, filter events, completion.
+
+    Chunks and filter events overwrite each other. All columns are mergeable aggregates, so a stream is folded by this plan
+    in update mode.
+    """
+    order = F.struct("at", "side", "tie")
+    last = lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), order)).alias(x)
+    return changes.groupBy(*WINDOW_KEY).agg(*map(last, fields), F.count_if(F.col("side") == FILTER).alias("filter_events"), F.bool_or("is_final").alias("is_complete"), F.min(F.when(F.col("is_final"), F.col("at"))).alias("finalized_ms"))
+
+
+def with_changes(sessions: DataFrame, folded: DataFrame) -> DataFrame:
+    """Sessions with the columns of their folded changes in place of their own; keys may be null."""
+    own = [c for c in sessions.columns if c not in folded.columns or c in WINDOW_KEY]
+    new = [c for c in folded.columns if c not in WINDOW_KEY]
+    same = F.expr(" AND ".join(f"s.{k} <=> n.{k}" for k in WINDOW_KEY))
+    return sessions.alias("s").join(folded.alias("n"), same, "left").select(*[f"s.{c}" for c in own], *[f"n.{c}" for c in new])
 
 
 def fold_sessions(chunks: DataFrame) -> DataFrame:

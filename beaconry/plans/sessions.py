@@ -165,13 +165,17 @@ def q_sessions(spark, sf_dir):
     return sessions(spark, sf_dir).withColumn("routes", F.array_join("routes", ","))
 
 
+def empty_finals(spark, sf_dir):
+    empty = replay.drop_invalid(with_faults(spark, sf_dir).withColumn("is_final", F.col("chunk") % 3 == 0)).where("outcome = 'completes'")
+    finals = load(spark, sf_dir, "fx_chunks").join(empty.select(*replay.CHUNK), replay.CHUNK, "left_semi")
+    return finals.select("project_id", "session_id", "window_id", "received_ms")
+
+
 @query(f"""WITH RECURSIVE {_SESSIONS}, fin AS (SELECT project_id, session_id, chunk, max(received_ms) AS received_ms FROM (SELECT *, {_FAULT} AS fault FROM @fx_replay_events@) WHERE chunk % 3 = 0 GROUP BY 1, 2, 3 HAVING count(*) FILTER (fault IS NULL) = 0),
  e AS (SELECT project_id, session_id, min(f.received_ms) AS m FROM se JOIN fin f USING (project_id, session_id) WHERE f.received_ms >= first_ms GROUP BY 1, 2)
  SELECT se.project_id, se.session_id, is_complete OR m IS NOT NULL AS is_complete, least(finalized_ms, m) AS finalized_ms FROM se LEFT JOIN e ON e.project_id = se.project_id AND e.session_id = se.session_id""")
 def q_finalize(spark, sf_dir):
-    empty = replay.drop_invalid(with_faults(spark, sf_dir).withColumn("is_final", F.col("chunk") % 3 == 0)).where("outcome = 'completes'")
-    finals = load(spark, sf_dir, "fx_chunks").join(empty.select(*replay.CHUNK), replay.CHUNK, "left_semi")
-    return replay.finalize(sessions(spark, sf_dir), finals.select("project_id", "session_id", "window_id", "received_ms")).select("project_id", "session_id", "is_complete", "finalized_ms")
+    return replay.finalize(sessions(spark, sf_dir), empty_finals(spark, sf_dir)).select("project_id", "session_id", "is_complete", "finalized_ms")
 
 
 @query(f"""WITH RECURSIVE {_SESSIONS}, e AS (SELECT project_id, session_id, arg_max(f.browser, request_id) FILTER (f.browser IS NOT NULL) AS b, arg_max(f.country, request_id) FILTER (f.country IS NOT NULL) AS c, count(*) AS n FROM se JOIN @fx_filters@ f USING (project_id, session_id) WHERE f.received_ms >= first_ms GROUP BY 1, 2)
@@ -180,6 +184,32 @@ def q_filter_events(spark, sf_dir):
     return replay.filter_updates(sessions(spark, sf_dir), load(spark, sf_dir, "fx_filters"), ["browser", "country"]).select("project_id", "session_id", "browser", "country", "filter_events")
 
 
+#: What filter events and chunks set on a session, and what a chunk takes from the latest filter event.
+CHANGED, FILLED = ["identifier", "browser", "country", "os"], ["browser", "country", "os"]
+_OWN_BROWSER = "CASE WHEN chunk % 4 = 2 THEN 'own' || cast(chunk % 3 AS string) END"
+_FILTER_ID = "CASE WHEN request_id % 6 = 0 THEN 'f' || cast(request_id % 4 AS string) END"
+CHANGES_SQL = f"""WITH RECURSIVE {_KEPT}, {_ASOF}, fin AS (SELECT project_id, session_id, chunk, max(received_ms) AS received_ms FROM (SELECT *, {_FAULT} AS fault FROM @fx_replay_events@) WHERE chunk % 3 = 0 GROUP BY 1, 2, 3 HAVING count(*) FILTER (fault IS NULL) = 0),
+ ex AS (SELECT project_id, session_id, min(received_ms) AS first_ms FROM kc GROUP BY 1, 2),
+ u AS (SELECT kc.project_id, kc.session_id, received_ms, 1 AS side, kc.chunk AS tie, is_final, identifier, coalesce({_OWN_BROWSER.replace("chunk", "kc.chunk")}, af.browser) AS browser, af.country, af.os FROM kc JOIN af ON af.project_id = kc.project_id AND af.session_id = kc.session_id AND af.chunk = kc.chunk
+  UNION ALL SELECT f.project_id, f.session_id, received_ms, 0, request_id, false, {_FILTER_ID}, browser, country, os FROM @fx_filters@ f JOIN ex ON ex.project_id = f.project_id AND ex.session_id = f.session_id AND received_ms >= first_ms
+  UNION ALL SELECT f.project_id, f.session_id, received_ms, 2, 0, true, NULL, NULL, NULL, NULL FROM fin f JOIN ex ON ex.project_id = f.project_id AND ex.session_id = f.session_id AND received_ms >= first_ms),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id, session_id ORDER BY received_ms, side, tie) AS i FROM u)
+ SELECT project_id, session_id, arg_max(identifier, i) FILTER (identifier IS NOT NULL) AS identifier, arg_max(browser, i) FILTER (browser IS NOT NULL) AS browser, arg_max(country, i) FILTER (country IS NOT NULL) AS country, arg_max(os, i) FILTER (os IS NOT NULL) AS os,
+ count(*) FILTER (side = 0) AS filter_events, bool_or(is_final) AS is_complete, min(received_ms) FILTER (is_final) AS finalized_ms FROM numbered GROUP BY 1, 2"""
+
+
+def change_rows(spark, sf_dir):
+    """Kept chunks, some with a browser of their own, filter events, some with an identifier, and empty final chunks."""
+    chunks = kept_chunks(spark, sf_dir).withColumn("browser", F.expr(_OWN_BROWSER))
+    filters = load(spark, sf_dir, "fx_filters").withColumn("identifier", F.expr(_FILTER_ID))
+    return replay.change_rows(chunks, filters, empty_finals(spark, sf_dir), CHANGED)
+
+
+@query(CHANGES_SQL)
+def q_session_changes(spark, sf_dir):
+    return replay.fold_changes(replay.settle_changes(change_rows(spark, sf_dir), CHANGED, FILLED), CHANGED).drop("window_id")
+
+
 @query("SELECT project_id, session_id, chunk, generation FROM @fx_chunks@ WHERE generation = CASE project_id WHEN 'p0' THEN 'g0' WHEN 'p1' THEN 'g1' END")
 def q_generation(spark, sf_dir):
     table = load(spark, sf_dir, "fx_chunks").select("project_id", "generation").distinct().withColumn("state", F.expr("CASE WHEN (project_id = 'p0' AND generation = 'g0') OR (project_id = 'p1' AND generation = 'g1') THEN 'active' ELSE 'old' END"))

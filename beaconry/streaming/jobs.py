@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -96,6 +97,54 @@ def first_billing_stream(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("project_id", "session_id").applyInPandasWithState(fold, "project_id string, session_id string, chunk long, received_at timestamp", "billed boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def settle_changes_stream(rows: DataFrame, fields: list[str], filled: list[str]) -> DataFrame:
+    """The changes of sessions of a stream, by the rules of `replay.settle_changes`, in whatever order its rows come.
+
+    A window's rows wait in keyed state until the watermark has passed them, so that no earlier one can still come; then they
+    are settled in order of time. State keeps the waiting rows, the filter event before them and the time of the first chunk;
+    the last two stay, as a window may go on at any time. Rows that come after the watermark are dropped.
+    """
+    places = [fields.index(x) for x in filled]
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        latest, first, waiting = json.loads(state.get[0]) if state.exists else (None, None, [])
+        if not state.hasTimedOut:
+            for b in batches:
+                b = b[["at", "side", "tie", "is_final", *fields]].astype(object)
+                waiting += b.where(b.notna(), None).to_numpy().tolist()
+            waiting.sort(key=lambda r: r[:3])
+        mark = state.getCurrentWatermarkMs()
+        n = bisect_left(waiting, mark, key=lambda r: r[0])
+        done, waiting = waiting[:n], waiting[n:]
+        first = min([r[0] for r in done if r[1] == replay.STORED], default=first) if first is None else first
+        out = []
+        for r in done:
+            at, side, own = r[0], r[1], r[4:]
+            if side == replay.FILTER:
+                latest = own
+            elif side == replay.STORED and latest:
+                for k in places:
+                    own[k] = latest[k] if own[k] is None else own[k]
+            if first is not None and at >= first:
+                out.append([*key, *r[:4], *own])
+        state.update((json.dumps([latest, first, waiting]),))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0], mark) + 1)
+        yield pd.DataFrame(out, columns=[*replay.WINDOW_KEY, "at", "side", "tie", "is_final", *fields])
+
+    texts = lambda names: ", ".join(f"{x} string" for x in names)
+    out = f"{texts(replay.WINDOW_KEY)}, at long, side int, tie long, is_final boolean, {texts(fields)}"
+    marked = rows.withColumn("received_at", F.timestamp_millis("at")).withWatermark("received_at", WATERMARK)
+    return marked.groupBy(*replay.WINDOW_KEY).applyInPandasWithState(fold, out, "seen string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_changes(rows: DataFrame, path: str, fields: list[str], filled: list[str]) -> None:
+    """Settles a stream of `replay.change_rows` to its end, then folds what was settled into the change log of sessions."""
+    run_to_end(settle_changes_stream(rows, fields, filled), path)
+    settled = rows.sparkSession.read.parquet(f"{path}/out")
+    run_updates(replay.fold_changes(rows.sparkSession.readStream.schema(settled.schema).parquet(f"{path}/out"), fields), f"{path}/sessions")
+
+
 def usage_stream(rows: DataFrame) -> DataFrame:
     """Usage per flush window of a stream; the plan is the batch one."""
     return usage.usage_by_window(rows.withWatermark("received_at", WATERMARK))
@@ -136,13 +185,13 @@ def run_to_end(df: DataFrame, path: str, mode: str = "append") -> None:
     q.awaitTermination()
 
 
-def feed(spark: SparkSession, df: DataFrame, name: str, run: Callable[[DataFrame, str], None], batches: int = 1) -> str:
-    """Lets run(stream, folder) take df in so many stretches of received_at, one after the other; the job's folder.
+def feed(spark: SparkSession, df: DataFrame, name: str, run: Callable[[DataFrame, str], None], batches: int = 1, by: str = "received_at") -> str:
+    """Lets run(stream, folder) take df in so many stretches of a time, one after the other; the job's folder.
 
     Each stretch arrives after the run before it has ended, so all but the first go on from its checkpoint.
     """
     path = f"{shared_dir(spark)}/beaconry/{uuid.uuid4().hex}/{name}"
-    at = F.unix_millis("received_at")
+    at = F.unix_millis(by)
     df.write.parquet(f"{path}/all")
     rows = spark.read.schema(df.schema).parquet(f"{path}/all")
     span = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
@@ -194,6 +243,16 @@ def q_stream_sessions(spark, sf_dir):
     return latest(spark, replay.fold_sessions(rows).schema, path, SESSION_KEY).withColumn("routes", F.array_join("routes", ","))
 
 
+# A closing chunk past the watermark, of no project, lets everything before it settle.
+@query(sessions.CHANGES_SQL)
+def q_stream_session_changes(spark, sf_dir):
+    rows = sessions.change_rows(spark, sf_dir).withColumn("received_at", F.timestamp_millis("at"))
+    end = rows.agg((F.max("at") + 3 * 86_400_000).alias("at")).select("at", F.lit(replay.STORED).alias("side"), F.lit(0).cast("long").alias("tie"), F.lit(False).alias("is_final"), F.timestamp_millis("at").alias("received_at"))
+    rows = rows.unionByName(end.where("at IS NOT NULL"), allowMissingColumns=True)
+    path = feed(spark, rows, "changes", lambda stream, path: run_changes(stream, path, sessions.CHANGED, sessions.FILLED), batches=4)
+    return latest(spark, replay.fold_changes(rows, sessions.CHANGED).schema, f"{path}/sessions", SESSION_KEY).drop("window_id")
+
+
 def _person_logs(spark, sf_dir, names: list[str]) -> list[DataFrame]:
     rows = metering.trait_patches(spark, sf_dir).withColumn("received_at", F.timestamp_millis("seq"))
     folds = lambda df: person_streams(df, {"email": "clear_email", "name": None})

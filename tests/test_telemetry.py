@@ -443,3 +443,72 @@ def test_sinks_and_billing(spark, tmp_path):
     rows = chunks.select("project_id", "session_id", "chunk", F.timestamp_millis("ms").alias("received_at"))
     path = jobs.feed(spark, rows, "billing", lambda stream, path: jobs.run_to_end(jobs.first_billing_stream(stream), path), batches=4)
     assert sorted(r.session_id for r in spark.read.parquet(f"{path}/out").collect()) == ["s", "t"]
+
+
+def _changes_by_hand(rows, fields, filled):
+    """Rows (key, at, side, tie, is_final, values) in order of time, against the rules as a plain loop over one window at a time."""
+    out = {}
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: r[1:4])
+        first = min((r[1] for r in mine if r[2] == 1), default=None)
+        if first is None:
+            continue
+        latest, state, filters, done = None, dict.fromkeys(fields), 0, None
+        for _, at, side, _, is_final, values in mine:
+            values = dict(zip(fields, values, strict=True))
+            if side == 0:
+                latest = values
+            elif side == 1:
+                values |= {f: values[f] if values[f] is not None else (latest or {}).get(f) for f in filled}
+            if at >= first:
+                state |= {f: v for f, v in values.items() if v is not None}
+                filters += side == 0
+                done = at if is_final and done is None else done
+        out[key] = (*[state[f] for f in fields], filters, done is not None, done)
+    return out
+
+
+def test_session_changes_out_of_order(spark):
+    """Chunks, filters and empty finals: in batch and as a stream whose rows come out of order, against a plain loop.
+
+    Null keys and fields, ties of time, windows without a chunk, a busy window over many pieces, rows without a time.
+    """
+    import random
+
+    from beaconry.operators import replay
+    from beaconry.streaming import jobs
+
+    fields, filled, rnd = ["identifier", "browser"], ["browser"], random.Random(7)
+    some = lambda *xs: rnd.choice(xs)
+    rows = []
+    for i in range(400):
+        window = some("w0", "w0", "w0", "w1", None)
+        side = some(0, 0, 1, 1, 2) if window != "w1" else some(0, 2)
+        values = (None, None) if side == 2 else (some(None, f"i{i}"), some(None, f"b{i}"))
+        rows.append((("p", "s", window), 864_000_000 + rnd.randrange(40) * 20_000, side, i if side < 2 else 0, side == 2 or (side == 1 and i % 50 == 0), values))
+    want = _changes_by_hand(rows, fields, filled)
+    schema = "project_id string, session_id string, window_id string, received_ms long, request_id long, chunk long, is_final boolean, identifier string, browser string"
+    table = lambda side: spark.createDataFrame([(*k, at, tie, tie, final, *v) for k, at, s, tie, final, v in rows if s == side] + [("p", "s", "w0", None, 9, 9, True, "x", "x")], schema)
+    chunks, filters, finals = table(1), table(0), table(2).select("project_id", "session_id", "window_id", "received_ms")
+    df = replay.change_rows(chunks, filters, finals, fields)
+    plain = lambda x: {tuple(r[:3]): tuple(r[3:]) for r in x.collect()}
+    folded = replay.fold_changes(replay.settle_changes(df, fields, filled), fields)
+    assert plain(folded) == want and len(want) == 2
+
+    arrived = df.withColumn("received_at", F.timestamp_millis("at")).withColumn("arrived_at", F.timestamp_millis(F.expr("abs(hash(at, tie, side)) % 1000")))
+    end = spark.createDataFrame([(13 * 86_400_000, 1, 0, False)], "at long, side int, tie long, is_final boolean").withColumns({"received_at": F.timestamp_millis("at"), "arrived_at": F.timestamp_millis(F.lit(1999))})
+    path = jobs.feed(spark, arrived.unionByName(end, allowMissingColumns=True), "changes", lambda stream, path: jobs.run_changes(stream, path, fields, filled), batches=4, by="arrived_at")
+    assert plain(jobs.latest(spark, folded.schema, f"{path}/sessions", jobs.SESSION_KEY)) == want
+
+
+def test_changes_of_nothing(spark):
+    from beaconry.operators import replay
+
+    none = spark.createDataFrame([], "project_id string, session_id string, window_id string, received_ms long, request_id long, chunk long, is_final boolean, browser string")
+    folded = replay.fold_changes(replay.settle_changes(replay.change_rows(none, none, none, ["browser"]), ["browser"], ["browser"]), ["browser"])
+    assert folded.collect() == []
+    held = spark.createDataFrame([("p", "s", None, 3, "own", False)], "project_id string, session_id string, window_id string, event_count long, browser string, is_complete boolean")
+    one = none.unionByName(spark.createDataFrame([("p", "s", None, 5, 1, 1, True, "b")], none.schema))
+    folded = replay.fold_changes(replay.settle_changes(replay.change_rows(one, none, none, ["browser"]), ["browser"], []), ["browser"])
+    row = replay.with_changes(held, folded).first().asDict()
+    assert row == {"project_id": "p", "session_id": "s", "window_id": None, "event_count": 3, "browser": "b", "filter_events": 0, "is_complete": True, "finalized_ms": 5}
