@@ -7,7 +7,8 @@ row on the small side of its join and is split on the large side.
 
 Archives are gzip files of WARC/1.1 records, written and listed by Spark's own writer and reader, so any store that
 Spark reaches will do. Edge cases: a null payload is empty; rows with a null id are never originals unless a payload has
-no other; rows that repeat the smallest id are all responses; payloads may hold record separators.
+no other; rows that repeat the smallest id are all responses; payloads may hold record separators; an empty table is an
+archive without records; other columns of the rows, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -42,9 +43,9 @@ def base32_sha1(data: Column) -> Column:
 
 
 def resolve_revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """rows (id, url, payload) with payload_bytes, payload_digest, record_type and refers_to."""
-    body = F.coalesce(F.col("payload"), F.lit(""))
-    keyed = rows.withColumn("payload", body).withColumn("payload_bytes", F.octet_length(body).cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
+    """id, url and payload of rows with payload_bytes, payload_digest, record_type and refers_to; other columns are left out."""
+    held = rows.select("id", "url", F.coalesce("payload", F.lit("")).alias("payload"))
+    keyed = held.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload").cast("binary"))})
     heads = keyed.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("id").alias("original"), F.count(F.lit(1)).alias("n"))
     shared = stage(heads.where("n > 1 AND original IS NOT NULL").select("payload_digest", "original"), "warc_shared")
     revisit = F.col("original").isNotNull() & ~F.col("id").eqNullSafe(F.col("original"))
