@@ -21,6 +21,7 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from beaconry.llm.bpe import _SAFE, WHITE_SPACE
 from beaconry.llm.shared import chunks
 
-#: Characters of a chunk, and compiled transitions kept at a time.
-CHUNK_CHARS, MAX_TRANSITIONS = 1 << 15, 1_200_000
+#: Characters of a chunk, and compiled transitions and tested pairs of tokens kept at a time.
+CHUNK_CHARS, MAX_TRANSITIONS, MAX_PAIRS = 1 << 15, 1_200_000, 1_000_000
 
 # The split pattern of byte-level BPE files that ask for it with use_regex.
 PRETOKENS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE_SPACE}\p{{L}}\p{{N}}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
@@ -63,20 +64,38 @@ class Transducer:
         self.moves: dict[int, tuple[int, int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
-        """The encoding by its definition: the lowest-ranked adjacent pair first, the leftmost of equals."""
+        """The encoding by its definition: the lowest-ranked adjacent pair first, the leftmost of equals.
+
+        Pairs wait in a heap and tokens are linked, so that n bytes take n log n steps.
+        """
         ids = [self.id_of[data[i : i + 1]] for i in range(len(data))]
-        while len(ids) > 1:
-            best = min(((self.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merges), default=None)
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
-        return ids
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+
+        def pair(i: int) -> tuple[int, int, tuple[int, int]] | None:
+            two = (ids[i], ids[after[i]]) if i >= 0 and after[i] < len(ids) else None
+            return (self.merges[two][0], i, two) if two in self.merges else None
+
+        waiting = [p for p in map(pair, range(len(ids))) if p]
+        heapify(waiting)
+        while waiting:
+            _, i, two = heappop(waiting)
+            j = after[i]
+            if j >= len(ids) or (ids[i], ids[j]) != two:
+                continue  # one of its tokens has been merged with another
+            ids[i], ids[j], after[i] = self.merges[two][1], -1, after[j]
+            if after[i] < len(ids):
+                before[after[i]] = i
+            for p in (pair(before[i]), pair(i)):
+                if p:
+                    heappush(waiting, p)
+        return [t for t in ids if t >= 0]
 
     def _stable(self, left: int, token: int) -> bool:
         """Whether token keeps its borders after left (-1: at the start)."""
         known = self.stable.get((left, token))
         if known is None:
+            if len(self.stable) >= MAX_PAIRS:
+                self.stable.clear()
             want = [token] if left < 0 else [left, token]
             known = self.stable[left, token] = self.merge(b"".join(self.bytes_of[t] for t in want)) == want
         return known

@@ -46,6 +46,40 @@ def test_token_counts_edges(clashing):
     assert token_counts.count_tokens(clashing.limit(0), FILE).collect() == []
 
 
+def test_merges_by_definition():
+    """Random vocabularies, in which no token may be stable and many pairs tie or overlap, against the plain loop; bounds reset."""
+    r = random.Random(4)
+    for _ in range(60):
+        tokens, merges = ["a", "b", "c"], []
+        for _ in range(r.randint(0, 12)):
+            two = r.choice(tokens), r.choice(tokens)
+            if two not in merges:
+                merges.append(two)
+                tokens += [two[0] + two[1]] if two[0] + two[1] not in tokens else []
+        t = token_counts.Transducer({x: i for i, x in enumerate(tokens)}, merges, [])
+        for _ in range(20):
+            data = "".join(r.choice("aab" if r.random() < 0.5 else "abc") for _ in range(r.randint(1, 60)))
+            want = list(data)
+            while hits := [(merges.index(p), i) for i, p in enumerate(zip(want, want[1:], strict=False)) if p in merges]:
+                i = min(hits)[1]
+                want[i : i + 2] = [want[i] + want[i + 1]]
+            assert [tokens[k] for k in t.merge(data.encode())] == want
+    assert len(t.merge(b"ab" * 100_000)) <= 200_000
+
+
+def test_token_counts_with_small_bounds(monkeypatch):
+    t = token_counts.Transducer.__new__(token_counts.Transducer)
+    t.__dict__.update(token_counts.load(FILE).__dict__)
+    t.stable = {}
+    t._reset()
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(1, 12))) for _ in range(30)) for _ in range(20)]
+    want = token_counts.count_texts(token_counts.load(FILE), texts)
+    monkeypatch.setattr(token_counts, "MAX_PAIRS", 50)
+    monkeypatch.setattr(token_counts, "MAX_TRANSITIONS", 40)
+    assert token_counts.count_texts(t, texts) == want and len(t.stable) <= 50
+
+
 def test_warc_edges(spark, clashing, tmp_path):
     rows = clashing.withColumns({"id": F.col("doc_id"), "url": F.lit("u"), "payload": F.col("text")})
     warc.write_warc(warc.resolve_revisits(rows), str(tmp_path / "w"))
