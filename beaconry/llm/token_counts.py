@@ -32,7 +32,7 @@ from beaconry.llm.bpe import _SAFE, WHITE_SPACE
 from beaconry.llm.shared import chunks
 
 #: Characters of a chunk, and compiled transitions and tested pairs of tokens kept at a time.
-CHUNK_CHARS, MAX_TRANSITIONS, MAX_PAIRS = 1 << 15, 1_200_000, 1_000_000
+CHUNK_CHARS, MAX_TRANSITIONS, MAX_PAIRS = 1 << 15, 1_200_000, 1_200_000
 
 # The split pattern of byte-level BPE files that ask for it with use_regex.
 PRETOKENS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE_SPACE}\p{{L}}\p{{N}}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
@@ -55,6 +55,7 @@ class Transducer:
         self.prefixes = {b[:k] for b in self.id_of for k in range(len(b))}
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.stable: dict[tuple[int, int], bool] = {}
+        self.elder: dict[tuple[int, int], bool] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -91,13 +92,19 @@ class Transducer:
         return [t for t in ids if t >= 0]
 
     def _stable(self, left: int, token: int) -> bool:
-        """Whether token keeps its borders after left (-1: at the start)."""
+        """Whether token keeps its borders after left (-1: at the start).
+
+        Known pairs are two tables: when the younger is half the bound, the elder goes, so pairs in use stay known.
+        """
         known = self.stable.get((left, token))
         if known is None:
-            if len(self.stable) >= MAX_PAIRS:
-                self.stable.clear()
-            want = [token] if left < 0 else [left, token]
-            known = self.stable[left, token] = self.merge(b"".join(self.bytes_of[t] for t in want)) == want
+            known = self.elder.get((left, token))
+            if known is None:
+                want = [token] if left < 0 else [left, token]
+                known = self.merge(b"".join(self.bytes_of[t] for t in want)) == want
+            if len(self.stable) >= MAX_PAIRS // 2:
+                self.elder, self.stable = self.stable, {}
+            self.stable[left, token] = known
         return known
 
     def _compile(self, state: int, byte: int) -> tuple[int, int] | None:
