@@ -70,14 +70,14 @@ def test_merges_by_definition():
 def test_token_counts_with_small_bounds(monkeypatch):
     t = token_counts.Transducer.__new__(token_counts.Transducer)
     t.__dict__.update(token_counts.load(FILE).__dict__)
-    t.stable, t.elder = {}, {}
+    t.stable = {}
     t._reset()
     r = random.Random(9)
     texts = [" ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(1, 12))) for _ in range(30)) for _ in range(20)]
     want = token_counts.count_texts(token_counts.load(FILE), texts)
     monkeypatch.setattr(token_counts, "MAX_PAIRS", 50)
     monkeypatch.setattr(token_counts, "MAX_TRANSITIONS", 40)
-    assert token_counts.count_texts(t, texts) == want and len(t.stable) + len(t.elder) <= 50
+    assert token_counts.count_texts(t, texts) == want and len(t.stable) <= 50
 
 
 def test_warc_edges(spark, clashing, tmp_path):
