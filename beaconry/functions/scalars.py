@@ -14,6 +14,13 @@ def _as_uuid(hexed: Column) -> Column:
     return F.concat_ws("-", *[F.substring(hexed, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
+def parse_uuid(text: Column) -> Column:
+    """An id in lower case with hyphens; null for what is none. It may come without hyphens, in braces or as a URN."""
+    dashed = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+    good = text.rlike(rf"^(?:[0-9a-fA-F]{{32}}|(?:urn:uuid:)?{dashed}|\{{{dashed}\}})\z")
+    return F.when(good, _as_uuid(F.lower(F.regexp_replace(text, r"^urn:uuid:|[{}-]", ""))))
+
+
 def hash_id(ident: Column, project: Column) -> Column:
     """A project's pseudonym of an id: 16 bytes of SHA-256 over both ids' bytes."""
     return _as_uuid(F.sha2(F.concat(uuid_bytes(ident), uuid_bytes(project)), 256))

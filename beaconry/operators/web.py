@@ -19,6 +19,17 @@ def json_map(text: Column) -> Column:
     return F.when(is_object, F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: F.to_json(x)))
 
 
+def whole_json_map(text: Column) -> Column:
+    """json_map of a text that holds one object and nothing but space around it; null if more follows.
+
+    The parser stops where a value ends, so the text is read as the only item of an array, and one that may end that array
+    early as an object's only member too.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    ends_early = text.rlike(r"\}\s*\]") & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNull()
+    return F.when((F.size(items) == 1) & ~ends_early, json_map(text))
+
+
 def json_string(value: Column) -> Column:
     """The string of a JSON string value, null for any other value."""
     return F.when(value.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -72,6 +73,106 @@ def q_parse_web(spark, sf_dir):
     return parsed.select("request_id", "malformed", "token", "user_id", web.json_string(F.col("data")["event"]).alias("event"), F.try_variant_get(F.try_parse_json("properties"), "$.k", "long").alias("k"), web.sorted_json(F.col("data")).alias("data"))
 
 
+# Bodies of all kinds by case, and what becomes of their envelopes: its fields in order, or None where it is malformed. n is
+# the row's number, u the id of a user.
+_WEB_CASES = [
+    ("""{"token":"t","userId":"' || replace(u, '-', '') || '","properties":{"k":' || n || '},"event":"view"}""", """t|' || u || '|{"k":' || n || '}|-|-|-|-|-|-|-|event"""),
+    ("""{"token":"t","userId":"' || u || '","anonymousId":"' || u || '"}""", None),
+    ("""{"token":"t","userId":"' || n || '"}""", None),
+    ("""{"token":' || n || '}""", None),
+    ("""{"token":"t","properties":null}""", None),
+    ("""{"errors":[{"count":2,"error":"E","stack":["a","b"]}],"buildId":"b' || n || '"}""", """-|-|-|[{"count":2,"error":"E","stack":["a","b"]}]|-|b' || n || '|-|-|-|-|"""),
+    ("""{"errors":[{"message":"m' || n || '"}]}""", None),
+    ("""{"errors":[{"error":"E"},{"error":"E","count":3000000000}]}""", None),
+    ("""{"token":null,"userId":null,"errors":null,"sessionId":null,"context":null,"windowId":"w' || n || '"}""", """-|-|-|-|-|-|w' || n || '|-|-|-|"""),
+    ("""{"errors":[{"error":"E","stack":["a",1]}]}""", None),
+    ("""{"sdkName":"web","sdkVersion":"' || n || '","odd":[1],"context":[2],"errors":[]}""", """-|-|-|[]|-|-|-|web|' || n || '|[2]|odd"""),
+    ("""{"token":"t","identifier":"{' || upper(u) || '}","sessionId":"s"}""", """t|' || u || '|-|-|s|-|-|-|-|-|"""),
+    ("""{"token":"t","sessionId":"s' || n || '"}}""", None),
+    ("""{"errors":[{"error":"E","handled":"yes"}]}""", None),
+    ("""{"errors":{"error":"E"}}""", None),
+]
+_COLLECT_CASES = [
+    ("""{"server_id":"s' || n || '","data":{"size":' || n || '}}""", """s' || n || '|{"size":' || n || '}|-|-|-"""),
+    ("""{"identifier":"s' || n || '","data":{},"project_name":"p","context":{"a":1},"errors":[{"error":"E","handled":true}]}""", """s' || n || '|{}|[{"error":"E","handled":true}]|{"a":1}|p"""),
+    ("""{"identifier":"s' || n || '","server_id":"s","data":{}}""", None),
+    ("""{"token":"t' || n || '","server_id":"s","data":{}}""", None),
+    ("""{"server_id":"s' || n || '"}""", None),
+    ("""{"server_id":"s' || n || '","data":[]}""", None),
+    ("""{"data":{"size":' || n || '}}""", None),
+]
+_VITALS_CASES = [
+    ("""{"token":"t","vitals":[{"metric":"LCP","value":' || n || '}],"sessionId":"s' || n || '"}""", """t|[{"metric":"LCP","value":' || n || '}]|-|s' || n || '|-"""),
+    ("""{"vitals":[{"metric":"LCP","value":"' || n || '"}]}""", None),
+    ("""{"token":"t' || n || '"}""", None),
+    ("""{"vitals":[],"metadata":{"browser":' || n || '}}""", None),
+    ("""{"vitals":[],"metadata":{"browser":"B","odd":' || n || '},"windowId":"w"}""", """-|[]|{"browser":"B","odd":' || n || '}|-|w"""),
+    ("""{"vitals":[{"attributes":[' || n || '],"metric":"LCP","value":1}]}""", None),
+    ("""{"vitals":[' || n || ']}""", None),
+    ("""{"vitals":[{"attributes":{"a":' || n || '},"metric":"CLS","value":0.5}],"metadata":null}""", """-|[{"attributes":{"a":' || n || '},"metric":"CLS","value":0.5}]|-|-|-"""),
+]
+_REPLAY_CASES = [
+    ("""{"token":"t","sessionId":"s","sequence":' || n || ',"url":"u","events":[{"type":2}],"batchId":"b' || n || '","flushReason":"timer","isFinal":true}""", """t|s|-|-|-|true|timer|b' || n || '|' || n || '|u|-|[{"type":2}]"""),
+    ("""{"token":"t","sessionId":"s","sequence":' || n || ',"url":"u","events":[],"isFinal":null}""", None),
+    ("""{"token":"t","sessionId":"s","sequence":1.5,"url":"u' || n || '","events":[]}""", None),
+    ("""{"token":"t","sessionId":"s","sequence":18446744073709551615,"url":"u' || n || '","events":[],"pageId":"v"}""", """t|s|-|v|-|false|-|-|18446744073709551615|u' || n || '|-|[]"""),
+    ("""{"token":"t","sessionId":"s","sequence":18446744073709551616,"url":"u' || n || '","events":[]}""", None),
+    ("""{"token":"t","sessionId":"s","sequence":' || n || ',"events":[]}""", None),
+    ("""{"token":"t","sessionId":"s","sequence":' || n || ',"url":"u","events":[],"anonymousId":"urn:uuid:' || u || '","sessionStart":null}""", """t|s|-|-|-|false|-|-|' || n || '|u|' || u || '|[]"""),
+    ("""{"token":"t","sessionId":"s","sequence":-' || n || ',"url":"u","events":[],"sessionStart":-1}""", None),
+    ("""{"token":"t","sessionId":"s","sequence":' || n || ',"url":"u","events":[],"sessionStart":' || n || ',"viewId":"v","pageId":"v"}""", None),
+    ("""{"token":"t","sessionId":"s","windowId":"w","sequence":0,"url":"u","events":[],"sessionStart":' || n || '}""", """t|s|w|-|' || n || '|false|-|-|0|u|-|[]"""),
+]
+_IDENTIFY_CASES = [
+    ("""{"externalId":"c' || n || '","email":"e","name":"n","phone":"p","avatarUrl":"a","traits":{"k":' || n || '},"replaceTraits":true,"unsetTraits":["x","y"],"clearFields":["email"],"aliases":["' || u || '"]}""", """-|-|c' || n || '|e|n|p|a|{"k":' || n || '}|true|x,y|email|' || u"""),
+    ("""{"token":"t' || n || '"}""", None),
+    ("""{"externalId":"c' || n || '","unsetTraits":null}""", None),
+    ("""{"externalId":"c' || n || '","aliases":["a",null]}""", None),
+    ("""{"externalId":"c' || n || '","traits":null,"email":null,"identifier":"' || u || '","odd":1}""", """-|' || u || '|c' || n || '|-|-|-|-|-|false|||"""),
+    ("""{"externalId":"c' || n || '","replaceTraits":"true"}""", None),
+    ("""{"externalId":"c' || n || '","identifier":"' || u || '0"}""", None),
+]
+_ERROR_CASES = [
+    ("""{"errors":[{"error":"E","message":"m' || n || '"}],"identifier":"i","sdk_name":"web","sdkVersion":"1","language":"js"}""", """[{"error":"E","message":"m' || n || '"}]|i|-|-|-|-|web|1|js"""),
+    ("""{"identifier":"i' || n || '"}""", None),
+    ("""{"errors":[],"sdkName":"web","sdk_name":"web' || n || '"}""", None),
+    ("""{"errors":[],"identifier":' || n || '}""", None),
+    ("""{"errors":[],"context":["' || n || '"],"windowId":"w","token":5}""", """[]|-|-|w|-|["' || n || '"]|-|-|-"""),
+    ("""{"errors":null,"identifier":"i' || n || '"}""", None),
+]
+_KIND_CASES = {
+    "web": ("fx_web", "request_id", _WEB_CASES), "collect": ("fx_metrics", "request_id", _COLLECT_CASES), "vitals": ("fx_vitals", "request_id * 8 + pos", _VITALS_CASES),
+    "replay": ("fx_replay_events", "event_id", _REPLAY_CASES), "identify": ("fx_patches", "request_id", _IDENTIFY_CASES), "error": ("fx_errors", "request_id", _ERROR_CASES),
+}
+_NUMBERED = "SELECT cast(i AS string) AS n, '00000000-0000-4000-9000-' || lpad(cast(i % 1000000 AS string), 12, '0') AS u, i % {cases} AS pick, i FROM (SELECT {number} AS i FROM {rows}) r"
+
+
+def _by_case(texts: list[str | None]) -> str:
+    close = lambda x: "NULL" if x is None else f"'{x}" + ("" if x.endswith(" || u") else "'")
+    return "CASE pick " + " ".join(f"WHEN {i} THEN {close(x)}" for i, x in enumerate(texts)) + " END"
+
+
+def _kinds_sql() -> str:
+    parts = []
+    for kind, (view, number, cases) in _KIND_CASES.items():
+        rows = _NUMBERED.format(cases=len(cases), number=number, rows=f"@{view}@")
+        parts.append(f"SELECT '{kind}' AS kind, i AS request_id, fields IS NULL AS malformed, fields FROM (SELECT i, {_by_case([f for _, f in cases])} AS fields FROM ({rows}) q) e")
+    return " UNION ALL ".join(parts)
+
+
+@query(_kinds_sql())
+def q_parse_kinds(spark, sf_dir):
+    out = []
+    for kind, (view, number, cases) in _KIND_CASES.items():
+        load(spark, sf_dir, view).createOrReplaceTempView(f"bk_kind_{kind}")
+        rows = spark.sql(_NUMBERED.format(cases=len(cases), number=number, rows=f"bk_kind_{kind}"))
+        parsed = src.parse_request(rows.select(F.col("i").alias("request_id"), F.expr(_by_case([b for b, _ in cases])).alias("body")), kind)
+        shown = [F.array_join(n, ",") if t == "texts" else F.coalesce(F.col(n).cast("string"), F.lit("-")) for n, (_, t) in src.ENVELOPES[kind].items()]
+        shown += [F.array_join(F.array_sort(F.map_keys("data")), ",")] if kind == "web" else []
+        out.append(parsed.select(F.lit(kind).alias("kind"), "request_id", "malformed", F.when(~F.col("malformed"), F.concat_ws("|", *shown)).alias("fields")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 @query("SELECT request_id, token, organization_id IS NOT NULL AS has_org FROM @fx_web@ JOIN @fx_projects@ USING (token)")
 def q_attach_context(spark, sf_dir):
     out = adm.attach_context(load(spark, sf_dir, "fx_web"), load(spark, sf_dir, "fx_projects"))

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from beaconry.operators import dedupe, persons, replay, usage
 from beaconry.plans import metering, sessions, web
 from beaconry.sources.fixtures import load, oracle
-from beaconry.sources.requests import shared_dir, write_tables
+from beaconry.sources.requests import remove_batches, shared_dir, whole_batches, write_tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -160,13 +160,46 @@ def run_updates(df: DataFrame, path: str) -> None:
     df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+def _log(spark: SparkSession, schema: StructType, path: str) -> tuple[DataFrame, int, list[int]]:
+    """The rows of a change log that count, with their `_batch`; the number of its newest base (-1: none) and whole batches."""
+    bases, batches = whole_batches(spark, f"{path}/base"), whole_batches(spark, f"{path}/log")
+    base = bases[-1] if bases else -1
+    marked = StructType(list(schema.fields)).add("_batch", "long")
+    number = F.regexp_extract(F.input_file_name(), "/batch=([0-9]+)/", 1).cast("long")
+    log = [f"{path}/log/batch={n}" for n in batches if n > base]
+    rows = spark.read.schema(marked).parquet(f"{path}/base/batch={base}") if base >= 0 else None
+    if log:
+        new = spark.read.schema(schema).parquet(*log).withColumn("_batch", number)
+        rows = new if rows is None else rows.unionByName(new)
+    return (spark.createDataFrame([], marked) if rows is None else rows), base, batches
+
+
 def latest(spark: SparkSession, schema: StructType, path: str, key: list[str]) -> DataFrame:
-    """A change log merged on read: each key's last row."""
-    batch = F.regexp_extract(F.input_file_name(), "/batch=([0-9]+)/", 1).cast("long")
-    rows = spark.read.schema(schema).parquet(f"{path}/log/batch=*").withColumn("_batch", batch)
+    """A change log merged on read: each key's last row, of the newest base and the whole batches after it."""
+    rows, _, _ = _log(spark, schema, path)
     return rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in schema.names if c not in key]), "_batch").alias("r")).select(*key, "r.*")
 
 
+def compact(spark: SparkSession, schema: StructType, path: str, key: list[str]) -> int:
+    """Folds a change log into a base: each key's last row with its batch. Returns the base's number.
+
+    The newest batch stays out, as its micro-batch may run again. A base counts once its writer has marked it as whole, so a
+    compaction that fails changes nothing and can be run again. What the base before this one has already replaced goes; what
+    only this base replaces stays until the next compaction, for readers that have begun. Compactions do not run side by
+    side; the stream may go on.
+    """
+    rows, base, batches = _log(spark, schema, path)
+    upto = batches[-2] if len(batches) > 1 else -1
+    if upto <= base:
+        return base
+    old = rows.where(F.col("_batch") <= upto)
+    folded = old.groupBy(*key).agg(F.max_by(F.struct(*[c for c in schema.names if c not in key], "_batch"), "_batch").alias("r")).select(*key, "r.*")
+    folded.select(*schema.names, "_batch").write.mode("overwrite").parquet(f"{path}/base/batch={upto}")
+    remove_batches(spark, f"{path}/log", [n for n in batches if n <= base])
+    remove_batches(spark, f"{path}/base", [n for n in whole_batches(spark, f"{path}/base") if n < base])
+    return upto
+
+
 SESSION_KEY = ["project_id", "session_id", "window_id"]
 PERSON_KEY = ["project_id", "external_id"]
 
@@ -280,6 +313,20 @@ def q_stream_aliases(spark, sf_dir):
     return _person_logs(spark, sf_dir, ["aliases"])[0]
 
 
+# The logs are compacted after each stretch; two runs of the stream go on from compacted logs.
+@query(metering.ORACLES_OF["persons"])
+def q_stream_compaction(spark, sf_dir):
+    rows = metering.trait_patches(spark, sf_dir).withColumn("received_at", F.timestamp_millis("seq"))
+    fold = lambda df: person_streams(df, {"email": "clear_email", "name": None})["persons"][0]
+    schema = fold(rows).schema
+
+    def run(stream: DataFrame, path: str) -> None:
+        run_updates(fold(stream), path)
+        compact(spark, schema, path, PERSON_KEY)
+
+    return latest(spark, schema, feed(spark, rows, "compaction", run, batches=4), PERSON_KEY)
+
+
 @query("SELECT CASE WHEN event = 'error' THEN 'error_tracking_v3' WHEN request_id % 11 = 0 THEN 'mods_events' ELSE 'web_events' END AS datasource, request_id, received_ms AS created_at FROM @fx_web@")
 def q_write_tables(spark, sf_dir):
     name = F.when(F.col("event") == "error", "error_tracking_v3").when(F.col("request_id") % 11 == 0, "mods_events").otherwise("web_events")

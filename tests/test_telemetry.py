@@ -1,5 +1,7 @@
 """Golden values, same-or-different group pairs, edge cases of rules, and batch = stream."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,8 +288,49 @@ def test_dedupe_chunks_fold(spark):
 def test_strict_collect(spark):
     from beaconry.sources.requests import parse_request
 
-    df = spark.createDataFrame([(1, '{"token":"t","data":{}}'), (2, '{"token":"t","odd":1}'), (3, "[1]"), (4, None)], "request_id long, body string")
-    assert [r.malformed for r in parse_request(df, "collect").orderBy("request_id").collect()] == [False, True, True, True]
+    bodies = ['{"server_id":"s","data":{}}', '{"server_id":"s","data":{},"odd":1}', "[1]", None, '{"token":"t","server_id":"s","data":{}}', "", "null", "{}"]
+    bodies += ['{"server_id":"s","data":{}}' + x for x in ("}", " 1", ",{}", "],[{}", "},{}", "] x")]
+    df = spark.createDataFrame(list(enumerate(bodies)), "request_id long, body string")
+    assert [r.malformed for r in parse_request(df, "collect").orderBy("request_id").collect()] == [False] + [True] * 13
+    good = [' {"server_id":"s","data":{"a":[{"b":1} ]}}\n', '{"server_id":"],[","data":{}}', '{"server_id":"}]","data":{}}']
+    df = spark.createDataFrame(list(enumerate(good)), "request_id long, body string")
+    assert [r.malformed for r in parse_request(df, "collect").collect()] == [False] * 3
+
+
+def test_compacted_logs(spark, tmp_path):
+    """A log reads the same before and after compactions, batches that are not whole or come twice included."""
+    from beaconry.streaming import jobs
+
+    schema = spark.createDataFrame([], "k long, v string, tags array<string>").schema
+    path, want = f"{tmp_path}/x", {}
+    assert jobs.latest(spark, schema, path, ["k"]).count() == 0 and jobs.compact(spark, schema, path, ["k"]) == -1
+
+    def put(n: int, rows: dict) -> None:
+        spark.createDataFrame([(k, v, [v or "-"]) for k, v in rows.items()], schema).write.mode("overwrite").parquet(f"{path}/log/batch={n}")
+        want.update(rows)
+
+    def same() -> bool:
+        return {r.k: (r.v, r.tags) for r in jobs.latest(spark, schema, path, ["k"]).collect()} == {k: (v, [v or "-"]) for k, v in want.items()}
+
+    rng, upto = random.Random(5), []
+    for n in range(7):
+        some = {k: rng.choice(["a", "b", None]) for k in rng.sample(range(12), 4)}
+        put(n, some)
+        assert same()
+        if n in (1, 2, 5):
+            begun = jobs.latest(spark, schema, path, ["k"])
+            upto.append(jobs.compact(spark, schema, path, ["k"]))
+            assert begun.count() == len(want) and same()
+            assert jobs.compact(spark, schema, path, ["k"]) == upto[-1] and same()
+    assert upto == [0, 1, 4] and sorted(p.name for p in (tmp_path / "x/base").iterdir()) == ["batch=1", "batch=4"]
+    assert sorted(p.name for p in (tmp_path / "x/log").iterdir()) == [f"batch={n}" for n in range(2, 7)]
+    put(6, some)  # the newest batch once more
+    # A batch whose writer failed and a base that is not whole do not count.
+    spark.createDataFrame([(0, "bad", None)], schema).write.parquet(f"{path}/log/batch=7")
+    (tmp_path / "x/log/batch=7/_SUCCESS").unlink()
+    spark.createDataFrame([(0, "bad", None, 9)], "k long, v string, tags array<string>, _batch long").write.parquet(f"{path}/base/batch=9")
+    (tmp_path / "x/base/batch=9/_SUCCESS").unlink()
+    assert same()
 
 
 def test_replay_faults(spark):
