@@ -6,6 +6,9 @@ passage comes back as a few runs. Windows that a task itself sees under a smalle
 that many documents share is sent once a chunk). A document's repeated windows come back as runs of word positions and
 are merged into maximal removal intervals over its words.
 
+A first pass counts the windows that cells of the anchors' hash space will get. A cell with more than a fair share (a run
+of words that much text has around it) is split by the windows' own hashes, so that no bucket follows one anchor.
+
 Edge cases: a null or empty text has no words; a text shorter than the window loses nothing; rows with a null id keep
 every word and never cause a removal; rows that share an id are judged separately and never remove each other's words.
 Equal hashes stand for equal windows (64 bits: about n * n / 2 ** 65 chance collisions over n windows).
@@ -14,18 +17,21 @@ Equal hashes stand for equal windows (64 bits: about n * n / 2 ** 65 chance coll
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.shared import SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, pack_longs, rolling, shuffle_buckets, unpack_ints, unpack_longs
+from beaconry.llm.shared import SPLIT_ON_SPACE, Words, chunks, mix64, pack_ints, pack_longs, rolling, shuffle_buckets, stage, unpack_ints, unpack_longs
 
 _SENT = "bucket int, ids binary, keys binary, hashes binary, rows binary, places binary"
 _FOUND = "id long, row_key long, runs binary"
 #: Words of the runs whose least hash places a window.
 _ANCHOR = 8
+#: Cells of the anchors' hash space a bucket.
+_CELLS = 64
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -44,7 +50,19 @@ def _runs(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row[new], place[new], np.diff(np.r_[new, len(row)])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
+@dataclass
+class _Open:
+    """The windows of a chunk: where they are, their cells and hashes, and which of them the chunk itself settles."""
+
+    words: Words
+    row: np.ndarray
+    place: np.ndarray
+    cell: np.ndarray
+    h: np.ndarray
+    settled: np.ndarray
+
+
+def _opened(batches: Iterator[pa.RecordBatch], size: int, cells: int) -> Iterator[tuple[pa.RecordBatch, _Open]]:
     anchor = min(_ANCHOR, size)
     for batch in batches:
         for part in chunks(batch, "text"):
@@ -56,30 +74,64 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iter
             at = np.flatnonzero((row[: len(h)] == row[size - 1 :]) & known[row[: len(h)]]) if len(h) else np.zeros(0, int)
             if not len(at):
                 continue
-            bucket = (mix64(_sliding_min(rolling(base, anchor), size - anchor + 1))[at] % np.uint64(buckets)).astype(np.int32)
+            cell = (mix64(_sliding_min(rolling(base, anchor), size - anchor + 1))[at] % np.uint64(cells)).astype(np.int64)
             h, row = h[at], row[at]
-            place = at - words.first[row]
             doc = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            key = part.column(1).to_numpy(zero_copy_only=False)
             by = np.argsort(h)
             begin = np.flatnonzero(np.r_[True, h[by[1:]] != h[by[:-1]]])
             least = np.repeat(np.minimum.reduceat(doc[row[by]], begin), np.diff(np.r_[begin, len(h)]))
             settled = np.zeros(len(h), bool)
             settled[by] = doc[row[by]] > least
-            out: list[tuple] = []
-            send = np.flatnonzero(~settled)
-            send = send[np.argsort(bucket[send], kind="stable")]
-            edges = np.flatnonzero(np.r_[True, bucket[send[1:]] != bucket[send[:-1]], True]) if len(send) else [0]
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                take = send[x:y]
-                r, first, n = _runs(row[take], place[take])
-                used, local = np.unique(r, return_inverse=True)
-                out.append((int(bucket[take[0]]), pack_longs(doc[used]), pack_longs(key[used]), h[take].tobytes(), pack_ints(local), pack_ints(np.stack([first, n]).ravel())))
-            if settled.any():
-                r, first, n = _runs(row[settled], place[settled])
-                used, local = np.unique(r, return_inverse=True)
-                out.append((int(bucket[settled][0]), pack_longs(doc[used]), pack_longs(key[used]), b"", pack_ints(local), pack_ints(np.stack([first, n]).ravel())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], names=["bucket", "ids", "keys", "hashes", "rows", "places"])
+            yield part, _Open(words, row, at - words.first[row], cell, h, settled)
+
+
+def _loads(batches: Iterator[pa.RecordBatch], size: int, cells: int) -> Iterator[pa.RecordBatch]:
+    for _, o in _opened(batches, size, cells):
+        cell, n = np.unique(o.cell[~o.settled], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+
+class _Buckets:
+    """Buckets of windows: cells modulo the number of buckets; cells with more windows than a limit have buckets of their own."""
+
+    def __init__(self, buckets: int, hot: list[tuple[int, int]], limit: int) -> None:
+        hot = sorted(hot)
+        self.buckets = buckets
+        self.cells = np.array([c for c, _ in hot], np.int64)
+        self.parts = np.array([-(-n // limit) for _, n in hot], np.int64)
+        self.first = buckets + np.cumsum(self.parts) - self.parts
+
+    def of(self, cell: np.ndarray, h: np.ndarray) -> np.ndarray:
+        out = cell % self.buckets
+        if len(self.cells):
+            at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+            hot = self.cells[at] == cell
+            at = at[hot]
+            out[hot] = self.first[at] + (mix64(h[hot]) % self.parts[at].astype(np.uint64)).astype(np.int64)
+        return out.astype(np.int32)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], size: int, cells: int, buckets: _Buckets) -> Iterator[pa.RecordBatch]:
+    for part, o in _opened(batches, size, cells):
+        doc = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+        key = part.column(1).to_numpy(zero_copy_only=False)
+        bucket = buckets.of(o.cell, o.h)
+        out: list[tuple] = []
+        send = np.flatnonzero(~o.settled)
+        send = send[np.argsort(bucket[send], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, bucket[send[1:]] != bucket[send[:-1]], True]) if len(send) else [0]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            take = send[x:y]
+            r, first, n = _runs(o.row[take], o.place[take])
+            used, local = np.unique(r, return_inverse=True)
+            out.append((int(bucket[take[0]]), pack_longs(doc[used]), pack_longs(key[used]), o.h[take].tobytes(), pack_ints(local), pack_ints(np.stack([first, n]).ravel())))
+        if o.settled.any():
+            r, first, n = _runs(o.row[o.settled], o.place[o.settled])
+            used, local = np.unique(r, return_inverse=True)
+            # They only have to reach their documents: any bucket will do.
+            some = int(key[used[0]] % buckets.buckets)
+            out.append((some, pack_longs(doc[used]), pack_longs(key[used]), b"", pack_ints(local), pack_ints(np.stack([first, n]).ravel())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], names=["bucket", "ids", "keys", "hashes", "rows", "places"])
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -140,6 +192,14 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
             )
 
 
+def _bucketed(texts: DataFrame, window: int, buckets: int, cells: int) -> _Buckets:
+    """Which cells have more than two buckets' mean share of the windows; these are less than half as many as buckets."""
+    loads = stage(texts.mapInArrow(lambda it: _loads(it, window, cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "repeat_loads")
+    total = loads.agg(F.sum("n").alias("n")).first().n or 0
+    limit = -(-2 * total // buckets) or 1
+    return _Buckets(buckets, [(r.cell, r.n) for r in loads.where(F.col("n") > limit).collect()], limit)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """(id, n_words, n_removed, removed_spans, kept): words covered by a window that also starts under a smaller id are removed.
 
@@ -147,8 +207,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes joined by one space. One row per input row.
     """
     buckets = shuffle_buckets(docs.sparkSession, 2)
+    cells = buckets * _CELLS
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("row_key"), "text")
-    sent = texts.mapInArrow(lambda it: _windows(it, window, buckets), _SENT)
+    split = _bucketed(texts, window, buckets, cells)
+    sent = texts.mapInArrow(lambda it: _windows(it, window, cells, split), _SENT)
     found = sent.groupBy("bucket").applyInArrow(_repeated, _FOUND).groupBy("id", "row_key").agg(F.collect_list("runs").alias("runs"))
     joined = texts.join(found, ["id", "row_key"], "left").select("id", "text", "runs")
     return joined.mapInArrow(lambda it: _cut(it, window), "id long, n_words long, n_removed long, removed_spans array<long>, kept binary")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,30 @@ def test_repeats(docs):
     assert got[None, 82].n_removed == 0
 
 
+def test_repeats_around_one_run(spark):
+    """A run of words that most windows hold: its windows go to many buckets, equal ones to the same; results as by brute force."""
+    rng = random.Random(9)
+    runs = [f"these eight words stand in every text {i}" for i in range(500)]
+    least = repeats.rolling(repeats.Words(pa.array(runs), repeats.SPLIT_ON_SPACE, lower=False).hashes(), 8)[::8].argmin()
+    run, texts = runs[least], []
+    for i in range(300):
+        a, b = (" ".join(str(rng.randrange(10**6)) for _ in range(8)) for _ in "ab")
+        texts.append(f"{a} {run} {b}" if i % 3 else f"{texts[-1] if texts else a} {run} {b}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    size, starts, want = 12, {}, {}
+    for i, t in enumerate(texts):
+        w, gone = t.split(), set()
+        for j in range(len(w) - size + 1):
+            if starts.setdefault(tuple(w[j : j + size]), i) < i:
+                gone |= set(range(j, j + size))
+        want[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    assert any(n for _, n, _ in want.values())
+    assert {r.id: (r.n_words, r.n_removed, bytes(r.kept).decode()) for r in repeats.remove_repeats(docs, window=size).collect()} == want
+    keyed = docs.selectExpr("doc_id AS id", "xxhash64(text) AS row_key", "text")
+    split = repeats._bucketed(keyed, size, 64, 64 * 64)
+    assert len(split.cells) and split.parts.max() > 2 and split.parts.sum() <= 64
+
+
 def test_repeats_empty(docs):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
