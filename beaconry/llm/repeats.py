@@ -32,6 +32,8 @@ _FOUND = "id long, row_key long, runs binary"
 _ANCHOR = 8
 #: Cells of the anchors' hash space a bucket.
 _CELLS = 64
+#: Windows of a cell that a task with more than eight times as many does not report.
+_FEW = 128
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -85,10 +87,14 @@ def _opened(batches: Iterator[pa.RecordBatch], size: int, cells: int) -> Iterato
             yield part, _Open(words, row, at - words.first[row], cell, h, settled)
 
 
-def _loads(batches: Iterator[pa.RecordBatch], size: int, cells: int) -> Iterator[pa.RecordBatch]:
+def _loads(batches: Iterator[pa.RecordBatch], size: int, cells: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Windows of a task (cell -1), and those of the cells that have more than a bucket's mean share of them."""
+    held = np.zeros(cells, np.int64)
     for _, o in _opened(batches, size, cells):
-        cell, n = np.unique(o.cell[~o.settled], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+        held += np.bincount(o.cell[~o.settled], minlength=cells)
+    total = int(held.sum())
+    cell = np.flatnonzero(held > max(total // buckets, min(_FEW, total // 8)))
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, cell], pa.int64()), pa.array(np.r_[total, held[cell]], pa.int64())], names=["cell", "n"])
 
 
 class _Buckets:
@@ -193,11 +199,15 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
 
 
 def _bucketed(texts: DataFrame, window: int, buckets: int, cells: int) -> _Buckets:
-    """Which cells have more than two buckets' mean share of the windows; these are less than half as many as buckets."""
-    loads = stage(texts.mapInArrow(lambda it: _loads(it, window, cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "repeat_loads")
-    total = loads.agg(F.sum("n").alias("n")).first().n or 0
+    """Which cells are split: those that tasks saw with more than two buckets' mean share of all windows.
+
+    Tasks leave out what is below a mean share of their own windows, or few windows, so that they send little; a cell with three
+    shares is seen with two. Cells with so much are less than half as many as buckets, and all that the driver gets.
+    """
+    loads = stage(texts.mapInArrow(lambda it: _loads(it, window, cells, buckets), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "repeat_loads")
+    total = loads.where("cell < 0").agg(F.sum("n").alias("n")).first().n or 0
     limit = -(-2 * total // buckets) or 1
-    return _Buckets(buckets, [(r.cell, r.n) for r in loads.where(F.col("n") > limit).collect()], limit)
+    return _Buckets(buckets, [(r.cell, r.n) for r in loads.where((F.col("cell") >= 0) & (F.col("n") > limit)).collect()], limit)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
