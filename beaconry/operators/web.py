@@ -56,6 +56,28 @@ def sorted_json(m: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
 
 
+def build_web_event(rows: DataFrame, keep: list | None = None) -> DataFrame:
+    """The rows of web events, after the columns in keep.
+
+    rows have `data` (the request's other members) and `properties`, maps of JSON texts; user_id, person_id, external_id,
+    is_identified, session_id, country, cookieless and received_ms; and what the user agent says: agent_browser,
+    agent_browser_version, agent_device, agent_os, agent_os_version. Known fields come out of data, never out of
+    properties; what is left of data goes over the properties. What the agent says goes over data, unless it is empty.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    known, rest = extract_known(F.coalesce("data", empty), WEB_FIELDS)
+    rows = rows.withColumns({"_known": known, "_properties": merge_maps(F.coalesce("properties", empty), rest)})
+    field = lambda n: F.col("_known")[n].alias(n)
+    agent = lambda n: F.coalesce(F.when(F.col(f"agent_{n}") != "", F.col(f"agent_{n}")), field(n)).alias(n)
+    duration = lambda n: fn.whole_number(json_number(F.col("_properties")[n])).alias(n)
+    return rows.select(
+        *(keep or []), "project_id", "user_id", "person_id", "external_id", F.coalesce("is_identified", F.lit(False)).alias("is_identified"), "session_id", field("event"),
+        *[agent(n) for n in ("browser", "browser_version", "device", "os", "os_version")],
+        *[field(n) for n in ("referrer", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "title", "page", "url")],
+        "country", "cookieless", duration("time_on_page"), duration("session_duration"), sorted_json(F.col("_properties")).alias("properties"), F.timestamp_millis("received_ms").alias("created_at"),
+    )
+
+
 def visitor_id(cookieless: Column, ident: Column, ip: Column, user_agent: Column, project: Column, ms: Column) -> tuple[Column, Column]:
     """(visitor id or null for a rejected request, whether it is cookieless)."""
     daily, own = fn.cookieless_id(ip, user_agent, project, ms), fn.hash_id(ident, project)

@@ -290,8 +290,6 @@ def q_debounce_stats(spark, sf_dir):
 
 
 _DATA = """'{"event":"' || event || '","page":' || CASE WHEN request_id % 4 = 0 THEN '7' ELSE '"p' || cast(request_id % 9 AS string) || '"' END || ',"utm_source":"u' || cast(request_id % 3 AS string) || '","time_on_page":' || CASE request_id % 4 WHEN 0 THEN cast(cents AS string) WHEN 1 THEN cast(cents AS string) || '.5' WHEN 2 THEN '-1' ELSE cast(cents AS string) || '.0' END || ',"cores":' || CASE request_id % 3 WHEN 0 THEN '70000' WHEN 1 THEN '8.0' ELSE '"8"' END || ',"k":"data"}'"""
-# Numbers keep their value, not their spelling: 8.0 is written 8.
-_EXTRA_SQL = """'{"cores":' || CASE request_id % 3 WHEN 0 THEN '70000' WHEN 1 THEN '8' ELSE '"8"' END || ',"k":"data","time_on_page":' || CASE request_id % 4 WHEN 1 THEN cast(cents AS string) || '.5' WHEN 2 THEN '-1' ELSE cast(cents AS string) END || '}'"""
 
 
 @query("SELECT request_id, event, CASE WHEN request_id % 4 <> 0 THEN 'p' || cast(request_id % 9 AS string) END AS page, 'u' || cast(request_id % 3 AS string) AS utm_source, 3 AS n_rest FROM @fx_web@")
@@ -386,6 +384,12 @@ def q_bot_filter(spark, sf_dir):
     return df.where("NOT bot OR event = 'error'").select("request_id", F.col("bot").alias("dropped"))
 
 
+# Data with all kinds of known fields, among them ones of other types, and properties with a name that is known in data.
+_EVENT_DATA = f"""replace({_DATA}, ',"cores"', ',"url":"' || url || '","title":"t' || cast(request_id % 5 AS string) || '","referrer":"","utm_medium":5,"utm_term":"x","utm_content":null,"browser":"Own","os":"Own","os_version":"0","session_duration":' || cast(request_id AS string) || ',"cores"')"""
+_EVENT_PROPERTIES = """CASE WHEN request_id % 7 = 0 THEN NULL ELSE '{"k":1,"title":"kept","utm_source":"kept","session_duration":-1}' END"""
+_COUNTRY = "CASE WHEN request_id % 3 = 0 THEN 'DE' END"
+
+
 def web_events(spark, sf_dir) -> DataFrame:
     """Admitted, debounced web requests as rows: requests, context, admission, visitor, agents, debounce, person."""
     kept = admitted(spark, sf_dir).where("reject_reason IS NULL AND route = 'web'")
@@ -394,23 +398,31 @@ def web_events(spark, sf_dir) -> DataFrame:
     kept = kept.withColumn("visitor", visitor).withColumn("cookieless", cookieless).where("visitor IS NOT NULL").withColumn("has_errors", F.col("keep_errors") & (F.col("event") == "error"))
     rows = dedupe.debounce(kept).where("kept").withColumn("distinct_id", F.col("visitor"))
     rows = web.resolve_person(rows, *identity_tables(with_visitors(spark, sf_dir)))
-    data = web.merge_maps(web.json_map(F.col("properties")), web.json_map(F.expr(_DATA)))
-    known, rest = web.extract_known(data, web.WEB_FIELDS)
-    rows = rows.withColumn("known", known).withColumn("rest", rest)
-    return rows.select(
-        "request_id", "token", "owner_id", "organization_id", "project_id", F.col("distinct_id").alias("user_id"), "person_id", "external_id", "is_identified", "session_id", F.col("known")["event"].alias("event"), "browser", "browser_version", "device", "os", "os_version",
-        F.col("known")["utm_source"].alias("utm_source"), F.col("known")["page"].alias("page"), "url", "cookieless", fn.whole_number(web.json_number(F.col("rest")["time_on_page"])).alias("time_on_page"), web.sorted_json(F.col("rest")).alias("properties"), F.timestamp_millis("received_ms").alias("created_at"),
-    )
+    rows = rows.withColumns({"data": web.json_map(F.expr(_EVENT_DATA)), "properties": web.json_map(F.expr(_EVENT_PROPERTIES)), "country": F.expr(_COUNTRY), "user_id": F.col("distinct_id")})
+    rows = rows.withColumnsRenamed({n: f"agent_{n}" for n in ("browser", "browser_version", "device", "os", "os_version")})
+    return web.build_web_event(rows, keep=["request_id", "token", "owner_id", "organization_id"])
 
 
 _EVENTS_SQL = f"""{_VISITOR_SQL.strip().replace("FROM @fx_web@ w JOIN @fx_projects@ p ON p.token = w.token", f"FROM (SELECT w.*, {_ROUTE} AS route, {_HOST_SQL} AS host FROM @fx_web@ w) w JOIN @fx_projects@ p ON p.token = w.token WHERE route = 'web' AND {_ALLOWED_SQL} AND {_IP_SQL} IS NULL AND ua_idx <> 6")},
-{_DEBOUNCE_SQL.strip()}, allv AS (SELECT w.token, w.request_id FROM @fx_web@ w)"""
+{_DEBOUNCE_SQL.strip()}"""
+
+
+# Numbers keep their value, not their spelling: 8.0 is written 8.
+_PROPERTIES_SQL = """'{"cores":' || CASE request_id % 3 WHEN 0 THEN '70000' WHEN 1 THEN '8' ELSE '"8"' END || ',"k":"data","session_duration":' || cast(request_id AS string) || ',"time_on_page":' || CASE request_id % 4 WHEN 1 THEN cast(cents AS string) || '.5' WHEN 2 THEN '-1' ELSE cast(cents AS string) END || CASE WHEN request_id % 7 = 0 THEN '' ELSE ',"title":"kept","utm_source":"kept"' END || '}'"""
+
+
+# Persons come from all visitors, not only from those of the admitted events.
+_ALL_PERSONS_SQL = _VISITOR_SQL.strip().replace("v AS (SELECT w.*", "av AS (SELECT w.*").replace("u AS (SELECT *", "au AS (SELECT *").replace("FROM v)", "FROM av)").replace("vis AS (", "avis AS (").replace("FROM u)", "FROM au)") + ", " + _PERSON_SQL.replace("FROM vis", "FROM avis")
 
 
-@query(f"""WITH RECURSIVE {_EVENTS_SQL} SELECT vis.request_id, project_id, vis.visitor AS user_id, event, ua.browser, ua.os, ua.device, cookieless, CASE WHEN vis.request_id % 4 <> 0 THEN 'p' || cast(vis.request_id % 9 AS string) END AS page, CASE WHEN vis.request_id % 4 IN (0, 3) THEN cents END AS time_on_page, {_EXTRA_SQL.replace('request_id', 'vis.request_id')} AS properties
- FROM vis JOIN {_UA_EXPECTED} ON i = ua_idx LEFT JOIN f ON f.request_id = vis.request_id WHERE vis.visitor IS NOT NULL AND coalesce(kept, true)""")
+@query(f"""WITH RECURSIVE {_EVENTS_SQL}, {_ALL_PERSONS_SQL},
+ ev AS (SELECT vis.*, ua.browser, ua.browser_version, ua.os, ua.os_version, ua.device FROM vis JOIN {_UA_EXPECTED} ON i = ua_idx LEFT JOIN f ON f.request_id = vis.request_id WHERE vis.visitor IS NOT NULL AND coalesce(kept, true))
+ SELECT request_id, token, owner_id, organization_id, ev.project_id, visitor AS user_id, coalesce(pe.person, visitor) AS person_id, external_id, external_id IS NOT NULL AS is_identified, session_id, event, browser, browser_version, device, coalesce(nullif(os, ''), 'Own') AS os, coalesce(nullif(os_version, ''), '0') AS os_version,
+ '' AS referrer, 'u' || cast(request_id % 3 AS string) AS utm_source, cast(NULL AS string) AS utm_medium, cast(NULL AS string) AS utm_campaign, 'x' AS utm_term, cast(NULL AS string) AS utm_content, 't' || cast(request_id % 5 AS string) AS title,
+ CASE WHEN request_id % 4 <> 0 THEN 'p' || cast(request_id % 9 AS string) END AS page, url, {_COUNTRY} AS country, cookieless, CASE WHEN request_id % 4 IN (0, 3) THEN cents END AS time_on_page, request_id AS session_duration, {_PROPERTIES_SQL} AS properties, received_ms
+ FROM ev LEFT JOIN al ON al.project_id = ev.project_id AND al.distinct_id = visitor LEFT JOIN pe ON pe.project_id = al.project_id AND pe.person = al.person""")
 def q_web_events(spark, sf_dir):
-    return web_events(spark, sf_dir).select("request_id", "project_id", "user_id", "event", "browser", "os", "device", "cookieless", "page", "time_on_page", "properties")
+    return web_events(spark, sf_dir).withColumn("received_ms", F.unix_millis("created_at")).drop("created_at")
 
 
 @query("SELECT request_id, CASE WHEN request_id % 5 = 0 THEN '/' ELSE '/p/' || cast(cents % 3 AS string) END AS route FROM @fx_web@")

@@ -555,3 +555,18 @@ def test_changes_of_nothing(spark):
     folded = replay.fold_changes(replay.settle_changes(replay.change_rows(one, none, none, ["browser"]), ["browser"], []), ["browser"])
     row = replay.with_changes(held, folded).first().asDict()
     assert row == {"project_id": "p", "session_id": "s", "window_id": None, "event_count": 3, "browser": "b", "filter_events": 0, "is_complete": True, "finalized_ms": 5}
+
+
+def test_web_event_rows(spark):
+    """Known fields come out of data only; agents go over data unless they say nothing; missing maps are empty."""
+    from beaconry.operators import web
+
+    shape = "request_id long, data map<string,string>, properties map<string,string>, project_id string, user_id string, person_id string, external_id string, is_identified boolean, session_id string, country string, cookieless boolean, received_ms long, agent_browser string, agent_browser_version string, agent_device string, agent_os string, agent_os_version string"
+    rows = [
+        (1, {"event": '"view"', "browser": '"Own"', "device": '"Own"', "page": "7", "session_duration": "2.0", "odd": "1"}, {"event": '"kept"', "odd": "0", "time_on_page": "1.5"}, "p", "u", None, None, None, "s", "DE", True, 5, "Firefox", "", "", None, "1"),
+        (2, None, None, "p", "u", "q", "x", True, None, None, None, None, None, None, None, None, None),
+    ]
+    a, b = web.build_web_event(spark.createDataFrame(rows, shape), keep=["request_id"]).orderBy("request_id").collect()
+    assert (a.event, a.browser, a.browser_version, a.device, a.os, a.os_version, a.page, a.session_duration, a.time_on_page) == ("view", "Firefox", None, "Own", None, "1", None, 2, None)
+    assert a.properties == '{"event":"kept","odd":1,"session_duration":2.0,"time_on_page":1.5}' and a.is_identified is False
+    assert (b.event, b.browser, b.properties, b.is_identified, b.created_at) == (None, None, "{}", True, None)
