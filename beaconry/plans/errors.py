@@ -249,10 +249,10 @@ def _each_build(keys):
 
 
 def mapping_lines(spark, sf_dir):
-    """Mapping text of each build: one class a nation key below ten; the second method of each holds for later lines."""
+    """Mapping text of each build: one class a nation key below ten; the second method of each holds for all later lines there are."""
     keys = _each_build(load(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k")))
     real = F.when(F.col("alt"), "alt").otherwise("real")
-    text = F.concat(real, F.lit(".Cart -> com.shop.Cart"), "k", F.lit(':\n# {"fileName":"RealCart.java","id":"sourceFile"}\n    int count -> a\n    1:5000:void early(int):7:9 -> total\n    5001:99999:void late() -> total\n'), real, F.lit(".Disk -> com.shop.Disk"), "k", F.lit(":\n    void read() -> read\n"), real, F.lit(".Oops -> java.io.IOException:"))
+    text = F.concat(real, F.lit(".Cart -> com.shop.Cart"), "k", F.lit(':\n# {"fileName":"RealCart.java","id":"sourceFile"}\n    int count -> a\n    1:5000:void early(int):7:9 -> total\n    5001:4294967295:void late() -> total\n'), real, F.lit(".Disk -> com.shop.Disk"), "k", F.lit(":\n    void read() -> read\n"), real, F.lit(".Oops -> java.io.IOException:"))
     return keys.select("project_id", "build", F.posexplode(F.split(text, "\n")).alias("i", "text"), "k").select("project_id", "build", (F.col("k") * 100 + F.col("i")).alias("line_no"), "text")
 
 
