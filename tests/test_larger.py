@@ -29,7 +29,7 @@ def against_sql(spark, folder, name):
     assert got and sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("name", ["q_retrace"])
+@pytest.mark.parametrize("name", ["q_retrace", "q_enriched_errors"])
 def test_mappings_of_late_lines(spark, later, name):
     """The mapping's second method holds for every later line, as the SQL has it."""
     against_sql(spark, later, name)
