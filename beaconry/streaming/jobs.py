@@ -12,7 +12,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -65,24 +65,50 @@ def debounce_stream(events: DataFrame, window_ms: int = 5000) -> DataFrame:
     return kept.unionByName(marked.where(~counts).select("visitor", "request_id", "received_ms"))
 
 
+#: Buckets of keys: what a fold in Python costs a group is more than what it costs a row, so a group is the keys of one
+#: bucket, with their states by key. Fixed for the life of a checkpoint; more keys than a few million want more of them.
+BUCKETS = 4096
+
+
+def by_bucket(rows: DataFrame, keys: list[str]) -> GroupedData:
+    return rows.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(BUCKETS))).groupBy("bucket")
+
+
+def _records(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """The rows of a group as tuples, missing values as None."""
+    plain = lambda c: (c.astype(object).where(c.notna(), None) if c.hasnans else c).tolist()
+    return [r for b in batches for r in zip(*[plain(b[n]) for n in columns], strict=True)]
+
+
+def _held(state: GroupState) -> dict[tuple, list]:
+    """A bucket's states by key."""
+    return {tuple(k): v for k, v in json.loads(state.get[0])} if state.exists else {}
+
+
 def dedupe_chunks_stream(chunks: DataFrame) -> DataFrame:
     """The kept chunks of a stream of replay chunks, by the batch fold's rules: (key, chunk, received_ms).
 
-    Keyed state is the set of the stream's batch ids and the ranges of sequences that are covered. It stays: a chunk may be
+    State is the set of each stream's batch ids and the ranges of sequences that are covered. It stays: a chunk may be
     sent again at any time.
     """
+    keys = len(dedupe.CHUNK_KEY)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = dedupe.ChunkSet(*json.loads(state.get[0])) if state.exists else dedupe.ChunkSet()
-        rows = pd.concat(list(batches)).sort_values(["received_ms", "chunk"])
-        some = lambda x: None if pd.isna(x) else x
-        whole = lambda x: None if pd.isna(x) else int(x)
-        kept = [seen.offer(some(b), whole(s), whole(lo), whole(hi)) for b, s, lo, hi in zip(rows["batch_id"], rows["sequence"], rows["first_sequence"], rows["last_sequence"], strict=True)]
-        state.update((json.dumps([sorted(seen.batches), seen.starts, seen.ends]),))
-        yield rows[kept][[*dedupe.CHUNK_KEY, "chunk", "received_ms"]]
+        held, seen, kept = _held(state), {}, []
+        rows = _records(batches, [*dedupe.CHUNK_KEY, "chunk", "received_ms", "batch_id", "sequence", "first_sequence", "last_sequence"])
+        whole = lambda x: None if x is None else int(x)
+        for r in sorted(rows, key=lambda r: (r[keys + 1] is None, r[keys + 1] or 0, r[keys])):
+            own = r[:keys]
+            if own not in seen:
+                seen[own] = dedupe.ChunkSet(*held.get(own, ()))
+            if seen[own].offer(r[-4], *map(whole, r[-3:])):
+                kept.append(r[: keys + 2])
+        held |= {k: [sorted(x.batches), x.starts, x.ends] for k, x in seen.items()}
+        state.update((json.dumps(list(held.items())),))
+        yield pd.DataFrame(kept, columns=[*dedupe.CHUNK_KEY, "chunk", "received_ms"])
 
     out = ", ".join(f"{k} string" for k in dedupe.CHUNK_KEY) + ", chunk long, received_ms long"
-    return chunks.groupBy(*dedupe.CHUNK_KEY).applyInPandasWithState(fold, out, "seen string", "append", GroupStateTimeout.NoTimeout)
+    return by_bucket(chunks, dedupe.CHUNK_KEY).applyInPandasWithState(fold, out, "seen string", "append", GroupStateTimeout.NoTimeout)
 
 
 def first_billing_stream(chunks: DataFrame) -> DataFrame:

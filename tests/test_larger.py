@@ -80,3 +80,17 @@ def test_chunk_objects_are_named_again(spark, tmp_path):
     (tmp_path / "g/a.json.zst").unlink()
     with pytest.raises(OSError):
         list(objects._name(batch(), str(tmp_path)))
+
+
+@pytest.mark.parametrize("name", ["q_stream_dedupe_chunks"])
+def test_stream_folds_by_bucket(spark, later, name, monkeypatch):
+    """Keys share calls of Python, and results are the SQL's with one bucket for all keys as well as with many."""
+    from beaconry.streaming import jobs
+
+    called = []
+    true = jobs.by_bucket
+    monkeypatch.setattr(jobs, "by_bucket", lambda rows, keys: called.append(keys) or true(rows, keys))
+    for n in (1, 64):
+        monkeypatch.setattr(jobs, "BUCKETS", n)
+        against_sql(spark, later, name)
+    assert called
