@@ -126,42 +126,47 @@ def first_billing_stream(chunks: DataFrame) -> DataFrame:
 def settle_changes_stream(rows: DataFrame, fields: list[str], filled: list[str]) -> DataFrame:
     """The changes of sessions of a stream, by the rules of `replay.settle_changes`, in whatever order its rows come.
 
-    A window's rows wait in keyed state until the watermark has passed them, so that no earlier one can still come; then they
+    A window's rows wait in state until the watermark has passed them, so that no earlier one can still come; then they
     are settled in order of time. State keeps the waiting rows, the filter event before them and the time of the first chunk;
     the last two stay, as a window may go on at any time. Rows that come after the watermark are dropped.
     """
     places = [fields.index(x) for x in filled]
+    keys = len(replay.WINDOW_KEY)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        latest, first, waiting = json.loads(state.get[0]) if state.exists else (None, None, [])
-        if not state.hasTimedOut:
-            for b in batches:
-                b = b[["at", "side", "tie", "is_final", *fields]].astype(object)
-                waiting += b.where(b.notna(), None).to_numpy().tolist()
-            waiting.sort(key=lambda r: r[:3])
+        held, out, soonest = _held(state), [], None
         mark = state.getCurrentWatermarkMs()
-        n = bisect_left(waiting, mark, key=lambda r: r[0])
-        done, waiting = waiting[:n], waiting[n:]
-        first = min([r[0] for r in done if r[1] == replay.STORED], default=first) if first is None else first
-        out = []
-        for r in done:
-            at, side, own = r[0], r[1], r[4:]
-            if side == replay.FILTER:
-                latest = own
-            elif side == replay.STORED and latest:
-                for k in places:
-                    own[k] = latest[k] if own[k] is None else own[k]
-            if first is not None and at >= first:
-                out.append([*key, *r[:4], *own])
-        state.update((json.dumps([latest, first, waiting]),))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0], mark) + 1)
+        if not state.hasTimedOut:
+            for r in _records(batches, [*replay.WINDOW_KEY, "at", "side", "tie", "is_final", *fields]):
+                held.setdefault(r[:keys], [None, None, []])[2].append(r[keys:])
+        for own, (latest, first, waiting) in held.items():
+            if not waiting:
+                continue
+            waiting.sort(key=lambda r: tuple(r[:3]))
+            n = bisect_left(waiting, mark, key=lambda r: r[0])
+            done, waiting = waiting[:n], waiting[n:]
+            first = min([r[0] for r in done if r[1] == replay.STORED], default=first) if first is None else first
+            for r in done:
+                at, side, values = r[0], r[1], list(r[4:])
+                if side == replay.FILTER:
+                    latest = values
+                elif side == replay.STORED and latest:
+                    for k in places:
+                        values[k] = latest[k] if values[k] is None else values[k]
+                if first is not None and at >= first:
+                    out.append([*own, *r[:4], *values])
+            held[own] = [latest, first, waiting]
+            if waiting:
+                soonest = waiting[0][0] if soonest is None else min(soonest, waiting[0][0])
+        state.update((json.dumps(list(held.items())),))
+        if soonest is not None:
+            state.setTimeoutTimestamp(max(soonest, mark) + 1)
         yield pd.DataFrame(out, columns=[*replay.WINDOW_KEY, "at", "side", "tie", "is_final", *fields])
 
     texts = lambda names: ", ".join(f"{x} string" for x in names)
     out = f"{texts(replay.WINDOW_KEY)}, at long, side int, tie long, is_final boolean, {texts(fields)}"
     marked = rows.withColumn("received_at", F.timestamp_millis("at")).withWatermark("received_at", WATERMARK)
-    return marked.groupBy(*replay.WINDOW_KEY).applyInPandasWithState(fold, out, "seen string", "append", GroupStateTimeout.EventTimeTimeout)
+    return by_bucket(marked, replay.WINDOW_KEY).applyInPandasWithState(fold, out, "seen string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_changes(rows: DataFrame, path: str, fields: list[str], filled: list[str]) -> None:
