@@ -112,15 +112,17 @@ def dedupe_chunks_stream(chunks: DataFrame) -> DataFrame:
 
 
 def first_billing_stream(chunks: DataFrame) -> DataFrame:
-    """Each session's first stored chunk of a stream, once: the mark that a session was billed is keyed state that stays."""
+    """Each session's first stored chunk of a stream, once: the mark that a session was billed is state that stays."""
+    session = ["project_id", "session_id"]
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["received_at", "chunk"])
-        if not state.exists:
-            state.update((True,))
-            yield rows.head(1)[["project_id", "session_id", "chunk", "received_at"]]
+        billed = {tuple(k) for k in json.loads(state.get[0])} if state.exists else set()
+        rows = pd.concat(list(batches)).sort_values(["received_at", "chunk"]).drop_duplicates(session)
+        own = _records([rows], session)
+        state.update((json.dumps(list(billed.union(own))),))
+        yield rows[[k not in billed for k in own]][[*session, "chunk", "received_at"]]
 
-    return chunks.groupBy("project_id", "session_id").applyInPandasWithState(fold, "project_id string, session_id string, chunk long, received_at timestamp", "billed boolean", "append", GroupStateTimeout.NoTimeout)
+    return by_bucket(chunks, session).applyInPandasWithState(fold, "project_id string, session_id string, chunk long, received_at timestamp", "billed string", "append", GroupStateTimeout.NoTimeout)
 
 
 def settle_changes_stream(rows: DataFrame, fields: list[str], filled: list[str]) -> DataFrame:

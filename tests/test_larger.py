@@ -82,7 +82,7 @@ def test_chunk_objects_are_named_again(spark, tmp_path):
         list(objects._name(batch(), str(tmp_path)))
 
 
-@pytest.mark.parametrize("name", ["q_stream_dedupe_chunks", "q_stream_session_changes"])
+@pytest.mark.parametrize("name", ["q_stream_dedupe_chunks", "q_stream_first_billing", "q_stream_session_changes"])
 def test_stream_folds_by_bucket(spark, later, name, monkeypatch):
     """Keys share calls of Python, and results are the SQL's with one bucket for all keys as well as with many."""
     from beaconry.streaming import jobs
