@@ -94,3 +94,14 @@ def test_stream_folds_by_bucket(spark, later, name, monkeypatch):
         monkeypatch.setattr(jobs, "BUCKETS", n)
         against_sql(spark, later, name)
     assert called
+
+
+def test_rounds_read_dead_letters(spark, later, monkeypatch):
+    """Rounds over dead letters read their table; requests are parsed once, when it is written."""
+    from beaconry.sources import requests
+
+    plans = []
+    true = requests.replay_dead_letters
+    monkeypatch.setattr(requests, "replay_dead_letters", lambda held, now, *a, **k: plans.append(held._jdf.queryExecution().optimizedPlan().toString() + now._jdf.queryExecution().optimizedPlan().toString()) or true(held, now, *a, **k))
+    against_sql(spark, later, "q_dead_letter_rounds")
+    assert len(plans) == 4 and not any("json" in p or "fx_" in p or "Aggregate" in p for p in plans)
