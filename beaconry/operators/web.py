@@ -12,22 +12,26 @@ WEB_FIELDS = ["event", "browser", "browser_version", "device", "os", "os_version
 SERVER_FIELDS = ["player_count", "online_mode", "client", "plugin_version", "minecraft_version", "game_version", "server_type", "platform_version", "java_version", "java_vendor", "os_name", "os_arch", "os_version", "core_count"]
 
 
+def member_texts(v: Column) -> Column:
+    """The members of a variant that holds an object as a map of JSON texts; null if it is no object."""
+    return F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: F.to_json(x))
+
+
 def json_map(text: Column) -> Column:
     """A JSON object's members as a map whose values stay JSON text; null if it is none."""
-    v = F.try_parse_json(text)
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
-    return F.when(is_object, F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: F.to_json(x)))
+    return member_texts(F.try_parse_json(text))
 
 
 def whole_json_map(text: Column) -> Column:
     """json_map of a text that holds one object and nothing but space around it; null if more follows.
 
     The parser stops where a value ends, so the text is read as the only item of an array, and one that may end that array
-    early as an object's only member too.
+    early as an object's only member too. The map is made of that item, so most texts are parsed once.
     """
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     ends_early = text.rlike(r"\}\s*\]") & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNull()
-    return F.when((F.size(items) == 1) & ~ends_early, json_map(text))
+    # A transform of one element, so that the items are parsed once for all that is asked of them.
+    return F.transform(F.array(items), lambda x: F.when((F.size(x) == 1) & ~ends_early, member_texts(F.get(x, F.lit(0)))))[0]
 
 
 def json_string(value: Column) -> Column:

@@ -58,23 +58,21 @@ def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataF
 
 
 def _items(text: Column, good: Callable[[Column], Column]) -> Column:
-    """Whether text is a JSON array of items that are all good."""
+    """Whether text is a JSON array of items (variants) that are all good."""
     items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
-    return text.startswith("[") & F.forall(items, lambda v: good(F.coalesce(F.to_json(v), F.lit("null"))))
+    return text.startswith("[") & F.forall(items, lambda v: F.coalesce(good(v), F.lit(False)))
 
 
-def _members(text: Column, rules: dict[str, str]) -> Column:
-    from beaconry.operators.web import json_map
-
-    # A map of one element, so that the text is parsed once for all rules.
-    one = F.transform(F.array(json_map(text)), lambda m: functools.reduce(lambda x, y: x & y, [_fits(m[n], kind) for n, kind in rules.items()]))
-    return text.startswith("{") & one[0]
+def _members(members: Column, rules: dict[str, str]) -> Column:
+    # A transform of one element, so that the map is made once for all rules.
+    one = F.transform(F.array(members), lambda m: functools.reduce(lambda x, y: x & y, [_fits(m[n], kind) for n, kind in rules.items()], m.isNotNull()))
+    return one[0]
 
 
 def _fits(text: Column, kind: str) -> Column:
     """Whether a member (JSON text, null where it is missing) has the type; never null."""
     from beaconry.functions.scalars import parse_uuid
-    from beaconry.operators.web import json_string
+    from beaconry.operators.web import json_map, json_string, member_texts
 
     base, last = kind.rstrip("?!"), kind[-1]
     value = {
@@ -87,10 +85,10 @@ def _fits(text: Column, kind: str) -> Column:
         "int": lambda: text.rlike(r"^-?[0-9]{1,10}\z") & text.try_cast("long").between(-(2**31), 2**31 - 1),
         "object": lambda: text.startswith("{"),
         "list": lambda: text.startswith("["),
-        "texts": lambda: _items(text, lambda x: x.startswith('"')),
-        "errors": lambda: _items(text, lambda x: _members(x, _ERROR)),
-        "vitals": lambda: _items(text, lambda x: _members(x, _VITAL)),
-        "metadata": lambda: _members(text, _METADATA),
+        "texts": lambda: _items(text, lambda v: F.to_json(v).startswith('"')),
+        "errors": lambda: _items(text, lambda v: _members(member_texts(v), _ERROR)),
+        "vitals": lambda: _items(text, lambda v: _members(member_texts(v), _VITAL)),
+        "metadata": lambda: _members(json_map(text), _METADATA),
     }[base]()
     missing = text.isNull() | (text == "null") if last == "?" else text.isNull() & F.lit(last != "!")
     return missing | F.coalesce(value, F.lit(False))

@@ -96,6 +96,19 @@ def test_stream_folds_by_bucket(spark, later, name, monkeypatch):
     assert called
 
 
+def test_bodies_are_parsed_once(spark):
+    """One parse makes the map of a body, and a second one is only for texts that might end the array early."""
+    from beaconry.operators.web import json_map, whole_json_map
+
+    texts = ['{"a":1}', ' {"a":{"b":[1,{"c":2}]}} ', '{"a":1} x', '{"a":1}}', '{"a":1}],[', '{"a":1},{"b":2}', "[1]", "null", "", None, '{"a":"}]"}', '{"a":[{"b":1} ] }', "{", "{}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", whole_json_map(F.col("t")).alias("m"), json_map(F.col("t")).alias("first"))
+    rows = sorted(df.collect())
+    assert [r.m for r in rows] == [{"a": "1"}, {"a": '{"b":[1,{"c":2}]}'}, None, None, None, None, None, None, None, None, {"a": '"}]"'}, {"a": '[{"b":1}]'}, None, {}]
+    assert [r["first"] for r in rows[6:10]] == [None] * 4
+    made = str(whole_json_map(F.col("t")))
+    assert made.count("try_parse_json") == 2 and "schema_of_variant" not in made, made
+
+
 def test_rounds_read_dead_letters(spark, later, monkeypatch):
     """Rounds over dead letters read their table; requests are parsed once, when it is written."""
     from beaconry.sources import requests
