@@ -118,3 +118,22 @@ def test_rounds_read_dead_letters(spark, later, monkeypatch):
     monkeypatch.setattr(requests, "replay_dead_letters", lambda held, now, *a, **k: plans.append(held._jdf.queryExecution().optimizedPlan().toString() + now._jdf.queryExecution().optimizedPlan().toString()) or true(held, now, *a, **k))
     against_sql(spark, later, "q_dead_letter_rounds")
     assert len(plans) == 4 and not any("json" in p or "fx_" in p or "Aggregate" in p for p in plans)
+
+
+def test_chunk_fold_holds_a_slice(monkeypatch):
+    """However many chunks come in a batch, a slice of them is in Python's hands; streams go on across slices."""
+    import pyarrow as pa
+
+    from beaconry.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "SLICE", 7, raising=False)
+    chunk = lambda i: {"received_ms": i, "chunk": i, "batch_id": None if i % 3 == 0 else f"b{i // 2}", "sequence": i // 4, "first_sequence": i // 4, "last_sequence": i // 4}
+    streams = [[chunk(i) for i in range(n)] for n in (1, 30, 0, 5, 7, 0, 12, 2)]
+    kind = pa.list_(pa.struct([("received_ms", pa.int64()), ("chunk", pa.int64()), ("batch_id", pa.string()), *[(n, pa.int64()) for n in ("sequence", "first_sequence", "last_sequence")]]))
+    batch = pa.RecordBatch.from_arrays([*[pa.array([f"{k}{i}" for i in range(len(streams))]) for k in "pswg"], pa.array(streams, kind)], names=[*dedupe.CHUNK_KEY, "rows"])
+    want = []
+    for i, rows in enumerate(streams):
+        seen = dedupe.ChunkSet()
+        want += [(f"s{i}", r["chunk"]) for r in rows if seen.offer(r["batch_id"], r["sequence"], r["first_sequence"], r["last_sequence"])]
+    out = list(dedupe._kept_chunks(iter([batch.slice(0, 3), batch.slice(3)])))
+    assert [(r["session_id"], r["chunk"]) for b in out for r in b.to_pylist()] == want and max(b.num_rows for b in out) <= 7
