@@ -229,7 +229,9 @@ def group_errors(errors: DataFrame, policy: Policy = Policy(), languages: tuple[
     hashed = fingerprints(pairs, policy)
     if policies is not None:
         old = (F.col("mode") == "legacy") & F.col("legacy_hash").isNotNull()
-        hashed = legacy_group_hash(hashed).withColumns({"group_hash": F.when(old, F.col("legacy_hash")).otherwise(F.col("group_hash")), "outcome": F.when(old, "legacy").otherwise(F.col("outcome"))})
+        # Only the stacks of projects that keep it are given the older hash, and from the errors, not from what was parsed.
+        keep = policies.where(F.col("mode") == "legacy").select("project_id")
+        hashed = hashed.join(legacy_hashes(errors.join(keep, "project_id", "left_semi")), LEGACY_KEY, "left").withColumns({"group_hash": F.when(old, F.col("legacy_hash")).otherwise(F.col("group_hash")), "outcome": F.when(old, "legacy").otherwise(F.col("outcome"))})
     found = hashed.select(*[F.col(k).alias(f"_{k}") for k in keys], "group_hash", "outcome")
     return errors.join(found, F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys)), "left").drop("limits", *[f"_{k}" for k in keys])
 
@@ -299,9 +301,12 @@ def _counts(language: str):
     return lambda x: (x != "") & ~_legacy_skips(language, x)
 
 
-def legacy_group_hash(errors: DataFrame) -> DataFrame:
-    """Errors with the older group hash (null for languages that never had it); distinct kinds and stacks are hashed once."""
-    base = errors.select("language", "kind", "stack").distinct()
+LEGACY_KEY = ["language", "kind", "stack"]
+
+
+def legacy_hashes(errors: DataFrame) -> DataFrame:
+    """(language, kind, stack, legacy_hash): the older hash of the distinct kinds and stacks of the languages that had one."""
+    base = errors.select(*LEGACY_KEY).distinct()
     out = None
     for language, limit in LEGACY_LINES.items():
         lines = F.slice(F.split(F.regexp_replace("stack", "\r?\n$", ""), "\r?\n"), 1, limit)
@@ -309,4 +314,9 @@ def legacy_group_hash(errors: DataFrame) -> DataFrame:
         text = F.array_join(F.concat(F.array(legacy_piece(language, F.col("kind"))), kept), "\n")
         part = base.where(F.col("language") == language).select("language", "kind", "stack", F.sha2(text, 256).alias("legacy_hash"))
         out = part if out is None else out.unionByName(part)
-    return errors.join(out, ["language", "kind", "stack"], "left")
+    return out
+
+
+def legacy_group_hash(errors: DataFrame) -> DataFrame:
+    """Errors with the older group hash (null for languages that never had it)."""
+    return errors.join(legacy_hashes(errors), LEGACY_KEY, "left")

@@ -137,3 +137,22 @@ def test_chunk_fold_holds_a_slice(monkeypatch):
         want += [(f"s{i}", r["chunk"]) for r in rows if seen.offer(r["batch_id"], r["sequence"], r["first_sequence"], r["last_sequence"])]
     out = list(dedupe._kept_chunks(iter([batch.slice(0, 3), batch.slice(3)])))
     assert [(r["session_id"], r["chunk"]) for b in out for r in b.to_pylist()] == want and max(b.num_rows for b in out) <= 7
+
+
+def test_older_hashes_are_of_projects_that_keep_them(spark, monkeypatch):
+    """One project of two keeps the older hash: only its stacks are hashed that way, and results are each project's own."""
+    from beaconry.operators import grouping
+
+    rows = [(p, "java", "E", f"E: x\n    at a.B{p}.c(B.java:1)", 1, None, "r") for p in ("p", "q")]
+    errors = grouping.build_occurrences(spark.createDataFrame(rows, "project_id string, language string, kind string, stack string, n int, handled boolean, item_build string").withColumns({"message": F.lit("m"), "request_build": F.lit("r")}))
+    setting = lambda p, mode: (p, mode, "terminal_cause_frames", True, "bounded", 1 << 20, 8, True, True, True, "include", "deduplicate")
+    settings = spark.createDataFrame([setting("p", "legacy"), setting("q", "modern")], "project_id string, mode string, segment_selection string, include_error_kind boolean, raw_stack_policy string, raw_stack_max_bytes int, max_frames int, include_function boolean, include_module boolean, include_file boolean, runtime_frame_policy string, adjacent_frame_policy string")
+    none = spark.createDataFrame([], "project_id string, position int, field string, matcher string, pattern string")
+    asked, true = [], getattr(grouping, "legacy_hashes", None)
+    assert true, "the older hash is made of every stack"
+    monkeypatch.setattr(grouping, "legacy_hashes", lambda df: asked.append(df) or true(df))
+    got = {r.project_id: r for r in grouping.group_errors(errors, policies=grouping.policies(settings, none)).collect()}
+    plain = {r.project_id: r for r in grouping.group_errors(errors).collect()}
+    old = {r.project_id: r.legacy_hash for r in grouping.legacy_group_hash(errors).collect()}
+    assert [r.project_id for r in asked[0].collect()] == ["p"]
+    assert got["p"].group_hash == old["p"] and got["p"].outcome == "legacy" and got["q"].group_hash == plain["q"].group_hash and got["q"].outcome == "frames:1"
