@@ -156,3 +156,11 @@ def test_older_hashes_are_of_projects_that_keep_them(spark, monkeypatch):
     old = {r.project_id: r.legacy_hash for r in grouping.legacy_group_hash(errors).collect()}
     assert [r.project_id for r in asked[0].collect()] == ["p"]
     assert got["p"].group_hash == old["p"] and got["p"].outcome == "legacy" and got["q"].group_hash == plain["q"].group_hash and got["q"].outcome == "frames:1"
+
+
+def test_a_map_of_json_is_one_parse(spark):
+    """Metrics, contexts and events make maps of JSON objects: one parse, and no description of the whole value."""
+    from beaconry.operators.web import json_map
+
+    made = str(json_map(F.col("t")))
+    assert made.count("try_parse_json") == 1 and "schema_of_variant" not in made, made
