@@ -164,3 +164,24 @@ def test_a_map_of_json_is_one_parse(spark):
 
     made = str(json_map(F.col("t")))
     assert made.count("try_parse_json") == 1 and "schema_of_variant" not in made, made
+
+
+def test_pieces_are_dealt_to_all_tasks(spark):
+    """What a task sorts of the changes of sessions is its share of the pieces, however few bytes they are, and is sorted once."""
+    from beaconry.operators import replay
+
+    some = spark.range(0, 50_000, 1, 4).withColumns({"project_id": F.lit("p"), "session_id": F.format_string("s%s", F.col("id") % 7), "window_id": F.lit("w"), "received_ms": F.col("id") * 1000})
+    filters = some.where("id % 3 = 0").withColumns({"request_id": F.col("id"), "browser": F.when(F.col("id") % 2 == 0, F.format_string("b%s", F.col("id") % 5))})
+    chunks = some.where("id % 3 = 1").withColumns({"chunk": F.col("id"), "is_final": F.lit(False), "browser": F.lit(None).cast("string")})
+    settled = replay.settle_changes(replay.change_rows(chunks, filters, some.where("id % 600 = 2"), ["browser"]), ["browser"], ["browser"])
+    assert settled.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = settled._jdf.queryExecution().sparkPlan().toString()
+    assert sum("Window [" in line and "piece" in line.rsplit("], [", 2)[-2] for line in plan.splitlines()) == 1, plan
+    want, latest = {}, {}
+    rows = sorted([(r.received_ms, 0, r.session_id, r.browser) for r in filters.collect()] + [(r.received_ms, 1, r.session_id, None) for r in chunks.collect()])
+    began = {s: min(t for t, side, x, _ in rows if x == s and side) for _, _, s, _ in rows}
+    for t, side, s, b in rows:
+        latest[s] = b if not side else latest.get(s)
+        if t >= began[s]:
+            want[s, t] = latest[s]
+    assert {(r.session_id, r["at"]): r.browser for r in settled.where("side < 2").collect()} == want
