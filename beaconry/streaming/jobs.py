@@ -304,7 +304,7 @@ def q_stream_first_billing(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {sessions._SESSIONS} SELECT * FROM se")
 def q_stream_sessions(spark, sf_dir):
-    rows = sessions.session_chunks(spark, sf_dir).withColumn("received_at", F.timestamp_millis("received_ms"))
+    rows = sessions.session_chunks(spark, sf_dir, sessions.written_chunks(spark, sf_dir)).withColumn("received_at", F.timestamp_millis("received_ms"))
     path = feed(spark, rows, "sessions", lambda stream, path: run_updates(replay.fold_sessions(stream), path), batches=4)
     return latest(spark, replay.fold_sessions(rows).schema, path, SESSION_KEY).withColumn("routes", F.array_join("routes", ","))
 

@@ -185,3 +185,13 @@ def test_pieces_are_dealt_to_all_tasks(spark):
         if t >= began[s]:
             want[s, t] = latest[s]
     assert {(r.session_id, r["at"]): r.browser for r in settled.where("side < 2").collect()} == want
+
+
+def test_stream_of_sessions_folds_chunks_once(spark, later, monkeypatch):
+    """The chunks of a stream of sessions are folded once and read from their table."""
+    from beaconry.operators import dedupe
+
+    folded, true = [], dedupe.dedupe_chunks
+    monkeypatch.setattr(dedupe, "dedupe_chunks", lambda chunks: folded.append(1) or true(chunks))
+    against_sql(spark, later, "q_stream_sessions")
+    assert len(folded) == 1
