@@ -112,7 +112,7 @@ def map_js_frames(stacks: DataFrame, tokens: DataFrame) -> DataFrame:
     shape = r"^(.*?)([^ (@]+):([0-9]+):([0-9]+)(\)?)$"
     t = F.regexp_replace("raw", r"\s+$", "")
     part = lambda g: F.regexp_extract(t, r"^((?:.*[ (@])?)([^ (@]+):([0-9]+):([0-9]+)(\)?)$", g)
-    frames = lines.withColumns({"hit": t.rlike(shape), "lead": part(1), "path": js_file_key(part(2)), "line": part(3).try_cast("int") - 1, "col": part(4).try_cast("int") - 1, "tail": part(5)})
+    frames = lines.withColumns({"hit": t.rlike(shape), "lead": part(1), "path": js_file_key(part(2)), "line": part(3).try_cast("long") - 1, "col": part(4).try_cast("long") - 1, "tail": part(5)})
     files = tokens.select(*KEY, F.col("file").alias("path")).distinct().withColumn("known", F.lit(True))
     at = [*KEY, "path", "line", "col"]
     asked = frames.where("hit").select(*at).distinct().join(files, [*KEY, "path"], "left").withColumn("key", F.when(F.col("known"), F.col("path")).otherwise(F.regexp_replace("path", "^.*/", "")))

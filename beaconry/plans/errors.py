@@ -273,7 +273,7 @@ def q_retrace(spark, sf_dir):
 
 def js_tokens(spark, sf_dir):
     """Decoded positions: a named token at column 0 and an unnamed one at column 6 of every fourth line of each script."""
-    lines = load(spark, sf_dir, "events").where("event_id % 4 = 0").select((F.col("event_id") - 1).cast("int").alias("line")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    lines = load(spark, sf_dir, "events").where("event_id % 4 = 0").select((F.col("event_id") - 1).cast("long").alias("line")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
     base = _each_build(lines.where("line % 10 = k OR line % 5 = 3")).withColumn("file", F.concat(F.lit("app-"), "k", F.lit(".js")))
     source = F.concat(F.when(F.col("alt"), "alt/").otherwise("src/"), "file", F.lit(".ts")).alias("source")
     at = lambda c, name: base.select("project_id", "build", "file", "line", F.lit(c).alias("col"), source, (F.col("line") + 10).alias("src_line"), F.lit(c + 1).alias("src_col"), F.lit(name).cast("string").alias("name"))

@@ -195,3 +195,12 @@ def test_stream_of_sessions_folds_chunks_once(spark, later, monkeypatch):
     monkeypatch.setattr(dedupe, "dedupe_chunks", lambda chunks: folded.append(1) or true(chunks))
     against_sql(spark, later, "q_stream_sessions")
     assert len(folded) == 1
+
+
+def test_scripts_of_very_late_lines(spark, tmp_path):
+    """Lines of scripts go on beyond 2 ** 31, as the SQL has it."""
+    for t in ("nation", "region"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("event_id", F.expr("event_id + k * 600000000L")).drop("k").write.parquet(f"{tmp_path}/events.parquet")
+    against_sql(spark, str(tmp_path), "q_map_js")
