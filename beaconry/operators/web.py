@@ -35,8 +35,9 @@ def whole_json_map(text: Column) -> Column:
 
 
 def json_string(value: Column) -> Column:
-    """The string of a JSON string value, null for any other value."""
-    return F.when(value.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"])
+    """The string of a JSON string value, null for any other value. One without escapes is what its quotes hold; others are parsed."""
+    plain = value.rlike(r'^"[^"\\\x00-\x1f]*"\z')
+    return F.when(plain, F.btrim(value, F.lit('"'))).when(value.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"])
 
 
 def json_number(value: Column) -> Column:
@@ -57,7 +58,7 @@ def merge_maps(under: Column, over: Column) -> Column:
 
 def sorted_json(m: Column) -> Column:
     """A map of JSON texts as one JSON object with sorted keys."""
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.map_entries(m)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
 
 
 def build_web_event(rows: DataFrame, keep: list | None = None) -> DataFrame:

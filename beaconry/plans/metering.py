@@ -22,8 +22,8 @@ def query(sql: str | None = None):
     return add
 
 
-def validated(spark, sf_dir):
-    return metrics.validate_metrics(load(spark, sf_dir, "fx_metrics"), metrics.usable_rules(load(spark, sf_dir, "fx_data_sources")))
+def validated(spark, sf_dir, keep=()):
+    return metrics.validate_metrics(load(spark, sf_dir, "fx_metrics"), metrics.usable_rules(load(spark, sf_dir, "fx_data_sources")), keep=keep)
 
 
 # What each member of the fixture is worth under the literal rules: (kept JSON or null, warning or null).
@@ -83,7 +83,7 @@ _MODS = """SELECT request_id, project_id, CASE WHEN request_id % 3 = 0 THEN '1.'
 
 def mods_events(spark, sf_dir):
     """Server rows: game_version if it is a string, else minecraft_version; custom is what validation keeps."""
-    df = load(spark, sf_dir, "fx_metrics").join(validated(spark, sf_dir), ["request_id", "project_id"])
+    df = validated(spark, sf_dir, ["size", "type", "received_ms"]).where("request_id IS NOT NULL AND project_id IS NOT NULL")
     fields = F.create_map(
         F.lit("game_version"), F.when(F.col("request_id") % 3 == 0, F.concat(F.lit('"1.'), F.col("size").cast("string"), F.lit('"'))).otherwise(F.lit("7")),
         F.lit("minecraft_version"), F.when(F.col("request_id") % 3 == 2, F.lit("null")).otherwise(F.concat(F.lit('"'), "type", F.lit('"'))), F.lit("core_count"), F.when(F.col("size") <= 40, F.col("size").cast("string")).otherwise(F.lit("70000")),

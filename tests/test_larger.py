@@ -204,3 +204,53 @@ def test_scripts_of_very_late_lines(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("event_id", F.expr("event_id + k * 600000000L")).drop("k").write.parquet(f"{tmp_path}/events.parquet")
     against_sql(spark, str(tmp_path), "q_map_js")
+
+
+def test_metrics_are_dealt_out_before_they_are_parsed(spark):
+    """A file of few bytes is one task and holds many events: they go to all tasks before their data is parsed, and come with their columns."""
+    from beaconry.operators import metrics
+
+    sources = spark.sql("SELECT explode(array('p0', 'p1')) AS project_id, 'a' AS reference_id, 1 AS ord, 'number' AS data_type, 'scalar' AS metric_shape, cast(NULL AS string) AS regex, false AS allow_negative, false AS allow_float, cast(NULL AS double) AS min_value, 9.0D AS max_value")
+    events = spark.range(0, 400, 1, 1).select(F.col("id").alias("request_id"), F.format_string("p%s", F.col("id") % 2).alias("project_id"), F.format_string('{"a":%s}', F.col("id") % 12).alias("data"))
+    checked = metrics.validate_metrics(events, metrics.usable_rules(sources))
+    lines = checked._jdf.queryExecution().sparkPlan().toString().splitlines()
+    parsed = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    assert any("Exchange hashpartitioning(request_id" in line for line in lines[parsed:]), "\n".join(lines)
+    assert checked.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r.request_id: (r.valid, r.warnings) for r in checked.collect()}
+    assert got == {n: ({"a": str(n % 12)}, {}) if n % 12 <= 9 else ({}, {"a": "failed validation: value above maximum"}) for n in range(400)}
+
+
+def test_mods_of_later_parts_read_events_once(spark, tmp_path):
+    """Server rows carry what they need through validation, not by a join of the events with themselves; all rows are those of the SQL."""
+    spark.read.parquet(f"{SF}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    parts = spark.read.parquet(f"{SF}/part.parquet").withColumn("k", F.explode(F.array(*map(F.lit, (0, 5, None))))).withColumn("p_partkey", F.expr("p_partkey + k * 100000L"))
+    parts.drop("k").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("nation", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("q_mods_v2", "q_mods_events"):
+        df = catalog.queries()[name](spark, str(tmp_path))
+        got = [tuple(r) for r in df.collect()]
+        assert got and sorted(got, key=repr) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.oracle_sql()[name]}) q").fetchall(), key=repr)
+        assert df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet [p_partkey") == 1
+
+
+def test_a_number_is_made_once(spark):
+    """What is asked of a metric's number does not parse its text again."""
+    from beaconry.operators import metrics
+
+    made = str(metrics.check_number(F.col("v")))
+    assert made.count("from_json") == 1, made
+
+
+def test_plain_strings_of_json(spark):
+    """A JSON string without escapes is what its quotes hold, and is not parsed; all texts give what the parser gives."""
+    from beaconry.operators.web import json_string
+
+    texts = ['""', '"a"', '" a "', '"a', 'a"', '"', '"""', '"a"b"', '"a" ', '"a"\n', '"a\nb"', '"a\tb"', '"a\\"', '"a\\"b"', '"\\"a"', '"\\u0041"', '"ä \U0001f600"', '"\x7f"', '"\x1f"', '"a","v":"b"', "7", "null", '["a"]', "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    parsed = F.when(F.col("t").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), "t", F.lit("}")), "v string")["v"])
+    for r in df.select("t", json_string(F.col("t")).alias("got"), parsed.alias("want")).collect():
+        assert r.got == r.want, r
+    assert "rlike" in str(json_string(F.col("t"))).lower()
